@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from matchlake.llm import exact, mixing
+from matchlake.llm import bpe, dac, exact, mixing
 from matchlake.llm.minhash import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,10 +31,20 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=3, num=85, den=100)
 
 
+def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dac.token_file(_table(spark, sf_dir, "documents"), VOCABULARY, end_id=1)
+
+
+def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mix_sources": op2_mix_sources,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op7_token_binary": op7_token_binary,
+    "op9_bpe_round_trip": op9_bpe_round_trip,
 }
 
 ORACLE_SQL: dict[str, str] = {
