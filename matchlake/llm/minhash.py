@@ -6,8 +6,9 @@ share a bucket. Within a bucket every node is a candidate of one hub, the node t
 others. Candidates whose signatures agree often enough are confirmed by the exact intersection of full shingle
 sets, and confirmed links become components. Pairs that a hub did not bring together are found in blocks: nodes of
 a bucket that lie outside its largest component are compared, by signature, with the bucket's nodes of other
-components, a few best partners first, all remaining ones last. Only pairs within one component are skipped, so
-no link that would join two components is lost, and no bucket is capped.
+components, in the first bucket that both share. The few best partners are tested first; all that remain are
+tested on full sets within the block, which gives links and no pairs. Only pairs within one component are skipped,
+so no link that would join two components is lost, and no bucket is capped.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from matchlake.llm.scratch import Scratch
 from matchlake.llm.shingles import mix, shingles_of, words_of
 
 ROWS = 4
-BLOCK = 512
+#: Rows of each side that are compared at once, and partners tested first of each row in each other component.
+BLOCK, BEST = 256, 4
 #: Chance, for one pair exactly at the threshold, of sharing no bucket or of being refused by its signature.
 MISS_BANDS, MISS_SIGNATURE = 1e-7, 1e-6
 
@@ -136,53 +138,116 @@ def _confirming(num: int, den: int) -> Callable:
     return confirm
 
 
-def _block_partners(least: int, best: int | None) -> Callable:
-    """Compares the query rows of each group with its target rows; the input is sorted by group."""
-
-    def compare(nodes: np.ndarray, comps: np.ndarray, sigs: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        q, t = np.flatnonzero(query), np.flatnonzero(~query)
-        if not len(q) or not len(t):
-            return nodes[:0], nodes[:0]
-        same = np.empty((len(q), len(t)), dtype=np.int16)
-        for i, j in enumerate(q):
-            same[i] = (sigs[t] == sigs[j]).sum(axis=1)
-        i, j = np.nonzero((same >= least) & (comps[q][:, None] != comps[t][None, :]))
-        if best is not None and len(i):
-            order = np.lexsort((nodes[t][j], -same[i, j], comps[t][j], i))
-            i, j = i[order], j[order]
-            new = np.concatenate(([True], (i[1:] != i[:-1]) | (comps[t][j][1:] != comps[t][j][:-1])))
-            first = np.flatnonzero(new)
-            rank = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i))))
-            i, j = i[rank < best], j[rank < best]
-        return nodes[q][i], nodes[t][j]
-
-    def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def emit(table: pa.Table) -> pa.RecordBatch:
-            key = np.stack([table.column(k).to_numpy() for k in ("bucket", "qi", "tj")], axis=1)
-            cut = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-            nodes, comps, query = (table.column(k).to_numpy() for k in ("node", "comp", "query"))
-            sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint8).reshape(len(nodes), -1)
-            found = [compare(nodes[lo:hi], comps[lo:hi], sigs[lo:hi], query[lo:hi]) for lo, hi in zip([0, *cut], [*cut, len(nodes)], strict=True)]
-            a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b), pa.int64()), pa.array(np.minimum(a, b), pa.int64())], names=["a", "b"])
+def _survivors(rows: dict, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Query rows, target rows, and the pairs of a group, as places in these two, that are worth a test.
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            table = pa.Table.from_batches(held)
+    A pair is one of two components, agrees by signature, and is looked at in the first bucket that it shares.
+    """
+    q, t = np.flatnonzero(rows["query"]), np.flatnonzero(~rows["query"])
+    if not len(q) or not len(t):
+        none = np.zeros(0, dtype=np.int64)
+        return q, t, none, none, none
+    same = np.empty((len(q), len(t)), dtype=np.int16)
+    for i, j in enumerate(q):
+        same[i] = (rows["sig"][t] == rows["sig"][j]).sum(axis=1)
+    i, j = np.nonzero((same >= least) & (rows["comp"][q][:, None] != rows["comp"][t][None, :]))
+    if len(i):
+        shared = rows["bands"][q[i]] == rows["bands"][t[j]]
+        first = rows["bands"][q[i], shared.argmax(axis=1)] == rows["bucket"][q[i]]
+        i, j = i[first], j[first]
+    return q, t, i, j, same[i, j]
+
+
+def _by_group(batches: Iterator[pa.RecordBatch], group: Callable[[dict], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Calls ``group`` for each run of equal (bucket, qi, tj); the input is sorted by them."""
+
+    def columns(table: pa.Table) -> dict:
+        out = {k: table.column(k).to_numpy() for k in ("bucket", "qi", "tj", "node", "comp", "query")}
+        out["sig"] = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint8).reshape(len(table), -1)
+        out["bands"] = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(table), -1)
+        if "shingles" in table.column_names:
+            out["shingles"] = np.array([None, *(np.frombuffer(x, dtype=np.uint64) for x in table.column("shingles").to_pylist())], dtype=object)[1:]
+        return out
+
+    def groups(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows = columns(table)
+        key = np.stack([rows[k] for k in ("bucket", "qi", "tj")], axis=1)
+        cut = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+        found = [group({k: v[lo:hi] for k, v in rows.items()}) for lo, hi in zip([0, *cut], [*cut, len(key)], strict=True)]
+        yield pa.Table.from_batches(found).combine_chunks().to_batches()[0] if sum(f.num_rows for f in found) else found[0]
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 2048):
+            table = pa.Table.from_batches([*held, batch.slice(lo, 2048)])
             key = [table.column(k).to_numpy() for k in ("bucket", "qi", "tj")]
             last = np.flatnonzero(np.any([k != k[-1] for k in key], axis=0))
             done = int(last[-1]) + 1 if len(last) else 0
             if done:
-                yield emit(table.slice(0, done))
+                yield from groups(table.slice(0, done))
             held = table.slice(done).to_batches()
-        if held:
-            yield emit(pa.Table.from_batches(held))
+    if held:
+        yield from groups(pa.Table.from_batches(held))
+
+
+def _batch(names: str, *columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names.split())
+
+
+def _nearest(least: int, best: int) -> Callable:
+    """The ``best`` partners of each query row in each other component of its group."""
+
+    def group(rows: dict) -> pa.RecordBatch:
+        q, t, i, j, same = _survivors(rows, least)
+        nodes, comps = rows["node"], rows["comp"]
+        order = np.lexsort((nodes[t][j], -same, comps[t][j], i))
+        i, j = i[order], j[order]
+        new = np.concatenate(([True], (i[1:] != i[:-1]) | (comps[t][j][1:] != comps[t][j][:-1])))[: len(i)]
+        first = np.flatnonzero(new)
+        rank = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i))))
+        a, b = nodes[q][i[rank < best]], nodes[t][j[rank < best]]
+        return _batch("a b", np.maximum(a, b), np.minimum(a, b))
+
+    return lambda batches: _by_group(batches, group)
+
+
+def _tested(least: int) -> Callable:
+    """The rows of each group that have a partner to be tested with."""
+
+    def group(rows: dict) -> pa.RecordBatch:
+        q, t, i, j, _ = _survivors(rows, least)
+        at = np.concatenate((q[np.unique(i)], t[np.unique(j)]))
+        return _batch("bucket qi tj node query", *(rows[k][at] for k in ("bucket", "qi", "tj", "node", "query")))
+
+    return lambda batches: _by_group(batches, group)
 
-    return partners
+
+def _linked(least: int, num: int, den: int) -> Callable:
+    """Tests the pairs of each group on full sets; one link of each query row with each other component is enough."""
+
+    def group(rows: dict) -> pa.RecordBatch:
+        q, t, i, j, same = _survivors(rows, least)
+        nodes, comps, sets = rows["node"], rows["comp"], rows["shingles"]
+        a, b = [], []
+        for k in np.unique(i):
+            own, mates = sets[q[k]], j[i == k]
+            for comp in np.unique(comps[t[mates]]):
+                others = mates[comps[t[mates]] == comp]
+                for lo in range(0, len(others), 64):
+                    part = others[lo : lo + 64]
+                    theirs = [sets[x] for x in t[part]]
+                    sizes = np.array([len(x) for x in theirs])
+                    joined = np.concatenate(theirs)
+                    at = np.minimum(np.searchsorted(own, joined), len(own) - 1)
+                    shared = np.add.reduceat(own[at] == joined, np.cumsum(sizes) - sizes, dtype=np.int64)
+                    hit = np.flatnonzero(den * shared >= num * (len(own) + sizes - shared))
+                    if len(hit):
+                        a.append(nodes[q[k]]), b.append(nodes[t[part[hit[0]]]])
+                        break
+        a, b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+        return _batch("a b", np.maximum(a, b), np.minimum(a, b))
+
+    return lambda batches: _by_group(batches, group)
 
 
 class _Job:
@@ -194,7 +259,6 @@ class _Job:
         threshold = num / den
         self.hashes = ROWS * bands_for(threshold)
         self.least = least_agreeing(self.hashes, threshold)
-        self.turn = 0
 
     def sign(self) -> None:
         save = self.scratch.save
@@ -207,8 +271,8 @@ class _Job:
         at = save(nodes.select("node", F.explode("bands").alias("bucket")), "at")
         shared = save(at.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "shared")
         rows = save(at.join(shared, "bucket"), "rows")
-        self.nodes = save(nodes.select("digest", "node", "sig"), "sigs")
-        self.scratch.drop("at", "nodes")
+        self.nodes = nodes
+        self.scratch.drop("at")
         degree = save(rows.groupBy("node").agg(F.sum("size").alias("degree")), "degree")
         hubs = rows.join(degree, "node").groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("node")).alias("least"))).alias("h"))
         hubs = save(hubs.select("bucket", (-F.col("h.least")).alias("hub")), "hubs")
@@ -221,37 +285,54 @@ class _Job:
         both = pairs.join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b")
         return both.mapInArrow(_agreeing(self.least), "a long, b long")
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """Pairs whose full shingle sets reach the threshold."""
-        self.turn += 1
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        wanted = self.scratch.save(self.nodes.select("node", "digest").join(ends, "node", "left_semi"), f"ends-{self.turn}")
+    def sets(self, nodes: DataFrame, name: str) -> DataFrame:
+        """``node, shingles`` of some nodes, from their texts."""
+        wanted = self.scratch.save(self.nodes.select("node", "digest").join(nodes, "node", "left_semi"), f"ends-{name}")
         texts = self.docs.join(wanted, self.docs.doc_id == wanted.node, "left_semi")
-        sets = texts.mapInArrow(_setter(self.width), "node long, digest binary, shingles binary").dropDuplicates(["node", "digest"]).join(wanted, ["node", "digest"], "left_semi")
-        sets = self.scratch.save(sets.select("node", "shingles"), f"sets-{self.turn}")
+        sets = texts.mapInArrow(_setter(self.width), "node long, digest binary, shingles binary").dropDuplicates(["node", "digest"])
+        return self.scratch.save(sets.join(wanted, ["node", "digest"], "left_semi").select("node", "shingles"), f"sets-{name}")
+
+    def confirmed(self, pairs: DataFrame, name: str) -> DataFrame:
+        """Pairs whose full shingle sets reach the threshold."""
+        sets = self.sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), name)
         a, b = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"set_{k}")) for k in "ab")
         both = pairs.join(b, "b").join(a, "a").select("a", "b", "set_a", "set_b")
-        links = self.scratch.save(both.mapInArrow(_confirming(self.num, self.den), "a long, b long"), f"links-{self.turn}")
-        self.scratch.drop(f"sets-{self.turn}")
+        links = self.scratch.save(both.mapInArrow(_confirming(self.num, self.den), "a long, b long"), f"links-{name}")
+        self.scratch.drop(f"sets-{name}")
         return links
 
-    def beyond_hubs(self, components: DataFrame, best: int | None) -> DataFrame:
-        """Pairs of one bucket and two components that agree by signature; hubs have met their whole bucket."""
+    def beyond_hubs(self, components: DataFrame, name: str) -> DataFrame:
+        """Rows of buckets that hold several components, dealt in blocks: queries lie outside the largest one.
+
+        Hubs have met their whole bucket and are left out. Every query row meets every target row of its bucket
+        in exactly one block.
+        """
         save = self.scratch.save
         placed = self.rows.select("bucket", "node").join(components, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("comp"))
-        placed = save(placed, f"placed-{self.turn}")
+        placed = save(placed, f"at-{name}")
         sizes = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
         buckets = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
-        buckets = save(
-            buckets.select("bucket", F.col("top.comp").alias("major"), F.ceil(F.col("n") / BLOCK).cast("int").alias("tn"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("qn")), f"open-{self.turn}"
-        )
-        rows = placed.join(buckets, "bucket").join(self.nodes.select("node", "sig"), "node")
+        blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+        buckets = save(buckets.select("bucket", F.col("top.comp").alias("major"), blocks(F.col("n")).alias("tn"), blocks(F.col("n") - F.col("top.n")).alias("qn")), f"open-{name}")
+        rows = placed.join(buckets, "bucket").join(self.nodes.select("node", "sig", "bands"), "node")
         at = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        targets = rows.select("bucket", every("qn").alias("qi"), at("tn").alias("tj"), F.lit(False).alias("query"), "node", "comp", "sig")
-        queries = rows.where("comp <> major").select("bucket", at("qn").alias("qi"), every("tn").alias("tj"), F.lit(True).alias("query"), "node", "comp", "sig")
-        dealt = targets.union(queries).repartition("bucket", "qi", "tj").sortWithinPartitions("bucket", "qi", "tj")
-        return dealt.mapInArrow(_block_partners(self.least, best), "a long, b long").distinct()
+        targets = rows.select("bucket", every("qn").alias("qi"), at("tn").alias("tj"), F.lit(False).alias("query"), "node", "comp", "sig", "bands")
+        queries = rows.where("comp <> major").select("bucket", at("qn").alias("qi"), every("tn").alias("tj"), F.lit(True).alias("query"), "node", "comp", "sig", "bands")
+        return targets.union(queries)
+
+    def nearest(self, components: DataFrame, best: int) -> DataFrame:
+        return _dealt(self.beyond_hubs(components, "near")).mapInArrow(_nearest(self.least, best), "a long, b long").distinct()
+
+    def remaining(self, components: DataFrame) -> DataFrame:
+        """All links between components that are left, at least one of each node with each component."""
+        save = self.scratch.save
+        rows = save(self.beyond_hubs(components, "rest"), "blocks")
+        keys = ["bucket", "qi", "tj", "node", "query"]
+        tested = save(_dealt(rows).mapInArrow(_tested(self.least), "bucket long, qi int, tj int, node long, query boolean"), "tested")
+        sets = self.sets(tested.select("node").distinct(), "rest")
+        dealt = _dealt(rows.join(tested, keys, "left_semi").join(sets, "node"))
+        return save(dealt.mapInArrow(_linked(self.least, self.num, self.den), "a long, b long").distinct(), "links-rest")
 
     def same_document(self) -> DataFrame:
         """A doc_id whose rows fall in several sets links these sets."""
@@ -263,15 +344,11 @@ class _Job:
         self.sign()
         save, scratch = self.scratch.save, self.scratch
         star = self.rows.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
-        tested = save(self.agreeing(star), "tested-0")
-        links = save(self.confirmed(tested).union(self.same_document()), "known-0")
+        tested = save(self.agreeing(star), "star")
+        links = save(self.confirmed(tested, "star").union(self.same_document()), "known-0")
         components = save(connected_components(links, scratch), "components-0")
-        for k, best in enumerate((4, 32, None), 1):
-            fresh = save(self.beyond_hubs(components, best).join(tested, ["a", "b"], "left_anti"), f"fresh-{k}")
-            if fresh.isEmpty():
-                continue
-            more = self.confirmed(fresh)
-            tested = save(tested.union(fresh), f"tested-{k}")
+        for k, find in enumerate((lambda c: self.confirmed(save(self.nearest(c, BEST).join(tested, ["a", "b"], "left_anti"), "near"), "near"), self.remaining), 1):
+            more = find(components)
             if not more.isEmpty():
                 links = save(links.union(more), f"known-{k}")
                 components = save(connected_components(links, scratch), f"components-{k}")
@@ -280,6 +357,9 @@ class _Job:
         return result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition("bucket", "qi", "tj").sortWithinPartitions("bucket", "qi", "tj")
+
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Group documents whose ``width``-word shingle sets have a Jaccard similarity of ``num / den`` or more.
