@@ -5,6 +5,8 @@ that still starts a pair, the pair's rank; each inner node holds the smaller of
 left one. The root therefore names the leftmost pair of lowest rank. Merging it changes at most two neighbouring
 pairs and removes one, which are three leaf updates of logarithmic cost. Encoding ends when the root is empty.
 
+The leaves and inner nodes carry the place with the rank, which makes the root's minimum the leftmost one.
+
 Text is cut at ASCII white space first, which neither normalisation nor the splitting pattern nor a special token
 crosses, so one white-space word always encodes alike and a bounded cache per Python worker serves repeated words.
 """
@@ -23,48 +25,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-#: Cached words of one worker; the cache starts anew when full.
-CACHE_WORDS = 400_000
+#: Cached words of one worker, and cached pieces of words; a cache starts anew when full.
+CACHE_WORDS, CACHE_PIECES = 600_000, 800_000
 #: Longer texts are encoded in pieces of about so many characters, cut at white space.
 PIECE_CHARS = 1 << 20
-NONE = 1 << 60
+#: Words of visible ASCII and Latin-1 letters are their own normal form, and in lower case this is how the
+#: vocabulary file's pattern cuts them; all others go through the library's normaliser and splitter.
+PLAIN = re.compile(r"[!-~¡¿À-ÖØ-öø-ÿ]+").fullmatch
+PLAIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
+NONE = 1 << 62
+#: A leaf is ``rank << PLACE_BITS | place``, so the smallest is the leftmost pair of lowest rank.
+PLACE_BITS = 32
+PLACE = (1 << PLACE_BITS) - 1
 
 
 class PairTree:
-    """Smallest leaf, leftmost first, under point updates."""
+    """Smallest leaf under point updates; ``tree[1]`` is the root."""
 
-    def __init__(self, ranks: list[int]):
+    def __init__(self, leaves: list[int]):
         size = 1
-        while size < len(ranks):
+        while size < len(leaves):
             size *= 2
+        level = leaves + [NONE] * (size - len(leaves))
+        levels = [level]
+        while len(level) > 1:
+            level = [a if a < b else b for a, b in zip(level[::2], level[1::2])]
+            levels.append(level)
         self.size = size
-        tree = [NONE] * size + ranks + [NONE] * (size - len(ranks))
-        for i in range(size - 1, 0, -1):
-            left, right = tree[2 * i], tree[2 * i + 1]
-            tree[i] = left if left <= right else right
-        self.tree = tree
-
-    def lowest(self) -> tuple[int, int]:
-        """Rank and place of the leftmost smallest leaf."""
-        tree, i = self.tree, 1
-        least = tree[1]
-        while i < self.size:
-            i *= 2
-            if tree[i] != least:
-                i += 1
-        return least, i - self.size
-
-    def update(self, place: int, rank: int) -> None:
+        self.tree = [NONE]
+        for level in reversed(levels):
+            self.tree += level
+
+    def update(self, place: int, leaf: int) -> None:
         tree, i = self.tree, self.size + place
-        tree[i] = rank
-        i >>= 1
-        while i:
-            left, right = tree[2 * i], tree[2 * i + 1]
-            least = left if left <= right else right
+        tree[i] = leaf
+        while i > 1:
+            a, b = tree[i], tree[i ^ 1]
+            i >>= 1
+            least = a if a < b else b
             if tree[i] == least:
                 break
             tree[i] = least
-            i >>= 1
 
 
 class WordBpe:
@@ -80,44 +81,43 @@ class WordBpe:
         self.numbers = [str(i) for i in range(len(self.names))]
         self.end = model["end_of_word_suffix"] or ""
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.merge = {(self.vocab[a], self.vocab[b]): (r, self.vocab[a + b]) for r, (a, b) in enumerate(merges)}
+        self.top = len(self.names)
+        self.ranked = {self.vocab[a] * self.top + self.vocab[b]: r for r, (a, b) in enumerate(merges)}
+        self.made = [self.vocab[a + b] for a, b in merges]
         built = Tokenizer.from_str(spec)
         self.normalizer: normalizers.Normalizer = built.normalizer
         self.splitter: pre_tokenizers.PreTokenizer = built.pre_tokenizer
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.bytes = {c: "".join(p for p, _ in pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(c))) for c in [0xA1, 0xBF, *range(0xC0, 0x100)]}
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.words: dict[str, tuple[int, ...]] = {}
 
     def merged(self, symbols: list[int]) -> list[int]:
         """Apply merges, lowest rank first and leftmost first, until none applies."""
-        n = len(symbols)
-        merge, get = self.merge, self.merge.get
-        if n == 2:
-            hit = get((symbols[0], symbols[1]))
-            return symbols if hit is None else [hit[1]]
-        ids = list(symbols)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        tree = PairTree([hit[0] if (hit := get(pair)) else NONE for pair in zip(ids, ids[1:])])
-        while True:
-            rank, i = tree.lowest()
-            if rank == NONE:
-                break
+        n, get, top = len(symbols), self.ranked.get, self.top
+        leaves = [hit << PLACE_BITS | i if (hit := get(a * top + b)) is not None else NONE for i, (a, b) in enumerate(zip(symbols, symbols[1:]))]
+        if not leaves:
+            return symbols
+        pairs = PairTree(leaves)
+        tree, update, made = pairs.tree, pairs.update, self.made
+        ids, after, before = symbols, list(range(1, n + 1)), list(range(-1, n - 1))
+        while (root := tree[1]) != NONE:
+            i = root & PLACE
+            ids[i] = whole = made[root >> PLACE_BITS]
             j = after[i]
-            ids[i] = merge[ids[i], ids[j]][1]
-            ids[j] = -1
             k = after[i] = after[j]
-            if j < n - 1:
-                tree.update(j, NONE)
+            ids[j] = -1
             if k < n:
                 before[k] = i
-                hit = get((ids[i], ids[k]))
-                tree.update(i, hit[0] if hit else NONE)
+                update(j, NONE)
+                hit = get(whole * top + ids[k])
+                update(i, NONE if hit is None else hit << PLACE_BITS | i)
             else:
-                tree.update(i, NONE)
+                update(i, NONE)
             h = before[i]
             if h >= 0:
-                hit = get((ids[h], ids[i]))
-                tree.update(h, hit[0] if hit else NONE)
+                hit = get(ids[h] * top + whole)
+                update(h, NONE if hit is None else hit << PLACE_BITS | h)
         return [x for x in ids if x >= 0]
 
     def piece(self, piece: str) -> tuple[int, ...]:
@@ -126,7 +126,7 @@ class WordBpe:
         if found is None:
             vocab = self.vocab
             found = tuple(self.merged([*map(vocab.__getitem__, piece[:-1]), vocab[piece[-1] + self.end]]))
-            if len(self.pieces) >= CACHE_WORDS:
+            if len(self.pieces) >= CACHE_PIECES:
                 self.pieces.clear()
             if len(piece) < 256:
                 self.pieces[piece] = found
@@ -134,8 +134,8 @@ class WordBpe:
 
     def split(self, part: str) -> list[str]:
         """Pieces of a part of a word in byte symbols; visible ASCII stands for its own bytes."""
-        if _VISIBLE(part):
-            return _ASCII_PIECES(part.lower())
+        if PLAIN(part):
+            return PLAIN_PIECES(part.lower()) if part.isascii() else [p.translate(self.bytes) for p in PLAIN_PIECES(part.lower())]
         return [piece for piece, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(part))]
 
     def word(self, word: str) -> tuple[int, ...]:
@@ -176,9 +176,6 @@ class WordBpe:
         return " ".join([names[i] for i in ids if 0 <= i < len(names) and names[i] is not None])
 
 
-#: The vocabulary file's splitting pattern, restricted to visible ASCII in lower case.
-_ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
-_VISIBLE = re.compile(r"[!-~]+").fullmatch
 _SPACES = re.compile(r"[ \t\n\r\x0b\x0c]")
 
 

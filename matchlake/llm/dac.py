@@ -12,7 +12,6 @@ with the number of ids before it.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import cache
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from matchlake.llm.bpe import CACHE_WORDS, load_spec, pieces_of
+from matchlake.llm.bpe import CACHE_PIECES, CACHE_WORDS, PLAIN, PLAIN_PIECES, load_spec, pieces_of
 from matchlake.llm.scratch import Scratch, parallelism
 
 RANK_BITS = 512
@@ -77,12 +76,9 @@ class _Encoder:
     """The tokenizers library behind a bounded cache of words.
 
     White space separates words for the vocabulary file whatever surrounds it, so a text's ids are those of its
-    words. Visible ASCII words are split further by the file's own pattern, whose pieces also encode alone.
+    words. Plain Latin words are split further by the file's own pattern, whose pieces also encode alone.
     """
 
-    PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
-    VISIBLE = re.compile(r"[!-;=-~]+").fullmatch
-
     def __init__(self, spec: str):
         self.library = Tokenizer.from_str(spec)
         self.library.no_truncation()
@@ -95,13 +91,13 @@ class _Encoder:
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
-        if not self.VISIBLE(text):
+        if "<" in text or not PLAIN(text):
             return self._library(text)
         out = []
-        for part in self.PIECES(text.lower()):
+        for part in PLAIN_PIECES(text.lower()):
             found = self.parts.get(part)
             if found is None:
-                if len(self.parts) >= CACHE_WORDS:
+                if len(self.parts) >= CACHE_PIECES:
                     self.parts.clear()
                 found = self.parts[part] = self._library(part)
             out.append(found)
