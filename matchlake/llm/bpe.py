@@ -18,6 +18,7 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
@@ -151,21 +152,16 @@ class WordBpe:
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text, special tokens only where the text spells them."""
-        out: list[int] = []
         words = self.words
         for c in "\t\n\r\x0b\x0c":
             text = text.replace(c, " ")
-        for word in text.split(" "):
-            if word:
-                found = words.get(word)
-                if found is None:
-                    found = self.word(word)
-                    if len(word) < 256:
-                        if len(words) >= CACHE_WORDS:
-                            words.clear()
-                        words[word] = found
-                out.extend(found)
-        return out
+        split = text.split(" ")
+        if len(words) >= CACHE_WORDS:
+            words.clear()
+        for word in set(split):
+            if word not in words:
+                words[word] = self.word(word)
+        return [*chain.from_iterable(map(words.__getitem__, split))]
 
     def decode(self, ids: Iterable[int]) -> str:
         """Token strings joined by one space, as a file without a decoder asks for; special tokens stay.

@@ -12,7 +12,9 @@ with the number of ids before it.
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from matchlake.llm.bpe import CACHE_PIECES, CACHE_WORDS, PLAIN, PLAIN_PIECES, load_spec, pieces_of
+from matchlake.llm.bpe import CACHE_PIECES, CACHE_WORDS, PIECE_CHARS, PLAIN, PLAIN_PIECES, load_spec, pieces_of
 from matchlake.llm.scratch import Scratch, parallelism
 
 RANK_BITS = 512
@@ -86,36 +88,39 @@ class _Encoder:
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
-    def _library(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _word(self, word: bytes) -> bytes:
-        text = word.decode()
-        if "<" in text or not PLAIN(text):
-            return self._library(text)
-        out = []
-        for part in PLAIN_PIECES(text.lower()):
-            found = self.parts.get(part)
-            if found is None:
-                if len(self.parts) >= CACHE_PIECES:
-                    self.parts.clear()
-                found = self.parts[part] = self._library(part)
-            out.append(found)
-        return b"".join(out)
-
-    def ids(self, text: str) -> bytes:
-        """Little-endian 32-bit ids of a text."""
-        words, out = self.words, []
-        for word in text.encode().split():
-            found = words.get(word)
-            if found is None:
-                found = self._word(word)
-                if len(word) < 256:
-                    if len(words) >= CACHE_WORDS:
-                        words.clear()
-                    words[word] = found
-            out.append(found)
-        return b"".join(out)
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, missing: list[bytes]) -> None:
+        """Put words into the cache, with one call of the library for all that it has to encode."""
+        words, parts, plain, other = self.words, self.parts, {}, []
+        for word in missing:
+            text = word.decode()
+            if "<" in text or not PLAIN(text):
+                other.append((word, text))
+            else:
+                plain[word] = PLAIN_PIECES(text.lower())
+        fresh = [p for p in {p for pieces in plain.values() for p in pieces} if p not in parts]
+        parts.update(zip(fresh, self._library(fresh), strict=True))
+        for word, pieces in plain.items():
+            words[word] = parts[pieces[0]] if len(pieces) == 1 else b"".join([parts[p] for p in pieces])
+        words.update(zip((w for w, _ in other), self._library([t for _, t in other]), strict=True))
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Native 32-bit ids of each text."""
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+        if len(self.parts) > CACHE_PIECES:
+            self.parts.clear()
+        split = [text.encode().split() for text in texts]
+        self._learn([w for w in set().union(*split) if w not in self.words])
+        known = self.words.__getitem__
+        return [b"".join(map(known, words)) for words in split]
+
+    def documents(self, texts: list[str | None]) -> list[bytes]:
+        """As ``ids``, for texts of any length, null for empty; very long ones are taken part by part."""
+        short = iter(self.ids([t for t in texts if t and len(t) <= PIECE_CHARS]))
+        return [next(short) if t and len(t) <= PIECE_CHARS else b"".join([self.ids([p])[0] for p in pieces_of(t or "")]) for t in texts]
 
 
 @cache
@@ -124,15 +129,16 @@ def _encoder(spec: str) -> _Encoder:
 
 
 def _segments(spec: Broadcast, end_id: int):
-    end = np.array([end_id], dtype="<u4").tobytes()
+    end = array("I", [end_id]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core already
         encoder, part = _encoder(spec.value), TaskContext.get().partitionId()
         seq, before, doc_ids, texts, size = 0, 0, [], [], 0
 
         def flush() -> pa.RecordBatch:
             nonlocal seq, before, doc_ids, texts, size
-            ids = np.frombuffer(b"".join(texts), dtype="<u4")
+            ids = np.frombuffer(b"".join(texts), dtype=np.uint32)
             columns = [[part], [seq], [before], [len(ids)], [doc_ids], [[len(t) // 4 for t in texts]], [pack(ids)]]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(LEVEL)]
             names = ["part", "seq", "before", "n_tokens", "doc_ids", "lengths", "levels"]
@@ -140,12 +146,13 @@ def _segments(spec: Broadcast, end_id: int):
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = b"".join([*map(encoder.ids, pieces_of(text.as_py() or "")), end])
-                doc_ids.append(doc_id), texts.append(ids)
-                size += len(ids) // 4
-                if size >= SEGMENT_TOKENS:
-                    yield flush()
+            for lo in range(0, batch.num_rows, 128):
+                part_ids, part_texts = (batch.column(k).slice(lo, 128).to_pylist() for k in (0, 1))
+                for doc_id, ids in zip(part_ids, encoder.documents(part_texts), strict=True):
+                    doc_ids.append(doc_id), texts.append(ids + end)
+                    size += len(ids) // 4 + 1
+                    if size >= SEGMENT_TOKENS:
+                        yield flush()
         if doc_ids:
             yield flush()
 
