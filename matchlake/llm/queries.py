@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from matchlake.llm import bpe, dac, exact, language, mixing, quality
+from matchlake.llm import ann, bpe, dac, exact, language, mixing, quality, warc
 from matchlake.llm.minhash import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,10 +27,18 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(_table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=3, num=85, den=100)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rank_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -50,7 +58,9 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mix_sources": op2_mix_sources,
+    "op3_vector_search": op3_vector_search,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_warc": op5_warc,
     "op6_quality": op6_quality,
     "op7_token_binary": op7_token_binary,
     "op8_language": op8_language,
@@ -60,4 +70,5 @@ QUERIES: dict[str, Query] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": exact.ORACLE,
     "op2_mix_sources": mixing.ORACLE,
+    "op5_warc": warc.ORACLE,
 }
