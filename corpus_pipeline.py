@@ -1,22 +1,67 @@
-"""Corpus preparation as written stages over ``documents``."""
+"""Corpus preparation as written stages over ``documents``.
+
+Language identification, exact deduplication, near deduplication and mixing filter or repeat documents and keep
+their columns; the last stage encodes what is left. Every stage is written as Parquet and read again, so a lost
+executor costs at most one stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from matchlake.llm.bpe import round_trip
+from matchlake.llm.exact import exact_duplicates
+from matchlake.llm.language import UNKNOWN, LanguageModel, held_out
 from matchlake.llm.minhash import near_duplicates
+from matchlake.llm.mixing import mix, training_order
+from matchlake.llm.queries import VOCABULARY
 from matchlake.llm.scratch import Scratch
+from matchlake.llm.text import ascii_lower
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of no language go: null texts and texts without a letter. The others keep the label they came with."""
+    model = LanguageModel.fit(docs.where(~held_out(docs.doc_id)))
+    return model.annotate(docs, lang_as="_found", score_as="_score").where(F.col("_found") != UNKNOWN).select(*docs.columns)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id stays, once."""
+    found = Scratch(spark, "pipeline-exact").save(exact_duplicates(docs), "found")
+    gone = found.where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    sha = F.sha2(ascii_lower(F.coalesce(docs.text, F.lit(""))), 256)
+    stay = docs.join(gone, docs.doc_id.eqNullSafe(gone._id) & (sha == gone._sha), "left_anti")
+    repeated = found.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1")
+    return stay if repeated.isEmpty() else stay.dropDuplicates(["doc_id", "text"])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: five-word shingles, similarity 0.8 or more."""
-    kept = near_duplicates(docs, width=5, num=80, den=100).where("kept").select("doc_id").dropDuplicates(["doc_id"])
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
+    found = near_duplicates(docs, width=5, num=80, den=100)
+    gone = Scratch(spark, "pipeline-near").save(found.where("not kept").select(F.col("doc_id").alias("_id")).distinct(), "gone")
+    return docs.join(gone, docs.doc_id == gone._id, "left_anti")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in training order, one row for each pass of its source that takes any of its words."""
+    return training_order(docs, mix(docs)).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded text of every row that the mix takes."""
+    return round_trip(docs, VOCABULARY)
 
 
-STAGES = [("minhash_near_dedup", near_dedup)]
+STAGES = [
+    ("language_id", language_id),
+    ("exact_dedup", exact_dedup),
+    ("minhash_near_dedup", near_dedup),
+    ("mix_sources", mix_sources),
+    ("bpe_encode", encode),
+]
 
-#: SQL cannot express the language model's training or the merges of the tokenizer.
+#: SQL expresses neither the language model nor the merges of the tokenizer; tests hold a brute-force version.
 ORACLE_SQL = None
 
 

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 UNKNOWN = "und"
 DIMENSIONS = 1024
@@ -138,28 +139,28 @@ class LanguageModel:
         raw = np.array([found[k] / np.linalg.norm(found[k]) for k in languages]) if found else np.zeros((0, DIMENSIONS))
         return cls(languages, raw)
 
-    def predict(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """``doc_id, lang_pred, score`` for every row; the score is the cosine with the language chosen, 0 at least."""
+    def annotate(self, docs: DataFrame, text_col: str = "text", lang_as: str = "lang_pred", score_as: str = "score") -> DataFrame:
+        """``docs`` with the language chosen and the cosine with it, 0 at least; no row moves to another partition."""
         languages, prototypes = self.languages, self.prototypes
         mean = prototypes.mean(axis=0) if len(languages) > 1 else np.zeros(DIMENSIONS)
         centred = prototypes - mean
         centred = centred / np.maximum(np.linalg.norm(centred, axis=1, keepdims=True), 1e-12)
+        at = docs.columns.index(text_col)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bundler = Bundler()
             for batch in batches:
                 langs, scores = [], []
-                for text in batch.column(1):
+                for text in batch.column(at):
                     v = bundler.bundle(text.as_py() or "") if languages else None
                     if v is None:
                         langs.append(UNKNOWN), scores.append(0.0)
                         continue
                     best = int(np.argmax(centred @ (v - mean)))
                     langs.append(languages[best]), scores.append(float(min(1.0, max(0.0, prototypes[best] @ v))))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, lang_as, score_as])
 
-        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+        return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(lang_as, StringType()), StructField(score_as, DoubleType())]))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -169,4 +170,5 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     Repeated rows get a row each; an empty table gives no rows. Other columns are ignored, whatever their names.
     """
     model = LanguageModel.fit(docs.where(~held_out(F.col(id_col))), text_col, lang_col)
-    return model.predict(docs, id_col, text_col).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return model.annotate(rows).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from matchlake.llm import ann, bpe, dac, exact, language, mixing, quality, warc
+from matchlake.llm import ann, bpe, chat, dac, exact, language, mixing, quality, warc
 from matchlake.llm.minhash import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,11 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op10_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    return chat.preference_pairs(turns, chat.neighbouring_pairs(turns))
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mix_sources": op2_mix_sources,
@@ -65,10 +70,12 @@ QUERIES: dict[str, Query] = {
     "op7_token_binary": op7_token_binary,
     "op8_language": op8_language,
     "op9_bpe_round_trip": op9_bpe_round_trip,
+    "op10_preference_chat": op10_preference_chat,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": exact.ORACLE,
     "op2_mix_sources": mixing.ORACLE,
     "op5_warc": warc.ORACLE,
+    "op10_preference_chat": chat.ORACLE,
 }
