@@ -8,7 +8,8 @@ pairs and removes one, which are three leaf updates of logarithmic cost. Encodin
 The leaves and inner nodes carry the place with the rank, which makes the root's minimum the leftmost one.
 
 Text is cut at ASCII white space first, which neither normalisation nor the splitting pattern nor a special token
-crosses, so one white-space word always encodes alike and a bounded cache per Python worker serves repeated words.
+crosses; plain words are cut further by the pattern. Such a part of a text always encodes alike, and a bounded
+cache per Python worker serves repeated ones.
 """
 
 from __future__ import annotations
@@ -26,14 +27,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-#: Cached words of one worker, and cached pieces of words; a cache starts anew when full.
-CACHE_WORDS, CACHE_PIECES = 600_000, 800_000
+#: Cached parts of texts of one worker, and the length above which a part isn't kept; a full cache starts anew.
+CACHE_PARTS, LONG_PART = 1_200_000, 256
 #: Longer texts are encoded in pieces of about so many characters, cut at white space.
 PIECE_CHARS = 1 << 20
-#: Words of visible ASCII and Latin-1 letters are their own normal form, and in lower case this is how the
-#: vocabulary file's pattern cuts them; all others go through the library's normaliser and splitter.
-PLAIN = re.compile(r"[!-~¡¿À-ÖØ-öø-ÿ]+").fullmatch
-PLAIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
+#: Texts of visible ASCII, Latin-1 letters and ASCII white space are their own normal form, and in lower case this is
+#: how the vocabulary file's pattern cuts them; other words go through the library's normaliser and splitter.
+_PLAIN = re.compile(r"[!-~¡¿À-ÖØ-öø-ÿ \t\n\r\x0b\x0c]+").fullmatch
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9 \t\n\r\x0b\x0c]+").findall
+_SPACES = re.compile(r"[ \t\n\r\x0b\x0c]")
+RAW = "\0"
 NONE = 1 << 62
 #: A leaf is ``rank << PLACE_BITS | place``, so the smallest is the leftmost pair of lowest rank.
 PLACE_BITS = 32
@@ -90,8 +93,7 @@ class WordBpe:
         self.splitter: pre_tokenizers.PreTokenizer = built.pre_tokenizer
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.bytes = {c: "".join(p for p, _ in pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(c))) for c in [0xA1, 0xBF, *range(0xC0, 0x100)]}
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.parts: dict[str, tuple[int, ...]] = {}
 
     def merged(self, symbols: list[int]) -> list[int]:
         """Apply merges, lowest rank first and leftmost first, until none applies."""
@@ -121,47 +123,39 @@ class WordBpe:
                 update(h, NONE if hit is None else hit << PLACE_BITS | h)
         return [x for x in ids if x >= 0]
 
-    def piece(self, piece: str) -> tuple[int, ...]:
+    def piece(self, piece: str) -> list[int]:
         """Ids of one piece of the splitting pattern, in byte symbols."""
-        found = self.pieces.get(piece)
-        if found is None:
-            vocab = self.vocab
-            found = tuple(self.merged([*map(vocab.__getitem__, piece[:-1]), vocab[piece[-1] + self.end]]))
-            if len(self.pieces) >= CACHE_PIECES:
-                self.pieces.clear()
-            if len(piece) < 256:
-                self.pieces[piece] = found
-        return found
-
-    def split(self, part: str) -> list[str]:
-        """Pieces of a part of a word in byte symbols; visible ASCII stands for its own bytes."""
-        if PLAIN(part):
-            return PLAIN_PIECES(part.lower()) if part.isascii() else [p.translate(self.bytes) for p in PLAIN_PIECES(part.lower())]
-        return [piece for piece, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(part))]
-
-    def word(self, word: str) -> tuple[int, ...]:
-        """Ids of a text without white space."""
+        vocab = self.vocab
+        return self.merged([*map(vocab.__getitem__, piece[:-1]), vocab[piece[-1] + self.end]])
+
+    def part(self, part: str) -> tuple[int, ...]:
+        """Ids of a part of a text as ``parts_of`` gives it."""
+        if part[0] != RAW:
+            return tuple(self.piece(part if part.isascii() else part.translate(self.bytes)))
         out: list[int] = []
-        for part in self.cut.split(word) if self.cut and "<" in word else (word,):
-            if part in self.special:
-                out.append(self.special[part])
-            elif part:
-                for piece in self.split(part):
+        for text in self.cut.split(part[1:]) if self.cut else (part[1:],):
+            if text in self.special:
+                out.append(self.special[text])
+            elif text:
+                for piece, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text)):
                     out.extend(self.piece(piece))
         return tuple(out)
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text, special tokens only where the text spells them."""
-        words = self.words
-        for c in "\t\n\r\x0b\x0c":
-            text = text.replace(c, " ")
-        split = text.split(" ")
-        if len(words) >= CACHE_WORDS:
-            words.clear()
-        for word in set(split):
-            if word not in words:
-                words[word] = self.word(word)
-        return [*chain.from_iterable(map(words.__getitem__, split))]
+        known, parts = self.parts, parts_of(text)
+        if len(known) >= CACHE_PARTS:
+            known.clear()
+        long = []
+        for part in set(parts):
+            if part not in known:
+                known[part] = self.part(part)
+                if len(part) > LONG_PART:
+                    long.append(part)
+        ids = [*chain.from_iterable(map(known.__getitem__, parts))]
+        for part in long:
+            del known[part]
+        return ids
 
     def decode(self, ids: Iterable[int]) -> str:
         """Token strings joined by one space, as a file without a decoder asks for; special tokens stay.
@@ -172,7 +166,19 @@ class WordBpe:
         return " ".join([names[i] for i in ids if 0 <= i < len(names) and names[i] is not None])
 
 
-_SPACES = re.compile(r"[ \t\n\r\x0b\x0c]")
+def parts_of(text: str) -> list[str]:
+    """What encodes alone and is cached: pieces of the splitting pattern, or whole words, marked, where they are not plain."""
+    if _PLAIN(text) and "<" not in text:
+        return _PIECES(text.lower())
+    out: list[str] = []
+    for word in _SPACES.split(text):
+        if not word:
+            continue
+        if _PLAIN(word) and "<" not in word:
+            out.extend(_PIECES(word.lower()))
+        else:
+            out.append(RAW + word)
+    return out
 
 
 def pieces_of(text: str) -> Iterator[str]:

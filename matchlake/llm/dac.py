@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from matchlake.llm.bpe import CACHE_PIECES, CACHE_WORDS, PIECE_CHARS, PLAIN, PLAIN_PIECES, load_spec, pieces_of
+from matchlake.llm.bpe import CACHE_PARTS, LONG_PART, PIECE_CHARS, RAW, load_spec, parts_of, pieces_of
 from matchlake.llm.scratch import Scratch, parallelism
 
 RANK_BITS = 512
@@ -75,47 +75,50 @@ def access(levels: list[dict[str, bytes]], i: int) -> int:
 
 
 class _Encoder:
-    """The tokenizers library behind a bounded cache of words.
+    """The tokenizers library behind a bounded cache of parts of texts that encode alone.
 
-    White space separates words for the vocabulary file whatever surrounds it, so a text's ids are those of its
-    words. Plain Latin words are split further by the file's own pattern, whose pieces also encode alone.
+    Pieces of plain words are encoded many at a time, parted by blanks; each gives just one token with a word end.
     """
 
+    TOGETHER = 512
+
     def __init__(self, spec: str):
         self.library = Tokenizer.from_str(spec)
         self.library.no_truncation()
         self.library.no_padding()
-        self.words: dict[bytes, bytes] = {}
+        end = self.library.model.end_of_word_suffix
+        self.ends = np.zeros(self.library.get_vocab_size(), dtype=bool)
+        self.ends[[i for token, i in self.library.get_vocab(with_added_tokens=False).items() if token.endswith(end)]] = True
         self.parts: dict[str, bytes] = {}
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, missing: list[bytes]) -> None:
-        """Put words into the cache, with one call of the library for all that it has to encode."""
-        words, parts, plain, other = self.words, self.parts, {}, []
-        for word in missing:
-            text = word.decode()
-            if "<" in text or not PLAIN(text):
-                other.append((word, text))
-            else:
-                plain[word] = PLAIN_PIECES(text.lower())
-        fresh = [p for p in {p for pieces in plain.values() for p in pieces} if p not in parts]
-        parts.update(zip(fresh, self._library(fresh), strict=True))
-        for word, pieces in plain.items():
-            words[word] = parts[pieces[0]] if len(pieces) == 1 else b"".join([parts[p] for p in pieces])
-        words.update(zip((w for w, _ in other), self._library([t for _, t in other]), strict=True))
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        joined = [" ".join(pieces[lo : lo + self.TOGETHER]) for lo in range(0, len(pieces), self.TOGETHER)]
+        ids = array("I")
+        for e in self.library.encode_batch_fast(joined, add_special_tokens=False):
+            ids.extend(e.ids)
+        raw, cuts = ids.tobytes(), (np.flatnonzero(self.ends[np.frombuffer(ids, dtype=np.uint32)]) * 4 + 4).tolist() if ids else []
+        return [raw[lo:hi] for lo, hi in zip([0, *cuts], cuts)]
+
+    def _learn(self, missing: list[str]) -> None:
+        plain = [p for p in missing if p[0] != RAW]
+        self.parts.update(zip(plain, self._pieces(plain), strict=True))
+        other = [p for p in missing if p[0] == RAW]
+        found = self.library.encode_batch_fast([p[1:] for p in other], add_special_tokens=False)
+        self.parts.update((p, array("I", e.ids).tobytes()) for p, e in zip(other, found, strict=True))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Native 32-bit ids of each text."""
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        if len(self.parts) > CACHE_PIECES:
+        if len(self.parts) > CACHE_PARTS:
             self.parts.clear()
-        split = [text.encode().split() for text in texts]
-        self._learn([w for w in set().union(*split) if w not in self.words])
-        known = self.words.__getitem__
-        return [b"".join(map(known, words)) for words in split]
+        split = [parts_of(text) for text in texts]
+        missing = [p for p in set().union(*split) if p not in self.parts]
+        self._learn(missing)
+        known = self.parts.__getitem__
+        out = [b"".join(map(known, parts)) for parts in split]
+        for part in missing:
+            if len(part) > LONG_PART:
+                del self.parts[part]
+        return out
 
     def documents(self, texts: list[str | None]) -> list[bytes]:
         """As ``ids``, for texts of any length, null for empty; very long ones are taken part by part."""
