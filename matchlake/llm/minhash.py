@@ -6,9 +6,9 @@ share a bucket. Within a bucket every node is a candidate of one hub, the node t
 others. Candidates whose signatures agree often enough are confirmed by the exact intersection of full shingle
 sets, and confirmed links become components. Pairs that a hub did not bring together are found in blocks: nodes of
 a bucket that lie outside its largest component are compared, by signature, with the bucket's nodes of other
-components, in the first bucket that both share. The few best partners are tested first; all that remain are
-tested on full sets within the block, which gives links and no pairs. Only pairs within one component are skipped,
-so no link that would join two components is lost, and no bucket is capped.
+components, in the first bucket that both share, and those that agree are tested on full sets within the block,
+which gives links and no pairs. Only pairs within one component are skipped, so no link that would join two
+components is lost, and no bucket is capped.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from matchlake.llm.scratch import Scratch
 from matchlake.llm.shingles import mix, shingles_of, words_of
 
 ROWS = 4
-#: Rows of each side that are compared at once, and partners tested first of each row in each other component.
-BLOCK, BEST = 256, 4
+#: Rows of each side that are compared at once.
+BLOCK = 256
 #: Chance, for one pair exactly at the threshold, of sharing no bucket or of being refused by its signature.
 MISS_BANDS, MISS_SIGNATURE = 1e-7, 1e-6
 
@@ -194,23 +194,6 @@ def _batch(names: str, *columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names.split())
 
 
-def _nearest(least: int, best: int) -> Callable:
-    """The ``best`` partners of each query row in each other component of its group."""
-
-    def group(rows: dict) -> pa.RecordBatch:
-        q, t, i, j, same = _survivors(rows, least)
-        nodes, comps = rows["node"], rows["comp"]
-        order = np.lexsort((nodes[t][j], -same, comps[t][j], i))
-        i, j = i[order], j[order]
-        new = np.concatenate(([True], (i[1:] != i[:-1]) | (comps[t][j][1:] != comps[t][j][:-1])))[: len(i)]
-        first = np.flatnonzero(new)
-        rank = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i))))
-        a, b = nodes[q][i[rank < best]], nodes[t][j[rank < best]]
-        return _batch("a b", np.maximum(a, b), np.minimum(a, b))
-
-    return lambda batches: _by_group(batches, group)
-
-
 def _tested(least: int) -> Callable:
     """The rows of each group that have a partner to be tested with."""
 
@@ -223,27 +206,38 @@ def _tested(least: int) -> Callable:
 
 
 def _linked(least: int, num: int, den: int) -> Callable:
-    """Tests the pairs of each group on full sets; one link of each query row with each other component is enough."""
+    """Links on full sets that join the components of each group; pairs that others have joined are passed over."""
 
     def group(rows: dict) -> pa.RecordBatch:
         q, t, i, j, same = _survivors(rows, least)
         nodes, comps, sets = rows["node"], rows["comp"], rows["shingles"]
+        order = np.lexsort((-same, i))
+        i, j = i[order], j[order]
+        up: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while c in up:
+                c = up[c]
+            return c
+
         a, b = [], []
         for k in np.unique(i):
-            own, mates = sets[q[k]], j[i == k]
-            for comp in np.unique(comps[t[mates]]):
-                others = mates[comps[t[mates]] == comp]
-                for lo in range(0, len(others), 64):
-                    part = others[lo : lo + 64]
-                    theirs = [sets[x] for x in t[part]]
-                    sizes = np.array([len(x) for x in theirs])
-                    joined = np.concatenate(theirs)
-                    at = np.minimum(np.searchsorted(own, joined), len(own) - 1)
-                    shared = np.add.reduceat(own[at] == joined, np.cumsum(sizes) - sizes, dtype=np.int64)
-                    hit = np.flatnonzero(den * shared >= num * (len(own) + sizes - shared))
-                    if len(hit):
-                        a.append(nodes[q[k]]), b.append(nodes[t[part[hit[0]]]])
-                        break
+            own, mates = sets[q[k]], t[j[i == k]]
+            for lo in range(0, len(mates), 64):
+                here = root(comps[q[k]])
+                part = np.array([x for x in mates[lo : lo + 64] if root(comps[x]) != here], dtype=np.int64)
+                if not len(part):
+                    continue
+                theirs = [sets[x] for x in part]
+                sizes = np.array([len(x) for x in theirs])
+                joined = np.concatenate(theirs)
+                at = np.minimum(np.searchsorted(own, joined), len(own) - 1)
+                shared = np.add.reduceat(own[at] == joined, np.cumsum(sizes) - sizes, dtype=np.int64)
+                for x in part[den * shared >= num * (len(own) + sizes - shared)]:
+                    here, there = root(comps[q[k]]), root(comps[x])
+                    if here != there:
+                        up[there] = here
+                        a.append(nodes[q[k]]), b.append(nodes[x])
         a, b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
         return _batch("a b", np.maximum(a, b), np.minimum(a, b))
 
@@ -321,11 +315,8 @@ class _Job:
         queries = rows.where("comp <> major").select("bucket", at("qn").alias("qi"), every("tn").alias("tj"), F.lit(True).alias("query"), "node", "comp", "sig", "bands")
         return targets.union(queries)
 
-    def nearest(self, components: DataFrame, best: int) -> DataFrame:
-        return _dealt(self.beyond_hubs(components, "near")).mapInArrow(_nearest(self.least, best), "a long, b long").distinct()
-
     def remaining(self, components: DataFrame) -> DataFrame:
-        """All links between components that are left, at least one of each node with each component."""
+        """Links that join all components which any pair of one bucket links."""
         save = self.scratch.save
         rows = save(self.beyond_hubs(components, "rest"), "blocks")
         keys = ["bucket", "qi", "tj", "node", "query"]
@@ -344,14 +335,11 @@ class _Job:
         self.sign()
         save, scratch = self.scratch.save, self.scratch
         star = self.rows.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
-        tested = save(self.agreeing(star), "star")
-        links = save(self.confirmed(tested, "star").union(self.same_document()), "known-0")
+        links = save(self.confirmed(save(self.agreeing(star), "star"), "star").union(self.same_document()), "known-0")
         components = save(connected_components(links, scratch), "components-0")
-        for k, find in enumerate((lambda c: self.confirmed(save(self.nearest(c, BEST).join(tested, ["a", "b"], "left_anti"), "near"), "near"), self.remaining), 1):
-            more = find(components)
-            if not more.isEmpty():
-                links = save(links.union(more), f"known-{k}")
-                components = save(connected_components(links, scratch), f"components-{k}")
+        more = self.remaining(components)
+        if not more.isEmpty():
+            components = save(connected_components(links.union(more), scratch), "components-1")
         placed = save(self.nodes.select("digest", "node").join(components, "node", "left").select("digest", F.coalesce("component", "node").alias("component")), "placed")
         result = self.members.join(placed, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
         return result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
