@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 #: Cached parts of texts of one worker, and the length above which a part isn't kept; a full cache starts anew.
-CACHE_PARTS, LONG_PART = 1_200_000, 256
+CACHE_PARTS, LONG_PART = 500_000, 256
 #: Longer texts are encoded in pieces of about so many characters, cut at white space.
 PIECE_CHARS = 1 << 20
 #: Texts of visible ASCII, Latin-1 letters and ASCII white space are their own normal form, and in lower case this is
