@@ -260,13 +260,11 @@ class _Job:
         some = signed.where("doc_id is not null and digest is not null")
         first = some.groupBy("digest").agg(F.min(F.struct("doc_id", "sig", "bands")).alias("r"))
         nodes = save(first.select("digest", F.col("r.doc_id").alias("node"), "r.sig", "r.bands"), "nodes")
-        self.members = save(signed.select("doc_id", "n_shingles", "digest"), "members")
-        self.scratch.drop("signed")
-        at = save(nodes.select("node", F.explode("bands").alias("bucket")), "at")
+        self.members = signed.select("doc_id", "n_shingles", "digest")
+        at = nodes.select("node", F.explode("bands").alias("bucket"))
         shared = save(at.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "shared")
         rows = save(at.join(shared, "bucket"), "rows")
         self.nodes = nodes
-        self.scratch.drop("at")
         degree = save(rows.groupBy("node").agg(F.sum("size").alias("degree")), "degree")
         hubs = rows.join(degree, "node").groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("node")).alias("least"))).alias("h"))
         hubs = save(hubs.select("bucket", (-F.col("h.least")).alias("hub")), "hubs")
