@@ -28,7 +28,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays, once."""
-    found = Scratch(spark, "pipeline-exact").save(exact_duplicates(docs), "found")
+    found = Scratch(spark, "pipeline-exact").save(exact_duplicates(docs), "found", small=True)
     gone = found.where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
     sha = F.sha2(ascii_lower(F.coalesce(docs.text, F.lit(""))), 256)
     stay = docs.join(gone, docs.doc_id.eqNullSafe(gone._id) & (sha == gone._sha), "left_anti")

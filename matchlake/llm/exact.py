@@ -58,7 +58,7 @@ class DigestIndex:
         """
         scratch = Scratch(self.spark, "exact")
         text = ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-        hashed = scratch.save(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest")), "hashed")
+        hashed = scratch.save(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest")), "hashed", small=True)
         groups = scratch.save(hashed.groupBy("digest").agg(F.max("doc_id").alias("last_id"), F.count("*").alias("group_size")), "groups")
         fresh = groups.repartition(self.buckets, "digest").join(self.rows().hint("merge"), "digest", "left_anti")
         fresh.select("digest", F.col("last_id").alias("keep_id")).write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").option(

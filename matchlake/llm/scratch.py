@@ -31,7 +31,9 @@ class Scratch:
     def at(self, name: str) -> str:
         return f"{self.path}/{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, small: bool = False) -> DataFrame:
+        """``small`` tables, a few bytes a row and made without a shuffle, are gathered into files of a sensible size."""
+        df = df.hint("rebalance") if small else df
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.at(name))
         return self.spark.read.schema(df.schema).parquet(self.at(name))
 

@@ -107,7 +107,7 @@ class Archive:
             F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html")
         )
         digest = F.sha1(F.col("html").cast("binary"))
-        seen = scratch.save(rows.where(F.octet_length("html") >= REVISIT_BYTES).where("page_id is not null").select("page_id", F.unhex(digest).alias("digest")), "seen")
+        seen = scratch.save(rows.where(F.octet_length("html") >= REVISIT_BYTES).where("page_id is not null").select("page_id", F.unhex(digest).alias("digest")), "seen", small=True)
         last = scratch.save(seen.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n"), "last")
         revisits = seen.join(last, "digest").where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
         revisits = scratch.save(revisits.select("page_id", F.lower(F.hex("digest")).alias("digest"), "refers_to"), "revisits")
