@@ -45,7 +45,7 @@ def apply_corrections(events: DataFrame, corrections: DataFrame) -> DataFrame:
     tracks = patch(on_track, F.col("target_track"), F.col("job_id")).select("match_id", *row)
     moved = on_event.where(F.map_contains_key("fields", F.lit("track_id"))).select("match_id", F.col("target_id").alias("event_id"), F.element_at("fields", F.lit("track_id")).try_cast("int").alias("track"))
     on = base.select("match_id", "event_id", F.col("track_id").alias("track"), "job_id").unionByName(moved.join(base.select("match_id", "event_id", "job_id"), ["match_id", "event_id"])).where("track is not null").distinct()
-    via_track = on.join(tracks, (on.match_id == tracks.match_id) & (on.track == tracks.target_track)).where("job is null or job = job_id").select(on.match_id, "event_id", *row).distinct()
+    via_track = on.join(tracks, (on.match_id == tracks.match_id) & (on.track == tracks.target_track)).where("job is null or job = job_id").select(on.match_id, "event_id", *row).dropDuplicates(["match_id", "event_id", "correction_id"])
     order = F.struct(F.col("created_at").isNull().alias("late"), "created_at", "correction_id", "scope", "action", F.map_entries("fields").alias("entries"), "target_track")
     patches = direct.unionByName(via_track).groupBy("match_id", "event_id").agg(F.array_sort(F.collect_list(order)).alias("patches"))
     state = F.struct(

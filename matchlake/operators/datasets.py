@@ -64,7 +64,7 @@ def held_out_report(counts: DataFrame, full: int = 6) -> DataFrame:
     ``counts (segment, frame_id, found, truth)``.
     """
     r = counts.rollup("segment").agg(
-        F.count("*").alias("frames"), F.bround(F.avg("found"), 3).alias("mean_robots"), F.count_if("found = 0").alias("blind"), F.count_if(F.col("found") >= full).alias("full"),
+        F.count("*").alias("frames"), F.bround(F.avg("found"), 3).alias("mean_robots"), F.count_if(F.expr("found = 0")).alias("blind"), F.count_if(F.col("found") >= full).alias("full"),
         F.sum(F.least("found", "truth")).alias("hit"), F.sum("truth").alias("truths"),
     )
     return r.select("segment", "frames", "mean_robots", "blind", "full", F.bround(F.col("full") / F.col("frames"), 4).alias("full_share"), F.bround(F.try_divide("hit", "truths"), 4).alias("ceiling_recall"))

@@ -152,7 +152,10 @@ def endgame(samples: DataFrame, launches: DataFrame, match_seconds: float, endga
 
 
 def match_features(samples: DataFrame, launches: DataFrame, season: dict, geometry: dict, rate: float = 10.0) -> DataFrame:
-    """One row per robot and match with all groups as nested columns; groups that need positions are null without them."""
+    """One row per robot and match with all groups as nested columns; groups that need positions are null without them.
+
+    Every group scans its input, so pass written tables, not plans that build them.
+    """
     step, seconds = 1.0 / rate, float(season["auto_seconds"] + season["teleop_seconds"])
     hub = geometry["hub_x"], geometry["hub_y"]
     groups = {

@@ -27,7 +27,7 @@ def alliance_votes(observations: DataFrame) -> DataFrame:
 
 def strict_majority(votes: DataFrame, least: int = 3) -> DataFrame:
     """Colour of tracks with ``least`` votes or more and over half for one."""
-    n = votes.where("alliance is not null").groupBy(*TRACK).agg(F.count("*").alias("n"), F.count_if("alliance = 'red'").alias("red"), F.count_if("alliance = 'blue'").alias("blue"))
+    n = votes.where("alliance is not null").groupBy(*TRACK).agg(F.count("*").alias("n"), F.count_if(F.expr("alliance = 'red'")).alias("red"), F.count_if(F.expr("alliance = 'blue'")).alias("blue"))
     return n.where(F.col("n") >= least).select(*TRACK, F.when(F.col("red") * 2 > F.col("n"), "red").when(F.col("blue") * 2 > F.col("n"), "blue").alias("alliance"))
 
 

@@ -68,7 +68,10 @@ def zone_medians(features: DataFrame, field: str) -> DataFrame:
 
 
 def build_profiles(features: DataFrame) -> DataFrame:
-    """One row per team: counts, timing, tendencies, prediction and counters, over all its matches."""
+    """One row per team: counts, timing, tendencies, prediction and counters, over all its matches.
+
+    Several groups scan the features, so pass a written table.
+    """
     f = numbered(features).withColumn("located", F.col("movement").isNotNull())
     at = lambda path: F.when(F.col("located"), F.col(path))
     med = lambda path, name: rounded_median(at(path)).alias(name)

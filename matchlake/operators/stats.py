@@ -74,7 +74,7 @@ def accuracy(reconstructed: DataFrame, official: DataFrame) -> DataFrame:
 def by_phase(events: DataFrame) -> DataFrame:
     """Attempts and made shots per team in each phase."""
     shots = events.where("team is not null and event_type in ('shot_attempt', 'shot_made')")
-    return shots.groupBy("team").pivot("phase", ["auto", "teleop", "endgame", "unknown"]).agg(F.count_if("event_type = 'shot_attempt'").alias("attempts"), F.count_if("event_type = 'shot_made'").alias("made"))
+    return shots.groupBy("team").pivot("phase", ["auto", "teleop", "endgame", "unknown"]).agg(F.count_if(F.expr("event_type = 'shot_attempt'")).alias("attempts"), F.count_if(F.expr("event_type = 'shot_made'")).alias("made"))
 
 
 OUTCOMES = ("made", "missed", "unknown")

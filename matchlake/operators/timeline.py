@@ -82,11 +82,15 @@ def build(tracks: DataFrame, jobs: DataFrame, shots: DataFrame, seasons: DataFra
     return samples, launches
 
 
+def _field(name: str):
+    return lambda row: row[name]
+
+
 def to_columns(samples: DataFrame) -> DataFrame:
     """One row per robot with parallel arrays of its samples, in order of time."""
     names = ["t", "mt", "phase", "x", "y", "ax", "ay", "speed", "zone", "lane"]
     rows = samples.groupBy("job_id", "match_id", "robot_key", "team", "alliance").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("s"))
-    return rows.select("job_id", "match_id", "robot_key", "team", "alliance", *[F.transform("s", lambda r, n=n: r[n]).alias(n) for n in names])
+    return rows.select("job_id", "match_id", "robot_key", "team", "alliance", *[F.transform("s", _field(n)).alias(n) for n in names])
 
 
 def to_rows(columns: DataFrame) -> DataFrame:

@@ -1,12 +1,9 @@
-"""Registered queries over the given tables, each with the SQL that gives the same rows."""
+"""Registered queries over the given tables, each with the SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from matchlake.plans.queries import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "team_stats"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]

@@ -29,8 +29,9 @@ def lenient(spark: SparkSession, pattern: str, table: str) -> DataFrame:
     if not exists(spark, pattern):
         return spark.createDataFrame([], StructType([*kind.fields, StructField("run", StringType())]))
     wide = StructType([*kind.fields, StructField(CORRUPT, StringType())])
-    rows = spark.read.schema(wide).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(pattern)
-    return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT).withColumn("run", _run_id())
+    parsed = F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    rows = spark.read.text(pattern).where(F.trim("value") != "").select(parsed.alias("r"), _run_id().alias("run"))
+    return rows.where(F.col("r").isNotNull() & F.col(f"r.{CORRUPT}").isNull()).select(*[f"r.{f.name}" for f in kind], "run")
 
 
 def strict(spark: SparkSession, pattern: str, table: str) -> DataFrame:

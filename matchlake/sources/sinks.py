@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from matchlake.operators.temporal import heading_hold
 
 FEET = 0.3048
+#: Robot number, time, x, y, heading; 32 bytes.
+RECORD = "<idddf"
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -61,7 +63,7 @@ def keyed_merge(old: DataFrame, new: DataFrame, key: str = "row_key") -> DataFra
 
 def merge_counts(merged: DataFrame) -> DataFrame:
     """``written, skipped`` of a merge."""
-    return merged.agg(F.count_if(F.col("change").isin("changed", "appended")).alias("written"), F.count_if("change = 'skipped'").alias("skipped"))
+    return merged.agg(F.count_if(F.col("change").isin("changed", "appended")).alias("written"), F.count_if(F.expr("change = 'skipped'")).alias("skipped"))
 
 
 def refuse_empty(rows: DataFrame, events: DataFrame) -> DataFrame:
@@ -80,12 +82,10 @@ def pose_log(samples: DataFrame) -> DataFrame:
     """
     rows = heading_hold(samples, ["job_id", "robot_key"], "t").where("x is not null")
     numbered = rows.withColumn("robot", F.dense_rank().over(Window.partitionBy("job_id").orderBy("robot_key"))).select("job_id", "t", "robot", (F.col("x") * FEET).alias("x"), (F.col("y") * FEET).alias("y"), "heading")
-    record = struct.Struct("<idddf")
-
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for job, g in pdf.groupby("job_id", sort=False):
-                body = b"".join(record.pack(int(r.robot), r.t, r.x, r.y, r.heading) for r in g.itertuples())
+                body = b"".join(struct.pack(RECORD, int(r.robot), r.t, r.x, r.y, r.heading) for r in g.itertuples())
                 yield pd.DataFrame({"job_id": [job], "first_t": [float(g.t.iloc[0])], "body": [body]})
 
     return numbered.repartition("job_id").sortWithinPartitions("job_id", "t", "robot").mapInPandas(pack, "job_id string, first_t double, body binary")

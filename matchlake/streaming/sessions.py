@@ -28,7 +28,7 @@ def counts_per_second(sightings: DataFrame, time: str = "ts", lateness: str = LA
 
 def running_totals(events: DataFrame) -> DataFrame:
     """Counts per team so far; for the update or complete output mode."""
-    return events.where("team is not null").groupBy("team").agg(F.count_if("event_type = 'shot_attempt'").alias("attempts"), F.count_if("event_type = 'shot_made'").alias("made"))
+    return events.where("team is not null").groupBy("team").agg(F.count_if(F.expr("event_type = 'shot_attempt'")).alias("attempts"), F.count_if(F.expr("event_type = 'shot_made'")).alias("made"))
 
 
 def late_rows(batch: DataFrame, watermark: str, time: str = "ts") -> tuple[DataFrame, DataFrame]:

@@ -98,7 +98,7 @@ def count_entries(signs: DataFrame, lateness: str = "5 seconds") -> DataFrame:
             elif phase == "armed" and fresh:
                 phase, at, crossed = "crossed", t, t
             elif phase == "crossed" and fresh:
-                out.append((*key, pd.Timestamp(crossed, unit="s")))
+                out.append((*key, pd.Timestamp(round(crossed * 1_000_000), unit="us")))
                 phase, at = "done", t
             elif not fresh:
                 phase = "idle"
