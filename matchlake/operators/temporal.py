@@ -148,3 +148,27 @@ def running_total(df: DataFrame, keys: Sequence[str], time: str, value: Column,
 
 def moving_average(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, n: int, name: str = "average") -> DataFrame:
     return df.withColumn(name, F.avg(value).over(_w(keys, order).rowsBetween(1 - n, 0)))
+
+
+def interpolate_at(points: DataFrame, asked: DataFrame, keys: Sequence[str], time: str, values: Sequence[str], bridge: float = 0.10) -> DataFrame:
+    """``asked (keys, at)`` with values at that instant: an exact hit, else linear between neighbours at most ``bridge`` apart, else null.
+
+    Both sides are sorted together once per key.
+    """
+    kinds = ",".join(f"{v}:double" for v in values)
+    p = points.select(*keys, F.col(time).alias("at"), F.lit(0).alias("_side"), F.struct(F.col(time).cast("double").alias("t"), *[F.col(v).cast("double").alias(v) for v in values]).alias("_p"))
+    q = asked.select(*keys, "at", F.lit(1).alias("_side"), F.lit(None).cast(f"struct<t:double,{kinds}>").alias("_p"))
+    w = _w(keys, ["at", "_side"])
+    both = p.unionByName(q).withColumn("_a", F.last("_p", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_b", F.first("_p", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))).where("_side = 1")
+    hit = F.abs(F.col("_a.t") - F.col("at")) <= 1e-5
+    ok = F.col("_b.t") - F.col("_a.t") <= bridge
+    u = (F.col("at") - F.col("_a.t")) / (F.col("_b.t") - F.col("_a.t"))
+    return both.select(*keys, "at", *[F.when(hit, F.col(f"_a.{v}")).when(ok, F.col(f"_a.{v}") + (F.col(f"_b.{v}") - F.col(f"_a.{v}")) * u).alias(v) for v in values])
+
+
+def runs_above(df: DataFrame, keys: Sequence[str], order: str, value: str, threshold: float, least: int) -> DataFrame:
+    """``first, last, n`` of runs of at least ``least`` consecutive rows at or above a threshold."""
+    w = _w(keys, [order])
+    high = df.withColumn("_high", F.coalesce(F.col(value) >= threshold, F.lit(False)))
+    runs = islands(high.withColumn("_new", F.col("_high") != F.lag("_high").over(w)), keys, [order], F.col("_new"), "_run").where("_high")
+    return runs.groupBy(*keys, "_run").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n")).where(F.col("n") >= least).drop("_run")

@@ -320,9 +320,8 @@ select p.team, round_even(power, 1) as power, round_even(coalesce(c, 0::double),
 def partner_ranking(spark: SparkSession, sf: str) -> DataFrame:
     """The best eighteen partners for two teams."""
     f = A.facts(spark, sf)
-    teams = [r.team for r in f.select("team").distinct().collect()]
     power = f.groupBy("team").agg((F.count("*") / 10).alias("launches_per_match"))
-    return plan.rank_partners([1, 2], teams, power, _marks(spark, sf))
+    return plan.rank_partners([1, 2], None, power, _marks(spark, sf))
 
 
 @query("""with p as (select vec_id, cast(embedding as double[]) as e, lag(cast(embedding as double[])) over (partition by label order by vec_id) as b from embeddings)

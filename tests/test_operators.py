@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchlake import schemas
+from matchlake.engine import Engine
 from matchlake.functions import exprs as X
 from matchlake.functions import folds
 from matchlake.operators import clock, corrections, datasets, features, fusion, heatmap, identity, metrics, plan, profile, quality, stats, temporal, timeline
@@ -151,6 +152,9 @@ def test_runs_to_profiles(spark, tmp_path):
     assert profile.next_match_test(f, 1).where("test = 'start_lane'").first().n >= 1
     advice = plan.match_plan([4], [1, 77], profiles, maps["auto"], maps["zones"])
     assert {"missing_profile"} <= {r.id for r in advice.collect()}
+    engine = Engine.open(spark, root, SEASON, geo, f"{root}/work")
+    assert engine.events().count() == 0 and engine.tracks("j1").count() == 4 and engine.jobs("2024ev").count() == 2
+    assert [r.team for r in engine.pick_list([1], None, profiles, maps).collect()] == [4]
     log = sinks.pose_log(samples).collect()
     assert sum(len(r.body) for r in log) == 32 * samples.where("x is not null").count()
 
@@ -232,6 +236,10 @@ def test_temporal(spark):
         assert got[i] == (best[2] if abs(best[1] - t) <= 0.3 else None)
     pairs = temporal.band_join(a, b, ["k"], "t", "rt", 0.5)
     assert pairs.count() == sum(abs(x[1] - y[1]) <= 0.5 for x in left for y in right)
+    q = spark.createDataFrame([("k", 0.5), ("k", 1.0), ("k", 3.0), ("k", 9.0)], "k string, at double")
+    pts = spark.createDataFrame([("k", 0.0, 0.0), ("k", 1.0, 10.0), ("k", 2.0, 20.0), ("k", 6.0, 0.0)], "k string, t double, x double")
+    assert {r["at"]: r.x for r in temporal.interpolate_at(pts, q, ["k"], "t", ["x"], 1.5).collect()} == {0.5: 5.0, 1.0: 10.0, 3.0: None, 9.0: None}
+    assert [(r.first, r.last, r.n) for r in temporal.runs_above(pts, ["k"], "t", "x", 5.0, 2).collect()] == [(1.0, 2.0, 2)]
     h = temporal.heading_hold(spark.createDataFrame([("k", 0.0, 0.0, 0.0), ("k", 1.0, 1.0, 0.0), ("k", 2.0, 1.01, 0.01), ("k", 3.0, None, None), ("k", 4.0, 5.0, 5.0)], "k string, t double, x double, y double"), ["k"], "t").orderBy("t").collect()
     assert [r.heading for r in h] == [0.0, 0.0, 0.0, None, 0.0]
 
