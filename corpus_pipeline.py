@@ -16,7 +16,7 @@ from matchlake.llm.language import UNKNOWN, LanguageModel, held_out
 from matchlake.llm.minhash import near_duplicates
 from matchlake.llm.mixing import mix, training_order
 from matchlake.llm.queries import VOCABULARY
-from matchlake.llm.scratch import Scratch
+from matchlake.llm.scratch import Scratch, sized
 from matchlake.llm.text import ascii_lower
 
 
@@ -28,9 +28,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays, once."""
-    found = Scratch(spark, "pipeline-exact").save(exact_duplicates(docs), "found", small=True)
-    gone = found.where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    sha = F.sha2(ascii_lower(F.coalesce(docs.text, F.lit(""))), 256)
+    scratch = Scratch(spark, "pipeline-exact")
+    found = scratch.save(exact_duplicates(docs), "found", small=True)
+    gone = sized(scratch.save(found.where("not kept").select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_sha")).distinct(), "gone"))
+    sha = F.unhex(F.sha2(ascii_lower(F.coalesce(docs.text, F.lit(""))), 256))
     stay = docs.join(gone, docs.doc_id.eqNullSafe(gone._id) & (sha == gone._sha), "left_anti")
     repeated = found.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1")
     return stay if repeated.isEmpty() else stay.dropDuplicates(["doc_id", "text"])
@@ -39,7 +40,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: five-word shingles, similarity 0.8 or more."""
     found = near_duplicates(docs, width=5, num=80, den=100)
-    gone = Scratch(spark, "pipeline-near").save(found.where("not kept").select(F.col("doc_id").alias("_id")).distinct(), "gone")
+    gone = sized(Scratch(spark, "pipeline-near").save(found.where("not kept").select(F.col("doc_id").alias("_id")).distinct(), "gone"))
     return docs.join(gone, docs.doc_id == gone._id, "left_anti")
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchlake.llm.components import connected_components
-from matchlake.llm.scratch import Scratch
+from matchlake.llm.scratch import Scratch, sized
 from matchlake.llm.shingles import mix, shingles_of, words_of
 
 ROWS = 4
@@ -280,7 +280,8 @@ class _Job:
     def sets(self, nodes: DataFrame, name: str) -> DataFrame:
         """``node, shingles`` of some nodes, from their texts."""
         wanted = self.scratch.save(self.nodes.select("node", "digest").join(nodes, "node", "left_semi"), f"ends-{name}")
-        texts = self.docs.join(wanted, self.docs.doc_id == wanted.node, "left_semi")
+        few = sized(wanted)
+        texts = self.docs.join(few, self.docs.doc_id == few.node, "left_semi")
         sets = texts.mapInArrow(_setter(self.width), "node long, digest binary, shingles binary").dropDuplicates(["node", "digest"])
         return self.scratch.save(sets.join(wanted, ["node", "digest"], "left_semi").select("node", "shingles"), f"sets-{name}")
 

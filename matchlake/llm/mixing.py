@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchlake.llm.scratch import Scratch
+from matchlake.llm.scratch import Scratch, sized
 from matchlake.llm.text import word_count
 
 WEIGHTS = (5, 2, 1)
@@ -26,6 +26,8 @@ SHARE, CAP = 1.5, 2
 #: Knots (time, intensity) of each weight class: heavy sources fade out, light ones fade in.
 CURRICULUM = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5)))
 SLOT_ROWS, LEAST_SLOTS = 4096, 256
+#: Steps of an order, 16 bytes each, that may be broadcast to the documents; more are joined by a shuffle.
+STEP_ROWS = 500_000
 
 
 def _segments(knots: Sequence[tuple[float, float]]) -> list[tuple[float, float, float, float, float]]:
@@ -115,8 +117,12 @@ def mix(
 
 
 def training_order(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row of ``docs`` for each pass that takes any of its words, range-sorted by training position."""
-    steps = plan.select(F.col("doc_id").alias("_mix_id"), F.explode("positions").alias("_mix_at"))
+    """One row of ``docs`` for each pass that takes any of its words, range-sorted by training position.
+
+    Rows that share a doc_id all follow one plan, that of the largest positions, so none is multiplied by the others.
+    """
+    steps = plan.groupBy("doc_id").agg(F.max("positions").alias("positions")).select(F.col("doc_id").alias("_mix_id"), F.explode("positions").alias("_mix_at"))
+    steps = sized(Scratch(docs.sparkSession, "mixing-steps").save(steps, "steps"), STEP_ROWS)
     joined = docs.join(steps, docs[id_col].eqNullSafe(F.col("_mix_id")))
     return joined.orderBy("_mix_at", "_mix_id").drop("_mix_at", "_mix_id")
 

@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def root(spark: SparkSession) -> str:
@@ -45,5 +46,14 @@ class Scratch:
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Rows of a few dozen bytes that may be broadcast; larger sides are shuffled.
+BROADCAST_ROWS = 200_000
+
+
+def sized(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of ids or digests, marked for broadcast if its row count, which the files tell, is within a bound."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

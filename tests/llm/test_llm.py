@@ -175,6 +175,12 @@ def test_mix(spark, awkward):
     assert first == sorted(first)
 
 
+def test_training_order_does_not_multiply_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, "a b c", "s"), (1, "a b c", "s"), (None, "d e", "s"), (None, "f", "t")], "doc_id long, text string, source string")
+    order = mixing.training_order(docs, mixing.mix(docs, share=2.0))
+    assert order.columns == docs.columns and order.count() == 8
+
+
 def test_curriculum_inverts_demand(spark):
     knots = ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5))
     grid = np.linspace(0, 1, 20001)
