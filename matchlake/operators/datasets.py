@@ -105,7 +105,11 @@ def coco_rows(boxes: DataFrame) -> DataFrame:
     x2, y2 = F.least(F.lit(1.0), F.col("x") + F.col("w")), F.least(F.lit(1.0), F.col("y") + F.col("h"))
     px = lambda v, n: F.bround(v * F.col(n), 3)
     rows = boxes.where(reviewed == 0).select("image_id", px(x1, "width").alias("x"), px(y1, "height").alias("y"), px(x2 - x1, "width").alias("w"), px(y2 - y1, "height").alias("h")).where("w > 0 and h > 0")
-    return rows.withColumn("id", F.row_number().over(Window.orderBy("image_id", "x", "y", "w", "h"))).withColumn("area", F.bround(F.col("w") * F.col("h"), 3))
+    before = Window.orderBy("image_id").rowsBetween(Window.unboundedPreceding, -1)
+    bases = rows.groupBy("image_id").agg(F.count("*").alias("n")).select("image_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    place = F.row_number().over(Window.partitionBy("image_id").orderBy("x", "y", "w", "h"))
+    numbered = rows.withColumn("place", place).join(bases, "image_id").withColumn("id", F.col("base") + F.col("place"))
+    return numbered.select("image_id", "x", "y", "w", "h", "id", F.bround(F.col("w") * F.col("h"), 3).alias("area"))
 
 
 def retained(jobs: DataFrame, now: Column, grace_days: int) -> DataFrame:

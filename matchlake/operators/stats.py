@@ -89,12 +89,13 @@ def shot_statistics(shots: DataFrame) -> DataFrame:
 def goal_statistics(entries: DataFrame) -> DataFrame:
     """Goal entries by region (with its first goal), by robot, and in total; ``level`` tells which."""
     e = entries.select("job_id", F.coalesce("region_id", F.lit("unknown")).alias("region"), F.coalesce(F.col("robot_track_id").cast("string"), F.lit("unassigned")).alias("robot"), "goal", "entry_id")
-    e.createOrReplaceTempView("_goal_entries")
-    return e.sparkSession.sql(
-        "select job_id, region, robot, case when grouping(region) = 0 then 'region' when grouping(robot) = 0 then 'robot' else 'total' end as level,"
-        " case when grouping(region) = 0 then min_by(goal, entry_id) end as goal, count(*) as made, count_if(robot <> 'unassigned') as attributed,"
-        " count_if(robot = 'unassigned') as unassigned from _goal_entries group by grouping sets ((job_id, region), (job_id, robot), (job_id))"
-    )
+    named = F.col("robot") != "unassigned"
+    sets = e.groupingSets([["job_id", "region"], ["job_id", "robot"], ["job_id"]], "job_id", "region", "robot")
+    level = F.when(F.grouping("region") == 0, "region").when(F.grouping("robot") == 0, "robot").otherwise("total")
+    return sets.agg(
+        level.alias("level"), F.when(F.grouping("region") == 0, F.min_by("goal", "entry_id")).alias("goal"), F.count("*").alias("made"),
+        F.count_if(named).alias("attributed"), F.count_if(~named).alias("unassigned"),
+    )
 
 
 def made_shots(entries: DataFrame, shots: DataFrame) -> DataFrame:
