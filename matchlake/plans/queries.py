@@ -295,7 +295,7 @@ def track_last_writer(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""with {A.FACTS}, m as (select team, match_id, count(*) as v from facts group by 1, 2), n as (select *, row_number() over (partition by team order by match_id) as k from m)
-select a.team, a.k, round(avg(b.v), 6) as expected, max(a.v) as actual from n a join n b on a.team = b.team and b.k < a.k where a.k > 2 group by a.team, a.k""")
+select a.team, cast(a.k as integer) as k, round(avg(b.v), 6) as expected, max(a.v) as actual from n a join n b on a.team = b.team and b.k < a.k where a.k > 2 group by a.team, a.k""")
 def expanding_prediction(spark: SparkSession, sf: str) -> DataFrame:
     """Each match's count against the mean of all earlier ones of its team."""
     m = A.facts(spark, sf).groupBy("team", "match_id").agg(F.count("*").alias("v"))
@@ -469,6 +469,72 @@ def box_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return A.boxes(spark, sf).groupBy("frame_id").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("frames"))
 
 
+@query("""with b as (select l_quantity / 100 as x, (l_extendedprice % 50::double) / 100 as y, 0.2::double as w, 0.2::double as h, l_discount * 5 + 0.3::double + l_linenumber / 1000::double as confidence from lineitem)
+select case when x + w > 1.000001 or y + h > 1.000001 then 'invalid' when confidence < 0.35 then 'low_confidence' when x + w / 2 > 0.5 or y + h / 2 > 0.5 then 'outside_region' else 'none' end as reason, count(*) as n from b group by 1""")
+def box_problems(spark: SparkSession, sf: str) -> DataFrame:
+    """Why boxes are refused."""
+    rule = fusion.box_problem(least_confidence=0.35, roi=(0.0, 0.0, 0.5, 0.5))
+    return A.boxes(spark, sf).groupBy(F.coalesce(rule, F.lit("none")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("""select l_suppkey, l_orderkey, l_linenumber from (select *, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_extendedprice, l_partkey) - 1 as i,
+  greatest(1, ceil(count(*) over (partition by l_suppkey) / 60.0)) as step from lineitem) where i % cast(step as bigint) = 0""")
+def strided_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """Evenly strided rows of each supplier, sixty at most."""
+    li = A.table(spark, sf, "lineitem")
+    return datasets.strided(li, ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey"], 60).select("l_suppkey", "l_orderkey", "l_linenumber")
+
+
+@query(f"""with {A.SAMPLES}, s as (select * from samples where phase in ('auto', 'teleop', 'endgame'))
+select job_id, robot_key, round_even(count(*) * 0.1::double, 1) as observed_s, round_even(count(ax) * 0.1::double, 1) as positioned_s, round_even(count(ax) * 0.1::double / 50, 3) as positioned_share from s group by 1, 2""")
+def coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """Seconds observed and placed."""
+    return features.coverage(A.samples(spark, sf), 50.0, 0.1)
+
+
+@query(f"""with {A.SAMPLES} select job_id, robot_key, max(t) as last_launch_mt, round_even(2 - max(t), 1) as stopped_scoring_before_endgame_s from samples group by 1, 2""")
+def endgame(spark: SparkSession, sf: str) -> DataFrame:
+    """Last launch of each robot and how long before the endgame it was."""
+    s = A.samples(spark, sf)
+    return features.endgame(s, s, 3.0, 1.0).select(*KEYS, "last_launch_mt", "stopped_scoring_before_endgame_s")
+
+
+@query(f"""with {A.SAMPLES}, h as (select *, case when (speed >= 0.5) = (lag(speed) over w >= 0.5) then 0 else 1 end as brk from samples window w as (partition by job_id, robot_key order by k)),
+r as (select *, sum(brk) over (partition by job_id, robot_key order by k) as run from h)
+select job_id, robot_key, min(t) as first, max(t) as last, count(*) as n from r where speed >= 0.5 group by job_id, robot_key, run having count(*) >= 2""")
+def runs_above(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs of two or more fast samples."""
+    return temporal.runs_above(A.samples(spark, sf), KEYS, "t", "speed", 0.5, 2)
+
+
+@query(f"""with {A.FACTS} select case when n % 4 <> 0 then cast(team as varchar) when n % 8 <> 0 then 'unattributed' else 'match' end as lane, count(*) as n from facts group by 1""")
+def event_lanes(spark: SparkSession, sf: str) -> DataFrame:
+    """Events by display lane."""
+    f = A.facts(spark, sf)
+    f = f.withColumn("team", F.when(F.col("n") % 4 != 0, F.col("team"))).withColumn("track_id", F.when(F.col("n") % 8 != 0, F.col("track_id")))
+    return f.groupBy(quality.lane_of_event().alias("lane")).agg(F.count("*").alias("n"))
+
+
+@query(f"""with {A.FACTS}, l as (select * from facts where event_type = 'shot_made'),
+g as (select team, match_id, t_seconds, event_id, case when t_seconds - lag(t_seconds) over w <= 3 then 0 else 1 end as first from l window w as (partition by match_id, team order by t_seconds, event_id)),
+v as (select team, match_id, sum(first) over (partition by match_id, team order by t_seconds, event_id) as volley, t_seconds from g)
+select match_id as job_id, team, cast(volley as bigint) as volley, min(t_seconds) as start, count(*) as launches from v group by 1, 2, 3""")
+def volleys(spark: SparkSession, sf: str) -> DataFrame:
+    """Visits to shoot."""
+    f = A.facts(spark, sf).where("event_type = 'shot_made'")
+    launches = f.select("job_id", F.concat(F.lit("team:"), "team").alias("robot_key"), F.col("event_id").alias("shot_id"), F.col("t_seconds").alias("t"), F.col("field_x").alias("ax"), F.col("field_y").alias("ay"))
+    return features.volleys(launches).select("job_id", F.split("robot_key", ":")[1].cast("int").alias("team"), "volley", "start", "launches")
+
+
+@query("""select s_suppkey, s_acctbal from supplier where s_suppkey % 2 = 0 union all select s_suppkey, s_acctbal + 1 from supplier where s_suppkey % 2 <> 0""")
+def fallback_source(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of a first source, and of a second where the first has none."""
+    from matchlake.sources.readers import first_of
+
+    sup = A.table(spark, sf, "supplier").select("s_suppkey", "s_acctbal")
+    return first_of(sup.where("s_suppkey % 2 = 0"), sup.withColumn("s_acctbal", F.col("s_acctbal") + 1), ["s_suppkey"])
+
+
 @query()
 def shooting_spots(spark: SparkSession, sf: str) -> DataFrame:
     """Leader clusters of each robot's places; an order-sensitive fold without SQL form."""
