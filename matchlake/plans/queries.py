@@ -11,6 +11,7 @@ from matchlake.functions import exprs as X
 from matchlake.operators import clock, corrections, datasets, features, fusion, heatmap, identity, metrics, plan, profile, quality, stats, temporal
 from matchlake.plans import adapter as A
 from matchlake.sources import sinks
+from matchlake.sources.work import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -555,21 +556,23 @@ def fused_boxes(spark: SparkSession, sf: str) -> DataFrame:
     return fusion.fuse(b, fusion.source_weights(b)).drop("supporting_sources")
 
 
+def _features(spark: SparkSession, sf: str) -> DataFrame:
+    s = staged(A.samples(spark, sf))
+    launches = s.select("job_id", "match_id", "robot_key", "team", "shot_id", "t", "mt", "phase", "ax", "ay", "speed", F.lit(1.0).alias("confidence"))
+    return features.match_features(s, launches, A.SEASON | {"auto_seconds": 15.0}, {"field_length_ft": A.LENGTH, "hub_x": 15.0, "hub_y": 13.0})
+
+
 @query()
 def match_features(spark: SparkSession, sf: str) -> DataFrame:
     """All feature groups of every robot and match."""
-    s = A.samples(spark, sf)
-    launches = s.select("job_id", "match_id", "robot_key", "team", "shot_id", "t", "mt", "phase", "ax", "ay", "speed", F.lit(1.0).alias("confidence"))
-    return features.match_features(s, launches, A.SEASON | {"auto_seconds": 15.0}, {"field_length_ft": A.LENGTH, "hub_x": 15.0, "hub_y": 13.0}).select("job_id", "robot_key", "team", "coverage.*", "movement.distance_ft", "shooting.volleys", "shooting.median_dwell_s", "defense.near_opponent_s")
+    return _features(spark, sf).select("job_id", "robot_key", "team", "coverage.*", "movement.distance_ft", "shooting.volleys", "shooting.median_dwell_s", "defense.near_opponent_s")
 
 
 @query()
 def team_profiles(spark: SparkSession, sf: str) -> DataFrame:
     """Profiles of every team over its matches."""
-    s = A.samples(spark, sf)
-    launches = s.select("job_id", "match_id", "robot_key", "team", "shot_id", "t", "mt", "phase", "ax", "ay", "speed", F.lit(1.0).alias("confidence"))
-    f = features.match_features(s, launches, A.SEASON | {"auto_seconds": 15.0}, {"field_length_ft": A.LENGTH, "hub_x": 15.0, "hub_y": 13.0})
-    return profile.build_profiles(f).select("team", "n_matches", "n_with_positions", "launches_per_match", "start_lane", "median_dwell_s", "plays_defense", F.size("counters").alias("counters"))
+    found = profile.build_profiles(staged(_features(spark, sf)))
+    return found.select("team", "n_matches", "n_with_positions", "launches_per_match", "start_lane", "median_dwell_s", "plays_defense", F.size("counters").alias("counters"))
 
 
 @query()
