@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchlake.operators.temporal import band_join
+from matchlake.sources.work import staged
 
 MATCH_S, LINK_S, LINK_MARGIN, OWNER_REACH = 0.075, 0.25, 0.25, 140.0
 
@@ -17,27 +18,28 @@ def mutual_best(pairs: DataFrame, a: str, b: str, cost: str) -> DataFrame:
     return pairs.withColumn("_ra", F.row_number().over(wa)).withColumn("_rb", F.row_number().over(wb)).where("_ra = 1 and _rb = 1").drop("_ra", "_rb")
 
 
-def match_shots(predicted: DataFrame, reference: DataFrame, tolerance: float = MATCH_S, rounds: int = 3) -> DataFrame:
+def match_shots(predicted: DataFrame, expected: DataFrame, tolerance: float = MATCH_S) -> DataFrame:
     """``shot_id, ref_id, dt``: launches of one robot matched one to one, nearest first, within ``tolerance``.
 
-    Each round takes mutual nearest pairs and leaves out their shots. Launches of a robot are farther apart than the
-    tolerance except in chains of a few, which three rounds resolve.
+    Each round takes the mutual nearest pairs and leaves out their shots, until no pair is left. A round settles at
+    least the nearest pair of every chain of launches that are within the tolerance of each other, so chains of a few
+    take as few rounds.
     """
     p = predicted.select("job_id", "robot", "shot_id", F.col("t").alias("pt"))
-    r = reference.select("job_id", "robot", F.col("shot_id").alias("ref_id"), F.col("t").alias("rt"))
-    left = band_join(p, r, ["job_id", "robot"], "pt", "rt", tolerance).select("job_id", "shot_id", "ref_id", F.abs(F.col("pt") - F.col("rt")).alias("dt"))
-    out = None
-    for _ in range(rounds):
-        won = mutual_best(left, "shot_id", "ref_id", "dt")
-        out = won if out is None else out.unionByName(won)
-        left = left.join(won.select("shot_id"), "shot_id", "left_anti").join(won.select("ref_id"), "ref_id", "left_anti")
-    return out.select("job_id", "shot_id", "ref_id", "dt")
+    r = expected.select("job_id", "robot", F.col("shot_id").alias("ref_id"), F.col("t").alias("rt"))
+    left = staged(band_join(p, r, ["job_id", "robot"], "pt", "rt", tolerance).select("job_id", "shot_id", "ref_id", F.abs(F.col("pt") - F.col("rt")).alias("dt")))
+    out = left.limit(0)
+    while not left.isEmpty():
+        won = staged(mutual_best(left, "shot_id", "ref_id", "dt"))
+        out = out.unionByName(won)
+        left = staged(left.join(won.select("shot_id"), "shot_id", "left_anti").join(won.select("ref_id"), "ref_id", "left_anti").select(left.columns))
+    return out
 
 
-def launch_score(matched: DataFrame, predicted: DataFrame, reference: DataFrame) -> DataFrame:
+def launch_score(matched: DataFrame, predicted: DataFrame, expected: DataFrame) -> DataFrame:
     """Precision, recall and mean time error of launches, one row."""
     n = matched.agg(F.count("*").alias("hits"), F.avg("dt").alias("mean_dt"))
-    both = n.join(predicted.agg(F.count("*").alias("np"))).join(reference.agg(F.count("*").alias("nr")))
+    both = n.join(predicted.agg(F.count("*").alias("np"))).join(expected.agg(F.count("*").alias("nr")))
     ratio = lambda d: F.coalesce(F.try_divide("hits", d), F.lit(0.0))
     return both.select("hits", ratio("np").alias("precision"), ratio("nr").alias("recall"), "mean_dt")
 

@@ -10,7 +10,7 @@ def test_match_shots(spark):
     p = spark.createDataFrame([("j", 1, "p1", 1.00), ("j", 1, "p2", 1.05), ("j", 2, "p3", 1.0), ("j", 1, "p4", 9.0)], kind)
     r = spark.createDataFrame([("j", 1, "r1", 1.04), ("j", 1, "r2", 1.10), ("j", 1, "r3", 9.2)], kind)
     m = balls.match_shots(p, r)
-    assert {(x.shot_id, x.ref_id) for x in m.collect()} == {("p2", "r1")} or {(x.shot_id, x.ref_id) for x in m.collect()} == {("p1", "r1"), ("p2", "r2")}
+    assert {(x.shot_id, x.ref_id) for x in m.collect()} == {("p2", "r1")}
     score = balls.launch_score(m, p, r).first()
     assert score.precision == score.hits / 4 and score.recall == score.hits / 3
 
