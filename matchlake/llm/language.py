@@ -19,7 +19,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 UNKNOWN = "und"
 DIMENSIONS = 1024
-#: Training texts taken of each language at most.
+#: Training rows taken of each language, in expectation, at most.
 TRAIN_PER_LANGUAGE = 4000
 #: Trigram vectors that one worker holds; the table starts anew when full.
 TABLE_ROWS = 32_768
@@ -112,15 +112,24 @@ class LanguageModel:
     def __init__(self, languages: list[str], prototypes: np.ndarray):
         self.languages, self.prototypes = languages, prototypes
 
-    @classmethod
-    def fit(cls, docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = TRAIN_PER_LANGUAGE) -> LanguageModel:
-        """Learn from rows with text and language, of each language a fixed pseudo-random part of ``per_language`` rows or so."""
-        rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
+    @staticmethod
+    def training_rows(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = TRAIN_PER_LANGUAGE, id_col: str = "doc_id") -> DataFrame:
+        """``lang, text`` of rows with both, of each language a fixed pseudo-random part of ``per_language`` rows or so.
+
+        Rows are drawn by id and text, so a text that many rows repeat takes its share of the draw and no more.
+        """
+        rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+        rows = rows.where("lang is not null and text is not null")
         counts = dict(rows.groupBy("lang").count().collect())
         if not counts:
-            return cls([], np.zeros((0, DIMENSIONS)))
+            return rows.select("lang", "text")
         share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_language / n))])
-        sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
+        return rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000).select("lang", "text")
+
+    @classmethod
+    def fit(cls, docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = TRAIN_PER_LANGUAGE, id_col: str = "doc_id") -> LanguageModel:
+        """Learn from :meth:`training_rows`; without any, every text is of unknown language."""
+        sample = cls.training_rows(docs, text_col, lang_col, per_language, id_col)
 
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bundler, total = Bundler(), {}
@@ -169,6 +178,6 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     Null texts and texts without a letter are ``und`` with score 0, and so is everything if no row has a language.
     Repeated rows get a row each; an empty table gives no rows. Other columns are ignored, whatever their names.
     """
-    model = LanguageModel.fit(docs.where(~held_out(F.col(id_col))), text_col, lang_col)
+    model = LanguageModel.fit(docs.where(~held_out(F.col(id_col))), text_col, lang_col, id_col=id_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return model.annotate(rows).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -89,10 +89,10 @@ def mix(
     scratch = Scratch(docs.sparkSession, "mixing")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"))
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    sized = scratch.save(rows.withColumn("key", F.unhex(key)), "sized", small=True)
-    slots = max(LEAST_SLOTS, sized.count() // SLOT_ROWS)
+    keyed = scratch.save(rows.withColumn("key", F.unhex(key)), "keyed", small=True)
+    slots = max(LEAST_SLOTS, keyed.count() // SLOT_ROWS)
     head = F.conv(F.hex(F.substring("key", 1, 4)), 16, 10).cast("long")
-    slotted = sized.withColumn("slot", F.shiftright(head * F.lit(slots), 32))
+    slotted = keyed.withColumn("slot", F.shiftright(head * F.lit(slots), 32))
     sums = scratch.save(slotted.groupBy("source", "slot").agg(F.sum("size").alias("slot_size")), "slots")
     targets = _targets(sums.groupBy("source").agg(F.sum("slot_size").alias("source_size")), weights, share, cap)
     over_slots = Window.partitionBy("source").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)

@@ -11,6 +11,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from matchlake.llm import ann, bpe, chat, dac, exact, language, mixing, quality, warc
@@ -301,6 +302,15 @@ def test_language(spark, sf):
     assert language.identify(docs.limit(0)).count() == 0
 
 
+def test_training_rows_are_bounded_when_one_text_fills_a_third(spark):
+    rows = [(i, "same text" if i % 3 == 0 else f"text {i}", "en" if i % 2 else "de") for i in range(6000)] + [(None, None, "en"), (6001, "no language", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    drawn = language.LanguageModel.training_rows(docs, per_language=300)
+    got = {r["lang"]: (r["n"], r["same"]) for r in drawn.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("text") == "same text").alias("same")).collect()}
+    assert set(got) == {"de", "en"} and all(200 < n < 400 and 0.2 < same / n < 0.47 for n, same in got.values())
+    assert language.LanguageModel.training_rows(docs.limit(0)).count() == 0
+
+
 def test_trigram_bundles_add_up():
     b = language.Bundler()
     assert b.bundle("12 !") is None
