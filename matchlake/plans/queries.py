@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchlake.functions import exprs as X
-from matchlake.operators import clock, corrections, datasets, features, fusion, heatmap, identity, metrics, plan, profile, quality, stats, temporal
+from matchlake.operators import clock, corrections, datasets, features, fusion, heatmap, identity, metrics, overlay, plan, profile, quality, signals, stats, temporal
 from matchlake.plans import adapter as A
 from matchlake.sources import sinks
 from matchlake.sources.work import staged
@@ -582,3 +582,59 @@ def fitted_clock(spark: SparkSession, sf: str) -> DataFrame:
     r = f.select("job_id", F.col("t_seconds").alias("t"), F.when(F.col("n") % 4 == 0, 7).otherwise((F.lit(70000) - F.floor("t_seconds")).cast("int")).alias("remaining"))
     return clock.match_clock(r, f, A.SEASON)
 
+
+READINGS = f"""{A.FACTS}, readings as (select match_id as job_id, n, t_seconds as t, case when n % 4 = 0 then 7 when n % 9 <> 0 then cast(70000 - floor(t_seconds) as integer) end as remaining from facts)"""
+
+
+def _readings(spark: SparkSession, sf: str) -> DataFrame:
+    f = A.facts(spark, sf)
+    remaining = F.when(F.col("n") % 4 == 0, 7).when(F.col("n") % 9 != 0, (F.lit(70000) - F.floor("t_seconds")).cast("int"))
+    return f.select("job_id", F.col("t_seconds").alias("t"), remaining.alias("remaining"))
+
+
+@query(f"""with {READINGS}, z as (select job_id, t, t + remaining as zero from readings where remaining is not null),
+v as (select *, count(*) over (partition by job_id order by zero range between 1 preceding and 1 following) as n from z),
+b as (select *, row_number() over (partition by job_id order by n desc, t) as r from v)
+select job_id, round(zero, 6) as anchor, n as agreeing from b where r = 1 and n >= 4""")
+def timer_anchor(spark: SparkSession, sf: str) -> DataFrame:
+    """Where each day's timer shows zero."""
+    return signals.match_anchor(_readings(spark, sf)).select("job_id", _r("anchor", 6), "agreeing")
+
+
+@query(f"""with {READINGS}, c as (select job_id, remaining, count(*) as n, min(t) as first from readings where remaining is not null group by all)
+select job_id, remaining as value from c qualify row_number() over (partition by job_id order by n desc, first) = 1""")
+def common_reading(spark: SparkSession, sf: str) -> DataFrame:
+    """The timer value read most often each day."""
+    return signals.common_reading(_readings(spark, sf).withColumnRenamed("remaining", "value"))
+
+
+@query(f"""with {A.FACTS}, b as (select match_id as job_id, team as track_id, t_seconds as t from facts where event_type = 'shot_made'),
+e as (select match_id as job_id, team as track_id, event_id, event_type, t_seconds from facts where event_type <> 'shot_made')
+select b.job_id, b.track_id, b.t / 1000 as t, e.event_id, e.event_type from b join e on b.job_id = e.job_id and b.track_id = e.track_id and abs(b.t / 1000 - e.t_seconds / 1000) < 0.6""")
+def near_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Other events near the goals of a user, a thousand seconds taken as one."""
+    f = A.facts(spark, sf).withColumn("t_seconds", F.col("t_seconds") / 1000)
+    goals = f.where("event_type = 'shot_made'").select("job_id", "track_id", F.col("t_seconds").alias("t"))
+    return overlay.near_events(goals, f.where("event_type <> 'shot_made'"))
+
+
+@query(f"""with {A.FACTS}, g as (select match_id as job_id, t_seconds as start, case when n % 10 <> 0 then t_seconds + 60 end as "end" from facts where event_type = 'defense_end' and n % 5 = 0)
+select f.match_id as job_id, f.event_id, exists (select 1 from g where g.job_id = f.match_id and g.start <= f.t_seconds and (g."end" is null or f.t_seconds < g."end")) as paused from facts f""")
+def paused_instants(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether each event falls in a gap of its day."""
+    f = A.facts(spark, sf)
+    gaps = f.where("event_type = 'defense_end' and n % 5 = 0").select("job_id", F.col("t_seconds").alias("start"), F.when(F.col("n") % 10 != 0, F.col("t_seconds") + 60).alias("end"))
+    return overlay.paused(f.select("job_id", "event_id", F.col("t_seconds").alias("at")), gaps).select("job_id", "event_id", "paused")
+
+
+@query("select event_type, count(*) as n from events group by event_type")
+def event_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each kind of event occurs."""
+    return overlay.kinds(A.table(spark, sf, "events"), "event_type")
+
+
+@query()
+def signal_pulses(spark: SparkSession, sf: str) -> DataFrame:
+    """Peaks of every user's values over time."""
+    f = A.facts(spark, sf).select("job_id", "team", F.col("t_seconds").alias("t"), "value")
+    return signals.pulses(f, ["job_id", "team"], 5.0, 0.25)
