@@ -1,13 +1,14 @@
-"""Approximate nearest neighbours by additive quantisation.
+"""Nearest neighbours by additive quantisation, with a bound that makes them exact.
 
 A unit vector is approximated by a sum of codewords, one from each of several codebooks of full dimension. The
 codebooks are learnt one after another by k-means on what the earlier ones leave over; a vector is encoded by beam
-search over these residuals. The index holds codes and the norm of each sum. A query's inner products with all
-codewords make a lookup table, whose entries add up to a candidate's approximate score; the best candidates are
-ranked again by exact cosine in double precision.
+search over these residuals. The index holds codes, the norm of each sum, the sine between a vector and its sum, and the
+vector. A query's inner products with all codewords make a lookup table, whose entries add up to the cosine of query and
+sum. With the stored sine it bounds the true cosine from above: no vector whose bound reaches the k-th best exact cosine
+found in its block is left out, however many there are, and those are ranked by exact cosine in double precision.
 
 Equal vectors are indexed once and carry their smallest ids, so a vector that fills a third of the table costs one
-entry. Queries and codes meet in blocks of fixed size; each block pair gives a fixed number of candidates per query.
+entry. Queries and vectors meet in blocks of bounded size; each block pair gives its k nearest ids per query.
 """
 
 from __future__ import annotations
@@ -19,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from matchlake.llm.scratch import Scratch
+from matchlake.llm.scratch import Scratch, parallelism
 
 #: Vectors that the codebooks are learnt on at most, and codebooks, codewords of each, rounds of k-means.
 TRAIN_VECTORS, CODEBOOKS, WORDS, ROUNDS = 16_384, 16, 256, 8
 BEAM = 8
-#: Candidates per query kept of each block and after all, and rows of a block.
-SHORTLIST, QUERY_BLOCK, CODE_BLOCK = 200, 512, 16_384
+#: Candidates per query that are scored first, to find what the others must reach; rows of a block, and of a small table's.
+FIRST, QUERY_BLOCK, CODE_BLOCK, LEAST_BLOCK = 64, 16_384, 32_768, 4096
+#: Sums shorter than this bound nothing. Above it, lookup-table cosines in single precision are off by less than SLACK.
+LEAST_NORM, SLACK = 0.5, 1e-5
 
 
 def _nearest_words(x: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -49,8 +52,8 @@ def learn_codebooks(x: np.ndarray, books: int = CODEBOOKS, words: int = WORDS) -
     return np.array(out, dtype=np.float32)
 
 
-def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """Codes ``(n, books)`` found by beam search, and the norms of the sums they stand for."""
+def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes ``(n, books)`` of unit vectors found by beam search, the norms of the sums they stand for, and the sines between."""
     n, count = len(x), len(books)
     left = x[:, None, :].astype(np.float32)
     codes = np.zeros((n, 1, 0), dtype=np.uint8)
@@ -65,8 +68,10 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
         codes = np.concatenate((codes[rows, parent], word[:, :, None].astype(np.uint8)), axis=2)
     best = (left * left).sum(axis=2).argmin(axis=1)
     codes = codes[np.arange(n), best]
-    made = books[np.arange(count), codes].sum(axis=1)
-    return codes, np.linalg.norm(made, axis=1)
+    made = books[np.arange(count), codes].sum(axis=1, dtype=np.float64)
+    norm = np.linalg.norm(made, axis=1)
+    to = made / np.maximum(norm, 1e-12)[:, None]
+    return codes, norm, np.linalg.norm(x - (x * to).sum(axis=1, keepdims=True) * to, axis=1)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -79,6 +84,58 @@ def _matrix(column: pa.Array, rows: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
 
 
+class _Block:
+    """Encoded vectors that meet queries, from a table of ``v, ids, code, norm, sine``."""
+
+    def __init__(self, table: pa.Table, books: np.ndarray):
+        rows = len(table)
+        self.books, self.raw, self.ids = books, _matrix(table.column("v"), rows), table.column("ids").to_pylist()
+        self.unit = _unit(self.raw).astype(np.float32)
+        self.codes = np.frombuffer(b"".join(table.column("code").to_pylist()), dtype=np.uint8).reshape(rows, -1).T.copy()
+        self.norm, self.sine = (table.column(c).to_numpy() for c in ("norm", "sine"))
+        self.cosine = np.sqrt(np.maximum(0, 1 - self.sine * self.sine))
+        self.unbounded = self.norm < LEAST_NORM
+        self.tolerance = 1e-6 + 1.2e-7 * self.raw.shape[1]
+
+    def tables(self, unit: np.ndarray) -> np.ndarray:
+        books, words, d = self.books.shape
+        return (unit @ self.books.reshape(-1, d).T.astype(np.float64)).astype(np.float32).reshape(len(unit), books, words)
+
+    def _reach(self, rows: np.ndarray, score: np.ndarray, query: int, k: int) -> float:
+        """What a vector must score, by single-precision cosines of ``rows``, to be among the ``k`` nearest ids."""
+        seen, count = set(), min(FIRST, len(rows))
+        while True:
+            some = np.argpartition(-score, count - 1)[:count]
+            for i in some[np.argsort(-score[some])]:
+                seen.update(x for x in self.ids[rows[i]] if x != query)
+                if len(seen) >= k:
+                    return score[i] - 2 * self.tolerance
+            if count == len(rows):
+                return -np.inf
+            seen, count = set(), min(8 * count, len(rows))
+
+    def nearest(self, query: int, v: np.ndarray, unit: np.ndarray, table: np.ndarray, k: int) -> list[tuple[float, int]]:
+        """``(-cosine, id)`` of the ``k`` ids nearest to ``v``, without the query's own."""
+        near = table[0][self.codes[0]]
+        for words, code in zip(table[1:], self.codes[1:]):
+            near += words[code]
+        near /= np.maximum(self.norm, 1e-12)
+        bound = near * self.cosine + np.sqrt(np.maximum(0, 1 - near * near) + 3 * SLACK) * self.sine + SLACK
+        bound[self.unbounded] = np.inf
+        first = np.argpartition(-near, min(FIRST, len(near)) - 1)[:FIRST]
+        rows = np.flatnonzero(bound >= self._reach(first, self.unit[first] @ unit, query, k))
+        score = self.unit[rows] @ unit if 4 * len(rows) < len(near) else (self.unit @ unit)[rows]
+        rows = rows[score >= self._reach(rows, score, query, k)]
+        a, b = v.astype(np.float64)[None, :], self.raw[rows].astype(np.float64)
+        cosine = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
+        best: dict[int, float] = {}
+        for row, c in zip(rows, cosine.tolist()):
+            for x in self.ids[row]:
+                if x != query:
+                    best[x] = max(c, best.get(x, c))
+        return sorted((-c, x) for x, c in best.items())[:k]
+
+
 class VectorIndex:
     """Codes of all distinct usable vectors of a table."""
 
@@ -101,6 +158,7 @@ class VectorIndex:
         self.books = learn_codebooks(_unit(_matrix(sample.column(0), len(sample)))) if len(sample) else None
         if self.books is not None:
             self.codes = save(self._encoded(), "codes")
+            self.scratch.drop("classes")
 
     def _encoded(self) -> DataFrame:
         books = self.books
@@ -109,13 +167,14 @@ class VectorIndex:
             for batch in batches:
                 for lo in range(0, batch.num_rows, 256):
                     part = batch.slice(lo, 256)
-                    codes, norms = encode(_unit(_matrix(part.column(1), len(part))), books)
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms, pa.float32())], names=["key", "code", "norm"])
+                    codes, norms, sines = encode(_unit(_matrix(part.column(1), len(part))), books)
+                    made = [pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms, pa.float32()), pa.array(sines, pa.float32())]
+                    yield pa.RecordBatch.from_arrays([*part.columns, *made], names=["key", "v", "ids", "code", "norm", "sine"])
 
-        return self.classes.select("key", "v").mapInArrow(run, "key long, code binary, norm float")
+        return self.classes.select("key", "v", "ids").mapInArrow(run, "key long, v array<float>, ids array<bigint>, code binary, norm float, sine float")
 
     def search(self, queries: DataFrame, k: int, id_col: str = "vec_id") -> DataFrame:
-        """``query_id, rank, vec_id, score``: the ``k`` nearest found of each of the index's rows named by ``queries``.
+        """``query_id, rank, vec_id, score``: the ``k`` nearest of each of the index's rows named by ``queries``.
 
         Ids that the index does not hold give nothing. Of an id with several vectors the least vector asks.
         """
@@ -125,42 +184,24 @@ class VectorIndex:
         asked = self.rows.join(queries.select(F.col(id_col).cast("long").alias("vec_id")).distinct(), "vec_id", "left_semi").groupBy("vec_id").agg(F.min("v").alias("v"))
         asked = save(asked.withColumnRenamed("vec_id", "query_id"), "queries")
         blocks = lambda n, size: max(1, -(-n // size))
-        nq, nc = blocks(asked.count(), QUERY_BLOCK), blocks(self.codes.count(), CODE_BLOCK)
+        n = self.codes.count()
+        nq, nc = blocks(asked.count(), QUERY_BLOCK), max(blocks(n, CODE_BLOCK), min(blocks(n, LEAST_BLOCK), parallelism(self.spark)))
         every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
         q = asked.select(F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int").alias("i"), every(nc).alias("j"), "query_id", "v")
-        c = self.codes.select(every(nq).alias("i"), F.pmod(F.xxhash64("key"), F.lit(nc)).cast("int").alias("j"), "key", "code", "norm")
+        c = self.codes.select(every(nq).alias("i"), F.pmod(F.xxhash64("key"), F.lit(nc)).cast("int").alias("j"), "v", "ids", "code", "norm", "sine")
 
         def score(queries: pa.Table, codes: pa.Table) -> pa.Table:
-            ids, keys, out = queries.column("query_id").to_numpy(), codes.column("key").to_numpy(), []
-            if len(ids) and len(keys):
-                tables = np.einsum("qd,bwd->qbw", _unit(_matrix(queries.column("v"), len(ids))), books).astype(np.float32)
-                code = np.frombuffer(b"".join(codes.column("code").to_pylist()), dtype=np.uint8).reshape(len(keys), -1)
-                norm = np.maximum(codes.column("norm").to_numpy(), 1e-12)
-                for qi, table in enumerate(tables):
-                    total = table[0][code[:, 0]].copy()
-                    for b in range(1, len(books)):
-                        total += table[b][code[:, b]]
-                    total /= norm
-                    keep = min(SHORTLIST, len(keys))
-                    best = np.argpartition(-total, keep - 1)[:keep]
-                    out.append((np.full(keep, ids[qi]), keys[best], total[best]))
-            cols = [np.concatenate([o[x] for o in out]) if out else np.zeros(0) for x in range(3)]
-            return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float32())], names=["query_id", "key", "near"])
-
-        rough = q.groupBy("i", "j").cogroup(c.groupBy("i", "j")).applyInArrow(score, "query_id long, key long, near float")
-        by_query = Window.partitionBy("query_id").orderBy(F.desc("near"), "key")
-        short = save(rough.withColumn("at", F.row_number().over(by_query)).where(F.col("at") <= SHORTLIST).select("query_id", "key"), "short")
-        pairs = short.join(asked, "query_id").join(self.classes.select("key", "ids", F.col("v").alias("w")), "key").select("query_id", "v", "w", "ids")
-
-        def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    a, b = (_matrix(batch.column(x), batch.num_rows).astype(np.float64) for x in (1, 2))
-                    dot = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(dot)], names=["query_id", "ids", "score"])
-
-        scored = pairs.mapInArrow(exact, "query_id long, ids array<bigint>, score double")
-        found = scored.select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
+            ids, out = queries.column("query_id").to_pylist(), []
+            if len(ids) and len(codes):
+                block, raw = _Block(codes, books), _matrix(queries.column("v"), len(ids))
+                for lo in range(0, len(ids), 256):
+                    unit = _unit(raw[lo : lo + 256])
+                    for i, table in enumerate(block.tables(unit), lo):
+                        out += [(ids[i], x, -c) for c, x in block.nearest(ids[i], raw[i], unit[i - lo].astype(np.float32), table, k)]
+            cols = list(zip(*out)) or [(), (), ()]
+            return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["query_id", "vec_id", "score"])
+
+        found = q.groupBy("i", "j").cogroup(c.groupBy("i", "j")).applyInArrow(score, "query_id long, vec_id long, score double")
         found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -269,6 +269,30 @@ def test_search(spark):
     assert ann.neighbours(few.limit(0)).count() == 0
 
 
+def test_search_is_exact_in_a_dense_group(spark):
+    """A third of the rows are near copies, closer to each other than the codes can tell; some ids have several vectors."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4500, 16))
+    x[::3] = x[0] + 2e-4 * rng.normal(size=(1500, 16))
+    x = x.astype(np.float32)
+    ids = np.arange(len(x))
+    ids[1500:1530] = 1501
+    got = defaultdict(list)
+    for r in ann.neighbours(spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<float>")).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    y = x.astype(float)
+    norm = np.sqrt((y * y).sum(axis=1))
+    asked = [q for q in range(0, len(x), 50) if ids[q] == q]
+    assert set(got) == set(asked)
+    for q in asked:
+        best = {}
+        for i, s in zip(ids.tolist(), (y * y[q]).sum(axis=1) / (norm * norm[q])):
+            best[i] = max(s, best.get(i, s))
+        want = sorted((-s, i) for i, s in best.items() if i != q)[:5]
+        assert [v for _, v, _ in sorted(got[q])] == [i for _, i in want]
+        assert all(abs(g[2] + s) < 1e-12 for g, (s, _) in zip(sorted(got[q]), want))
+
+
 def test_warc(spark):
     big, other = "<p>ü" + "x" * 1200, "<p>" + "\r\n\r\nWARC/1.1\r\n" * 200
     rows = [(1, "http://www.Example.com:80/a b?q=1", big), (2, "https://example.org/é", big), (9, None, big), (3, "http://www.example.com/a", other), (4, "http://x.y/", None)]
