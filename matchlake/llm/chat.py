@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchlake.llm.scratch import Scratch
+
 #: Rendering of a turn: opening with the role, the text, the closing.
 OPEN, MIDDLE, CLOSE = "<|", "|>\n", "\n<|end|>\n"
 TRAINED_ROLE = "assistant"
@@ -51,7 +53,12 @@ def preference_pairs(turns: DataFrame, pairs: DataFrame, conv_col: str = "conv_i
     key = ["chosen_id", "rejected_id"]
     chosen = wanted.join(side("chosen"), "chosen_id")
     rejected = wanted.join(side("rejected"), "rejected_id")
-    both = chosen.join(rejected, [*key, "place"], "full_outer")
+    return _formatted(chosen.join(rejected, [*key, "place"], "full_outer"))
+
+
+def _formatted(both: DataFrame) -> DataFrame:
+    """Rows of pairs from their turns ``chosen_id, rejected_id, place, c_role, c_text, r_role, r_text``, null where a side has no turn."""
+    key = ["chosen_id", "rejected_id"]
     both = both.withColumn("differs", ~(F.col("c_role").eqNullSafe(F.col("r_role")) & F.col("c_text").eqNullSafe(F.col("r_text"))))
     up_to_here = Window.partitionBy(*key).orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     both = both.withColumn("common", ~F.max("differs").over(up_to_here))
@@ -83,6 +90,58 @@ def neighbouring_pairs(turns: DataFrame, conv_col: str = "conv_id") -> DataFrame
     return ids.select((F.floor(F.col("conv_id") / 2) * 2).alias("chosen_id"), (F.floor(F.col("conv_id") / 2) * 2 + 1).alias("rejected_id")).distinct()
 
 
+def answer_preferences(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """Each conversation, chosen, against itself with another conversation's last answer in place of its own, rejected.
+
+    Columns as of :func:`preference_pairs`; the prompt is all turns before the last assistant turn. Different last
+    answers form a ring by SHA-256; a conversation takes the next one, and ``rejected_id`` is the smallest
+    conversation that gave it. Conversations without an assistant turn give no row, nor do any if all end in one and
+    the same answer. The ring is linked within buckets of the digest and over the firsts of the buckets.
+    """
+    scratch = Scratch(turns.sparkSession, "answers")
+    own = numbered(turns, conv_col, turn_col, role_col, text_col)
+    last = F.max(F.when(F.col("role") == TRAINED_ROLE, F.struct("place", "text")))
+    answers = own.groupBy("conv_id").agg(last.alias("last")).where("last is not null").select("conv_id", F.col("last.place").alias("at"), F.col("last.text").alias("answer"))
+    answers = scratch.save(answers.withColumn("sha", F.unhex(F.sha2(F.col("answer").cast("binary"), 256))), "own")
+    texts = scratch.save(answers.groupBy("sha").agg(F.min_by("answer", "conv_id").alias("other"), F.min("conv_id").alias("rejected_id")), "texts")
+    bucketed = texts.select("sha", F.substring(F.hex("sha"), 1, 3).alias("bucket"))
+    firsts = bucketed.groupBy("bucket").agg(F.min("sha").alias("head"))
+    ring = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    follows = F.coalesce(F.lead("head").over(Window.orderBy("bucket")), F.first("head").over(ring))
+    firsts = F.broadcast(firsts.select("bucket", follows.alias("after")))
+    following = F.coalesce(F.lead("sha").over(Window.partitionBy("bucket").orderBy("sha")), F.col("after"))
+    linked = bucketed.join(firsts, "bucket").select(F.col("sha").alias("of"), following.alias("sha")).where("of <> sha")
+    linked = scratch.save(linked.join(texts, "sha").select(F.col("of").alias("sha"), "rejected_id", "other"), "linked")
+    found = scratch.save(answers.join(linked, "sha").select("conv_id", "at", "rejected_id", "other"), "pairs")
+    text = F.when(F.col("place") == F.col("at"), F.col("other")).otherwise(F.col("text"))
+    both = own.join(found, "conv_id").select(
+        F.col("conv_id").alias("chosen_id"), "rejected_id", "place", F.col("role").alias("c_role"), F.col("text").alias("c_text"), F.col("role").alias("r_role"), text.alias("r_text")
+    )
+    return _formatted(both)
+
+
+ANSWER_ORACLE = r"""
+with n as (
+  select conv_id, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as place,
+    coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+a as (select conv_id, max(place) as final, arg_max(text, place) as answer from n where role = 'assistant' group by conv_id),
+t as (select answer, min(conv_id) as donor from a group by answer),
+u as (
+  select answer, coalesce(lead(answer) over w, first_value(answer) over w) as other, coalesce(lead(donor) over w, first_value(donor) over w) as rejected_id
+  from t window w as (order by sha256(answer))),
+m as (
+  select n.conv_id, rejected_id, place, final, a.answer, other, '<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10) as made,
+    '<|' || role || '|>' || chr(10) || case when place = final then other else text end || chr(10) || '<|end|>' || chr(10) as replaced
+  from n join a using (conv_id) join u on a.answer = u.answer where other <> a.answer)
+select conv_id as chosen_id, rejected_id, final - 1 as prompt_turns,
+  coalesce(string_agg(made, '' order by place) filter (where place < final), '') as prompt,
+  string_agg(made, '' order by place) filter (where place >= final) as chosen,
+  string_agg(replaced, '' order by place) filter (where place >= final) as rejected,
+  '14:' || cast(14 + length(any_value(answer)) as varchar) as chosen_spans,
+  '14:' || cast(14 + length(any_value(other)) as varchar) as rejected_spans
+from m group by conv_id, rejected_id, final
+"""
+
 ORACLE = r"""
 with n as (
   select conv_id, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as place,

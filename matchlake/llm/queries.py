@@ -60,6 +60,10 @@ def op10_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.preference_pairs(turns, chat.neighbouring_pairs(turns))
 
 
+def op10_answer_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.answer_preferences(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mix_sources": op2_mix_sources,
@@ -71,6 +75,7 @@ QUERIES: dict[str, Query] = {
     "op8_language": op8_language,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_preference_chat": op10_preference_chat,
+    "op10_answer_preference": op10_answer_preference,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -78,4 +83,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_mix_sources": mixing.ORACLE,
     "op5_warc": warc.ORACLE,
     "op10_preference_chat": chat.ORACLE,
+    "op10_answer_preference": chat.ANSWER_ORACLE,
 }

@@ -383,6 +383,30 @@ def test_chat(spark):
     assert chat.preference_pairs(df.limit(0), chat.neighbouring_pairs(df.limit(0))).count() == 0
 
 
+def test_answer_preferences(spark, sf):
+    """Every conversation with an assistant turn has a pair with all earlier turns as its prompt; the given table agrees with SQL."""
+    import duckdb
+
+    turns = [(0, 0, "user", "hi"), (0, 1, "assistant", "yes 😀"), (0, 2, "user", "more"), (1, 0, "user", "hi"), (1, 1, "assistant", "no"), (5, 0, "user", "hi"), (5, 1, "assistant", "no")]
+    turns += [(7, 0, "assistant", "a"), (7, 1, "user", "b"), (7, 2, "assistant", None), (8, 0, "user", "alone"), (None, 0, "assistant", "x")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    last = {c: x or "" for c, _, role, x in turns if role == "assistant" and c is not None}
+    ring = sorted(set(last.values()), key=lambda x: hashlib.sha256(x.encode()).hexdigest())
+    got = {r.chosen_id: tuple(r)[1:] for r in chat.answer_preferences(df).collect()}
+    assert set(got) == {0, 1, 5, 7}
+    for c, answer in last.items():
+        other = ring[(ring.index(answer) + 1) % len(ring)]
+        at = max(t for k, t, role, _ in turns if k == c and role == "assistant")
+        swapped = [t for t in turns if t[0] == c] + [(-1, t, role, other if t == at else x) for k, t, role, x in turns if k == c]
+        assert got[c] == (min(k for k, x in last.items() if x == other), *brute_chat(swapped, c, -1)) and got[c][1] == at and got[c][2]
+    assert chat.answer_preferences(df.where("conv_id in (1, 5, 8)")).count() == 0 and chat.answer_preferences(df.limit(0)).count() == 0
+    con = duckdb.connect()
+    con.sql(f"create view conversations as select * from read_parquet('{sf}/conversations.parquet')")
+    want = con.sql(ORACLE_SQL["op10_answer_preference"])
+    rows = QUERIES["op10_answer_preference"](spark, sf).select(want.columns).collect()
+    assert sorted(map(tuple, rows)) == sorted(want.fetchall()) and rows and all(r.prompt for r in rows)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOC)
     for out in (exact.exact_duplicates(none), near_duplicates(none), mixing.mix(none), bpe.round_trip(none, VOCABULARY), dac.token_file(none, VOCABULARY)):
