@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from matchlake.llm import ann, bpe, chat, dac, exact, language, mixing, quality, warc
 from matchlake.llm.minhash import near_duplicates
@@ -36,7 +37,9 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive_pages(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """Fails on a record whose payload is not what its header states."""
+    sound = F.when(F.col("intact"), F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("damaged record of page "), F.coalesce(F.col("page_id").cast("string"), F.lit("none")))).cast("string"))
+    return warc.archive_pages(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", sound.alias("payload_digest"), "record_type", "refers_to")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

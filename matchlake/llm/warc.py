@@ -17,6 +17,7 @@ import json
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from itertools import islice, takewhile
 from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
@@ -32,6 +33,7 @@ LINES_PER_BLOCK = 1000
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
+BLOCK = "first_key string, last_key string, lines long, body binary, block long"
 ENTRY = "key string, page_id long, url string, archive string, offset long, length long, payload_bytes long, payload_digest string, record_type string, refers_to long, intact boolean"
 
 
@@ -127,7 +129,11 @@ class Archive:
         return archive
 
     def captures(self) -> DataFrame:
-        """A row per record, parsed from the archive files; ``intact`` tells that a stored payload has its digest."""
+        """A row per record, parsed from the archive files.
+
+        Length and digest of a response are those of the payload read; ``intact`` tells that its header states the same.
+        A revisit has no payload: it states its header's, until :meth:`build_index` compares them to the response's.
+        """
 
         def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -138,7 +144,10 @@ class Archive:
                         head = block.index(b"\r\n\r\n") + 4
                         size = next(int(x.split(b":")[1]) for x in block[:head].split(b"\r\n") if x.lower().startswith(b"content-length:"))
                         kind, digest = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:")
-                        intact = kind == "revisit" or hashlib.sha1(block[head:]).hexdigest() == digest and len(block) - head == size
+                        intact = kind == "revisit"
+                        if not intact:
+                            stated, digest, size = (digest, size), hashlib.sha1(block[head:]).hexdigest(), len(block) - head
+                            intact = stated == (digest, size)
                         url = fields.get("warc-target-uri")
                         rows.append((url_key(url), _page(fields["warc-record-id"]), url, name, at, after - at, size, digest, kind, _page(fields.get("warc-refers-to")), intact))
                         at = after
@@ -149,10 +158,25 @@ class Archive:
         files = self.spark.read.format("binaryFile").load(f"{self.path}/archives/*.txt").where("length > 0")
         return files.select("path", "content").mapInArrow(parse, ENTRY)
 
+    def _compared(self, lines: DataFrame) -> DataFrame:
+        """Revisits are intact if a sound response of the page that they refer to has the payload that they state.
+
+        Those that are not take the length and digest of what is there, null for nothing.
+        """
+        names = [c.split()[0] for c in ENTRY.split(", ")]
+        revisit = F.col("record_type") == "revisit"
+        stored = lines.where(~revisit & F.col("page_id").isNotNull()).select(F.col("page_id").alias("refers_to"), F.struct("intact", "payload_bytes", "payload_digest").alias("stored"))
+        needed = stored.join(lines.where(revisit).select("refers_to").distinct(), "refers_to", "left_semi")
+        stored = Scratch(self.spark, "warc", self.path).save(needed.groupBy("refers_to").agg(F.array_sort(F.collect_set("stored")).alias("stored")), "stored")
+        same = F.exists("stored", lambda x: x["intact"] & (x["payload_bytes"] == F.col("payload_bytes")) & (x["payload_digest"] == F.col("payload_digest")))
+        compared = lines.where(revisit).join(stored, "refers_to", "left").withColumn("intact", F.coalesce(same, F.lit(False)))
+        found = lambda c: F.when(F.col("intact"), F.col(c)).otherwise(F.get("stored", F.lit(0))[c]).alias(c)
+        return lines.where(~revisit).unionByName(compared.select(*[found(n) if n.startswith("payload_") else n for n in names]))
+
     def build_index(self) -> None:
         """Range-sort the captures by key, pack lines into blocks, and write the directory of first keys."""
         names = [c.split()[0] for c in ENTRY.split(", ")]
-        lines = Scratch(self.spark, "warc", self.path).save(self.captures(), "lines")
+        lines = self._compared(Scratch(self.spark, "warc", self.path).save(self.captures(), "lines"))
         dealt = lines.repartitionByRange(parallelism(self.spark), "key", "page_id", "offset").sortWithinPartitions("key", "page_id", "offset")
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,11 +191,11 @@ class Archive:
 
         blocks = dealt.select(*names).mapInArrow(pack, "first_key string, last_key string, lines long, body binary")
         blocks.withColumn("block", F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{self.path}/blocks")
-        self.blocks().select("block", "first_key", "last_key").write.mode("overwrite").parquet(f"{self.path}/directory")
-        Scratch(self.spark, "warc", self.path).drop("lines")
+        self.blocks().select("block", "first_key", "last_key", F.col("_metadata.file_name").alias("file")).write.mode("overwrite").parquet(f"{self.path}/directory")
+        Scratch(self.spark, "warc", self.path).drop("lines", "stored")
 
     def blocks(self) -> DataFrame:
-        return self.spark.read.schema("first_key string, last_key string, lines long, body binary, block long").parquet(f"{self.path}/blocks")
+        return self.spark.read.schema(BLOCK).parquet(f"{self.path}/blocks")
 
     def entries(self) -> DataFrame:
         """All lines of the index, from its blocks."""
@@ -189,10 +213,12 @@ class Archive:
     def lookup(self, urls: Iterable[str]) -> list[dict]:
         """Captures of a few URLs with their payloads (none for revisits), by directory, block and range reads."""
         names, out = [c.split()[0] for c in ENTRY.split(", ")], []
-        directory = self.spark.read.schema("block long, first_key string, last_key string").parquet(f"{self.path}/directory")
+        directory = self.spark.read.schema("block long, first_key string, last_key string, file string").parquet(f"{self.path}/directory")
+        directory = sorted(directory.collect(), key=lambda r: r.block)
         for key in dict.fromkeys(map(url_key, urls)):
-            near = directory.where((F.col("first_key") <= key) & (F.col("last_key") >= key)).select("block")
-            for body, in self.blocks().join(near, "block", "left_semi").select("body").toLocalIterator():
+            first = bisect_left(directory, key.encode(), key=lambda r: r.last_key.encode())
+            for near in takewhile(lambda r: r.first_key.encode() <= key.encode(), islice(directory, first, None)):
+                body = self.spark.read.schema(BLOCK).parquet(f"{self.path}/blocks/{near.file}").where(F.col("block") == near.block).first().body
                 lines = zlib.decompress(body).decode().split("\n")
                 at = bisect_left(lines, f"{key} ")
                 while at < len(lines) and lines[at].split(" ", 1)[0] == key:

@@ -8,6 +8,7 @@ import re
 import struct
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -313,6 +314,27 @@ def test_warc(spark):
     assert warc.archive_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_warc_tells_damage_from_the_payload(spark):
+    big = "<p>" + "x" * 1200
+    rows = [(1, "http://a/1", big), (9, "http://a/9", big), (3, "http://a/3", "small"), *((100 + i, f"http://b/{i:05}", f"page {i}") for i in range(2500))]
+    archive = warc.Archive.write(spark.createDataFrame(rows, "page_id long, url string, html string"), Scratch(spark, "t").path)
+    assert archive.blocks().count() > 2 and all(r.intact for r in archive.entries().collect())
+    for i in (0, 999, 1000, 1777, 2499):
+        assert [(r["page_id"], r["payload"]) for r in archive.lookup([f"http://b/{i:05}"])] == [(100 + i, f"page {i}".encode())]
+    spoilt = 0
+    for file in Path(archive.path.removeprefix("file://"), "archives").glob("*.txt"):
+        raw = file.read_bytes()
+        file.with_name(f".{file.name}.crc").unlink(missing_ok=True)
+        file.write_bytes(raw.replace(b"x" * 1200, b"y" + b"x" * 1199))
+        spoilt += b"x" * 1200 in raw
+    assert spoilt == 1
+    archive.build_index()
+    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.intact) for r in archive.entries().collect()}
+    there = hashlib.sha1(("<p>y" + "x" * 1199).encode()).hexdigest()
+    assert got[9] == got[1] == (1203, there, False) and len(got) == len(rows)
+    assert all(whole for i, (_, _, whole) in got.items() if i not in (1, 9))
+
+
 def test_language(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
     odd = spark.createDataFrame([(9001, None, "en"), (9002, "", "en"), (9003, "12 !! 34", "en"), (None, "the of and", "en"), (9005, "und the", None)], docs.schema)
