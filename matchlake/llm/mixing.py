@@ -116,6 +116,11 @@ def mix(
     return out.orderBy(F.try_element_at("positions", F.lit(1)).asc_nulls_last(), "doc_id")
 
 
+def training_positions(plan: DataFrame) -> DataFrame:
+    """``doc_id, source, pass, position``: a row for each pass of a plan that takes any of a document's words, passes from 0."""
+    return plan.select("doc_id", "source", F.posexplode("positions").alias("pass", "position"))
+
+
 def training_order(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row of ``docs`` for each pass that takes any of its words, range-sorted by training position.
 

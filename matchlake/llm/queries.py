@@ -28,6 +28,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_training_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.training_positions(mixing.mix(_table(spark, sf_dir, "documents")))
+
+
 def op3_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(_table(spark, sf_dir, "embeddings"), every=50, k=5)
 
@@ -70,6 +74,7 @@ def op10_answer_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mix_sources": op2_mix_sources,
+    "op2_training_positions": op2_training_positions,
     "op3_vector_search": op3_vector_search,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_warc": op5_warc,

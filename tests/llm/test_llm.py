@@ -192,6 +192,26 @@ def test_curriculum_inverts_demand(spark):
         assert abs(t - np.interp(u, demand / demand[-1], grid)) < 1e-4
 
 
+def test_training_positions_invert_the_curriculum(spark, sf):
+    got = {(r.doc_id, r["pass"]): r.position for r in QUERIES["op2_training_positions"](spark, sf).collect()}
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "text").collect()
+    plan = {r.doc_id: r for r in QUERIES["op2_mix_sources"](spark, sf).collect()}
+    grid, want = np.linspace(0, 1, 200001), {}
+    for kind, source in enumerate(sorted({r.source for r in rows}, key=lambda s: (s is None, s))):
+        knots = mixing.CURRICULUM[kind % 3]
+        rate = np.interp(grid, *zip(*knots))
+        demand = np.concatenate(([0], np.cumsum((rate[1:] + rate[:-1]) / 2)))
+        own = sorted((hashlib.md5(str(r.doc_id).encode()).hexdigest(), r.doc_id, len(WORD.findall(r.text or ""))) for r in rows if r.source == source)
+        target, start = plan[own[0][1]].target, 0
+        for k in range(2):
+            for _, doc, size in own:
+                if size and start < np.floor(target + 0.5):
+                    want[doc, k] = np.interp(start / target, demand / demand[-1], grid)
+                start += size
+    assert set(got) == set(want) and len(want) > len(plan)
+    assert all(abs(got[x] - want[x]) < 1e-6 for x in want)
+
+
 def test_tokens(spark, awkward):
     library = Tokenizer.from_file(VOCABULARY)
     rows = awkward_rows()
