@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +38,48 @@ def match_shots(predicted: DataFrame, expected: DataFrame, tolerance: float = MA
     return out
 
 
+def _assigned(p: list[float], r: list[float], tolerance: float) -> list[tuple[int, int]]:
+    """Index pairs of two ordered lists of times: as many as can be, then of least summed difference. Some such answer never crosses."""
+    cost, step = np.arange(len(p) + 1) * 0.0, np.zeros((len(r) + 1, len(p) + 1), dtype=np.int8)
+    for i, t in enumerate(r, 1):
+        above, cost = cost, cost + 2.0
+        for j in range(1, len(p) + 1):
+            d = abs(p[j - 1] - t)
+            if d <= tolerance and above[j - 1] + d / max(tolerance, 1e-9) < min(cost[j], cost[j - 1]):
+                cost[j], step[i, j] = above[j - 1] + d / max(tolerance, 1e-9), 2
+            elif cost[j - 1] < cost[j]:
+                cost[j], step[i, j] = cost[j - 1], 1
+    out, i, j = [], len(r), len(p)
+    while i and j:
+        if step[i, j] == 2:
+            out.append((j - 1, i - 1))
+        i, j = i - (step[i, j] != 1), j - (step[i, j] != 0)
+    return out
+
+
+def assign_shots(predicted: DataFrame, expected: DataFrame, tolerance: float = MATCH_S) -> DataFrame:
+    """``job_id, shot_id, ref_id, dt``: launches of one robot matched one to one within ``tolerance``, optimally.
+
+    As many pairs as can be, then the least summed ``dt``; :func:`match_shots` takes the nearest first and may end with
+    fewer. A robot's launches are cut where none follows within the tolerance, and each chain is solved in one fold.
+    """
+    side = lambda d, ref: d.select("job_id", "robot", "shot_id", "t", F.lit(ref).alias("ref")).where("job_id is not null and robot is not null and t is not null")
+    both = side(predicted, False).unionByName(side(expected, True))
+    by_time = Window.partitionBy("job_id", "robot").orderBy("t", "ref", "shot_id")
+    cut = F.coalesce((F.col("t") - F.lag("t").over(by_time) > tolerance).cast("int"), F.lit(0))
+    chains = both.withColumn("cut", cut).withColumn("chain", F.sum("cut").over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["t", "shot_id"])
+        p, r = rows[~rows.ref], rows[rows.ref]
+        pairs = _assigned(p.t.tolist(), r.t.tolist(), tolerance)
+        made = [(p.job_id.iloc[a], p.shot_id.iloc[a], r.shot_id.iloc[b], abs(p.t.iloc[a] - r.t.iloc[b])) for a, b in pairs]
+        return pd.DataFrame(made, columns=["job_id", "shot_id", "ref_id", "dt"])
+
+    kind = ", ".join(f"{n} {both.schema[c].dataType.simpleString()}" for n, c in (("job_id", "job_id"), ("shot_id", "shot_id"), ("ref_id", "shot_id")))
+    return chains.groupBy("job_id", "robot", "chain").applyInPandas(solve, f"{kind}, dt double")
+
+
 def launch_score(matched: DataFrame, predicted: DataFrame, expected: DataFrame) -> DataFrame:
     """Precision, recall and mean time error of launches, one row."""
     n = matched.agg(F.count("*").alias("hits"), F.avg("dt").alias("mean_dt"))

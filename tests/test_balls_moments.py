@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from matchlake.operators import balls, moments
@@ -15,6 +17,31 @@ def test_match_shots(spark):
     assert score.precision == score.hits / 4 and score.recall == score.hits / 3
 
 
+def test_assign_shots_is_optimal(spark):
+    def best(p, r):
+        if not r:
+            return 0, 0.0
+        found = [best(p, r[1:])]
+        for i, t in enumerate(p):
+            if abs(t - r[0]) <= 0.075:
+                n, d = best(p[:i] + p[i + 1 :], r[1:])
+                found.append((n - 1, d + abs(t - r[0])))
+        return min(found)
+
+    rng = random.Random(6)
+    groups = [([0.0, 0.07], [0.06, 0.14])] + [([rng.random() * 0.5 for _ in range(rng.randrange(6))], [rng.random() * 0.5 for _ in range(rng.randrange(6))]) for _ in range(40)]
+    kind = "job_id string, robot int, shot_id string, t double"
+    p, r = (spark.createDataFrame([("j", g, f"{name}{g}.{i}", t) for g, both in enumerate(groups) for i, t in enumerate(both[side])], kind) for side, name in enumerate("pr"))
+    rows = balls.assign_shots(p, r).collect()
+    assert len({x.shot_id for x in rows}) == len({x.ref_id for x in rows}) == len(rows)
+    for g, (a, b) in enumerate(groups):
+        own = [x.dt for x in rows if x.shot_id.split(".")[0] == f"p{g}"]
+        n, d = best(a, b)
+        assert len(own) == -n and sum(own) == pytest.approx(d)
+    assert len([x for x in rows if x.shot_id.startswith("p0.")]) == 2
+    assert balls.launch_score(balls.assign_shots(p, r), p, r).first().hits == len(rows)
+
+
 def test_entries(spark):
     e = spark.createDataFrame([("j", "e1", 5, 1.0, 0.0, 0.0), ("j", "e2", 6, 2.1, 1.1, 0.0), ("j", "e3", 7, 9.0, 0.0, 0.0)], "job_id string, entry_id string, ball_track_id int, t double, x double, y double")
     s = spark.createDataFrame([("j", "s1", 5, 0.9, 0.0, 0.0, 0.0, 0.0), ("j", "s2", 8, 2.0, 1.0, 0.0, 1.0, 0.0)], "job_id string, shot_id string, ball_track_id int, last_t double, x double, y double, vx double, vy double")
