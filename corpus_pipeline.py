@@ -21,9 +21,10 @@ from matchlake.llm.text import ascii_lower
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of no language go: null texts and texts without a letter. The others keep the label they came with."""
+    """Documents of no language go: null texts and texts without a letter. The others keep their label; those without one get the language found."""
     model = LanguageModel.fit(docs.where(~held_out(docs.doc_id)))
-    return model.annotate(docs, lang_as="_found", score_as="_score").where(F.col("_found") != UNKNOWN).select(*docs.columns)
+    found = model.annotate(docs, lang_as="_found", score_as="_score").where(F.col("_found") != UNKNOWN)
+    return found.withColumn("lang", F.coalesce("lang", "_found")).select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

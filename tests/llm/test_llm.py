@@ -455,6 +455,17 @@ def test_empty_tables(spark):
         assert out.count() == 0
 
 
+def test_pipeline_labels_documents_without_a_language(spark, sf):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    bare = F.pmod(F.col("doc_id"), F.lit(5)) == 0
+    got = {r.doc_id: r.lang for r in p.language_id(spark, docs.withColumn("lang", F.when(~bare, F.col("lang"))), sf).collect()}
+    want = {r.doc_id: r.lang for r in docs.collect() if r.doc_id in got}
+    assert all(got[i] == want[i] for i in want if i % 5)
+    assert np.mean([got[i] == want[i] for i in want if i % 5 == 0]) > 0.9
+
+
 def test_pipeline(spark, awkward):
     import corpus_pipeline as p
 
