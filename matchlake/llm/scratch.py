@@ -9,25 +9,39 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def root(spark: SparkSession) -> str:
-    """The shared folder; only a session without one (tests) gets a folder of its own."""
+    """The shared folder; a local session without one (tests) gets a folder of its own, a cluster must name one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="matchlake-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
 class Scratch:
-    """A uniquely named folder below :func:`root`; ``save`` writes a table and reads it back."""
+    """A uniquely named folder below :func:`root`; ``save`` writes a table and reads it back.
+
+    A folder of its own goes when the session's file systems close; one given as ``path`` stays.
+    """
 
     def __init__(self, spark: SparkSession, name: str, path: str | None = None):
         self.spark = spark
         self.path = path or f"{root(spark)}/{name}-{uuid.uuid4().hex}"
+        if path is None:
+            fs, p = self._file(self.path)
+            fs.mkdirs(p)
+            fs.deleteOnExit(p)
+
+    def _file(self, path: str) -> tuple:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
     def at(self, name: str) -> str:
         return f"{self.path}/{name}"
@@ -40,10 +54,9 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         """Remove tables that nothing reads any more; without names, the whole folder."""
-        jvm = self.spark.sparkContext._jvm
         for target in [self.at(n) for n in names] or [self.path]:
-            p = jvm.org.apache.hadoop.fs.Path(target)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            fs, p = self._file(target)
+            fs.delete(p, True)
 
 
 #: Rows of a few dozen bytes that may be broadcast; larger sides are shuffled.
@@ -57,3 +70,35 @@ def sized(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def free(table: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many ``_`` before it as make it unlike any column of ``table``."""
+    taken, out = {c.lower() for c in table.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def placed(table: DataFrame, name: str) -> DataFrame:
+    """``table`` with the place of each row, from 0, in the order in which its files were written.
+
+    File scans keep no order, but they tell a row's file and its place there; files are numbered by their writer's
+    partition and sequence, and what the earlier ones hold is a running sum over one row a file. A table that is no
+    plain scan is written first, in the order of its partitions.
+    """
+    file, at, base, path = free(table, "file", "at", "base", "path")
+    try:
+        rows = table.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(at))
+    except AnalysisException:
+        written = Scratch(table.sparkSession, "placed").save(table, "rows")
+        rows = written.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(at))
+    number = lambda pattern: F.regexp_extract(path, pattern, 1).try_cast("long").asc_nulls_first()
+    sizes = rows.groupBy(F.col(file).alias(path)).agg((F.max(at) + 1).alias("rows"))
+    earlier = Window.orderBy(number(r"part-(\d+)-[^/]*$"), number(r"-c(\d+)[^/-]*$"), path).rowsBetween(Window.unboundedPreceding, -1)
+    bases = Scratch(table.sparkSession, "files").save(sizes.select(path, F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias(base)), "bases")
+    joined = rows.join(sized(bases), F.col(file) == F.col(path))
+    return joined.select(*[F.col(f"`{c}`") for c in table.columns], (F.col(base) + F.col(at)).alias(name))
