@@ -8,7 +8,8 @@ integral, scaled to the source's target, is the demand up to a time, and the tim
 document's place in the stream is the document's training position.
 
 Places in the stream are running sums per source. They are taken in two steps, within narrow slots of the order
-and over the slots' totals, so that a source of any size is spread over many tasks.
+and over the slots' totals, so that a source of any size is spread over many tasks. Rows equal in doc_id, source and
+size are counted first and dealt out again at the end, so that a doc_id of any number of rows is too.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchlake.llm.scratch import Scratch, sized
+from matchlake.llm.scratch import Scratch, free, parallelism, sized
 from matchlake.llm.text import word_count
 
 WEIGHTS = (5, 2, 1)
@@ -26,6 +27,8 @@ SHARE, CAP = 1.5, 2
 #: Knots (time, intensity) of each weight class: heavy sources fade out, light ones fade in.
 CURRICULUM = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5)))
 SLOT_ROWS, LEAST_SLOTS = 4096, 256
+#: Rows that one counted row gives at once.
+COPIES = 4096
 #: Steps of an order, 16 bytes each, that may be broadcast to the documents; more are joined by a shuffle.
 STEP_ROWS = 500_000
 
@@ -82,29 +85,34 @@ def mix(
     takes any, so it is empty for a document left out. Taken words of a source differ from its target by rounding
     only, and no document gives more than ``cap`` times its size.
 
-    Null and blank texts have size 0 and are never taken; null is a source like any other; repeated rows are
-    documents of their own, with equal doc_id and size interchangeable. An empty table gives no rows. The result depends on rows
-    only, not on their order or partitioning. Other columns are ignored, whatever their names.
+    Null and blank texts have size 0 and are never taken; very long texts are counted whole; null is a source like
+    any other; repeated rows are documents of their own, with equal doc_id and size interchangeable. An empty table
+    gives no rows. The result depends on rows only, not on their order or partitioning. Other columns are ignored,
+    whatever their names.
     """
-    scratch = Scratch(docs.sparkSession, "mixing")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "mixing")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"))
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    keyed = scratch.save(rows.withColumn("key", F.unhex(key)), "keyed", small=True)
-    slots = max(LEAST_SLOTS, keyed.count() // SLOT_ROWS)
+    counted = scratch.save(rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")), "counted")
+    key = F.unhex(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+    slots = max(LEAST_SLOTS, counted.count() // SLOT_ROWS)
     head = F.conv(F.hex(F.substring("key", 1, 4)), 16, 10).cast("long")
-    slotted = keyed.withColumn("slot", F.shiftright(head * F.lit(slots), 32))
-    sums = scratch.save(slotted.groupBy("source", "slot").agg(F.sum("size").alias("slot_size")), "slots")
+    slotted = counted.withColumn("key", key).withColumn("slot", F.shiftright(head * F.lit(slots), 32)).withColumn("words", F.col("size") * F.col("n"))
+    sums = scratch.save(slotted.groupBy("source", "slot").agg(F.sum("words").alias("slot_size")), "slots")
     targets = _targets(sums.groupBy("source").agg(F.sum("slot_size").alias("source_size")), weights, share, cap)
     over_slots = Window.partitionBy("source").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.withColumn("base", F.coalesce(F.sum("slot_size").over(over_slots), F.lit(0)))
     t, b = targets.alias("t"), bases.alias("b")
     bases = scratch.save(b.join(t, F.col("b.source").eqNullSafe(F.col("t.source"))).select("b.source", "b.slot", "b.base", "t.source_size", "t.kind", "t.target"), "bases")
     within = Window.partitionBy("source", "slot").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = slotted.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0))).alias("p")
+    placed = slotted.withColumn("before", F.coalesce(F.sum("words").over(within), F.lit(0))).alias("p")
     b = bases.alias("b")
     placed = placed.join(b, F.col("p.source").eqNullSafe(F.col("b.source")) & (F.col("p.slot") == F.col("b.slot"))).select(
-        "p.doc_id", "p.source", "p.size", "b.source_size", "b.target", "b.kind", (F.col("b.base") + F.col("p.before")).alias("start")
+        "p.doc_id", "p.source", "p.size", "p.n", "b.source_size", "b.target", "b.kind", (F.col("b.base") + F.col("p.before")).alias("first")
     )
+    chunks = placed.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES)))).repartition(parallelism(spark), "doc_id", "source", "size", "chunk")
+    copies = F.sequence(F.col("chunk") * COPIES, F.least(F.col("n"), (F.col("chunk") + 1) * COPIES) - 1)
+    placed = chunks.withColumn("copy", F.explode(copies)).withColumn("start", F.col("first") + F.col("copy") * F.col("size"))
     wanted = F.floor(F.col("target") + 0.5)
     passes = [F.greatest(F.lit(0), F.least(F.col("size"), wanted - F.col("start") - F.lit(k) * F.col("source_size"))).cast("long") for k in range(int(cap))]
     at = lambda k: (F.col("start") + F.lit(k) * F.col("source_size")) / F.col("target")
@@ -125,14 +133,30 @@ def training_order(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id") ->
     """One row of ``docs`` for each pass that takes any of its words, range-sorted by training position.
 
     Rows that share a doc_id all follow one plan, that of the largest positions, so none is multiplied by the others.
+    Null is a doc_id like any other here; an empty table stays empty; columns of ``docs`` may have any names.
     """
-    steps = plan.groupBy("doc_id").agg(F.max("positions").alias("positions")).select(F.col("doc_id").alias("_mix_id"), F.explode("positions").alias("_mix_at"))
+    own, at = free(docs, "mix_id", "mix_at")
+    steps = plan.groupBy("doc_id").agg(F.max("positions").alias("positions")).select(F.col("doc_id").alias(own), F.explode("positions").alias(at))
     steps = sized(Scratch(docs.sparkSession, "mixing-steps").save(steps, "steps"), STEP_ROWS)
-    joined = docs.join(steps, docs[id_col].eqNullSafe(F.col("_mix_id")))
-    return joined.orderBy("_mix_at", "_mix_id").drop("_mix_at", "_mix_id")
+    joined = docs.join(steps, docs[id_col].eqNullSafe(F.col(own)))
+    return joined.orderBy(at, own).drop(at, own)
 
 
-ORACLE = r"""
+def _inverted_sql(u: str, knots: Sequence[tuple[float, float]]) -> str:
+    """SQL of :func:`_invert`."""
+    cases = []
+    for t0, length, m0, m1, before in _segments(knots):
+        d = f"({u} - {before!r}::double)"
+        cases.append((before, f"{t0!r}::double + 2.0::double * {d} / ({m0!r}::double + sqrt({m0 * m0!r}::double + {2.0 * (m1 - m0) / length!r}::double * {d}))"))
+    return "case " + " ".join(f"when {u} >= {before!r}::double then {t}" for before, t in reversed(cases[1:])) + f" else {cases[0][1]} end" if cases[1:] else cases[0][1]
+
+
+def _position_sql(k: int) -> str:
+    at = f"(cast(p.start + {k} * t.source_size as double) / t.target)"
+    return "case t.kind " + " ".join(f"when {i} then {_inverted_sql(at, knots)}" for i, knots in enumerate(CURRICULUM)) + " end"
+
+
+ORACLE = rf"""
 with d as (
   select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size, md5(cast(doc_id as varchar)) as k from documents),
 s as (select source, cast(sum(size) as bigint) as source_size from d group by source),
@@ -149,7 +173,10 @@ p as (
 e as (
   select p.doc_id, p.size, t.source_size, t.target,
     cast(greatest(0, least(p.size, cast(floor(t.target + 0.5) as bigint) - p.start)) as bigint) as first_pass,
-    cast(greatest(0, least(p.size, cast(floor(t.target + 0.5) as bigint) - p.start - t.source_size)) as bigint) as second_pass
+    cast(greatest(0, least(p.size, cast(floor(t.target + 0.5) as bigint) - p.start - t.source_size)) as bigint) as second_pass,
+    case when t.target > 0 then {_position_sql(0)} end as first_at, case when t.target > 0 then {_position_sql(1)} end as second_at
   from p join t on p.source is not distinct from t.source)
-select doc_id, size, source_size, target, first_pass + second_pass as taken from e
+select doc_id, size, source_size, target, first_pass + second_pass as taken,
+  case when first_pass > 0 then round(first_at, 9) end as first_position, case when second_pass > 0 then round(second_at, 9) end as second_position
+from e
 """
