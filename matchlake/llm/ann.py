@@ -74,8 +74,14 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
     return codes, norm, np.linalg.norm(x - (x * to).sum(axis=1, keepdims=True) * to, axis=1)
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows in double precision by the power of two that brings their largest component near 1, which changes no digit."""
     x = x.astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -126,7 +132,7 @@ class _Block:
         rows = np.flatnonzero(bound >= self._reach(first, self.unit[first] @ unit, query, k))
         score = self.unit[rows] @ unit if 4 * len(rows) < len(near) else (self.unit @ unit)[rows]
         rows = rows[score >= self._reach(rows, score, query, k)]
-        a, b = v.astype(np.float64)[None, :], self.raw[rows].astype(np.float64)
+        a, b = _scaled(v[None, :]), _scaled(self.raw[rows]) if len(rows) else self.raw[rows].astype(np.float64)
         cosine = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
         best: dict[int, float] = {}
         for row, c in zip(rows, cosine.tolist()):
@@ -144,7 +150,9 @@ class VectorIndex:
         self.spark: SparkSession = vectors.sparkSession
         self.scratch = Scratch(self.spark, "ann")
         save = self.scratch.save
-        v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("v"))
+        given = vectors.schema[vector_col].dataType.simpleString()
+        self.kind = given if given in ("array<float>", "array<double>") else "array<double>"
+        v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(self.kind).alias("v"))
         bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | ~F.exists("v", lambda x: x != 0)
         usable = v.where("vec_id is not null and v is not null").where(~bad)
         size = usable.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
@@ -171,7 +179,7 @@ class VectorIndex:
                     made = [pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms, pa.float32()), pa.array(sines, pa.float32())]
                     yield pa.RecordBatch.from_arrays([*part.columns, *made], names=["key", "v", "ids", "code", "norm", "sine"])
 
-        return self.classes.select("key", "v", "ids").mapInArrow(run, "key long, v array<float>, ids array<bigint>, code binary, norm float, sine float")
+        return self.classes.select("key", "v", "ids").mapInArrow(run, f"key long, v {self.kind}, ids array<bigint>, code binary, norm float, sine float")
 
     def search(self, queries: DataFrame, k: int, id_col: str = "vec_id") -> DataFrame:
         """``query_id, rank, vec_id, score``: the ``k`` nearest of each of the index's rows named by ``queries``.
@@ -211,7 +219,7 @@ def neighbours(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "v
     """Index all rows and search the ``k`` nearest others of each row whose id is divisible by ``every``.
 
     Vectors that are null, zero, of another length than most, or hold a null, NaN or infinite component take no
-    part. Repeated rows count once. With fewer candidates than ``k`` all are returned; an empty table gives no
+    part. Vectors of floats stay so, others are taken as doubles. Repeated rows count once. With fewer candidates than ``k`` all are returned; an empty table gives no
     rows. Ties in score go to the smaller id. Other columns are ignored, whatever their names.
     """
     index = VectorIndex(vectors, copies=k + 1, id_col=id_col, vector_col=vector_col)
