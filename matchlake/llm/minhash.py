@@ -1,8 +1,8 @@
 """Near-duplicate groups by MinHash.
 
-Every document's set of word shingles gets ``4 * bands`` minima of multiply-shift universal hashes. Equal sets are
-collapsed to one node first, so exact copies never meet each other. Nodes that agree on all four minima of a band
-share a bucket. Within a bucket every node is a candidate of one hub, the node that shares most buckets with
+Every document's set of word shingles gets ``6 * bands`` minima of multiply-shift universal hashes. Equal sets are
+collapsed to one node first, so exact copies never meet each other. Nodes that agree on all six minima of a band
+share a bucket; six keep sets that are half alike mostly apart. Within a bucket every node is a candidate of one hub, the node that shares most buckets with
 others. Candidates whose signatures agree often enough are confirmed by the exact intersection of full shingle
 sets, and confirmed links become components. Pairs that a hub did not bring together are found in blocks: nodes of
 a bucket that lie outside its largest component are compared, by signature, with the bucket's nodes of other
@@ -25,11 +25,11 @@ from matchlake.llm.components import connected_components
 from matchlake.llm.scratch import Scratch, sized
 from matchlake.llm.shingles import mix, shingles_of, words_of
 
-ROWS = 4
+ROWS = 6
 #: Rows of each side that are compared at once.
 BLOCK = 256
 #: Chance, for one pair exactly at the threshold, of sharing no bucket or of being refused by its signature.
-MISS_BANDS, MISS_SIGNATURE = 1e-7, 1e-6
+MISS_BANDS, MISS_SIGNATURE = 1e-6, 1e-6
 
 
 def bands_for(threshold: float) -> int:
@@ -74,7 +74,7 @@ def _signer(width: int, hashes: int) -> Callable:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _family(hashes)
         salt = np.arange(hashes // ROWS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        keys = np.array([0x8CB92BA72F3D8DD7, 0xABCC5167CCAD925F, 0xD1B54A32D192ED03, 0xAEF17502108EF2D9], dtype=np.uint64)
+        keys = mix(np.arange(1, ROWS + 1, dtype=np.uint64)) | np.uint64(1)
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
@@ -354,9 +354,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     Returns ``doc_id, n_shingles, component_id, kept`` for every row: the size of its set, the smallest doc_id that
     links reach from it, and whether that is its own. Other columns of the input are ignored, whatever their names.
 
-    Null or blank texts have an empty set and stand alone. Texts shorter than ``width`` words are one shingle.
+    Null or blank texts have an empty set and stand alone; very long texts are compared whole. Texts shorter than ``width`` words are one shingle.
     Repeated rows get one result row each. Rows that share a doc_id but not a set are one document: their sets are
-    linked. Rows without doc_id are kept and link nothing; their component_id is that of an equal set, else null.
+    linked. Rows without doc_id are kept and link nothing; their component_id is that of an equal set, else null. Of
+    equal sets the smallest doc_id stands for all. An empty table gives no rows.
     """
     pick = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return _Job(pick, width, num, den).run()
