@@ -2,7 +2,9 @@
 
 Pages are written as WARC 1.1 records by Spark's text writer: a record's text, closed by two line ends, is one row.
 Of pages with equal large payloads one is a ``response``, the others are ``revisit`` records without payload that
-refer to it. Reading parses each archive file by the records' own lengths.
+refer to it. Pages are written by classes of size, with fewer records in a file the larger they may be, so that no
+file but that of a single very long page exceeds FILE_BYTES by more than its headers. Reading parses each archive file
+by the records' own lengths, without copying it.
 
 The index holds one line for each capture: the host in reverse, the path, and where the record lies. Lines are
 range-sorted by that key and packed into compressed blocks; a sparse directory has the first key of each block. A
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
@@ -21,16 +24,22 @@ from itertools import islice, takewhile
 from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlake.llm.scratch import Scratch, parallelism
+from matchlake.llm.scratch import Scratch, parallelism, sized
 
 #: Payloads of fewer bytes are always stored.
 REVISIT_BYTES = 1000
-RECORDS_PER_FILE = 4000
+#: Payload bytes of a file, and upper bounds of the payloads of each class of pages; above the last a file is a record.
+FILE_BYTES = 32 << 20
+CLASS_BYTES = (8 << 10, 128 << 10, 2 << 20)
 LINES_PER_BLOCK = 1000
 END = "\r\n\r\n"
+_BLANK_LINE = re.compile(b"\r\n\r\n")
+#: Extension fields: the page of a record, and the page whose response a revisit refers to.
+PAGE, REFERS_TO = "X-Page-ID", "X-Refers-To-Page-ID"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 BLOCK = "first_key string, last_key string, lines long, body binary, block long"
@@ -43,50 +52,54 @@ def safe_url(url: str) -> str:
 
 
 def url_key(url: str | None) -> str:
-    """``com,example,www)/path?query``: host reversed, without port, scheme, user and fragment; empty for none."""
+    """``com,example,www)/path?query``: host reversed, without port, scheme, user and fragment; empty for none.
+
+    The key is that of the encoded URL, so a URL and the form in which its record stores it have one key.
+    """
     if not url:
         return ""
+    url = safe_url(url)
     try:
         parts = urlsplit(url if "://" in url else f"//{url}")
-        host = (parts.hostname or "").rstrip(".")
+        host = (parts.hostname or "").rstrip(".").lower()
     except ValueError:
-        return f"){safe_url(url).lower()}"
+        return f"){url.lower()}"
     rest = (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
-    return f"{','.join(reversed(host.split('.')))}){safe_url(rest).lower()}"
+    return f"{','.join(reversed(host.split('.')))}){rest.lower()}"
 
 
-def _headers(kind: str, page_id: int | None, url: str | None, digest: str, refers_to: int | None, block_bytes: int) -> str:
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Date: {DATE}"]
-    lines.append(f"WARC-Record-ID: <urn:page:{'none' if page_id is None else page_id}>")
+def _headers(kind: str, page_id: int | None, name: str, url: str | None, digest: str, refers_to: int | None, single: bool, block_bytes: int) -> str:
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Date: {DATE}", f"WARC-Record-ID: <urn:page:{name}>"]
+    if page_id is not None:
+        lines.append(f"{PAGE}: {page_id}")
     if url is not None:
         lines.append(f"WARC-Target-URI: {safe_url(url)}")
     lines.append(f"WARC-Payload-Digest: sha1:{digest}")
     if kind == "revisit":
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        lines += [f"WARC-Profile: {PROFILE}", *[f"WARC-Refers-To: <urn:page:{refers_to}>"] * single, f"{REFERS_TO}: {refers_to}"]
     lines += ["Content-Type: application/http;msgtype=response", f"Content-Length: {block_bytes}"]
     return "\r\n".join(lines) + END
 
 
-def _record(page_id: int | None, url: str | None, html: str, digest: str, refers_to: int | None) -> str:
+def _record(page_id: int | None, name: str, url: str | None, html: str, digest: str, refers_to: int | None, single: bool) -> str:
     """A record without the two line ends that close it; a revisit keeps the HTTP head, which tells the payload's size."""
     size = len(html.encode())
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}{END}"
     kind, body = ("response", html) if refers_to is None else ("revisit", "")
-    return _headers(kind, page_id, url, digest, refers_to, len(head) + (size if refers_to is None else 0)) + head + body
+    return _headers(kind, page_id, name, url, digest, refers_to, single, len(head) + (size if refers_to is None else 0)) + head + body
 
 
-def parse_record(raw: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
+def parse_record(raw: bytes | memoryview, at: int = 0) -> tuple[dict[str, str], bytes | memoryview, int]:
     """Header fields in lower case, block, and the offset behind the record that starts at ``at``."""
-    start = raw.index(b"\r\n\r\n", at) + 4
-    lines = raw[at : start - 4].decode().split("\r\n")
+    start = _BLANK_LINE.search(raw, at).end()
+    lines = bytes(raw[at : start - 4]).decode().split("\r\n")
     fields = {k.lower(): v.strip() for k, v in (x.split(":", 1) for x in lines[1:])} | {"version": lines[0]}
     stop = start + int(fields["content-length"])
     return fields, raw[start:stop], stop + len(END)
 
 
-def _page(urn: str | None) -> int | None:
-    name = urn.strip("<>").rsplit(":", 1)[1] if urn else "none"
-    return None if name == "none" else int(name)
+def _page(value: str | None) -> int | None:
+    return None if value is None else int(value)
 
 
 class Archive:
@@ -101,31 +114,50 @@ class Archive:
 
         Of records with equal payloads of at least REVISIT_BYTES the one with the largest page_id is the response.
         Rows that repeat its page_id are responses too, as are rows without page_id; a record without page_id
-        cannot be referred to. Only digests are shuffled to find revisits; pages meet the few that are by a join
-        on the digest's row, broadcast when Spark finds the list small.
+        cannot be referred to. A record is named by its page_id, where that is repeated or null by its place in the
+        job as well, so names are unique; a revisit of a repeated page names the page in its extension field alone.
+        Only ids and digests are shuffled; pages meet the few revisits and repeated ids by joins, broadcast behind
+        a check of their size.
         """
         spark, scratch = pages.sparkSession, Scratch(pages.sparkSession, "warc", path)
         rows = pages.select(
             F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html")
         )
-        digest = F.sha1(F.col("html").cast("binary"))
-        seen = scratch.save(rows.where(F.octet_length("html") >= REVISIT_BYTES).where("page_id is not null").select("page_id", F.unhex(digest).alias("digest")), "seen", small=True)
-        last = scratch.save(seen.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n"), "last")
-        revisits = seen.join(last, "digest").where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
-        revisits = scratch.save(revisits.select("page_id", F.lower(F.hex("digest")).alias("digest"), "refers_to"), "revisits")
-        known = rows.withColumn("digest", digest).join(revisits, ["page_id", "digest"], "left")
-
-        def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for lo in range(0, batch.num_rows, 512):
-                    cells = [batch.column(k).slice(lo, 512).to_pylist() for k in range(5)]
-                    yield pa.RecordBatch.from_arrays([pa.array([_record(*row) for row in zip(*cells, strict=True)], pa.string())], names=["value"])
-
-        made = known.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(records, "value string")
-        made.write.mode("overwrite").option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(f"{path}/archives")
+        digest, bytes_ = F.sha1(F.col("html").cast("binary")), F.octet_length("html")
+        large = bytes_ >= REVISIT_BYTES
+        seen = scratch.save(rows.select("page_id", F.when(large, F.unhex(digest)).alias("digest"), bytes_.alias("bytes")), "seen", small=True)
+        repeated = seen.where("page_id is not null").groupBy("page_id").count().where("count > 1")
+        repeated = scratch.save(repeated.select("page_id"), "repeated")
+        known = seen.where("page_id is not null and digest is not null")
+        last = scratch.save(known.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n"), "last")
+        revisits = known.join(last, "digest").where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
+        revisits = revisits.join(repeated.select(F.col("page_id").alias("refers_to"), F.lit(True).alias("many")), "refers_to", "left")
+        revisits = scratch.save(revisits.select("page_id", F.lower(F.hex("digest")).alias("digest"), "refers_to", F.col("many").isNull().alias("single")), "revisits")
+        known = rows.withColumn("digest", digest).join(sized(revisits), ["page_id", "digest"], "left")
+        known = known.join(sized(repeated).select("page_id", F.lit(True).alias("repeated")), "page_id", "left")
+        known = known.select("page_id", "url", "html", "digest", "refers_to", F.coalesce("single", F.lit(True)), F.col("repeated").isNotNull() | F.col("page_id").isNull())
+        bounds = [-1, *CLASS_BYTES, (1 << 31) - 1]
+        for k, (low, high) in enumerate(zip(bounds, bounds[1:])):
+            of_class = lambda b: (b > low) & (b <= high)  # noqa: B023, E731
+            if k and seen.where(of_class(F.col("bytes"))).isEmpty():
+                continue
+
+            def records(batches: Iterator[pa.RecordBatch], k: int = k) -> Iterator[pa.RecordBatch]:
+                part, n = TaskContext.get().partitionId(), 0
+                for batch in batches:
+                    for lo in range(0, batch.num_rows, 512):
+                        made = []
+                        for page_id, url, html, sha, refers_to, single, several in zip(*[batch.column(c).slice(lo, 512).to_pylist() for c in range(7)], strict=True):
+                            name = f"{'none' if page_id is None else page_id}:{k}.{part}.{n}" if several else str(page_id)
+                            made.append(_record(page_id, name, url, html, sha, refers_to, single))
+                            n += 1
+                        yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], names=["value"])
+
+            to = known.where(of_class(bytes_)).mapInArrow(records, "value string").write.mode("overwrite" if k == 0 else "append").option("lineSep", END)
+            to.option("maxRecordsPerFile", max(1, FILE_BYTES // high)).text(f"{path}/archives")
         archive = cls(spark, path)
         archive.build_index()
-        scratch.drop("seen", "last", "revisits")
+        scratch.drop("seen", "last", "revisits", "repeated")
         return archive
 
     def captures(self) -> DataFrame:
@@ -138,18 +170,18 @@ class Archive:
         def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    raw, at, rows = content.as_buffer().to_pybytes(), 0, []
+                    raw, at, rows = memoryview(content.as_buffer()), 0, []
                     while at < len(raw):
                         fields, block, after = parse_record(raw, at)
-                        head = block.index(b"\r\n\r\n") + 4
-                        size = next(int(x.split(b":")[1]) for x in block[:head].split(b"\r\n") if x.lower().startswith(b"content-length:"))
+                        head = _BLANK_LINE.search(block).end()
+                        size = next(int(x.split(b":")[1]) for x in bytes(block[:head]).split(b"\r\n") if x.lower().startswith(b"content-length:"))
                         kind, digest = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:")
                         intact = kind == "revisit"
                         if not intact:
                             stated, digest, size = (digest, size), hashlib.sha1(block[head:]).hexdigest(), len(block) - head
                             intact = stated == (digest, size)
                         url = fields.get("warc-target-uri")
-                        rows.append((url_key(url), _page(fields["warc-record-id"]), url, name, at, after - at, size, digest, kind, _page(fields.get("warc-refers-to")), intact))
+                        rows.append((url_key(url), _page(fields.get(PAGE.lower())), url, name, at, after - at, size, digest, kind, _page(fields.get(REFERS_TO.lower())), intact))
                         at = after
                     kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_()]
                     columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
@@ -224,7 +256,7 @@ class Archive:
                 while at < len(lines) and lines[at].split(" ", 1)[0] == key:
                     entry = dict(zip(names, [key, *json.loads(lines[at].split(" ", 1)[1])], strict=True))
                     _, block, _ = parse_record(self.read_range(entry["archive"], entry["offset"], entry["length"]))
-                    entry["payload"] = block[block.index(b"\r\n\r\n") + 4 :] if entry["record_type"] == "response" else None
+                    entry["payload"] = bytes(block[_BLANK_LINE.search(block).end() :]) if entry["record_type"] == "response" else None
                     out.append(entry)
                     at += 1
         return out
