@@ -15,14 +15,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+
+from matchlake.llm.scratch import Scratch
 
 UNKNOWN = "und"
 DIMENSIONS = 1024
 #: Training rows taken of each language, in expectation, at most.
 TRAIN_PER_LANGUAGE = 4000
+#: Labels that are learnt at most; each is a prototype of DIMENSIONS numbers on the driver.
+MOST_LANGUAGES = 8192
 #: Trigram vectors that one worker holds; the table starts anew when full.
 TABLE_ROWS = 32_768
+#: Distinct trigrams from which on a text can be refused, and standard deviations of noise below which it is.
+CHANCE_EVIDENCE, CHANCE_SIGMAS = 100, 4
 PIECE_CHARS = 1 << 20
 SCALE = 1 << 20
 
@@ -40,16 +46,21 @@ def _letters() -> np.ndarray:
 
 
 def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct letter trigrams, as three 21-bit code points, and counts; other characters part words like one space."""
-    table, keys, counts = _letters(), [], []
+    """Distinct letter trigrams, as three 21-bit code points, and counts; other characters part words like one space.
+
+    A very long text is taken piece by piece; the last two letters of a piece go before the next.
+    """
+    table, keys, counts, before = _letters(), [], [], np.zeros(1, dtype=np.int64)
     for lo in range(0, len(text), PIECE_CHARS):
         chars = np.frombuffer(text[lo : lo + PIECE_CHARS].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        letters = np.concatenate(([0], table[chars], [0]))
+        end = np.zeros(int(lo + PIECE_CHARS >= len(text)), dtype=np.int64)
+        letters = np.concatenate((before, table[chars], end))
         letters = letters[(letters > 0) | np.concatenate(([True], letters[:-1] > 0))]
         if len(letters) > 2:
             a, b, c = letters[:-2], letters[1:-1], letters[2:]
             k, n = np.unique(((a << 42) | (b << 21) | c)[b > 0], return_counts=True)
             keys.append(k), counts.append(n)
+        before = letters[-2:]
     if not keys:
         return np.zeros(0, dtype=np.int64), np.zeros(0)
     if len(keys) == 1:
@@ -88,9 +99,13 @@ class Bundler:
 
     def bundle(self, text: str) -> np.ndarray | None:
         """Unit vector of a text; none if it has no letter."""
+        return self.described(text)[0]
+
+    def described(self, text: str) -> tuple[np.ndarray | None, int]:
+        """As :meth:`bundle`, with the number of distinct trigrams."""
         keys, counts = trigrams(text)
         if not len(keys):
-            return None
+            return None, 0
         total, weights = np.zeros(DIMENSIONS, dtype=np.float64), np.sqrt(counts).astype(np.float32)
         for lo in range(0, len(keys), 4096):
             part = keys[lo : lo + 4096].tolist()
@@ -98,7 +113,7 @@ class Bundler:
                 self._clear()
             total += weights[lo : lo + 4096] @ self._rows_of(part).astype(np.float32)
         norm = np.linalg.norm(total)
-        return total / norm if norm > 0 else None
+        return (total / norm if norm > 0 else None), len(keys)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -116,15 +131,14 @@ class LanguageModel:
     def training_rows(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = TRAIN_PER_LANGUAGE, id_col: str = "doc_id") -> DataFrame:
         """``lang, text`` of rows with both, of each language a fixed pseudo-random part of ``per_language`` rows or so.
 
-        Rows are drawn by id and text, so a text that many rows repeat takes its share of the draw and no more.
+        Rows are drawn by id and text, so a text that many rows repeat takes its share of the draw and no more. Of
+        more labels than MOST_LANGUAGES the most frequent are learnt.
         """
         rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
         rows = rows.where("lang is not null and text is not null")
-        counts = dict(rows.groupBy("lang").count().collect())
-        if not counts:
-            return rows.select("lang", "text")
-        share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_language / n))])
-        return rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000).select("lang", "text")
+        counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+        counts = F.broadcast(Scratch(docs.sparkSession, "languages").save(counts, "counts"))
+        return rows.join(counts, "lang").where(F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000)) < F.lit(per_language * 1_000_000) / F.col("n")).select("lang", "text")
 
     @classmethod
     def fit(cls, docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = TRAIN_PER_LANGUAGE, id_col: str = "doc_id") -> LanguageModel:
@@ -148,35 +162,52 @@ class LanguageModel:
         raw = np.array([found[k] / np.linalg.norm(found[k]) for k in languages]) if found else np.zeros((0, DIMENSIONS))
         return cls(languages, raw)
 
-    def annotate(self, docs: DataFrame, text_col: str = "text", lang_as: str = "lang_pred", score_as: str = "score") -> DataFrame:
-        """``docs`` with the language chosen and the cosine with it, 0 at least; no row moves to another partition."""
-        languages, prototypes = self.languages, self.prototypes
-        mean = prototypes.mean(axis=0) if len(languages) > 1 else np.zeros(DIMENSIONS)
-        centred = prototypes - mean
+    def annotate(self, docs: DataFrame, text_col: str = "text", lang_as: str = "lang_pred", score_as: str = "score", evidence_as: str | None = None) -> DataFrame:
+        """``docs`` with the language chosen and the cosine that chose it, 0 at least; no row moves to another partition.
+
+        ``evidence_as`` adds the number of distinct trigrams that the cosine is taken over.
+        """
+        languages = self.languages
+        mean = self.prototypes.mean(axis=0) if len(languages) > 1 else np.zeros(DIMENSIONS)
+        centred = self.prototypes - mean
         centred = centred / np.maximum(np.linalg.norm(centred, axis=1, keepdims=True), 1e-12)
         at = docs.columns.index(text_col)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bundler = Bundler()
             for batch in batches:
-                langs, scores = [], []
+                langs, scores, seen = [], [], []
                 for text in batch.column(at):
-                    v = bundler.bundle(text.as_py() or "") if languages else None
-                    if v is None:
+                    v, n = bundler.described(text.as_py() or "")
+                    seen.append(n)
+                    if v is None or not languages:
                         langs.append(UNKNOWN), scores.append(0.0)
                         continue
-                    best = int(np.argmax(centred @ (v - mean)))
-                    langs.append(languages[best]), scores.append(float(min(1.0, max(0.0, prototypes[best] @ v))))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, lang_as, score_as])
+                    cosines = centred @ (v - mean) / max(float(np.linalg.norm(v - mean)), 1e-12)
+                    best = int(np.argmax(cosines))
+                    langs.append(languages[best]), scores.append(float(min(1.0, max(0.0, cosines[best]))))
+                made = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(seen, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *made[: len(added)]], names=[*batch.schema.names, *added])
+
+        added = {lang_as: StringType(), score_as: DoubleType()} | ({evidence_as: LongType()} if evidence_as else {})
+        return docs.mapInArrow(run, StructType([*docs.schema.fields, *[StructField(n, t) for n, t in added.items()]]))
+
 
-        return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(lang_as, StringType()), StructField(score_as, DoubleType())]))
+def chance(score: Column, evidence: Column) -> Column:
+    """Whether a cosine is what a text of no learnt language would reach: many trigrams, and no more than noise in common.
+
+    Vectors without relation have cosines of about ``1 / sqrt(DIMENSIONS)``. Short texts are never held to it, as
+    a few words need not share anything with the prototype of their language.
+    """
+    return (evidence >= CHANCE_EVIDENCE) & (score < CHANCE_SIGMAS / DIMENSIONS**0.5)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Learn from the rows that are not held out and predict all: ``doc_id, held_out, lang_pred, score``.
 
     Null texts and texts without a letter are ``und`` with score 0, and so is everything if no row has a language.
-    Repeated rows get a row each; an empty table gives no rows. Other columns are ignored, whatever their names.
+    Languages that tie go to the smaller name; very long texts are read whole; repeated rows get a row each; an empty
+    table gives no rows. Other columns are ignored, whatever their names.
     """
     model = LanguageModel.fit(docs.where(~held_out(F.col(id_col))), text_col, lang_col, id_col=id_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
