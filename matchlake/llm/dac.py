@@ -12,6 +12,7 @@ with the number of ids before it.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from array import array
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from matchlake.llm.bpe import CACHE_PARTS, LONG_PART, PIECE_CHARS, RAW, load_spec, parts_of, pieces_of
+from matchlake.llm.bpe import CACHE_PARTS, LONG_PART, PIECE_CHARS, RAW, cuts_alike, load_spec, parts_of, pieces_of
 from matchlake.llm.scratch import Scratch, parallelism
 
 RANK_BITS = 512
@@ -78,6 +79,7 @@ class _Encoder:
     """The tokenizers library behind a bounded cache of parts of texts that encode alone.
 
     Pieces of plain words are encoded many at a time, parted by blanks; each gives just one token with a word end.
+    Texts of a vocabulary file with other rules of normalising or splitting go to the library whole.
     """
 
     TOGETHER = 512
@@ -86,6 +88,9 @@ class _Encoder:
         self.library = Tokenizer.from_str(spec)
         self.library.no_truncation()
         self.library.no_padding()
+        self.cuts_alike = cuts_alike(json.loads(spec))
+        if not self.cuts_alike:
+            return
         end = self.library.model.end_of_word_suffix
         self.ends = np.zeros(self.library.get_vocab_size(), dtype=bool)
         self.ends[[i for token, i in self.library.get_vocab(with_added_tokens=False).items() if token.endswith(end)]] = True
@@ -108,6 +113,8 @@ class _Encoder:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Native 32-bit ids of each text."""
+        if not self.cuts_alike:
+            return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         if len(self.parts) > CACHE_PARTS:
             self.parts.clear()
         split = [parts_of(text) for text in texts]
@@ -123,7 +130,7 @@ class _Encoder:
     def documents(self, texts: list[str | None]) -> list[bytes]:
         """As ``ids``, for texts of any length, null for empty; very long ones are taken part by part."""
         short = iter(self.ids([t for t in texts if t and len(t) <= PIECE_CHARS]))
-        return [next(short) if t and len(t) <= PIECE_CHARS else b"".join([self.ids([p])[0] for p in pieces_of(t or "")]) for t in texts]
+        return [next(short) if t and len(t) <= PIECE_CHARS else b"".join([self.ids([p])[0] for p in pieces_of(t or "", self.cuts_alike)]) for t in texts]
 
 
 @cache
