@@ -45,7 +45,8 @@ def preference_pairs(turns: DataFrame, pairs: DataFrame, conv_col: str = "conv_i
     Null roles and texts count as empty; turns that tie or repeat are ordered by role and text and all kept;
     rows without conv_id belong to no conversation. If one conversation is a prefix of the other (or equal), its
     completion is empty, without spans. Repeated pairs give one row. Empty tables give no rows. A pair's turns
-    meet in one row, since its texts are the result; no other group is gathered. Other columns are ignored.
+    meet in one row, since its texts are the result, very long ones too; no other group is gathered. Other columns
+    are ignored, whatever their names.
     """
     own = numbered(turns, conv_col, turn_col, role_col, text_col)
     wanted = pairs.select(F.col("chosen_id").cast("long"), F.col("rejected_id").cast("long")).distinct()
@@ -96,7 +97,10 @@ def answer_preferences(turns: DataFrame, conv_col: str = "conv_id", turn_col: st
     Columns as of :func:`preference_pairs`; the prompt is all turns before the last assistant turn. Different last
     answers form a ring by SHA-256; a conversation takes the next one, and ``rejected_id`` is the smallest
     conversation that gave it. Conversations without an assistant turn give no row, nor do any if all end in one and
-    the same answer. The ring is linked within buckets of the digest and over the firsts of the buckets.
+    the same answer. Null answers count as empty, turns that tie go by role and text, repeated turns are turns of
+    their own, very long answers are swapped whole, an empty table gives no rows, and other columns are ignored,
+    whatever their names. The ring is linked within buckets of the digest and over the firsts of the buckets; turns
+    are shuffled by conversation alone.
     """
     scratch = Scratch(turns.sparkSession, "answers")
     own = numbered(turns, conv_col, turn_col, role_col, text_col)

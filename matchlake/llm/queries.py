@@ -25,7 +25,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """The plan with the training positions of both passes, rounded so that SQL gives the same digits."""
+    plan = mixing.mix(_table(spark, sf_dir, "documents"))
+    position = lambda k, name: F.round(F.get("positions", F.lit(k)), 9).alias(name)
+    return plan.select("doc_id", "size", "source_size", "target", "taken", position(0, "first_position"), position(1, "second_position"))
 
 
 def op2_training_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,12 +66,14 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = _table(spark, sf_dir, "conversations")
-    return chat.preference_pairs(turns, chat.neighbouring_pairs(turns))
+    """Each conversation against itself with another's last answer: pairs that share all turns before it."""
+    return chat.answer_preferences(_table(spark, sf_dir, "conversations"))
 
 
-def op10_answer_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.answer_preferences(_table(spark, sf_dir, "conversations"))
+def op10_neighbouring_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even conversations against the next odd ones, whose first turns are as a rule different."""
+    turns = _table(spark, sf_dir, "conversations")
+    return chat.preference_pairs(turns, chat.neighbouring_pairs(turns))
 
 
 QUERIES: dict[str, Query] = {
@@ -83,13 +88,13 @@ QUERIES: dict[str, Query] = {
     "op8_language": op8_language,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_preference_chat": op10_preference_chat,
-    "op10_answer_preference": op10_answer_preference,
+    "op10_neighbouring_chats": op10_neighbouring_chats,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": exact.ORACLE,
     "op2_mix_sources": mixing.ORACLE,
     "op5_warc": warc.ORACLE,
-    "op10_preference_chat": chat.ORACLE,
-    "op10_answer_preference": chat.ANSWER_ORACLE,
+    "op10_preference_chat": chat.ANSWER_ORACLE,
+    "op10_neighbouring_chats": chat.ORACLE,
 }
