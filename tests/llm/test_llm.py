@@ -72,21 +72,47 @@ def test_exact(spark, awkward):
 def test_exact_index_persists(spark, awkward):
     path = Scratch(spark, "test-index").path
     first, second = awkward.where("doc_id < 60"), awkward.where("doc_id >= 60")
-    a = exact.DigestIndex(spark, path, buckets=4).add(first).collect()
-    spark.sql(f"drop table {exact.DigestIndex(spark, path).table}")
+    index = exact.DigestIndex(spark, path, buckets=4)
+    a = index.add(first).collect()
+    index.close()
     again = exact.DigestIndex(spark, path)
     assert again.buckets == 4
     b = again.add(second).collect()
     owner = {r.text_sha256: r.keep_id for r in a}
     assert all(r.keep_id == owner[r.text_sha256] and not r.kept for r in b if r.text_sha256 in owner)
-    joined = spark.createDataFrame([(b"x",)], "digest binary").join(again.rows().hint("merge"), "digest", "left_anti")
-    plan = joined._jdf.queryExecution().executedPlan().toString()
-    assert "SelectedBucketsCount: 4 out of 4" in plan and "SortMergeJoin" in plan and plan.count("Exchange") == 1
     digests = again.rows().count()
     again.add(second)
     assert again.rows().count() == digests
 
 
+def test_exact_index_is_merged_as_it_lies(spark, awkward, monkeypatch):
+    """Batches go to the delta; merging makes one sorted file a bucket, which is scanned without shuffle or sort."""
+    monkeypatch.setattr(exact, "MOST_FILES", 1)
+    index = exact.DigestIndex(spark, Scratch(spark, "test-index").path, buckets=4)
+    parts = [awkward.where(f"pmod(doc_id, 5) = {k}") for k in range(5)]
+    owners = {}
+    for part in parts:
+        for r in index.add(part).collect():
+            assert owners.setdefault(r.text_sha256, r.keep_id) == r.keep_id
+    assert index.generation > 0 and {r.digest.hex(): r.keep_id for r in index.rows().collect()} == owners
+    index.compact()
+    assert index.files("base") <= 4 and index.files("delta") == 0 and exact.DigestIndex(spark, index.path).generation == index.generation
+    with index._sorted_scans():
+        plan = index.new(spark.createDataFrame([(b"x", 1)], "digest binary, keep_id long"))._jdf.queryExecution().executedPlan().toString()
+    sides = plan.split("SelectedBucketsCount: 4 out of 4")[:2]
+    assert plan.count("SortMergeJoin") == 2 and plan.count("Exchange") == 1 and plan.count("Sort [") == 1
+    assert all("Sort [" not in side.split("Exchange")[-1] for side in sides) and index.table("base") in sides[0]
+    index.close()
+
+
+def test_exact_rows_are_kept_once(spark):
+    rows = [(5, "Abc", 0), (5, "abc", 1), (None, "x", 2), (None, "X", 3), (1, None, 4), (2, "", 5), (2, "", 6)]
+    tables = {t.name for t in spark.catalog.listTables()}
+    got = exact.exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string, row long"), row_col="row").collect()
+    assert {r.row for r in got if r.kept} == {0, 2, 5} and len(got) == len(rows)
+    assert {t.name for t in spark.catalog.listTables()} == tables
+
+
 def brute_near(rows, width, num, den):
     sets = {}
     for i, text, *_ in rows:
@@ -177,6 +203,46 @@ def test_mix(spark, awkward):
     assert first == sorted(first)
 
 
+def test_mix_spreads_a_repeated_id(spark, monkeypatch):
+    """Rows equal in id, source and size are counted, and dealt out again as if they had been summed one by one."""
+    rows = [(None, "a b c", "s")] * 900 + [(None, "a b c d e", "s")] * 300 + [(k, "x y", "s") for k in range(50)] + [(k, "x " * (k % 5), "t") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted(mixing.mix(docs).collect(), key=str)
+    monkeypatch.setattr(mixing, "COPIES", 7)
+    got = mixing.mix(docs).collect()
+    assert sorted(got, key=str) == want and len(got) == len(rows)
+    key = lambda i: (hashlib.md5(("" if i is None else str(i)).encode()).digest(), i is not None, i or 0)
+    for source in "st":
+        own = sorted(((key(i), len(t.split())) for i, t, s in rows if s == source))
+        total, target = sum(n for _, n in own), next(r.target for r in want if r.source == source)
+        start, taken = 0, defaultdict(int)
+        for k, n in own:
+            taken[k[2] if k[1] else None, n] += sum(max(0, min(n, int(target + 0.5) - start - p * total)) for p in (0, 1))
+            start += n
+        have = defaultdict(int)
+        for r in want:
+            if r.source == source:
+                have[r.doc_id, r.size] += r.taken
+        assert have == taken
+
+
+def test_half_alike_documents_rarely_share_a_bucket(spark):
+    """Two thousand documents with half of their words in common: few rows meet, and no link is made up or lost."""
+    from matchlake.llm import minhash
+
+    rng = random.Random(2)
+    common = [f"c{i}" for i in range(60)]
+    rows = [(i, " ".join(common + [f"o{i}x{k}" for k in range(45)])) for i in range(2000)]
+    rows += [(5000 + i, rows[i][1] + " " + rng.choice("abc")) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    job = minhash._Job(docs, 3, 85, 100)
+    got = {r.doc_id: r.component_id for r in job.run().collect()}
+    assert got == {i: i % 5000 for i in got} and len(got) == len(rows)
+    blocks = job.scratch.spark.read.parquet(job.scratch.at("blocks"))
+    met = blocks.groupBy("bucket", "qi", "tj").agg((F.count_if("query") * F.count_if(~F.col("query"))).alias("n")).agg(F.sum("n")).first()[0] or 0
+    assert met < len(rows) ** 2 / 4
+
+
 def test_training_order_does_not_multiply_repeated_ids(spark):
     docs = spark.createDataFrame([(1, "a b c", "s"), (1, "a b c", "s"), (None, "d e", "s"), (None, "f", "t")], "doc_id long, text string, source string")
     order = mixing.training_order(docs, mixing.mix(docs, share=2.0))
@@ -239,6 +305,38 @@ def test_bpe_like_the_library():
         assert own.decode(want) == library.decode(want, skip_special_tokens=False)
 
 
+def changed(**model):
+    import json
+
+    with open(VOCABULARY, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec.update({k: v for k, v in model.items() if k in spec})
+    spec["model"].update({k: v for k, v in model.items() if k not in spec})
+    return spec
+
+
+def test_vocabularies_with_other_rules(tmp_path, spark):
+    import json
+
+    numbers = changed()["pre_tokenizer"]
+    numbers["pretokenizers"][0]["pattern"]["Regex"] = r"[\p{L}]+|[\p{N}]+|[^\s\p{L}\p{N}]+"
+    rng, pool = random.Random(5), [*"abC '12?\t\n éÉßİ中😀 ", "<|endoftext|>", "'re"]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 14))) for _ in range(400)]
+    for k, spec in enumerate((changed(normalizer={"type": "NFC"}), changed(pre_tokenizer=numbers), changed(decoder={"type": "BPEDecoder", "suffix": "</w>"}))):
+        text = json.dumps(spec)
+        library, own, other = Tokenizer.from_str(text), bpe.WordBpe(text), dac._Encoder(text)
+        want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert not own.cuts_alike and [own.encode(t) for t in texts] == want
+        assert [np.frombuffer(x, dtype=np.uint32).tolist() for x in other.documents(texts)] == want
+        assert [own.decode(x) for x in want] == [library.decode(x, skip_special_tokens=False) for x in want]
+        path = tmp_path / f"{k}.json"
+        path.write_text(text)
+        got = bpe.tokens(spark.createDataFrame(list(enumerate(texts[:50])), "doc_id long, text string"), str(path)).collect()
+        assert all(list(r.ids) == want[r.doc_id] and r.decoded_sha256 == hashlib.sha256(own.decode(want[r.doc_id]).encode()).hexdigest() for r in got)
+    with pytest.raises(ValueError, match="unk_token"):
+        bpe.WordBpe(json.dumps(changed(unk_token="<|endoftext|>")))
+
+
 def test_token_store(spark, awkward):
     library = Tokenizer.from_file(VOCABULARY)
     store = dac.TokenStore.write(awkward, VOCABULARY, 1, Scratch(spark, "t").path)
@@ -285,6 +383,10 @@ def test_search(spark):
         assert [r for r, _, _ in found] == [1, 2, 3, 4, 5] and all(abs(s - score[v]) < 1e-12 for _, v, s in found)
         hits += len({v for _, v, _ in found} & set(best))
     assert set(got) == set(range(0, 600, 50)) and hits >= 0.9 * 60
+    tiny = spark.createDataFrame([(i, (v.astype(float) * 1e-200).tolist()) for i, v in enumerate(x[:60])], "vec_id long, embedding array<double>")
+    full = {(r.query_id, r.vec_id): r.score for r in ann.neighbours(spark.createDataFrame([(i, v.astype(float).tolist()) for i, v in enumerate(x[:60])], "vec_id long, embedding array<double>")).collect()}
+    found = {(r.query_id, r.vec_id): r.score for r in ann.neighbours(tiny).collect()}
+    assert set(found) == set(full) and len(full) == 10 and all(abs(found[k] - full[k]) < 1e-12 for k in full)
     few = spark.createDataFrame(rows[:3], "vec_id long, embedding array<float>")
     assert ann.neighbours(few).count() == 2
     assert ann.neighbours(few.limit(0)).count() == 0
@@ -334,6 +436,26 @@ def test_warc(spark):
     assert warc.archive_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_warc_names_keys_and_sizes(spark):
+    """Names of records are unique, a URL and its stored form have one key, and files are bounded by bytes."""
+    huge = ("z" * 999 + "\r\n\r\n") * 25_000
+    rows = [(1, "http://exämple.com/x", "a"), (2, "http://a b.com/é?q=ü", huge), *((k, "http://c/", "k" * 9000) for k in (3, 4, 4, 5, 5)), (None, "http://f/", "q"), (None, "http://f/", "q")]
+    archive = warc.Archive.write(spark.createDataFrame(rows, "page_id long, url string, html string"), Scratch(spark, "t").path)
+    files = [f.read_bytes() for f in Path(archive.path.removeprefix("file://"), "archives").glob("*.txt")]
+    names = [n for f in files for n in re.findall(rb"WARC-Record-ID: (\S+)", f)]
+    assert len(set(names)) == len(names) == len(rows)
+    assert set(re.findall(rb"WARC-Refers-To: (\S+)", b"".join(files))) <= set(names)
+    got = sorted((str(r.page_id), r.record_type, str(r.refers_to), r.intact) for r in archive.entries().collect())
+    assert got == sorted([("1", "response", "None", True), ("2", "response", "None", True), ("3", "revisit", "5", True), *[("4", "revisit", "5", True)] * 2, *[("5", "response", "None", True)] * 2, *[("None", "response", "None", True)] * 2])
+    for page, url, html in rows[:2]:
+        assert [(r["page_id"], r["payload"]) for r in archive.lookup([url])] == [(page, html.encode())]
+        assert warc.url_key(url) == warc.url_key(warc.safe_url(url))
+    many = [(k, f"http://m/{k}", "y" * (1 << 20)) for k in range(40)]
+    archive = warc.Archive.write(spark.createDataFrame(many, "page_id long, url string, html string").coalesce(1), Scratch(spark, "t").path)
+    sizes = [f.stat().st_size for f in Path(archive.path.removeprefix("file://"), "archives").glob("*.txt")]
+    assert max(sizes) < warc.FILE_BYTES + (1 << 16) and sum(sizes) < 42 << 20 and archive.entries().count() == 40
+
+
 def test_warc_tells_damage_from_the_payload(spark):
     big = "<p>" + "x" * 1200
     rows = [(1, "http://a/1", big), (9, "http://a/9", big), (3, "http://a/3", "small"), *((100 + i, f"http://b/{i:05}", f"page {i}") for i in range(2500))]
@@ -355,6 +477,66 @@ def test_warc_tells_damage_from_the_payload(spark):
     assert all(whole for i, (_, _, whole) in got.items() if i not in (1, 9))
 
 
+def brute_trigrams(text):
+    """Counts of letter trigrams of a text by plain loops."""
+    letters = []
+    for c in text:
+        low = c.lower() if c.isalpha() else ""
+        letters.append((low if len(low) == 1 else c) if c.isalpha() else " ")
+    seen, words = defaultdict(int), f" {re.sub(' +', ' ', ''.join(letters)).strip()} "
+    for i in range(len(words) - 2):
+        if words[i + 1] != " ":
+            seen[words[i : i + 3]] += 1
+    return seen
+
+
+def brute_language(train, texts):
+    """Prototypes, centring and choice by plain loops over letters' vectors."""
+    b = language.Bundler()
+    letter = lambda c: b.letter(0 if c == " " else ord(c)).astype(float)
+
+    def vector(text):
+        v = sum((n**0.5 * np.roll(letter(g[0]), 2) * np.roll(letter(g[1]), 1) * letter(g[2]) for g, n in brute_trigrams(text).items()), np.zeros(language.DIMENSIONS))
+        return v / np.linalg.norm(v) if v.any() else None
+
+    total = {}
+    for lang, text in train:
+        if (v := vector(text)) is not None:
+            total[lang] = total.get(lang, 0) + v
+    names = sorted(total)
+    protos = {k: total[k] / np.linalg.norm(total[k]) for k in names}
+    mean = sum(protos.values()) / len(names)
+    out = []
+    for text in texts:
+        v = vector(text or "")
+        if v is None:
+            out.append(("und", 0.0))
+            continue
+        cosine = {k: (protos[k] - mean) @ (v - mean) / (np.linalg.norm(protos[k] - mean) * np.linalg.norm(v - mean)) for k in names}
+        best = max(names, key=lambda k: (cosine[k], -names.index(k)))
+        out.append((best, max(0.0, cosine[best])))
+    return out
+
+
+def test_language_like_brute_force(spark, sf):
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").limit(90).collect()]
+    docs += [(9001, None, "en"), (9002, "", "en"), (9003, "12 !! 34", "en"), (9004, "ÀB\nçd ǅ ß " * 40, None)]
+    got = {r.doc_id: r for r in language.identify(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()}
+    train = [(lang, t) for i, t, lang in docs if zlib.crc32(str(i).encode()) % 4 != 2 and lang is not None and t is not None]
+    for (i, _, _), (lang, score) in zip(docs, brute_language(train, [t for _, t, _ in docs]), strict=True):
+        assert got[i].lang_pred == lang and abs(got[i].score - score) < 1e-5
+
+
+def test_trigrams_cross_the_cuts_of_a_long_text(monkeypatch):
+    text = "Längere Wörter, über Grenzen hinweg  gelesen; x y z " * 5
+    whole = {tuple(chr(k >> s & 0x1FFFFF).replace("\0", " ") for s in (42, 21, 0)): n for k, n in zip(*map(list, language.trigrams(text)))}
+    assert {"".join(k): n for k, n in whole.items()} == brute_trigrams(text)
+    for size in (1, 2, 3, 7, 50):
+        monkeypatch.setattr(language, "PIECE_CHARS", size)
+        again = {tuple(chr(k >> s & 0x1FFFFF).replace("\0", " ") for s in (42, 21, 0)): n for k, n in zip(*map(list, language.trigrams(text)))}
+        assert again == whole
+
+
 def test_language(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
     odd = spark.createDataFrame([(9001, None, "en"), (9002, "", "en"), (9003, "12 !! 34", "en"), (None, "the of and", "en"), (9005, "und the", None)], docs.schema)
@@ -398,6 +580,49 @@ def test_quality(spark):
     assert quality.rank_quality(docs.limit(0), labels).count() == 0
 
 
+def test_quality_like_brute_force():
+    """Gradient of the pairwise loss, scale and cut of a fitted model by plain loops."""
+    rng = np.random.default_rng(3)
+    x, good = rng.normal(size=(300, 6)), rng.random(300) < 0.3
+    x[good] += 0.7
+    model = quality.QualityModel.fit_rows(x, good)
+    z = np.clip((x - x.mean(axis=0)) / (x.std(axis=0) + 1e-6), -5, 5)
+    yes, no = np.flatnonzero(good), np.flatnonzero(~good)
+    better, worse = quality.QualityModel.pairs(yes, no, np.random.default_rng(5))
+    assert set(better) <= set(yes) and set(worse) <= set(no) and set(better) == set(yes) and set(worse) == set(no)
+
+    def loss(w):
+        return sum(np.log1p(np.exp(-(z[i] - z[j]) @ w)) for i, j in zip(better, worse)) / len(better) + quality.RIDGE / 2 * w @ w
+
+    at = loss(model.weights)
+    for k in range(6):
+        for step in (1e-3, -1e-3):
+            moved = model.weights.copy()
+            moved[k] += step
+            assert loss(moved) > at
+    raw = np.sort(z @ model.weights)
+    place = (len(raw) - 1) * len(no) / len(raw)
+    low = int(place)
+    assert abs(model.cut - (raw[low] + (place - low) * (raw[min(low + 1, len(raw) - 1)] - raw[low]))) < 1e-9
+    assert ((model.score(x) >= 0.7) == (z @ model.weights >= model.cut - 1e-12)).all()
+
+
+def test_quality_features_by_hand():
+    got = quality.features(["", "Ab ab! x\nAb ab! x"])
+    n = quality.WORD_BUCKETS
+    assert not got[0].any() and got.shape[1] == 45 + n
+    assert np.isclose((got[1][-n:] ** 2).sum(), 1.0)
+    plain = got[1][32:-n]
+    assert np.isclose(plain[0], np.log1p(6)) and np.isclose(plain[1], 2.0) and np.isclose(plain[4], 3 / 6) and np.isclose(plain[10], 1 / 2)
+
+
+def test_quality_does_not_depend_on_order_where_ids_repeat(spark):
+    docs = [(i, f"word{i % 7} text " * (1 + i % 9)) for i in range(200)] + [(i, "!! other") for i in range(0, 200, 3)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    a, b = (quality.rank_quality(spark.createDataFrame(d, "doc_id long, text string"), labels).collect() for d in (docs, docs[::-1]))
+    assert sorted((r.doc_id, r.score) for r in a) == sorted((r.doc_id, r.score) for r in b)
+
+
 def brute_chat(turns, a, b):
     conv = {k: sorted([(t if t is not None else -1, r or "", x or "") for c, t, r, x in turns if c == k]) for k in (a, b)}
     render = lambda t: f"<|{t[1]}|>\n{t[2]}\n<|end|>\n"
@@ -444,8 +669,8 @@ def test_answer_preferences(spark, sf):
     assert chat.answer_preferences(df.where("conv_id in (1, 5, 8)")).count() == 0 and chat.answer_preferences(df.limit(0)).count() == 0
     con = duckdb.connect()
     con.sql(f"create view conversations as select * from read_parquet('{sf}/conversations.parquet')")
-    want = con.sql(ORACLE_SQL["op10_answer_preference"])
-    rows = QUERIES["op10_answer_preference"](spark, sf).select(want.columns).collect()
+    want = con.sql(ORACLE_SQL["op10_preference_chat"])
+    rows = QUERIES["op10_preference_chat"](spark, sf).select(want.columns).collect()
     assert sorted(map(tuple, rows)) == sorted(want.fetchall()) and rows and all(r.prompt for r in rows)
 
 
@@ -466,6 +691,70 @@ def test_pipeline_labels_documents_without_a_language(spark, sf):
     assert np.mean([got[i] == want[i] for i in want if i % 5 == 0]) > 0.9
 
 
+def test_pipeline_refuses_noise_and_keeps_short_texts(spark, sf):
+    import corpus_pipeline as p
+
+    rng = random.Random(6)
+    noise = [(-1 - i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(n)), "en", "s", n) for i, n in enumerate((300, 900, 5000))]
+    short = [(-10, "Yes.", None, "s", 4), (-11, "qx zv", "en", "s", 5)]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    got = {r.doc_id for r in p.language_id(spark, docs.union(spark.createDataFrame(noise + short, docs.schema)), sf).collect()}
+    want = {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
+    assert got == want | {-10, -11}
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.doc_id for r in p.language_id(spark, unlabelled, sf).collect()} == want
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars int, found string, score double, evidence long, row long, gone long, place long, mix_id long, mix_at double, file string, at long, base long, path string, rows long, component_id long"
+
+
+def odd_rows():
+    """Null and shared ids, equal texts under one id, near copies without an id."""
+    long = [f"Word{i}" for i in range(80)]
+    texts = [(None, " ".join(long)), (None, " ".join([*long[:79], "other"])), (7, " ".join([*long[:78], "other", "two"])), (7, "Ab cd ef gh"), (7, "ab cd ef gh"), (None, "ab CD ef gh"), (8, None), (9, ""), (3, "only here")]
+    return [(i, t, "en", "s1" if k % 2 else None, 1, "f", 0.5, 1, 2, 3, 4, 5, 6.0, "x", 7, 8, "y", 9, 10) for k, (i, t) in enumerate(texts)]
+
+
+def test_pipeline_on_odd_rows_and_clashing_names(spark):
+    import corpus_pipeline as p
+
+    frame = spark.createDataFrame(odd_rows(), ODD)
+    one = p.language_id(spark, frame, "")
+    assert one.columns == frame.columns and one.count() == 7
+    two = p.exact_dedup(spark, one, "")
+    assert two.columns == frame.columns
+    assert sorted((str(r.doc_id), low(r.text)) for r in two.collect()) == sorted((str(i), low(t)) for i, t in {low(t): (i, t) for i, t, *_ in odd_rows() if t and not (i is None and "ab cd" in low(t))}.values())
+    alone = p.exact_dedup(spark, spark.createDataFrame([(5, "Abc", "en", "s", 3)] * 2 + [(5, "abc", "en", "s", 3)], "doc_id long, text string, lang string, source string, n_chars int"), "")
+    assert alone.count() == 1
+    three = p.near_dedup(spark, two, "")
+    assert three.columns == frame.columns
+    assert sorted((r.doc_id, low(r.text)[:9]) for r in three.collect()) == [(3, "only here"), (7, "ab cd ef "), (7, "word0 wor")]
+    four = p.mix_sources(spark, three, "")
+    assert four.columns == frame.columns
+    five = p.encode(spark, four, "")
+    assert five.columns == ["place", "doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+    none = frame.limit(0)
+    for _, stage in p.STAGES:
+        assert stage(spark, none, "").count() == 0
+
+
+def test_pipeline_keeps_the_training_order(spark, sf):
+    """Rows of the last stage follow the plan of the mix through the files between the stages."""
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    folder = Scratch(spark, "order")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    mixed = folder.save(p.mix_sources(spark, docs, sf), "mixed")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(mixed.inputFiles()) > 1
+    got = [(r.doc_id, r.n_tokens, len(r.ids)) for r in sorted(p.encode(spark, mixed, sf).collect(), key=lambda r: r.place)]
+    plan = sorted((t, r.doc_id) for r in mixing.mix(docs).collect() for t in r.positions)
+    assert [i for i, _, _ in got] == [i for _, i in plan] and all(n == m for _, n, m in got)
+    places = [r.place for r in p.encode(spark, mixed, sf).select("place").collect()]
+    assert sorted(places) == list(range(len(plan)))
+
+
 def test_pipeline(spark, awkward):
     import corpus_pipeline as p
 
@@ -491,4 +780,7 @@ def test_pipeline(spark, awkward):
     for r in four.collect():
         seen[r.doc_id] += 1
     assert four.columns == frame.columns and dict(seen) == {i: n for i, n in passes.items() if n}
-    assert p.encode(spark, four, "").count() == four.count()
+    library, texts = Tokenizer.from_file(VOCABULARY), {r.doc_id: r.text for r in four.collect()}
+    five = p.encode(spark, four, "").collect()
+    assert sorted(r.doc_id for r in five) == sorted(r.doc_id for r in four.collect())
+    assert all(list(r.ids) == library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids for r in five)
