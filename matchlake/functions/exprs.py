@@ -130,18 +130,19 @@ def orientation(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy:
     return F.signum((bx - ax) * (cy - ay) - (by - ay) * (cx - ax))
 
 
-def segments_intersect(p: Sequence[Column], q: Sequence[Column], r: Sequence[Column], s: Sequence[Column]) -> Column:
-    """Whether segments pq and rs meet, touching included; points are ``(x, y)`` pairs."""
-    on = lambda a, b, c: (F.least(a[0], b[0]) <= c[0]) & (c[0] <= F.greatest(a[0], b[0])) & (F.least(a[1], b[1]) <= c[1]) & (c[1] <= F.greatest(a[1], b[1]))
-    side = lambda a, b, c: orientation(*a, *b, *c)
-    o1, o2, o3, o4 = side(p, q, r), side(p, q, s), side(r, s, p), side(r, s, q)
-    touches = ((o1 == 0) & on(p, q, r)) | ((o2 == 0) & on(p, q, s)) | ((o3 == 0) & on(r, s, p)) | ((o4 == 0) & on(r, s, q))
-    return ((o1 != o2) & (o3 != o4)) | touches
-
-
-def crosses_directed(p: Sequence[Column], q: Sequence[Column], r: Sequence[Column], s: Sequence[Column]) -> Column:
-    """Whether a move from p to q crosses boundary rs from its left to its right."""
-    return segments_intersect(p, q, r, s) & (orientation(*r, *s, *p) > 0) & (orientation(*r, *s, *q) < 0)
+def segments_intersect(p: Sequence[Column], q: Sequence[Column], r: Sequence[Column], s: Sequence[Column], slack: float = 1e-9) -> Column:
+    """Whether segments pq and rs meet, touching within ``slack`` included; points are ``(x, y)`` pairs."""
+    on = lambda a, b, c: (F.least(a[0], b[0]) - slack <= c[0]) & (c[0] <= F.greatest(a[0], b[0]) + slack) & (F.least(a[1], b[1]) - slack <= c[1]) & (c[1] <= F.greatest(a[1], b[1]) + slack)
+    turn = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+    o1, o2, o3, o4 = turn(p, q, r), turn(p, q, s), turn(r, s, p), turn(r, s, q)
+    flat = lambda o: F.abs(o) <= slack
+    touches = (flat(o1) & on(p, q, r)) | (flat(o2) & on(p, q, s)) | (flat(o3) & on(r, s, p)) | (flat(o4) & on(r, s, q))
+    return ((o1 * o2 < 0) & (o3 * o4 < 0)) | touches
+
+
+def crosses_directed(p: Sequence[Column], q: Sequence[Column], r: Sequence[Column], s: Sequence[Column], direction: Sequence[float | Column]) -> Column:
+    """Whether a move from p to q goes along ``direction`` and meets boundary rs, touching included."""
+    return ((q[0] - p[0]) * direction[0] + (q[1] - p[1]) * direction[1] > 0) & segments_intersect(p, q, r, s)
 
 
 def inside_box(x: Column, y: Column, box: Column) -> Column:

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchlake.operators.ordered import fold
 from matchlake.operators.temporal import band_join
 from matchlake.sources.work import staged
 
@@ -63,21 +63,29 @@ def assign_shots(predicted: DataFrame, expected: DataFrame, tolerance: float = M
     As many pairs as can be, then the least summed ``dt``; :func:`match_shots` takes the nearest first and may end with
     fewer. A robot's launches are cut where none follows within the tolerance, and each chain is solved in one fold.
     """
-    side = lambda d, ref: d.select("job_id", "robot", "shot_id", "t", F.lit(ref).alias("ref")).where("job_id is not null and robot is not null and t is not null")
+    side = lambda d, ref: d.select("job_id", "robot", "shot_id", F.col("t").cast("double").alias("t"), F.lit(ref).alias("ref")).where("job_id is not null and robot is not null and t is not null")
     both = side(predicted, False).unionByName(side(expected, True))
-    by_time = Window.partitionBy("job_id", "robot").orderBy("t", "ref", "shot_id")
-    cut = F.coalesce((F.col("t") - F.lag("t").over(by_time) > tolerance).cast("int"), F.lit(0))
-    chains = both.withColumn("cut", cut).withColumn("chain", F.sum("cut").over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
-
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["t", "shot_id"])
-        p, r = rows[~rows.ref], rows[rows.ref]
-        pairs = _assigned(p.t.tolist(), r.t.tolist(), tolerance)
-        made = [(p.job_id.iloc[a], p.shot_id.iloc[a], r.shot_id.iloc[b], abs(p.t.iloc[a] - r.t.iloc[b])) for a, b in pairs]
-        return pd.DataFrame(made, columns=["job_id", "shot_id", "ref_id", "dt"])
-
-    kind = ", ".join(f"{n} {both.schema[c].dataType.simpleString()}" for n, c in (("job_id", "job_id"), ("shot_id", "shot_id"), ("ref_id", "shot_id")))
-    return chains.groupBy("job_id", "robot", "chain").applyInPandas(solve, f"{kind}, dt double")
+    kind = both.schema["shot_id"].dataType.simpleString()
+    found = fold(both, ["job_id", "robot"], ["t", "ref", "shot_id"], ["t", "ref", "shot_id"], lambda: _Chain(tolerance), f"shot_id {kind}, ref_id {kind}, dt double")
+    return found.select("job_id", "shot_id", "ref_id", "dt")
+
+
+class _Chain:
+    """Launches in order of time; those so far are solved once the next is out of reach."""
+
+    def __init__(self, tolerance: float):
+        self.tolerance, self.sides, self.last = tolerance, ([], []), None
+
+    def row(self, t: float, ref: bool, shot) -> list[tuple]:
+        out = self.close() if self.last is not None and t - self.last > self.tolerance else []
+        self.sides[ref].append((t, shot))
+        self.last = t
+        return out
+
+    def close(self) -> list[tuple]:
+        (p, r), self.sides = self.sides, ([], [])
+        pairs = _assigned([t for t, _ in p], [t for t, _ in r], self.tolerance)
+        return [(p[a][1], r[b][1], abs(p[a][0] - r[b][0])) for a, b in pairs]
 
 
 def launch_score(matched: DataFrame, predicted: DataFrame, expected: DataFrame) -> DataFrame:

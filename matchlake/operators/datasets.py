@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchlake.functions.exprs import crc_split, sha_fraction, source_stem
+from matchlake.operators.ordered import fold, numbered
 
 
 def with_split(frames: DataFrame, name: str = "name") -> DataFrame:
@@ -36,13 +37,14 @@ def even_share(labels: DataFrame, order: Sequence[str], human: str, ratio: float
     """All human rows and evenly strided others, at most ``ratio`` times as many."""
     h = labels.where(human)
     most = max(1, int(h.count() * ratio))
-    machine = labels.where(f"not ({human})").withColumn("_all", F.lit(0))
-    return h.unionByName(strided(machine, ["_all"], order, most).drop("_all"))
+    machine = numbered(labels.where(f"not ({human})"), order, "_i")
+    step = max(1, -(-machine.count() // most))
+    return h.unionByName(machine.where(F.col("_i") % step == 0).drop("_i"))
 
 
 def dealt(frames: DataFrame, order: Sequence[str], packs: int) -> DataFrame:
-    """Adds ``pack`` by dealing rows round robin in order. The order is global, so only keys travel through one task."""
-    return frames.withColumn("pack", (F.row_number().over(Window.orderBy(*order)) - 1) % packs)
+    """Adds ``pack`` by dealing rows round robin in the whole table's order."""
+    return numbered(frames, order, "_i").withColumn("pack", F.col("_i") % packs).drop("_i")
 
 
 def sample_times(segments: DataFrame, n: int) -> DataFrame:
@@ -51,11 +53,25 @@ def sample_times(segments: DataFrame, n: int) -> DataFrame:
     return times.orderBy("turn", "segment")
 
 
+class _Spaced:
+    def __init__(self, gap: float):
+        self.gap, self.last = gap, None
+
+    def row(self, t) -> list[tuple]:
+        if self.last is not None and t - self.last < self.gap:
+            return []
+        self.last = t
+        return [(t,)]
+
+    def close(self) -> list[tuple]:
+        return []
+
+
 def spaced(df: DataFrame, keys: Sequence[str], time: str, gap: float) -> DataFrame:
-    """Rows at least ``gap`` after the last kept one of their key: the choice is a fold over the key's times."""
-    times = df.groupBy(*keys).agg(F.array_sort(F.collect_set(time)).alias("_t"))
-    kept = times.select(*keys, F.explode(F.aggregate("_t", F.slice("_t", 1, 0), lambda k, t: F.when((F.size(k) == 0) | (t - F.element_at(k, -1) >= gap), F.concat(k, F.array(t))).otherwise(k))).alias(time))
-    return df.join(kept, [*keys, time], "left_semi")
+    """Rows at least ``gap`` after the last kept one of their key; a fold over the key's times that knows the last one kept."""
+    times = df.select(*keys, time).where(F.col(time).isNotNull()).distinct()
+    kind = df.schema[time].dataType.simpleString()
+    return df.join(fold(times, keys, [time], [time], lambda: _Spaced(gap), f"`{time}` {kind}"), [*keys, time], "left_semi")
 
 
 def held_out_report(counts: DataFrame, full: int = 6) -> DataFrame:
@@ -105,13 +121,62 @@ def coco_rows(boxes: DataFrame) -> DataFrame:
     x2, y2 = F.least(F.lit(1.0), F.col("x") + F.col("w")), F.least(F.lit(1.0), F.col("y") + F.col("h"))
     px = lambda v, n: F.bround(v * F.col(n), 3)
     rows = boxes.where(reviewed == 0).select("image_id", px(x1, "width").alias("x"), px(y1, "height").alias("y"), px(x2 - x1, "width").alias("w"), px(y2 - y1, "height").alias("h")).where("w > 0 and h > 0")
-    before = Window.orderBy("image_id").rowsBetween(Window.unboundedPreceding, -1)
-    bases = rows.groupBy("image_id").agg(F.count("*").alias("n")).select("image_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    place = F.row_number().over(Window.partitionBy("image_id").orderBy("x", "y", "w", "h"))
-    numbered = rows.withColumn("place", place).join(bases, "image_id").withColumn("id", F.col("base") + F.col("place"))
-    return numbered.select("image_id", "x", "y", "w", "h", "id", F.bround(F.col("w") * F.col("h"), 3).alias("area"))
+    ids = numbered(rows, ["image_id", "x", "y", "w", "h"], "_i").withColumn("id", F.col("_i") + 1)
+    return ids.select("image_id", "x", "y", "w", "h", "id", F.bround(F.col("w") * F.col("h"), 3).alias("area"))
 
 
 def retained(jobs: DataFrame, now: Column, grace_days: int) -> DataFrame:
     """Media that may go: of complete jobs, downloaded, and untouched for the days of grace."""
     return jobs.where((F.col("status") == "complete") & F.col("local_path").isNotNull() & (F.col("capture_mode") != "local") & (F.col("updated_at") < now - F.make_dt_interval(F.lit(grace_days))))
+
+
+def reviewed_frames(manifest: DataFrame) -> DataFrame:
+    """``stem`` of the frames that a human has looked at: not merely proposed, and no review outstanding; ``manifest (image, status, human_review_required)``."""
+    done = (F.col("status").isNull() | (F.col("status") != "proposed")) & ~F.coalesce("human_review_required", F.lit(False))
+    return manifest.where(done).select(F.regexp_extract("image", r"([^/]*?)(?:\.[^./]*)?$", 1).alias("stem")).distinct()
+
+
+def truth_counts(lines: DataFrame, keep: DataFrame | None = None) -> DataFrame:
+    """``stem, n``: label lines that are not blank per frame; a frame without any says nothing and is left out. ``lines (stem, value)``."""
+    n = lines.where(F.trim("value") != "").groupBy("stem").agg(F.count("*").alias("n"))
+    return n if keep is None else n.join(keep.select("stem").distinct(), "stem", "left_semi")
+
+
+def by_event(frames: DataFrame, events: DataFrame, least: int = 6) -> DataFrame:
+    """``label, frames, done``: frames per event, most first, and those with ``least`` robots or more.
+
+    ``frames (stem, count)``; a stem begins with its video's 11 characters, which ``events (video, event)`` names. An
+    event that begins with a year is shown without it.
+    """
+    named = frames.withColumn("video", F.substring("stem", 1, 11)).join(events, "video", "left").withColumn("event", F.coalesce("event", "video"))
+    label = F.when(F.col("event").rlike(r"^\d{4}"), F.upper(F.expr("substring(event, 5)"))).otherwise(F.col("event"))
+    return named.groupBy(label.alias("label")).agg(F.count("*").alias("frames"), F.count_if(F.col("count") >= least).alias("done")).orderBy(F.desc("frames"), "label")
+
+
+def frame_verdict(readable: Column, flat_share: Column, brightness: Column, spread: Column) -> Column:
+    """Why a frame is refused, by measures of its pixels, or ``ok``: graphic card, too bright, too dark, no contrast."""
+    return (
+        F.when(~F.coalesce(readable, F.lit(False)), "unreadable").when(flat_share > 0.42, "graphic_card").when(brightness > 175.0, "overbright_graphic")
+        .when(brightness < 35.0, "too_dark").when(spread < 18.0, "no_contrast").otherwise("ok")
+    )
+
+
+def tile_origins(total: Column, tile: Column, overlapping: float) -> Column:
+    """Offsets of tiles along one side, flush with its far end; one for a side no longer than a tile, none without size."""
+    step = F.greatest(F.lit(1), F.floor(tile * (1.0 - overlapping))).cast("long")
+    last = (total - tile).cast("long")
+    return F.when((tile <= 0) | (total <= 0), F.array().cast("array<bigint>")).when(total <= tile, F.array(F.lit(0).cast("long"))).otherwise(F.array_union(F.sequence(F.lit(0).cast("long"), last, step), F.array(last)))
+
+
+def from_tile(box: Column, tile: Column, width: Column, height: Column) -> Column:
+    """A box of a tile ``struct(x, y, w, h)`` in pixels, as a box of the frame."""
+    at = lambda c, w, n: (box[c] * tile[w] + tile[c]) / n
+    return F.struct(at("x", "w", width).alias("x"), at("y", "h", height).alias("y"), (box["w"] * tile["w"] / width).alias("w"), (box["h"] * tile["h"] / height).alias("h"))
+
+
+def clipped_by_tile(box: Column, tile: Column, width: Column, height: Column, pixels: float = 2.0) -> Column:
+    """Whether a box touches an edge of its tile that is no edge of the frame."""
+    mx, my = pixels / tile["w"], pixels / tile["h"]
+    low = ((box["x"] <= mx) & (tile["x"] > 0)) | ((box["y"] <= my) & (tile["y"] > 0))
+    high = ((box["x"] + box["w"] >= 1 - mx) & (tile["x"] + tile["w"] < width)) | ((box["y"] + box["h"] >= 1 - my) & (tile["y"] + tile["h"] < height))
+    return low | high

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from matchlake.functions.aggregates import nearest_rank, rounded_median
 from matchlake.functions.exprs import PHASES, distance, share
-from matchlake.functions.folds import leader_clusters
+from matchlake.operators.ordered import Leaders, fold
 from matchlake.operators.temporal import islands, sessions
 
 STATIONARY_FTPS, SPOT_RADIUS_FT, VOLLEY_GAP_S, DEFENSE_RADIUS_FT, START_WINDOW_S, PATH_TOLERANCE_S = 1.0, 4.0, 3.0, 6.0, 1.5, 0.3
@@ -31,8 +31,9 @@ def movement(samples: DataFrame, step: float) -> DataFrame:
     moving = F.when(F.col("speed") >= STATIONARY_FTPS, F.col("speed"))
     base = placed.groupBy(*KEYS).agg(
         F.bround(F.coalesce(F.sum(moving), F.lit(0.0)) * step, 1).alias("distance_ft"), rounded_median(moving).alias("median_moving_speed_ftps"),
-        F.bround(nearest_rank(F.col("speed"), 0.95), 2).alias("top_speed_ftps"), share(F.count("speed") - F.count(moving), F.count("speed")).alias("stationary_share"),
+        share(F.count("speed") - F.count(moving), F.count("speed")).alias("stationary_share"),
     )
+    base = base.join(nearest_rank(placed, KEYS, "speed", 0.95, "_top"), KEYS, "left").withColumn("top_speed_ftps", F.bround("_top", 2)).drop("_top")
     w = Window.partitionBy(*KEYS).orderBy("t")
     still = F.coalesce(F.col("speed") < STATIONARY_FTPS, F.lit(False))
     runs = placed.withColumn("_still", still).withColumn("_gap", F.col("t") - F.lag("t").over(w)).withColumn("_was", F.lag("_still").over(w))
@@ -101,13 +102,27 @@ def dwell(samples: DataFrame, volley: DataFrame, radius: float = SPOT_RADIUS_FT)
     return best.select(*KEYS, "volley", F.bround(F.greatest("s.hi", "end") - F.least("s.lo", "start"), 1).alias("dwell_s"))
 
 
+class _Spots:
+    """Leader clusters of one robot's launches, ranked at the end."""
+
+    def __init__(self, radius: float):
+        self.found = Leaders(radius)
+
+    def row(self, x: float, y: float) -> list[tuple]:
+        if x is not None and y is not None:
+            self.found.add(x, y)
+        return []
+
+    def close(self) -> list[tuple]:
+        n = sum(c[2] for c in self.found.sums)
+        return [(rank, sx / k, sy / k, k, n) for rank, (sx, sy, k) in enumerate(self.found.ranked(), 1)]
+
+
 def spots(launches: DataFrame, hub_x: float, hub_y: float, radius: float = SPOT_RADIUS_FT) -> DataFrame:
-    """Shooting spots of each robot, largest first, with share and distance to the hub."""
-    placed = launches.where("ax is not null")
-    ordered = placed.groupBy(*KEYS).agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "shot_id", F.col("ax").alias("x"), F.col("ay").alias("y")))), lambda r: F.struct(r["x"].alias("x"), r["y"].alias("y"))).alias("points"))
-    found = ordered.select(*KEYS, F.size("points").alias("n"), F.posexplode(leader_clusters(F.col("points"), radius)).alias("rank", "c"))
-    cx, cy = F.col("c.sx") / F.col("c.n"), F.col("c.sy") / F.col("c.n")
-    return found.select(*KEYS, (F.col("rank") + 1).alias("rank"), F.bround(cx, 2).alias("ax"), F.bround(cy, 2).alias("ay"), F.col("c.n").alias("launches"), share(F.col("c.n"), F.col("n")).alias("share"), F.bround(F.hypot(cx - hub_x, cy - hub_y), 1).alias("distance_to_hub_ft"))
+    """Shooting spots of each robot, largest first, with share and distance to the hub; launches stream in order of time."""
+    placed = launches.where("ax is not null").select(*KEYS, "t", "shot_id", "ax", "ay")
+    found = fold(placed, KEYS, ["t", "shot_id", "ax", "ay"], ["ax", "ay"], lambda: _Spots(radius), "rank int, cx double, cy double, launches int, n int")
+    return found.select(*KEYS, "rank", F.bround("cx", 2).alias("ax"), F.bround("cy", 2).alias("ay"), "launches", share(F.col("launches"), F.col("n")).alias("share"), F.bround(F.hypot(F.col("cx") - hub_x, F.col("cy") - hub_y), 1).alias("distance_to_hub_ft"))
 
 
 def shooting(samples: DataFrame, launches: DataFrame, hub_x: float, hub_y: float) -> DataFrame:

@@ -5,7 +5,7 @@ A frame holds a few dozen boxes, so folds run over one frame's ordered array; ev
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,8 +13,12 @@ from pyspark.sql import functions as F
 
 from matchlake.functions.exprs import centre_distance, iou, is_finite
 from matchlake.functions.folds import suppress
+from matchlake.operators.ordered import fold
+from matchlake.sources.work import staged
 
 FUSE_IOU, AGREEMENT_EXPONENT, TIGHTNESS_FLOOR, LEAST_WEIGHT = 0.40, 0.5, 0.7, 0.1
+#: Frames that a box must span to be confirmed by time.
+CONFIRMED_FRAMES = 3
 _BOX = "struct<confidence:double,source:string,x:double,y:double,w:double,h:double>"
 
 
@@ -49,34 +53,89 @@ def clusters(proposals: DataFrame, least: float = FUSE_IOU, best: bool = False)
 
 def source_weights(proposals: DataFrame, least: float = FUSE_IOU) -> DataFrame:
     """``source, weight``: the share of a source's boxes that another source overlaps, at least LEAST_WEIGHT, with mean 1."""
-    frames = _frames(proposals).withColumn("b", F.explode("boxes"))
-    backed = F.exists("boxes", lambda o: (o["source"] != F.col("b.source")) & (iou(o, F.col("b")) >= least))
-    rates = frames.groupBy(F.col("b.source").alias("source")).agg(F.greatest(F.lit(LEAST_WEIGHT), F.avg(backed.cast("int"))).alias("rate"))
+    rows = proposals.select("frame_id", "source", "x", "y", "w", "h")
+    backed = fold(rows, ["frame_id"], [], ["source", "x", "y", "w", "h"], lambda: _Backing(least), "source string, boxes long, backed long")
+    rates = backed.groupBy("source").agg(F.greatest(F.lit(LEAST_WEIGHT), F.sum("backed") / F.sum("boxes")).alias("rate"))
     return rates.select("source", (F.col("rate") / F.avg("rate").over(Window.partitionBy())).alias("weight"))
 
 
+class _Backing:
+    """Of one frame, the boxes of each source and those of them that another source overlaps."""
+
+    def __init__(self, least: float):
+        self.least, self.boxes = least, []
+
+    def row(self, *box) -> list[tuple]:
+        self.boxes.append(box)
+        return []
+
+    def close(self) -> list[tuple]:
+        counts: dict[str, list[int]] = {}
+        for s, *a in self.boxes:
+            n = counts.setdefault(s, [0, 0])
+            n[0] += 1
+            n[1] += any(o != s and overlap(a, b) >= self.least for o, *b in self.boxes)
+        return [(s, n, k) for s, (n, k) in counts.items()]
+
+
+def overlap(a: Sequence[float], b: Sequence[float]) -> float:
+    """Overlap of two ``x, y, w, h`` boxes by union, 0 where they have no area."""
+    w = max(0.0, min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0]))
+    h = max(0.0, min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1]))
+    union = a[2] * a[3] + b[2] * b[3] - w * h
+    return w * h / union if union > 0 else 0.0
+
+
 def _pairwise(members: Column) -> Column:
     n = F.size(members)
     return F.flatten(F.transform(members, lambda a, i: F.transform(F.slice(members, i + 2, n), lambda b: iou(a, b))))
 
 
-def fuse(proposals: DataFrame, weights: DataFrame | None = None, least: float = FUSE_IOU) -> DataFrame:
-    """Weighted mean box of each cluster, with agreement of sources, mean pairwise overlap and confidence."""
-    w = proposals.withColumn("weight", F.lit(1.0)) if weights is None else proposals.join(F.broadcast(weights), "source", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
-    named = w.select("frame_id", "source", "weight").distinct()
-    total = named.groupBy("frame_id").agg(F.sum("weight").alias("total"))
-    found = clusters(proposals, least).withColumn("pairs", _pairwise(F.col("members"))).withColumn("m", F.explode("members")).withColumn("source", F.col("m.source"))
-    m = found.join(named, ["frame_id", "source"]).withColumn("v", F.col("weight") * F.greatest(F.lit(1e-6), F.col("m.confidence")))
-    mean = lambda c: (F.sum(F.col(c) * F.col("v")) / F.sum("v"))
-    g = m.groupBy("frame_id", "cluster").agg(
-        *[F.bround(mean(f"m.{c}"), 6).alias(c) for c in "xywh"], mean("m.confidence").alias("strength"), F.sum("weight").alias("backing"),
-        F.array_sort(F.collect_set("source")).alias("supporting_sources"), F.first("pairs").alias("pairs"),
-    ).join(total, "frame_id")
-    tight = F.when(F.size("pairs") > 0, F.aggregate("pairs", F.lit(0.0), lambda s, v: s + v) / F.size("pairs")).otherwise(0.0)
-    agree = F.least(F.lit(1.0), F.col("backing") / F.col("total"))
+class _Fusion:
+    """Clusters of one frame's boxes, most confident first, and the weighted mean of each."""
+
+    def __init__(self, least: float):
+        self.least, self.found, self.total = least, [], 0.0
+
+    def row(self, source: str, x: float, y: float, w: float, h: float, confidence: float, weight: float, total: float) -> list[tuple]:
+        box, self.total = (x, y, w, h), total
+        for members in self.found:
+            if all(m[0] != source for m in members) and max(overlap(m[1], box) for m in members) >= self.least:
+                members.append((source, box, confidence, weight))
+                return []
+        self.found.append([(source, box, confidence, weight)])
+        return []
+
+    def close(self) -> list[tuple]:
+        out = []
+        for cluster, members in enumerate(self.found):
+            values = [w * max(1e-6, c) for _, _, c, w in members]
+            mean = lambda xs: sum(x * v for x, v in zip(xs, values)) / sum(values)  # noqa: B023, E731
+            pairs = [overlap(a[1], b[1]) for i, a in enumerate(members) for b in members[i + 1 :]]
+            sources = sorted({m[0] for m in members})
+            backing = sum(m[3] for m in members)
+            out.append((cluster, *[mean([m[1][k] for m in members]) for k in range(4)], mean([m[2] for m in members]), min(1.0, backing / self.total), sum(pairs) / len(pairs) if pairs else 0.0, sources))
+        return out
+
+
+def fuse(proposals: DataFrame, weights: DataFrame | None = None, least: float = FUSE_IOU, frames: DataFrame | None = None) -> DataFrame:
+    """Weighted mean box of each cluster, with agreement of sources, mean pairwise overlap and confidence.
+
+    Agreement is the weight of the sources in a cluster out of that of all that looked at the frame: ``frames
+    (frame_id, source)`` lists those, also where they found nothing; without it only sources with a box count.
+    """
+    p = proposals.select("frame_id", "source", "x", "y", "w", "h", "confidence")
+    weigh = lambda df: df.withColumn("weight", F.lit(1.0)) if weights is None else df.join(weights.select("source", "weight"), "source", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+    ran = p.select("frame_id", "source") if frames is None else frames.select("frame_id", "source").union(p.select("frame_id", "source"))
+    total = weigh(ran.distinct()).groupBy("frame_id").agg(F.sum("weight").alias("total"))
+    rows = weigh(p).join(total, "frame_id")
+    kind = "cluster int, x double, y double, w double, h double, strength double, agreement double, tightness double, supporting_sources array<string>"
+    g = fold(rows, ["frame_id"], [F.desc("confidence"), "source", "x", "y", "w", "h"], ["source", "x", "y", "w", "h", "confidence", "weight", "total"], lambda: _Fusion(least), kind)
     conf = F.col("strength") * F.pow(F.col("agreement"), AGREEMENT_EXPONENT) * (TIGHTNESS_FLOOR + (1 - TIGHTNESS_FLOOR) * F.col("tightness"))
-    out = g.withColumn("tightness", tight).withColumn("agreement", agree).withColumn("confidence", F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), conf)), 6))
-    return out.select("frame_id", "cluster", "x", "y", "w", "h", "confidence", "supporting_sources", F.size("supporting_sources").alias("agreement_count"), F.bround("agreement", 4).alias("agreement"), F.bround("tightness", 4).alias("tightness"), F.bround("strength", 4).alias("strength"))
+    return g.select(
+        "frame_id", "cluster", *[F.bround(c, 6).alias(c) for c in "xywh"], F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), conf)), 6).alias("confidence"), "supporting_sources",
+        F.size("supporting_sources").alias("agreement_count"), F.bround("agreement", 4).alias("agreement"), F.bround("tightness", 4).alias("tightness"), F.bround("strength", 4).alias("strength"),
+    )
 
 
 def consensus(proposals: DataFrame, models: int, least: float = 0.5) -> DataFrame:
@@ -149,25 +208,21 @@ def link_frames(boxes: DataFrame, least: float = 0.30, misses: int = 2) -> DataF
         active: list[dict] = []
         made = 0
 
-        def overlap(a, b) -> float:
-            w = max(0.0, min(a.x + a.w, b.x + b.w) - max(a.x, b.x))
-            h = max(0.0, min(a.y + a.h, b.y + b.h) - max(a.y, b.y))
-            union = a.w * a.h + b.w * b.h - w * h
-            return w * h / union if union > 0 else 0.0
+        box = lambda b: (b.x, b.y, b.w, b.h)
 
         def link(rows: pd.DataFrame) -> list[int]:
             nonlocal active, made
             index, out, claimed = rows.frame_index.iloc[0], [], set()
             active = [t for t in active if index - t["seen"] - 1 <= misses]
             for b in rows.itertuples():
-                fits = [(overlap(t["box"], b), t) for t in active if t["id"] not in claimed]
+                fits = [(overlap(t["box"], box(b)), t) for t in active if t["id"] not in claimed]
                 fits = [f for f in fits if f[0] >= least]
                 if fits:
                     t = max(fits, key=lambda f: (f[0], f[1]["id"]))[1]
                 else:
                     made += 1
                     active.append(t := {"id": made})
-                t["box"], t["seen"] = b, index
+                t["box"], t["seen"] = box(b), index
                 claimed.add(t["id"])
                 out.append(t["id"])
             return out
@@ -226,3 +281,21 @@ def near_links(boxes: DataFrame, other: DataFrame, limit: float) -> DataFrame:
     """Pairs of boxes of one frame whose centres are within ``limit``."""
     a, b = boxes.select("frame_id", F.struct("x", "y", "w", "h").alias("a")), other.select("frame_id", F.struct("x", "y", "w", "h").alias("b"))
     return a.join(b, "frame_id").withColumn("distance", centre_distance(F.col("a"), F.col("b"))).where(F.col("distance") <= limit)
+
+
+def label_sequence(boxes: DataFrame, frames: DataFrame) -> DataFrame:
+    """Proposed labels of a clip: its detector's boxes fused with those of them that persist over frames.
+
+    ``frames (clip, frame_index, t, verdict)``, ``boxes (clip, frame_index, confidence, x, y, w, h)``; boxes of frames
+    whose verdict is not ``ok`` are left out. Columns as of :func:`fuse`, with ``clip, frame_index, t`` and the status of
+    a proposal. Both sources look at every frame kept, so a box that does not persist has half the agreement or so.
+    """
+    ok = frames.where("verdict = 'ok'").select("clip", "frame_index", "t")
+    seen = boxes.join(ok.select("clip", "frame_index"), ["clip", "frame_index"], "left_semi")
+    spans = link_frames(seen).withColumn("span", F.max("frame_index").over(Window.partitionBy("clip", "track")) - F.min("frame_index").over(Window.partitionBy("clip", "track")) + 1)
+    key = F.to_json(F.struct("clip", "frame_index")).alias("frame_id")
+    cols = [F.col(c) for c in ("x", "y", "w", "h", "confidence")]
+    both = staged(seen.select(key, F.lit("detector").alias("source"), *cols).unionByName(spans.where(F.col("span") >= CONFIRMED_FRAMES).select(key, F.lit("time").alias("source"), *cols)))
+    looked = ok.select(key, F.explode(F.array(F.lit("detector"), F.lit("time"))).alias("source"))
+    fused = fuse(both, source_weights(both), frames=looked)
+    return ok.select("clip", "frame_index", "t", key).join(fused, "frame_id").drop("frame_id").withColumn("status", F.lit("proposed")).withColumn("human_review_required", F.lit(True))

@@ -26,10 +26,19 @@ def cell(value: Column, size: float, extent: float) -> Column:
     return F.least(F.floor(value / size), F.lit(int(extent // size)))
 
 
+def _weighted(counted: DataFrame, weights: DataFrame, key: str, by: list[str], count_as: str) -> DataFrame:
+    """Counts, summed weights ``_w`` and matches of ``counted (key, match_id, by, _n)``."""
+    w = counted.join(weights.select(key, "match_id", "weight"), [key, "match_id"])
+    return w.groupBy(key, *by).agg(F.sum("_n").alias(count_as), F.sum(F.col("_n") * F.col("weight")).alias("_w"), F.count("*").alias("matches"))
+
+
 def grid(points: DataFrame, weights: DataFrame, length: float, width: float, key: str = "team", size: float = CELL_FT, count_as: str = "launches") -> DataFrame:
-    """``points (key, match_id, ax, ay)`` binned: count, weight, matches, and intensity against the key's peak."""
-    w = points.where("ax is not null and ay is not null").join(weights.select(key, "match_id", "weight"), [key, "match_id"])
-    cells = w.groupBy(key, cell(F.col("ax"), size, length).alias("ix"), cell(F.col("ay"), size, width).alias("iy")).agg(F.count("*").alias(count_as), F.bround(F.sum("weight"), 3).alias("weight"), F.count_distinct("match_id").alias("matches"))
+    """``points (key, match_id, ax, ay)`` binned: count, weight, matches, and intensity against the key's peak.
+
+    Points are counted per match and cell before they meet their match's weight.
+    """
+    counted = points.where("ax is not null and ay is not null").groupBy(key, "match_id", cell(F.col("ax"), size, length).alias("ix"), cell(F.col("ay"), size, width).alias("iy")).agg(F.count("*").alias("_n"))
+    cells = _weighted(counted, weights, key, ["ix", "iy"], count_as).withColumn("weight", F.bround("_w", 3))
     peak = F.max("weight").over(Window.partitionBy(key))
     return cells.select(key, F.bround((F.col("ix") + 0.5) * size, 1).alias("x"), F.bround((F.col("iy") + 0.5) * size, 1).alias("y"), count_as, "weight", "matches", F.when(peak > 0, F.bround(F.col("weight") / peak, 3)).otherwise(0.0).alias("intensity"))
 
@@ -37,9 +46,9 @@ def grid(points: DataFrame, weights: DataFrame, length: float, width: float, key
 def effective_zones(points: DataFrame, weights: DataFrame, zones: list[tuple[str, float, float]], lanes: list[tuple[str, float, float]], key: str = "team") -> DataFrame:
     """Weight and share of each zone and lane; effective with a real share over enough matches."""
     p = points.withColumn("zone", band_of(F.col("ax"), zones)).withColumn("lane", band_of(F.col("ay"), lanes)).where("zone is not null and lane is not null")
-    r = p.join(weights.select(key, "match_id", "weight"), [key, "match_id"]).groupBy(key, "zone", "lane").agg(F.count("*").alias("launches"), F.sum("weight").alias("w"), F.count_distinct("match_id").alias("matches"))
-    part = F.col("w") / F.sum("w").over(Window.partitionBy(key))
-    return r.select(key, "zone", "lane", "launches", F.bround("w", 3).alias("weight"), "matches", F.bround(part, 3).alias("share"), ((part >= EFFECTIVE_SHARE) & (F.col("matches") >= MIN_MATCHES)).alias("effective"))
+    r = _weighted(p.groupBy(key, "match_id", "zone", "lane").agg(F.count("*").alias("_n")), weights, key, ["zone", "lane"], "launches")
+    part = F.col("_w") / F.sum("_w").over(Window.partitionBy(key))
+    return r.select(key, "zone", "lane", "launches", F.bround("_w", 3).alias("weight"), "matches", F.bround(part, 3).alias("share"), ((part >= EFFECTIVE_SHARE) & (F.col("matches") >= MIN_MATCHES)).alias("effective"))
 
 
 def hot_spot(cells: DataFrame, key: str = "team") -> DataFrame:

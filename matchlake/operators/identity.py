@@ -39,8 +39,8 @@ def team_votes(reads: DataFrame, roster: DataFrame) -> DataFrame:
     """
     sim = F.pandas_udf(similarity, "double")
     numbered = reads.withColumn("read_id", F.monotonically_increasing_id())
-    sided = numbered.where("alliance is not null").join(F.broadcast(roster.select("job_id", "alliance", "team")), ["job_id", "alliance"])
-    open_ = numbered.where("alliance is null").join(F.broadcast(roster.select("job_id", "team").distinct()), "job_id")
+    sided = numbered.where("alliance is not null").join(roster.select("job_id", "alliance", "team"), ["job_id", "alliance"])
+    open_ = numbered.where("alliance is null").join(roster.select("job_id", "team").distinct(), "job_id")
     scored = sided.select(*TRACK, "read_id", "read", "team").unionByName(open_.select(*TRACK, "read_id", "read", "team")).withColumn("s", sim("read", F.col("team").cast("string")))
     w = Window.partitionBy("read_id").orderBy(F.desc("s"), F.desc("team"))
     best = scored.withColumn("rn", F.row_number().over(w)).withColumn("next", F.coalesce(F.lead("s").over(w), F.lit(0.0))).where("rn = 1").where((F.col("s") >= MIN_SIMILARITY) & (F.col("s") - F.col("next") >= MIN_READ_MARGIN))

@@ -67,7 +67,7 @@ def time_in_range(poses: DataFrame, goals: DataFrame, shooters: DataFrame, phase
     ``poses (robot_id, t, x, y)``, ``goals (goal, gx, gy, range_ft, points map<phase, double>)``,
     ``shooters (robot_id, alliance, goal, volley_interval_s, shots_per_volley, accuracy)``.
     """
-    s = poses.join(F.broadcast(shooters), "robot_id").join(F.broadcast(goals), "goal").where(F.hypot(F.col("x") - F.col("gx"), F.col("y") - F.col("gy")) <= F.col("range_ft"))
+    s = poses.join(shooters, "robot_id").join(goals, "goal").where(F.hypot(F.col("x") - F.col("gx"), F.col("y") - F.col("gy")) <= F.col("range_ft"))
     s = s.withColumn("phase", phase).withColumn("each", F.coalesce(F.try_element_at("points", F.col("phase")), F.lit(0.0)))
     t = s.groupBy("robot_id", "alliance", "phase", "volley_interval_s", "shots_per_volley", "accuracy", "each").agg((F.count("*") * dt).alias("seconds"))
     made = F.coalesce(F.try_divide("seconds", "volley_interval_s"), F.lit(0.0)) * F.col("shots_per_volley") * F.col("accuracy") * F.col("each")

@@ -5,7 +5,7 @@ Instants are a table ``asked (job_id, at)``, so any number of viewers and times
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchlake.operators.datasets import spaced
@@ -18,11 +18,13 @@ TRAIL_S, TRAIL_SLACK_S, SHOT_MARGIN_S, NEAR_EVENT_S, SAMPLE_GAP_S = 0.35, 0.001,
 def paused(asked: DataFrame, gaps: DataFrame) -> DataFrame:
     """Adds ``paused``: the instant lies in a gap ``(job_id, start, end)``, whose end is left out; without an end it lasts.
 
-    Gaps are those of one recording, so they fit an array beside each of its instants.
+    Both are sorted together once: an instant is paused if the latest end of all gaps begun so far lies after it.
     """
-    of_job = gaps.groupBy("job_id").agg(F.collect_list(F.struct("start", "end")).alias("_gaps"))
-    inside = F.exists("_gaps", lambda g: (g["start"] <= F.col("at")) & (g["end"].isNull() | (F.col("at") < g["end"])))
-    return asked.join(of_job, "job_id", "left").withColumn("paused", F.coalesce(inside, F.lit(False))).drop("_gaps")
+    end = F.coalesce(F.col("end").cast("double"), F.lit(float("inf")))
+    begun = gaps.select("job_id", F.col("start").alias("_at"), F.lit(0).alias("_side"), end.alias("_end"))
+    both = asked.withColumn("_at", F.col("at")).withColumn("_side", F.lit(1)).unionByName(begun, allowMissingColumns=True)
+    latest = F.max("_end").over(Window.partitionBy("job_id").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return both.withColumn("paused", F.coalesce(latest > F.col("_at"), F.lit(False))).where("_side = 1").select(*asked.columns, "paused")
 
 
 def shot_trails(asked: DataFrame, shots: DataFrame) -> DataFrame:

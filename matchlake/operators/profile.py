@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections import Counter
+from math import hypot
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchlake.functions.aggregates import rounded_median, smoothed_confidence
-from matchlake.functions.exprs import match_order, path_distance
-from matchlake.functions.folds import leader_clusters
+from matchlake.functions.exprs import match_order
 from matchlake.operators.features import SPOT_RADIUS_FT
+from matchlake.operators.ordered import Leaders, fold
+from matchlake.sources.work import staged
 
 AUTO_SAME_PATH_FT, DEFENSE_MATCH_S, MIN_MATCHES_FOR_COUNTERS = 3.0, 15.0, 3
 
@@ -24,47 +28,79 @@ def numbered(features: DataFrame) -> DataFrame:
     return features.where("team is not null").withColumn("k", F.row_number().over(Window.partitionBy("team").orderBy(match_order(F.col("match_id")), "job_id")))
 
 
+class _Routines:
+    """Routines of one team: a match joins the first routine whose path is near its own, else begins one."""
+
+    def __init__(self) -> None:
+        self.found: list[tuple[list, list[str]]] = []
+
+    def row(self, match_id: str, path: list[dict | None] | None) -> list[tuple]:
+        for first, ids in self.found:
+            gaps = [hypot(p["x"] - q["x"], p["y"] - q["y"]) for p, q in zip(first or (), path or ()) if p and q]
+            if len(gaps) >= 3 and sum(gaps) / len(gaps) <= AUTO_SAME_PATH_FT:
+                ids.append(match_id)
+                return []
+        self.found.append((path, [match_id]))
+        return []
+
+    def close(self) -> list[tuple]:
+        ranked = sorted(self.found, key=lambda r: -len(r[1]))
+        return [([{"matches": len(ids), "match_ids": ids, "path": path} for path, ids in ranked],)]
+
+
 def auto_routines(features: DataFrame) -> DataFrame:
-    """Routines of each team: paths within AUTO_SAME_PATH_FT of a routine's first path, in match order.
+    """Routines of each team: paths within AUTO_SAME_PATH_FT of a routine's first path, in match order, largest first.
 
-    The fold is over one team's matches, as many as a season has.
+    The fold keeps one path for each routine and the ids of the matches, which are the result.
     """
-    rows = numbered(features).where("movement is not null").groupBy("team").agg(F.array_sort(F.collect_list(F.struct("k", "match_id", F.col("auto_path.points").alias("path")))).alias("m"))
-    kind = "array<struct<path:array<struct<x:double,y:double>>,match_ids:array<string>>>"
+    rows = numbered(features).where("movement is not null").select("team", "k", "match_id", F.col("auto_path.points").alias("path"))
+    kind = "routines array<struct<matches:int,match_ids:array<string>,path:array<struct<x:double,y:double>>>>"
+    return fold(rows, ["team"], ["k"], ["match_id", "path"], _Routines, kind)
 
-    def add(found: Column, m: Column) -> Column:
-        same = F.transform(found, lambda r: F.coalesce(path_distance(r["path"], m["path"]) <= AUTO_SAME_PATH_FT, F.lit(False)))
-        home = F.array_position(same, F.lit(True))
-        grown = F.transform(found, lambda r, i: F.when(i == home - 1, F.struct(r["path"].alias("path"), F.concat(r["match_ids"], F.array(m["match_id"])).alias("match_ids"))).otherwise(r))
-        return F.when(home > 0, grown).otherwise(F.concat(found, F.array(F.struct(m["path"].alias("path"), F.array(m["match_id"]).alias("match_ids")))))
 
-    found = rows.select("team", F.aggregate("m", F.array().cast(kind), add).alias("r"))
-    ranked = F.array_sort(F.transform("r", lambda r, i: F.struct((-F.size(r["match_ids"])).alias("o"), i.alias("i"), r.alias("r"))))
-    return found.select("team", F.transform(ranked, lambda x: F.struct(F.size(x["r"]["match_ids"]).alias("matches"), x["r"]["match_ids"].alias("match_ids"), x["r"]["path"].alias("path"))).alias("routines"))
+class _TopSpots:
+    """Leader clusters of one team's launches; the ``top`` largest at the end."""
 
+    def __init__(self, radius: float, top: int):
+        self.found, self.top = Leaders(radius), top
 
-def team_spots(features: DataFrame, top: int = 3) -> DataFrame:
-    """The largest shooting spots of each team with launches and distinct matches near the spot."""
-    points = numbered(features).select("team", "match_id", "k", F.posexplode("points.list").alias("i", "p"))
-    rows = points.groupBy("team").agg(F.array_sort(F.collect_list(F.struct("k", "i", F.col("p.ax").alias("x"), F.col("p.ay").alias("y"), "match_id"))).alias("l"))
-    found = rows.withColumn("c", F.slice(leader_clusters(F.transform("l", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))), SPOT_RADIUS_FT), 1, top))
-    centre = lambda c: (c["sx"] / c["n"], c["sy"] / c["n"])
+    def row(self, x: float, y: float) -> list[tuple]:
+        if x is not None and y is not None:
+            self.found.add(x, y)
+        return []
+
+    def close(self) -> list[tuple]:
+        return [(rank, sx / n, sy / n, n) for rank, (sx, sy, n) in enumerate(self.found.ranked()[: self.top])]
 
-    def spot(c: Column) -> Column:
-        cx, cy = centre(c)
-        near = F.array_distinct(F.transform(F.filter("l", lambda p: F.hypot(p["x"] - cx, p["y"] - cy) <= SPOT_RADIUS_FT), lambda p: p["match_id"]))
-        return F.struct(F.bround(cx, 1).alias("ax"), F.bround(cy, 1).alias("ay"), c["n"].alias("launches"), F.size(near).alias("matches"))
 
-    return found.select("team", F.transform("c", spot).alias("spots"))
+def team_spots(features: DataFrame, top: int = 3) -> DataFrame:
+    """The largest shooting spots of each team with launches and distinct matches near the spot.
+
+    Launches stream once, in match order, to find the clusters, and meet the few largest of their team again to count matches.
+    """
+    points = numbered(features).select("team", "match_id", "k", F.posexplode("points.list").alias("i", "p")).select("team", "match_id", "k", "i", F.col("p.ax").alias("x"), F.col("p.ay").alias("y"))
+    points = staged(points)
+    found = staged(fold(points, ["team"], ["k", "i"], ["x", "y"], lambda: _TopSpots(SPOT_RADIUS_FT, top), "rank int, cx double, cy double, n int"))
+    near = points.join(found, "team").where(F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")) <= SPOT_RADIUS_FT)
+    matches = near.select("team", "rank", "match_id").distinct().groupBy("team", "rank").agg(F.count("*").alias("matches"))
+    both = found.join(matches, ["team", "rank"], "left")
+    spot = F.struct(F.bround("cx", 1).alias("ax"), F.bround("cy", 1).alias("ay"), F.col("n").alias("launches"), F.coalesce("matches", F.lit(0)).cast("int").alias("matches"))
+    return both.groupBy("team").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", spot.alias("s")))), lambda r: r["s"]).alias("spots"))
 
 
 def zone_medians(features: DataFrame, field: str) -> DataFrame:
-    """Median over a team's located matches of each zone's share, a match without the zone counting 0."""
+    """Median over a team's located matches of each zone's share, a match without the zone counting 0.
+
+    The zeros come before all shares, so the middle shares are found by their rank, moved on by the number of zeros.
+    """
     located = features.where("movement is not null and team is not null")
     n = located.groupBy("team").agg(F.count("*").alias("n"))
-    seen = located.select("team", F.explode(F.col(field)).alias("zone", "share")).groupBy("team", "zone").agg(F.collect_list("share").alias("s"))
-    padded = seen.join(n, "team").withColumn("v", F.explode(F.concat("s", F.array_repeat(F.lit(0.0), F.col("n").cast("int") - F.size("s")))))
-    return padded.groupBy("team", "zone").agg(rounded_median(F.col("v")).alias("m")).groupBy("team").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("zone", "m")))).alias("medians"))
+    w = Window.partitionBy("team", "zone")
+    seen = located.select("team", F.explode(F.col(field)).alias("zone", "share")).withColumn("c", F.count("*").over(w)).withColumn("at", F.row_number().over(w.orderBy("share")) - 1)
+    at = F.col("at") + F.col("n") - F.col("c")
+    middle = lambda p: F.coalesce(F.sum(F.when(at == F.floor(p), F.col("share"))), F.lit(0.0))
+    medians = seen.join(n, "team").groupBy("team", "zone").agg(F.bround((middle((F.col("n") - 1) / 2) + middle(F.col("n") / 2)) / 2, 2).alias("m"))
+    return medians.groupBy("team").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("zone", "m")))).alias("medians"))
 
 
 def build_profiles(features: DataFrame) -> DataFrame:
@@ -111,10 +147,10 @@ def with_counters(profiles: DataFrame) -> DataFrame:
     stops = F.coalesce(F.col("on_the_move_share") < 0.3, F.lit(False))
     lane = F.try_element_at(F.array_sort(F.transform(F.map_entries("teleop_lanes"), lambda e: F.struct((-e["value"]).alias("o"), e["key"].alias("lane")))), F.lit(1))
     rules = [
-        ("predictable_auto", routine["matches"] >= F.greatest(F.lit(2), F.ceil(0.7 * n)), F.lit("Their auto repeats: plan yours to contest the pieces on its path."), text("Same auto routine in %d of %d matches.", routine["matches"], n)),
+        ("predictable_auto", routine["matches"] >= F.greatest(F.lit(2), F.ceil(0.7 * n)), F.lit("Their auto repeats: plan yours to contest the pieces on its path."), text("%d of %d located matches began with this path.", routine["matches"], n)),
         ("favourite_spot", spot["matches"] >= F.greatest(F.lit(2), F.ceil(0.6 * n)),
          F.concat(text("Deny their shooting spot about %.0f ft out, %.0f ft across in their frame", spot["ax"], spot["ay"]), F.when(stops, "; they stop to shoot there.").otherwise(".")),
-         F.concat(text("Shot from it in %d of %d matches", spot["matches"], n), F.when(F.col("median_dwell_s").isNotNull(), text("; median dwell %.1f s.", "median_dwell_s")).otherwise("."))),
+         F.concat(text("%d of %d located matches had launches there", spot["matches"], n), F.when(F.col("median_dwell_s").isNotNull(), text(", stays of %.1f s as a median.", "median_dwell_s")).otherwise("."))),
         ("expect_defense", F.try_divide("defense_matches", "defense_of") >= 0.5, F.lit("Expect defense: keep a scoring route that avoids their half."), text("Marked an opponent in %d of %d matches.", "defense_matches", "defense_of")),
         ("early_endgame", F.col("median_stopped_scoring_before_endgame_s") > 10, F.lit("They stop scoring early: the last stretch of teleop is yours."), text("Median last shot %.0f s before the endgame.", "median_stopped_scoring_before_endgame_s")),
         ("lane_bias", -lane["o"] >= 0.6, F.concat(F.lit("They keep to the "), lane["lane"], F.lit(" lane of their view: block it or go around.")), text("Median %.0f%% of teleop in that lane.", -100 * lane["o"])),
@@ -123,25 +159,52 @@ def with_counters(profiles: DataFrame) -> DataFrame:
     return profiles.withColumn("counters", F.when(n >= MIN_MATCHES_FOR_COUNTERS, F.array_compact(F.array(*items))).otherwise(F.array_compact(F.array(*[F.when(F.lit(False), x) for x in items]))))
 
 
-def expanding(matches: DataFrame, key: str, order: str, least: int) -> DataFrame:
-    """Each match from the ``least + 1``-th on, with every earlier match of its key: ``k`` names the predicted one, ``h_*`` are history columns."""
-    n = matches.withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy(order)))
-    history = n.select(key, *[F.col(c).alias(f"h_{c}") for c in n.columns if c != key])
-    return n.where(F.col("k") > least).join(history, key).where("h_k < k")
+def expanding(matches: DataFrame, key: str, order: str, values: list[str], least: int) -> DataFrame:
+    """Each match from the ``least + 1``-th on with ``k``, its place, and ``h_*``, the means of ``values`` over all earlier matches of its key."""
+    w = Window.partitionBy(key).orderBy(order)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    return matches.select("*", F.row_number().over(w).alias("k"), *[F.avg(v).over(before).alias(f"h_{v}") for v in values]).where(F.col("k") > least)
+
+
+class _History:
+    """What a team's matches so far let expect of the next one: most frequent start lane, largest spot, whether it defends."""
+
+    def __init__(self, least: int):
+        self.least, self.lanes, self.located, self.defended, self.of = least, Counter(), 0, 0, 0
+        self.spots = Leaders(SPOT_RADIUS_FT)
+
+    def row(self, k: int, located: bool, lane: str | None, near: float | None, points: list[dict] | None) -> list[tuple]:
+        out = []
+        if k > self.least and self.located:
+            best = max(self.lanes, key=lambda x: (self.lanes[x], x), default=None)
+            spot = max(self.spots.sums, key=lambda c: c[2], default=None)
+            out.append((k, best, *((spot[0] / spot[2], spot[1] / spot[2]) if spot else (None, None)), self.defended / self.of >= 0.5 if self.of else None))
+        for p in points or ():
+            if p["ax"] is not None and p["ay"] is not None:
+                self.spots.add(p["ax"], p["ay"])
+        if located:
+            self.located += 1
+            self.lanes.update([lane] if lane is not None else [])
+            if near is not None:
+                self.of, self.defended = self.of + 1, self.defended + (near >= DEFENSE_MATCH_S)
+        return out
+
+    def close(self) -> list[tuple]:
+        return []
 
 
 def next_match_test(features: DataFrame, min_history: int = 2) -> DataFrame:
-    """Per prediction, trials, accuracy and the accuracy of a baseline blind to the team's history."""
+    """Per prediction, trials, accuracy and the accuracy of a baseline blind to the team's history.
+
+    A team's matches stream once, in order; what the earlier ones let expect is kept as counts and clusters.
+    """
     f = numbered(features)
-    pairs = f.select("team", "k").where(F.col("k") > min_history).withColumnRenamed("k", "target")
-    # a history is a team of its own: (team, target) with the matches before the target
-    hist = pairs.join(f, "team").where("k < target").withColumn("team", F.concat_ws("#", F.col("team").cast("string"), F.col("target").cast("string"))).drop("target", "k")
-    pred = build_profiles(hist).where("n_with_positions > 0").select(
-        F.split("team", "#")[0].cast("int").alias("team"), F.split("team", "#")[1].cast("int").alias("k"), "start_lane", "primary_spot", "plays_defense"
-    )
+    rows = f.select("team", "k", F.col("movement").isNotNull().alias("located"), F.col("start.lane").alias("lane"), F.col("defense.near_opponent_s").alias("near"), F.col("points.list").alias("points"))
+    said = fold(rows, ["team"], ["k"], ["k", "located", "lane", "near", "points"], lambda: _History(min_history), "k int, start_lane string, sx double, sy double, plays_defense boolean")
+    pred = said.withColumn("primary_spot", F.when(F.col("sx").isNotNull(), F.struct(F.bround("sx", 1).alias("ax"), F.bround("sy", 1).alias("ay")))).drop("sx", "sy")
     field_lane = mode_max(f.select(F.lit(1).alias("one"), F.col("start.lane").alias("lane")), ["one"], "lane").select(F.col("mode").alias("field_lane"))
     actual = f.where("movement is not null").select("team", "k", F.col("start.lane").alias("lane"), F.try_element_at("spots.list", F.lit(1)).alias("spot"), F.col("defense.near_opponent_s").alias("near"))
-    both = actual.join(pred, ["team", "k"]).join(F.broadcast(field_lane))
+    both = actual.join(pred, ["team", "k"]).join(field_lane)
     tests = [
         ("start_lane", F.when(F.col("start_lane").isNotNull() & F.col("lane").isNotNull(), F.col("start_lane") == F.col("lane")), F.col("field_lane") == F.col("lane")),
         ("primary_spot", F.when(F.col("primary_spot").isNotNull() & F.col("spot").isNotNull(), F.hypot(F.col("primary_spot.ax") - F.col("spot.ax"), F.col("primary_spot.ay") - F.col("spot.ay")) <= 2 * SPOT_RADIUS_FT), F.lit(None).cast("boolean")),

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchlake.functions.aggregates import ordered_list
 from matchlake.functions.exprs import phase_by_end
 from matchlake.functions.folds import still_spans
+from matchlake.operators.ordered import fold
 
 # Fixed values.
 ANCHOR_TOLERANCE_S, ANCHOR_LEAST = 1.0, 4
@@ -101,29 +101,38 @@ def pulses(samples: DataFrame, keys: list[str], absolute: float, relative: float
     A peak begins once the signal is a threshold above the lowest value since the last peak, and ends once it has
     fallen from its top by the threshold or by ``relative`` of the top; the threshold is ``absolute``, or the spread
     of the lower half of the last PULSE_HISTORY values if that is more. The first value only sets the level.
-    Thresholds are a window; the two-state machine is a fold over one signal's values.
+    Thresholds are a window; the two-state machine streams over a signal's values.
     """
     w = Window.partitionBy(*keys).orderBy("t").rowsBetween(-PULSE_HISTORY, -1)
     seen = samples.withColumn("_h", F.collect_list("value").over(w)).withColumn("_m", middle(F.col("_h")))
     seen = seen.withColumn("_low", F.filter("_h", lambda v: v <= F.col("_m"))).withColumn("_lm", middle(F.col("_low")))
     spread = 3 * MAD_SCALE * middle(F.transform("_low", lambda v: F.abs(v - F.col("_lm"))))
     noise = F.when(F.size("_h") >= PULSE_LEAST_HISTORY, F.least(F.lit(2.0 * absolute), spread)).otherwise(0.0)
-    row = F.struct(F.col("t").cast("double").alias("t"), F.col("value").cast("double").alias("value"), F.greatest(F.lit(float(absolute)), noise).alias("need"))
-    grouped = seen.withColumn("_r", row).groupBy(*keys).agg(ordered_list(F.col("t"), F.col("_r")).alias("_r"))
-    point = "struct<t:double,value:double>"
-    start = F.struct(F.lit(None).cast("double").alias("low"), F.lit(None).cast(point).alias("top"), F.array().cast(f"array<{point}>").alias("out"))
-
-    def step(s: Column, r: Column) -> Column:
-        here = F.struct(r["t"].alias("t"), r["value"].alias("value"))
-        waiting = s["top"].isNull()
-        low = F.least(s["low"], r["value"])
-        rises = s["low"].isNotNull() & (r["value"] - low >= r["need"])
-        top = F.when(r["value"] > s["top"]["value"], here).otherwise(s["top"])
-        falls = top["value"] - r["value"] >= F.greatest(r["need"], F.lit(float(relative)) * top["value"])
-        return F.struct(
-            F.when(waiting, low).when(falls, r["value"]).otherwise(s["low"]).alias("low"),
-            F.when(waiting & rises, here).when(~waiting & ~falls, top).alias("top"),
-            F.when(~waiting & falls, F.concat(s["out"], F.array(top))).otherwise(s["out"]).alias("out"),
-        )
-
-    return grouped.select(*keys, F.explode(F.aggregate("_r", start, step, lambda s: s["out"])).alias("p")).select(*keys, "p.t", "p.value")
+    need = F.greatest(F.lit(float(absolute)), noise)
+    rows = seen.select(*keys, F.col("t").cast("double").alias("t"), F.col("value").cast("double").alias("value"), need.alias("_need"))
+    return fold(rows, keys, ["t", "value"], ["t", "value", "_need"], lambda: _Pulse(float(relative)), "t double, value double")
+
+
+class _Pulse:
+    """Waits for a rise above the lowest value since the last peak, then for the fall from the top."""
+
+    def __init__(self, relative: float):
+        self.relative, self.low, self.top = relative, None, None
+
+    def row(self, t: float, value: float, need: float) -> list[tuple]:
+        if value is None:
+            return []
+        if self.top is None:
+            before, self.low = self.low, value if self.low is None else min(self.low, value)
+            if before is not None and value - self.low >= need:
+                self.top = (t, value)
+            return []
+        if value > self.top[1]:
+            self.top = (t, value)
+        if self.top[1] - value < max(need, self.relative * self.top[1]):
+            return []
+        peak, self.top, self.low = self.top, None, value
+        return [peak]
+
+    def close(self) -> list[tuple]:
+        return []

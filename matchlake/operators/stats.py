@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from matchlake.functions.aggregates import nearest_rank
 from matchlake.functions.exprs import points_for, share
@@ -23,20 +29,20 @@ def in_confidence(events: DataFrame, least: float) -> DataFrame:
     return events.where(F.coalesce("confidence", F.lit(0.0)) >= least)
 
 
-def team_stats(events: DataFrame, match_seconds: float | None = None, low_confidence: float = 0.5, across_matches: bool = False) -> DataFrame:
-    """One row per team: cycles, shots, intervals, reloads, paired seconds, fouls, events of low confidence.
+def team_stats(events: DataFrame, match_seconds: float | None = None, low_confidence: float = 0.5, across_matches: bool = False, by_match: bool = False) -> DataFrame:
+    """One row per team, or per match and team with ``by_match``: cycles, shots, intervals, reloads, paired seconds, fouls, events of low confidence.
 
     A cycle runs from reload to reload, and an interval from attempt to attempt, within a match; with
     ``across_matches`` the times of all matches are pooled. Attempts are at least the shots made. Accuracy, median
     cycle and mean interval are null for none. An interval left open ends at ``match_seconds``, or never.
     """
     own = events.where("team is not null").withColumn("t", F.coalesce("t_seconds", F.lit(0.0)))
-    scope = ["team"] if across_matches else ["team", "match_id"]
+    scope, keys = ["team"] if across_matches else ["team", "match_id"], ["match_id", "team"] if by_match else ["team"]
     kind = F.when(F.col("event_type").isin("reload", "shot_attempt"), F.col("event_type"))
     gap = F.when(kind.isNotNull(), F.col("t") - F.lag("t").over(Window.partitionBy(*scope, kind).orderBy("t", "event_id")))
     of = lambda name: F.count_if(F.col("event_type") == name)
     cycle, interval = F.when(kind == "reload", F.col("gap")), F.when(kind == "shot_attempt", F.col("gap"))
-    base = own.withColumn("gap", gap).groupBy("team").agg(
+    base = own.withColumn("gap", gap).groupBy(*keys).agg(
         F.count_distinct("match_id").alias("matches_played"), F.count(cycle).alias("cycles"), F.median(cycle).alias("avg_cycle_seconds"), F.min(cycle).alias("best_cycle_seconds"),
         F.greatest(of("shot_attempt"), of("shot_made")).alias("shot_attempts"), of("shot_made").alias("shots_made"), F.avg(interval).alias("avg_shot_interval_seconds"),
         of("reload").alias("reloads"), of("foul").alias("fouls"), F.count_if(F.coalesce("confidence", F.lit(0.0)) < low_confidence).alias("low_confidence_events"),
@@ -45,7 +51,7 @@ def team_stats(events: DataFrame, match_seconds: float | None = None, low_confid
     close_at = F.lit(float("inf") if match_seconds is None else match_seconds)
     for name, (start, end) in PAIRS.items():
         spans = paired_intervals(own, scope, "t", F.col("event_type") == start, F.col("event_type") == end, close_at, ["event_id"])
-        base = base.join(spans.groupBy("team").agg(F.sum("seconds").alias(name)), "team", "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+        base = base.join(spans.groupBy(*keys).agg(F.sum("seconds").alias(name)), keys, "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
     return base
 
 
@@ -77,6 +83,8 @@ def by_phase(events: DataFrame) -> DataFrame:
     return shots.groupBy("team").pivot("phase", ["auto", "teleop", "endgame", "unknown"]).agg(F.count_if(F.expr("event_type = 'shot_attempt'")).alias("attempts"), F.count_if(F.expr("event_type = 'shot_made'")).alias("made"))
 
 
+#: Density grids that a task holds.
+GRIDS = 500
 OUTCOMES = ("made", "missed", "unknown")
 
 
@@ -121,15 +129,43 @@ def shot_events(shots: DataFrame, tracks: DataFrame, season_goals: list[str]) ->
 
 def price_percentile(df: DataFrame, key: str, value: str, q: float) -> DataFrame:
     """Nearest-rank percentile of a value per key."""
-    return df.groupBy(key).agg(nearest_rank(F.col(value), q).alias("value"))
+    return nearest_rank(df, [key], value, q)
 
 
 def density(points: DataFrame, keys: list[str], nx: int = 72, ny: int = 36, sigma: float = 1.6, reach: int = 5) -> DataFrame:
-    """Gaussian density of unit-square points on a grid, 1 at each key's peak; each point reaches ``reach`` cells."""
-    cell = points.withColumn("gx", F.col("x") * nx).withColumn("gy", F.col("y") * ny)
-    around = F.explode(F.sequence(F.lit(-reach), F.lit(reach)))
-    spread = cell.withColumn("dx", around).withColumn("dy", around).withColumn("ix", F.floor("gx") + F.col("dx")).withColumn("iy", F.floor("gy") + F.col("dy"))
-    inside = spread.where(f"ix between 0 and {nx - 1} and iy between 0 and {ny - 1}")
-    d2 = F.pow(F.col("ix") + 0.5 - F.col("gx"), 2) + F.pow(F.col("iy") + 0.5 - F.col("gy"), 2)
-    total = inside.groupBy(*keys, "ix", "iy").agg(F.sum(F.exp(-d2 / (2 * sigma * sigma))).alias("mass"))
+    """Gaussian density of unit-square points on a grid, 1 at each key's peak; each point reaches ``reach`` cells.
+
+    Points are added to grids inside the tasks, so what is shuffled are cells, not points times cells. A task holds
+    the grids of GRIDS keys and passes them on when another comes.
+    """
+    rows = points.where("x is not null and y is not null").select(*keys, F.col("x").cast("double"), F.col("y").cast("double"))
+    kinds = StructType([*[rows.schema[k] for k in keys], *StructType.fromDDL("ix long, iy long, mass double").fields])
+    arrow, around = to_arrow_schema(kinds), np.arange(-reach, reach + 1)
+
+    def splat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grids: dict[tuple, np.ndarray] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for key, grid in grids.items():
+                ix, iy = np.nonzero(grid)
+                yield pa.RecordBatch.from_arrays([*[pa.array([k] * len(ix), f.type) for k, f in zip(key, arrow)], pa.array(ix), pa.array(iy), pa.array(grid[ix, iy])], schema=arrow)
+            grids.clear()
+
+        for batch in batches:
+            g = np.stack([batch.column(len(keys)).to_numpy() * nx, batch.column(len(keys) + 1).to_numpy() * ny], axis=1)
+            at = np.floor(g).astype(np.int64)[:, :, None] + around
+            weight = np.exp(-((at + 0.5 - g[:, :, None]) ** 2) / (2 * sigma * sigma)) * ((at >= 0) & (at < np.array([nx, ny])[:, None]))
+            at = np.clip(at, 0, np.array([nx, ny])[:, None] - 1)
+            owners: dict[tuple, list[int]] = {}
+            of = list(zip(*[batch.column(c).to_pylist() for c in range(len(keys))])) if keys else [()] * batch.num_rows
+            for i, key in enumerate(of):
+                owners.setdefault(key, []).append(i)
+            for key, own in owners.items():
+                if key not in grids and len(grids) >= GRIDS:
+                    yield from flush()
+                grid = grids.setdefault(key, np.zeros((nx, ny)))
+                np.add.at(grid, (at[own, 0][:, :, None], at[own, 1][:, None, :]), weight[own, 0][:, :, None] * weight[own, 1][:, None, :])
+        yield from flush()
+
+    total = rows.mapInArrow(splat, kinds).groupBy(*keys, "ix", "iy").agg(F.sum("mass").alias("mass"))
     return total.withColumn("density", F.col("mass") / F.max("mass").over(Window.partitionBy(*keys)))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _w(keys: Sequence[str], order: Sequence[str]):
+def _w(keys: Sequence[str], order: Sequence[str | Column]):
     return Window.partitionBy(*keys).orderBy(*order)
 
 
@@ -43,19 +43,36 @@ def paired_intervals(df: DataFrame, keys: Sequence[str], time: str, starts: Colu
     return closed.select(*keys, F.col(time).alias("start"), end.alias("end"), F.greatest(F.lit(0.0), end - F.col(time)).alias("seconds"))
 
 
+def _neighbours(left: DataFrame, right: DataFrame, keys: Sequence[str], width: float, at: str, value: str) -> DataFrame:
+    """``left`` with ``_back`` and ``_ahead``, the ``value`` of the last right row up to ``at`` and of the first after it.
+
+    Only right rows within ``width`` need be found: time is cut into bins of that width, and a bin also holds the last
+    row of the bin before and the first of the bin after. So one key's rows fall in many tasks, each row is sorted
+    with its bin alone, and both windows look back only. ``right`` has ``keys, at, value``, one row a key and time.
+    """
+    if not width > 0 or width == float("inf"):
+        bin_of = F.lit(0).cast("long")
+    else:
+        bin_of = F.floor(F.col(at) / width).cast("long")
+    rights = right.select(*keys, F.col(at), F.col(value), bin_of.alias("_bin"))
+    edges = rights.groupBy(*keys, "_bin").agg(F.min_by(F.struct(at, value), at).alias("_lo"), F.max_by(F.struct(at, value), at).alias("_hi"))
+    moved = F.explode(F.array(F.struct((F.col("_bin") + 1).alias("b"), F.col("_hi").alias("r")), F.struct((F.col("_bin") - 1).alias("b"), F.col("_lo").alias("r"))))
+    moved = edges.select(*keys, moved.alias("m")).select(*keys, F.col(f"m.r.{at}").alias(at), F.col(f"m.r.{value}").alias(value), F.col("m.b").alias("_bin"))
+    every = rights if not width > 0 or width == float("inf") else rights.unionByName(moved)
+    both = left.withColumn("_bin", bin_of).withColumn("_side", F.lit(1)).unionByName(every.withColumn("_side", F.lit(0)), allowMissingColumns=True)
+    up, down = _w([*keys, "_bin"], [at, "_side"]), _w([*keys, "_bin"], [F.desc(at), F.desc("_side")])
+    so_far = lambda w: F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("_back", so_far(up)).withColumn("_ahead", so_far(down)).where("_side = 1").drop("_side", "_bin", value)
+
+
 def asof_nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, tolerance: float, values: Sequence[str], tie: str) -> DataFrame:
     """Each left row with ``values`` of the nearest right row within ``tolerance``, the earlier one on a tie, else nulls.
 
-    One sort per key over both sides; no pair is formed. ``tie`` orders right rows of one time, the first counts.
+    No pair is formed; see :func:`_neighbours`. ``tie`` orders right rows of one time, the first counts.
     """
-    lefts = left.withColumn("_t", F.col(left_time)).withColumn("_side", F.lit(1)).withColumn("_v", F.lit(None).cast(f"struct<t:double,{','.join(f'{v}:{right.schema[v].dataType.simpleString()}' for v in values)}>"))
-    firsts = right.withColumn("_n", F.row_number().over(_w([*keys, right_time], [tie]))).where(F.col("_n") == 1)
-    rights = firsts.select(*keys, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.struct(F.col(right_time).cast("double").alias("t"), *[F.col(v) for v in values]).alias("_v"))
-    both = lefts.unionByName(rights, allowMissingColumns=True)
-    w = _w(keys, ["_t", "_side"])
-    back = F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("_v", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    seen = both.withColumn("_back", back).withColumn("_ahead", ahead).where("_side = 1")
+    value = F.struct(F.col(right_time).cast("double").alias("t"), *[F.col(v) for v in values])
+    rights = right.groupBy(*keys, F.col(right_time).alias("_t")).agg(F.min_by(value, F.col(tie)).alias("_v"))
+    seen = _neighbours(left.withColumn("_t", F.col(left_time)), rights, keys, tolerance, "_t", "_v")
     gap_back, gap_ahead = F.col("_t") - F.col("_back.t"), F.col("_ahead.t") - F.col("_t")
     pick = F.when(F.col("_ahead").isNull() | (gap_back <= gap_ahead), F.col("_back")).otherwise(F.col("_ahead"))
     near = seen.withColumn("_pick", pick).withColumn("_ok", F.abs(F.col("_pick.t") - F.col("_t")) <= tolerance)
@@ -153,13 +170,12 @@ def moving_average(df: DataFrame, keys: Sequence[str], order: Sequence[str], val
 def interpolate_at(points: DataFrame, asked: DataFrame, keys: Sequence[str], time: str, values: Sequence[str], bridge: float = 0.10) -> DataFrame:
     """``asked (keys, at)`` with values at that instant: an exact hit, else linear between neighbours at most ``bridge`` apart, else null.
 
-    Both sides are sorted together once per key.
+    Neighbours farther than ``bridge`` are never used, so they need not be found; see :func:`_neighbours`. Of points
+    at one time the one with the least values counts.
     """
-    kinds = ",".join(f"{v}:double" for v in values)
-    p = points.select(*keys, F.col(time).alias("at"), F.lit(0).alias("_side"), F.struct(F.col(time).cast("double").alias("t"), *[F.col(v).cast("double").alias(v) for v in values]).alias("_p"))
-    q = asked.select(*keys, "at", F.lit(1).alias("_side"), F.lit(None).cast(f"struct<t:double,{kinds}>").alias("_p"))
-    w = _w(keys, ["at", "_side"])
-    both = p.unionByName(q).withColumn("_a", F.last("_p", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_b", F.first("_p", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))).where("_side = 1")
+    value = F.struct(F.col(time).cast("double").alias("t"), *[F.col(v).cast("double").alias(v) for v in values])
+    p = points.groupBy(*keys, F.col(time).cast("double").alias("_at")).agg(F.min(value).alias("_p"))
+    both = _neighbours(asked.select(*keys, "at", F.col("at").cast("double").alias("_at")), p, keys, max(bridge, 1e-5), "_at", "_p").withColumnsRenamed({"_back": "_a", "_ahead": "_b"})
     hit = F.abs(F.col("_a.t") - F.col("at")) <= 1e-5
     ok = F.col("_b.t") - F.col("_a.t") <= bridge
     u = (F.col("at") - F.col("_a.t")) / (F.col("_b.t") - F.col("_a.t"))

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchlake.functions import exprs as X
-from matchlake.operators import clock, corrections, datasets, features, fusion, heatmap, identity, metrics, overlay, plan, profile, quality, signals, stats, temporal
+from matchlake.operators import (
+    assignment, balls, clock, corrections, datasets, facts, features, flights, fusion, heatmap, identity, metrics, overlay, plan, profile, quality, signals, stats, temporal, tracking,
+)
 from matchlake.plans import adapter as A
 from matchlake.sources import sinks
 from matchlake.sources.work import staged
@@ -300,7 +302,7 @@ select a.team, cast(a.k as integer) as k, round(avg(b.v), 6) as expected, max(a.
 def expanding_prediction(spark: SparkSession, sf: str) -> DataFrame:
     """Each match's count against the mean of all earlier ones of its team."""
     m = A.facts(spark, sf).groupBy("team", "match_id").agg(F.count("*").alias("v"))
-    return profile.expanding(m, "team", "match_id", 2).groupBy("team", "k").agg(F.round(F.avg("h_v"), 6).alias("expected"), F.max("v").alias("actual"))
+    return profile.expanding(m, "team", "match_id", ["v"], 2).select("team", "k", F.round("h_v", 6).alias("expected"), F.col("v").alias("actual"))
 
 
 def _marks(spark: SparkSession, sf: str) -> DataFrame:
@@ -310,10 +312,10 @@ def _marks(spark: SparkSession, sf: str) -> DataFrame:
 _CONFLICT = f"{A.FACTS}, w as (select team, event_type, count(*) / 100 as weight from facts group by 1, 2), c as (select a.team as a_team, b.team as b_team, round_even(sum(least(a.weight, b.weight)), 3) as total from w a join w b on a.event_type = b.event_type and a.team <> b.team group by 1, 2)"
 
 
-@query(f"with {_CONFLICT} select * from c")
+@query(f"with {_CONFLICT} select * from c where a_team % 20 = 0")
 def conflict_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    """What every two teams would contest."""
-    return plan.conflicts(_marks(spark, sf)).select("a_team", "b_team", "total")
+    """What every twentieth team, the set asked about, would contest with each other team."""
+    return plan.conflicts(_marks(spark, sf), F.col("team") % 20 == 0).select("a_team", "b_team", "total")
 
 
 @query(f"""with {_CONFLICT}, p as (select team, count(*) / 10 as power from facts group by team), s as (select b_team as team, sum(total) as c from c where a_team in (1, 2) and b_team not in (1, 2) group by 1)
@@ -638,3 +640,169 @@ def signal_pulses(spark: SparkSession, sf: str) -> DataFrame:
     """Peaks of every user's values over time."""
     f = A.facts(spark, sf).select("job_id", "team", F.col("t_seconds").alias("t"), "value")
     return signals.pulses(f, ["job_id", "team"], 5.0, 0.25)
+
+
+@query(f"""with {A.FACTS}, p as (select team, match_id, t_seconds / 3600 as h, min(value) as v from facts where event_type = 'shot_attempt' group by 1, 2, 3),
+a as (select event_id, team, match_id, t_seconds / 3600 + 0.05::double as q from facts where event_type = 'reload'),
+b as (select a.*, max(case when p.h <= a.q then p.h end) as h1, min(case when p.h > a.q then p.h end) as h2 from a left join p on a.team = p.team and a.match_id = p.match_id group by all),
+c as (select b.*, p1.v as v1, p2.v as v2 from b left join p p1 on b.team = p1.team and b.match_id = p1.match_id and b.h1 = p1.h left join p p2 on b.team = p2.team and b.match_id = p2.match_id and b.h2 = p2.h)
+select team, match_id, round(q, 6) as asked, round(case when abs(h1 - q) <= 1e-5 then v1 when h2 - h1 <= 3 then v1 + (v2 - v1) * ((q - h1) / (h2 - h1)) end, 6) as value from c""")
+def interpolated_values(spark: SparkSession, sf: str) -> DataFrame:
+    """A user's value three minutes after each sign-up, between clicks at most three hours apart."""
+    f = A.facts(spark, sf)
+    clicks = f.where("event_type = 'shot_attempt'").select("team", "match_id", (F.col("t_seconds") / 3600).alias("h"), "value")
+    asked = f.where("event_type = 'reload'").select("team", "match_id", (F.col("t_seconds") / 3600 + 0.05).alias("at"))
+    return temporal.interpolate_at(clicks, asked, ["team", "match_id"], "h", ["value"], 3.0).select("team", "match_id", F.round("at", 6).alias("asked"), _r("value", 6))
+
+
+@query("""with j as (select cast(o_orderkey as varchar) as job_id, case when o_orderkey % 7 <> 0 then 'm' || o_orderkey end as match_id, o_totalprice / 1000 as duration from orders),
+e as (select *, 'match_start' as event_type, 0::double as t_seconds from j where match_id is not null union all select *, 'match_end', greatest(0::double, duration) from j where match_id is not null),
+h as (select *, sha256(job_id || '|' || event_type) as d from e)
+select job_id, match_id, event_type, t_seconds, case when t_seconds < 15 then 'auto' when t_seconds < 120 then 'teleop' when t_seconds <= 150 then 'endgame' else 'unknown' end as phase,
+  substr(d, 1, 8) || '-' || substr(d, 9, 4) || '-' || substr(d, 13, 4) || '-' || substr(d, 17, 4) || '-' || substr(d, 21, 12) as event_id, 'model' as source from h""")
+def match_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Start and end facts of orders as recordings."""
+    o = A.table(spark, sf, "orders")
+    key = F.col("o_orderkey")
+    jobs = o.select(key.cast("string").alias("job_id"), F.when(key % 7 != 0, F.concat(F.lit("m"), key.cast("string"))).alias("match_id"), F.lit(2024).alias("season"), (F.col("o_totalprice") / 1000).alias("duration"))
+    rules = spark.createDataFrame([(2024, 15.0, 135.0, 30.0)], "season int, auto_seconds double, teleop_seconds double, endgame_seconds double")
+    return facts.match_bounds(jobs, rules).select("job_id", "match_id", "event_type", "t_seconds", "phase", "event_id", "source")
+
+
+@query("""select cast(doc_id as varchar) as stem from documents where doc_id % 3 <> 0 and doc_id % 5 <> 0""")
+def reviewed_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as frames that a human has looked at."""
+    d = A.table(spark, sf, "documents").select("doc_id")
+    manifest = d.select(F.concat(F.lit("pack/images/"), "doc_id", F.lit(".jpg")).alias("image"), F.when(F.col("doc_id") % 3 == 0, "proposed").otherwise("done").alias("status"), (F.col("doc_id") % 5 == 0).alias("human_review_required"))
+    return datasets.reviewed_frames(manifest)
+
+
+@query("""with d as (select rpad(source, 11, '_') as video, source, n_chars % 8 as c from documents)
+select case when length(source) % 2 = 0 then upper(source) else video end as label, count(*) as frames, count(*) filter (where c >= 6) as done from d group by 1""")
+def event_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as frames of their source's event."""
+    d = A.table(spark, sf, "documents")
+    video = F.rpad("source", 11, "_")
+    frames = d.select(F.concat(video, F.lit("_"), F.col("doc_id").cast("string")).alias("stem"), (F.col("n_chars") % 8).alias("count"))
+    events = d.where(F.length("source") % 2 == 0).select(video.alias("video"), F.concat(F.lit("2024"), "source").alias("event")).distinct()
+    return datasets.by_event(frames, events)
+
+
+@query("""with f as (select l_suppkey as robot, cast(l_orderkey as double) as start, l_orderkey + l_quantity as "end" from lineitem),
+s as (select *, max("end") over (partition by robot order by start, "end" rows between unbounded preceding and 1 preceding) as seen from f)
+select robot, seen as start, start as "end", 'detection_lost' as reason from s where start > seen""")
+def fragment_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Holes between a supplier's line items as fragments of a robot's track."""
+    li = A.table(spark, sf, "lineitem")
+    return facts.merged_gaps(li.select(F.col("l_suppkey").alias("robot"), F.col("l_orderkey").cast("double").alias("start"), (F.col("l_orderkey") + F.col("l_quantity")).alias("end")), ["robot"])
+
+
+@query("""with p as (select p_partkey, cast(p_size * 100 as bigint) as total from part),
+o as (select p_partkey, total, unnest(case when total <= 640 then [0::bigint] else list_distinct(list_concat(range(0, total - 639, 512), [total - 640])) end) as origin from p)
+select p_partkey, origin, origin > 0 and 0.001::double * (p_partkey % 5) <= 2 / 640::double or 0.5::double + 0.1::double * (p_partkey % 6) >= 1 - 2 / 640::double and origin + 640 < total as clipped,
+  round((0.001::double * (p_partkey % 5) * 640 + origin) / total, 9) as x from o""")
+def tiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Tiles along sides of a part's size, and a box of each tile in the frame's terms."""
+    p = A.table(spark, sf, "part").select("p_partkey", (F.col("p_size") * 100).cast("long").alias("total"))
+    t = p.withColumn("origin", F.explode(datasets.tile_origins(F.col("total"), F.lit(640), 0.2)))
+    x = 0.001 * (F.col("p_partkey") % 5)
+    box = F.struct(x.alias("x"), F.lit(0.4).alias("y"), (0.5 + 0.1 * (F.col("p_partkey") % 6) - x).alias("w"), F.lit(0.1).alias("h"))
+    tile = F.struct(F.col("origin").alias("x"), F.lit(0).alias("y"), F.lit(640).alias("w"), F.lit(640).alias("h"))
+    mapped = datasets.from_tile(box, tile, F.col("total"), F.lit(640))
+    return t.select("p_partkey", "origin", datasets.clipped_by_tile(box, tile, F.col("total"), F.lit(640)).alias("clipped"), F.round(mapped["x"], 9).alias("x"))
+
+
+@query("""with o as (select o_orderkey, o_totalprice / 100 as total, o_orderkey % 400 as u, case when o_orderkey % 3 = 0 then cast(o_orderkey % 250 as double) end as stop from orders),
+w as (select *, least(total, case when stop > u then stop else total end) as fin from o where u < total)
+select o_orderkey, cast(u as double) as start, round(fin - u, 6) as duration, u = 0 and abs(fin - u - total) < 0.001 as whole from w""")
+def media_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as recordings that begin at the time in their address."""
+    key = F.col("o_orderkey")
+    url = F.concat(F.lit("https://example.org/watch?v=abcdefghijk&t="), (key % 400).cast("string"), F.lit("s"))
+    w = facts.media_window(url, F.col("o_totalprice") / 100, [F.lit(None)], [F.when(key % 3 == 0, key % 250)])
+    return A.table(spark, sf, "orders").select("o_orderkey", w.alias("w")).where("w is not null").select("o_orderkey", "w.start", F.round("w.duration", 6).alias("duration"), "w.whole")
+
+
+@query("""with f as (select l_discount * 6 as flat, l_extendedprice % 200::double as bright, l_quantity as spread from lineitem)
+select case when flat > 0.42 then 'graphic_card' when bright > 175 then 'overbright_graphic' when bright < 35 then 'too_dark' when spread < 18 then 'no_contrast' else 'ok' end as verdict, count(*) as n from f group by 1""")
+def frame_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items as measured frames, by why they are refused."""
+    li = A.table(spark, sf, "lineitem")
+    verdict = datasets.frame_verdict(F.lit(True), F.col("l_discount") * 6, F.pmod(F.col("l_extendedprice"), F.lit(200.0)), F.col("l_quantity"))
+    return li.groupBy(verdict.alias("verdict")).agg(F.count("*").alias("n"))
+
+
+@query(f"""with {A.FACTS}, w as (select event_id, field_x as qx, field_y as qy, lag(field_x) over o as px, lag(field_y) over o as py from facts window o as (partition by match_id, team order by t_seconds, event_id)),
+t as (select *, (qx - px) * (10 - py) - (qy - py) * (10 - px) as o1, (qx - px) * (20 - py) - (qy - py) * (40 - px) as o2, 30 * (py - 10) - 10 * (px - 10) as o3, 30 * (qy - 10) - 10 * (qx - 10) as o4 from w where px is not null)
+select event_id, (qx - px) * 1 + (qy - py) * 0.5::double > 0 and (o1 * o2 < 0 and o3 * o4 < 0
+  or abs(o1) <= 1e-9 and 10 between least(px, qx) and greatest(px, qx) and 10 between least(py, qy) and greatest(py, qy)
+  or abs(o2) <= 1e-9 and 40 between least(px, qx) and greatest(px, qx) and 20 between least(py, qy) and greatest(py, qy)
+  or abs(o3) <= 1e-9 and px between 10 and 40 and py between 10 and 20 or abs(o4) <= 1e-9 and qx between 10 and 40 and qy between 10 and 20) as crossed from t""")
+def directed_crossings(spark: SparkSession, sf: str) -> DataFrame:
+    """Moves of a user's day that cross a line from left to right."""
+    w = Window.partitionBy("match_id", "team").orderBy("t_seconds", "event_id")
+    f = A.facts(spark, sf).withColumn("px", F.lag("field_x").over(w)).withColumn("py", F.lag("field_y").over(w)).where("px is not null")
+    line = (F.lit(10.0), F.lit(10.0)), (F.lit(40.0), F.lit(20.0))
+    return f.select("event_id", X.crosses_directed((F.col("px"), F.col("py")), (F.col("field_x"), F.col("field_y")), *line, (1.0, 0.5)).alias("crossed"))
+
+
+@query(f"""with {A.POINTS}, p as (select ax / 60 * 24 as gx, ay / 29 * 12 as gy from points where team % 3 = 0), o as (select unnest(range(-2, 3)) as d),
+s as (select floor(gx) + a.d as ix, floor(gy) + b.d as iy, gx, gy from p, o a, o b),
+m as (select cast(ix as bigint) as ix, cast(iy as bigint) as iy, sum(exp(-(pow(ix + 0.5::double - gx, 2) + pow(iy + 0.5::double - gy, 2)) / (2 * 1.6::double * 1.6::double))) as mass from s where ix between 0 and 23 and iy between 0 and 11 group by 1, 2)
+select ix, iy, round(mass / max(mass) over (), 6) as density from m""")
+def launch_density(spark: SparkSession, sf: str) -> DataFrame:
+    """Smoothed density of every third supplier's launch places on a coarse grid."""
+    p = A.points(spark, sf).where("team % 3 = 0").select(F.lit("all").alias("k"), (F.col("ax") / 60).alias("x"), (F.col("ay") / 29).alias("y"))
+    return stats.density(p, ["k"], 24, 12, reach=2).select("ix", "iy", _r("density", 6))
+
+
+def _frames_of(spark: SparkSession, sf: str) -> DataFrame:
+    """Users of a day as balls: their events in order, thirty frames a second, as shares of the frame."""
+    f = A.facts(spark, sf)
+    place = F.row_number().over(Window.partitionBy("job_id", "team").orderBy("t_seconds", "event_id"))
+    return f.select("job_id", F.col("team").alias("ball"), place.cast("long").alias("frame"), (place / 30).alias("t"), (F.col("field_x") / A.LENGTH).alias("x"), (F.col("field_y") / A.WIDTH).alias("y"), F.lit(0.01).alias("r"))
+
+
+GATE = flights.Gate(
+    "high", "high_1", (1.0, 0.0), made=flights.Boundary((0.5, 0.0), (0.5, 1.0), (1.0, 0.0)), approach=flights.Boundary((0.3, 0.0), (0.3, 1.0), (1.0, 0.0)),
+    interior=((0.2, 0.0), (1.0, 0.0), (1.0, 1.0), (0.2, 1.0)), depth=1.0,
+)
+
+
+@query()
+def ball_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """Where a user's day of places enters a goal in the right half; a state machine per ball without SQL form."""
+    return flights.goal_entries(_frames_of(spark, sf), [GATE], 1920, 1080).select("job_id", "ball", "frame", "crossing_frame", "confidence")
+
+
+@query()
+def tracked_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    """Boxes and gaps of tracks over a day's minutes as frames; a state machine per day without SQL form."""
+    f = A.facts(spark, sf)
+    boxes = f.select("job_id", F.floor(F.col("t_seconds") / 60).cast("double").alias("t"), (F.col("field_x") / 60).alias("x"), (F.col("field_y") / 30).alias("y"), F.lit(0.1).alias("w"), F.lit(0.1).alias("h"))
+    return tracking.track_boxes(boxes.dropDuplicates())
+
+
+@query()
+def tracked_balls(spark: SparkSession, sf: str) -> DataFrame:
+    """Blobs of a day's quarter hours linked at least cost; an assignment per frame without SQL form."""
+    f = A.facts(spark, sf).where("n % 4 = 0")
+    frame = F.floor(F.col("t_seconds") / 900)
+    blobs = f.select("job_id", frame.alias("frame"), (frame / 30).alias("t"), (F.col("field_x") * 30).alias("x"), (F.col("field_y") * 30).alias("y"), F.lit(9.0).alias("r"))
+    return tracking.track_balls(blobs.dropDuplicates(), 1920, 1080)
+
+
+@query()
+def sure_identities(spark: SparkSession, sf: str) -> DataFrame:
+    """Line numbers of an order given to discount classes, only where no other choice is as good; an exact assignment per frame."""
+    li = A.table(spark, sf, "lineitem")
+    s = li.groupBy(F.lit("j").alias("job_id"), F.col("l_orderkey").alias("frame"), F.col("l_linenumber").alias("detection"), (F.col("l_partkey") % 3).alias("identity")).agg(F.max(F.when(F.col("l_discount") > 0, F.col("l_discount") * 10)).alias("score"))
+    return assignment.resolve(s)
+
+
+@query()
+def assigned_launches(spark: SparkSession, sf: str) -> DataFrame:
+    """Purchases paired one to one with views of the same user and day within half an hour; a fold per chain."""
+    f = A.facts(spark, sf)
+    side = lambda kind: f.where(F.col("event_type") == kind).select("job_id", F.col("team").alias("robot"), F.col("event_id").alias("shot_id"), F.col("t_seconds").alias("t"))
+    return balls.assign_shots(side("shot_made"), side("defense_start"), 1800.0)

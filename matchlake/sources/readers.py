@@ -59,7 +59,7 @@ def load_run_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     out = {"jobs": jobs}
     ids = jobs.select("run", F.col("job_id").alias("own_job"), F.col("match_id").alias("own_match"))
     for table, file in (("tracks", "tracks.jsonl"), ("events", "events.jsonl"), ("shots", "shots.jsonl"), ("goal_entries", "goal_entries.jsonl"), ("corrections", "corrections.jsonl")):
-        rows = lenient(spark, f"{root}/*/{file}", table).join(F.broadcast(ids), "run", "left")
+        rows = lenient(spark, f"{root}/*/{file}", table).join(ids, "run", "left")
         rows = rows.withColumn("job_id", F.coalesce("job_id", "own_job"))
         out[table] = (rows.withColumn("match_id", F.coalesce("match_id", "own_match")) if "match_id" in rows.columns else rows).drop("own_job", "own_match")
     return out

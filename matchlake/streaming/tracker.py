@@ -13,39 +13,24 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-LEAST_IOU, REACH_PER_S, MOST_REACH, TTL_S = 0.3, 1.0, 0.30, 6.0
+from matchlake.operators.tracking import TTL_S, BoxTracker, Track
+
 ARM_S = 0.30
 
 
-def _overlap(a: dict, b: dict) -> float:
-    w = max(0.0, min(a["x"] + a["w"], b["x"] + b["w"]) - max(a["x"], b["x"]))
-    h = max(0.0, min(a["y"] + a["h"], b["y"] + b["h"]) - max(a["y"], b["y"]))
-    union = a["w"] * a["h"] + b["w"] * b["h"] - w * h
-    return w * h / union if union > 0 else 0.0
-
-
-def assign(tracks: list[dict], boxes: list[dict], t: float) -> list[tuple[int, int]]:
-    """``(track, box)`` places, greedily by overlap, then by nearness of centres within reach of the time since seen."""
-    options = []
-    for i, k in enumerate(tracks):
-        for j, b in enumerate(boxes):
-            over = _overlap(k, b)
-            gap = ((k["x"] + k["w"] / 2 - b["x"] - b["w"] / 2) ** 2 + (k["y"] + k["h"] / 2 - b["y"] - b["h"] / 2) ** 2) ** 0.5
-            if over >= LEAST_IOU:
-                options.append((-1 - over, i, j))
-            elif gap <= min(REACH_PER_S * (t - k["t"]), MOST_REACH):
-                options.append((gap - 1 if gap < 1 else 0.0, i, j))
-    out, used_i, used_j = [], set(), set()
-    for _, i, j in sorted(options):
-        if i not in used_i and j not in used_j:
-            out.append((i, j))
-            used_i.add(i), used_j.add(j)
-    return out
+def _kept(tracker: BoxTracker) -> dict:
+    return {"made": tracker.made, "tracks": [[k.id, k.recent, k.missed, k.gap] for k in tracker.tracks]}
+
+
+def _again(state: dict) -> BoxTracker:
+    return BoxTracker([Track(i, [(t, tuple(b)) for t, b in recent], missed, tuple(gap) if gap else None) for i, recent, missed, gap in state["tracks"]], state["made"])
 
 
 def track_boxes(boxes: DataFrame, lateness: str = "5 seconds") -> DataFrame:
     """Stream ``(job_id, ts, x, y, w, h)`` to the same rows with ``track``; rows of a batch are taken in order of time.
 
+    Boxes go to the tracks where they are expected, as in :func:`matchlake.operators.tracking.track_boxes`.
+
     A row older than the last one tracked of its job gets no track (null): the tracker cannot go back.
     """
 
@@ -53,24 +38,16 @@ def track_boxes(boxes: DataFrame, lateness: str = "5 seconds") -> DataFrame:
         if state.hasTimedOut:
             state.remove()
             return
-        last, made, tracks = (None, 0, []) if not state.exists else (lambda s: (s["last"], s["made"], s["tracks"]))(json.loads(state.get[0]))
+        kept = json.loads(state.get[0]) if state.exists else {"last": None, "made": 0, "tracks": []}
+        last, tracker = kept["last"], _again(kept)
         rows = pd.concat(list(frames)).sort_values("ts", kind="stable")
         for ts, group in rows.groupby("ts", sort=True):
-            t, found = ts.timestamp(), group[["x", "y", "w", "h"]].to_dict("records")
-            ids: list[int | None] = [None] * len(found)
+            t, ids = ts.timestamp(), [None] * len(group)
             if last is None or t > last:
-                tracks = [k for k in tracks if t - k["t"] <= TTL_S]
-                for i, j in assign(tracks, found, t):
-                    tracks[i].update(found[j], t=t)
-                    ids[j] = tracks[i]["id"]
-                for j, b in enumerate(found):
-                    if ids[j] is None:
-                        made += 1
-                        tracks.append({**b, "t": t, "id": made})
-                        ids[j] = made
-                last = t
+                ids, last = tracker.frame(t, list(group[["x", "y", "w", "h"]].itertuples(index=False, name=None))), t
+                tracker.gaps = []
             yield group.assign(job_id=key[0], track=pd.array(ids, dtype="Int32"))[["job_id", "ts", "x", "y", "w", "h", "track"]]
-        state.update((json.dumps({"last": last, "made": made, "tracks": tracks}),))
+        state.update((json.dumps({"last": last, **_kept(tracker)}),))
         state.setTimeoutTimestamp(int((last + TTL_S) * 1000) + max(0, state.getCurrentWatermarkMs() - int(last * 1000)) + 1)
 
     keyed = boxes.withWatermark("ts", lateness).groupBy("job_id")
