@@ -158,7 +158,7 @@ def non_max(proposals: DataFrame, threshold: float) -> DataFrame:
     return b.select("frame_id", F.explode(suppress(F.col("b"), threshold)).alias("b")).select("frame_id", "b.*")
 
 
-def box_problem(least_area: float = 0.0005, most_area: float = 0.25, most_aspect: float = 4.0, least_confidence: float = 0.1, roi: tuple[float, float, float, float] = (0.0, 0.0, 1.0, 1.0)) -> Column:
+def box_problem(least_area: float = 0.00015, most_area: float = 0.30, most_aspect: float = 5.0, least_confidence: float = 0.25, roi: tuple[float, float, float, float] = (0.0, 0.0, 1.0, 1.0)) -> Column:
     """The first rule a box ``confidence, x, y, w, h`` fails, null if none; boxes that are no boxes are ``invalid``."""
     x, y, w, h = (F.col(c) for c in "xywh")
     cx, cy, area = x + w / 2, y + h / 2, w * h

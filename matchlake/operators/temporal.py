@@ -140,6 +140,24 @@ def field_motion(boxes: DataFrame, keys: Sequence[str], fps: float, limit: float
     )
 
 
+def field_motion_between(boxes: DataFrame, keys: Sequence[str], gaps: DataFrame | None = None, limit: float = 20.0) -> DataFrame:
+    """Velocity of placed boxes from the box just before, if that is placed too, no listed gap ``(keys, start, end)`` lies between them, and the speed is plausible."""
+    w = _w(keys, ["t"])
+    df = boxes.withColumn("_t0", F.lag("t").over(w)).withColumn("_x0", F.lag("field_x").over(w)).withColumn("_y0", F.lag("field_y").over(w))
+    if gaps is None:
+        df = df.withColumn("_cut", F.lit(False))
+    else:
+        g = gaps.groupBy(*keys).agg(F.collect_list(F.struct("start", "end")).alias("_gaps"))
+        df = df.join(g, list(keys), "left").withColumn("_cut", F.coalesce(F.exists("_gaps", lambda k: (k["start"] >= F.col("_t0")) & (k["end"] <= F.col("t"))), F.lit(False))).drop("_gaps")
+    dt, dx, dy = F.col("t") - F.col("_t0"), F.col("field_x") - F.col("_x0"), F.col("field_y") - F.col("_y0")
+    ok = (dt > 0) & ~F.col("_cut") & (F.hypot(dx, dy) / dt <= limit)
+    value = lambda e: F.when(ok, e)
+    return (
+        df.withColumn("velocity_x_ftps", value(dx / dt)).withColumn("velocity_y_ftps", value(dy / dt)).withColumn("speed_ftps", value(F.hypot(dx, dy) / dt))
+        .withColumn("motion_heading_rad", value(F.atan2(dy, dx))).drop("_t0", "_x0", "_y0", "_cut")
+    )
+
+
 def gaps_of(boxes: DataFrame, keys: Sequence[str], fps: float, edge: float = 0.02) -> DataFrame:
     """Holes longer than 1.5 frames: ``out_of_frame`` if either side is near the frame's edge, else ``occlusion``."""
     near = F.least(F.col("x"), 1 - F.col("x") - F.col("w"), F.col("y"), 1 - F.col("y") - F.col("h")) <= edge
