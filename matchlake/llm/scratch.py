@@ -9,7 +9,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -83,6 +82,14 @@ def free(table: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def _is_scan(table: DataFrame) -> bool:
+    """Whether a table is a scan of files, with or without a choice of rows and columns, so that no row of a file is there twice."""
+    node = table._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().apply(0)
+    return node.nodeName() == "LogicalRelation"
+
+
 def placed(table: DataFrame, name: str) -> DataFrame:
     """``table`` with the place of each row, from 0, in the order in which its files were written.
 
@@ -91,11 +98,8 @@ def placed(table: DataFrame, name: str) -> DataFrame:
     plain scan is written first, in the order of its partitions.
     """
     file, at, base, path = free(table, "file", "at", "base", "path")
-    try:
-        rows = table.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(at))
-    except AnalysisException:
-        written = Scratch(table.sparkSession, "placed").save(table, "rows")
-        rows = written.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(at))
+    scan = table if _is_scan(table) else Scratch(table.sparkSession, "placed").save(table, "rows")
+    rows = scan.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(at))
     number = lambda pattern: F.regexp_extract(path, pattern, 1).try_cast("long").asc_nulls_first()
     sizes = rows.groupBy(F.col(file).alias(path)).agg((F.max(at) + 1).alias("rows"))
     earlier = Window.orderBy(number(r"part-(\d+)-[^/]*$"), number(r"-c(\d+)[^/-]*$"), path).rowsBetween(Window.unboundedPreceding, -1)

@@ -738,6 +738,17 @@ def test_pipeline_on_odd_rows_and_clashing_names(spark):
         assert stage(spark, none, "").count() == 0
 
 
+def test_places_are_those_of_the_rows(spark, sf):
+    from matchlake.llm.scratch import _is_scan, placed
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    twice = docs.join(spark.createDataFrame([(1,), (2,)], "k int").hint("broadcast"), F.lit(True))
+    assert _is_scan(docs) and _is_scan(docs.where("doc_id > 3").select("doc_id")) and not _is_scan(twice)
+    for table in (docs, docs.where("doc_id % 2 = 0"), twice, docs.union(docs)):
+        places = [r.place for r in placed(table, "place").select("place").collect()]
+        assert len(set(places)) == len(places) == table.count()
+
+
 def test_pipeline_keeps_the_training_order(spark, sf):
     """Rows of the last stage follow the plan of the mix through the files between the stages."""
     import corpus_pipeline as p
