@@ -7,9 +7,10 @@ file but that of a single very long page exceeds FILE_BYTES by more than its hea
 by the records' own lengths, without copying it.
 
 The index holds one line for each capture: the host in reverse, the path, and where the record lies. Lines are
-range-sorted by that key and packed into compressed blocks; a sparse directory has the first key of each block. A
-search finds the block by its neighbours in the directory, halves within the block until it meets the key, and
-reads just the record's range from its archive.
+range-sorted by that key and packed into compressed blocks; a sparse directory has the first key of each block, and its
+root those of every 1,024 blocks. A search halves the root, the one page of the directory, and the block until it
+meets the key, and reads just the record's range from its archive. The root alone is held by the driver, a row for a
+million captures or so.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ REVISIT_BYTES = 1000
 FILE_BYTES = 32 << 20
 CLASS_BYTES = (8 << 10, 128 << 10, 2 << 20)
 LINES_PER_BLOCK = 1000
+#: A page of the directory is of 2 ** PAGE_BITS blocks.
+PAGE_BITS = 10
 END = "\r\n\r\n"
 _BLANK_LINE = re.compile(b"\r\n\r\n")
 #: Extension fields: the page of a record, and the page whose response a revisit refers to.
@@ -43,6 +46,7 @@ PAGE, REFERS_TO = "X-Page-ID", "X-Refers-To-Page-ID"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 BLOCK = "first_key string, last_key string, lines long, body binary, block long"
+DIRECTORY = "page long, block long, first_key string, last_key string, file string"
 ENTRY = "key string, page_id long, url string, archive string, offset long, length long, payload_bytes long, payload_digest string, record_type string, refers_to long, intact boolean"
 
 
@@ -102,6 +106,12 @@ def _page(value: str | None) -> int | None:
     return None if value is None else int(value)
 
 
+def _reaching(rows: list, key: str) -> Iterator:
+    """Of rows in order of ``first_key, last_key``, those whose range holds a key, from the first found by halving."""
+    first = bisect_left(rows, key.encode(), key=lambda r: r.last_key.encode())
+    return takewhile(lambda r: r.first_key.encode() <= key.encode(), islice(rows, first, None))
+
+
 class Archive:
     """Archives and index below one folder of shared storage."""
 
@@ -223,7 +233,9 @@ class Archive:
 
         blocks = dealt.select(*names).mapInArrow(pack, "first_key string, last_key string, lines long, body binary")
         blocks.withColumn("block", F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{self.path}/blocks")
-        self.blocks().select("block", "first_key", "last_key", F.col("_metadata.file_name").alias("file")).write.mode("overwrite").parquet(f"{self.path}/directory")
+        directory = self.blocks().select(F.shiftright("block", PAGE_BITS).alias("page"), "block", "first_key", "last_key", F.col("_metadata.file_name").alias("file"))
+        directory.repartitionByRange(parallelism(self.spark), "block").sortWithinPartitions("block").write.mode("overwrite").parquet(f"{self.path}/directory")
+        directory.groupBy("page").agg(F.min_by("first_key", "block").alias("first_key"), F.max_by("last_key", "block").alias("last_key")).write.mode("overwrite").parquet(f"{self.path}/root")
         Scratch(self.spark, "warc", self.path).drop("lines", "stored")
 
     def blocks(self) -> DataFrame:
@@ -245,11 +257,12 @@ class Archive:
     def lookup(self, urls: Iterable[str]) -> list[dict]:
         """Captures of a few URLs with their payloads (none for revisits), by directory, block and range reads."""
         names, out = [c.split()[0] for c in ENTRY.split(", ")], []
-        directory = self.spark.read.schema("block long, first_key string, last_key string, file string").parquet(f"{self.path}/directory")
-        directory = sorted(directory.collect(), key=lambda r: r.block)
+        root = sorted(self.spark.read.schema("page long, first_key string, last_key string").parquet(f"{self.path}/root").collect(), key=lambda r: r.page)
+        directory = self.spark.read.schema(DIRECTORY).parquet(f"{self.path}/directory")
         for key in dict.fromkeys(map(url_key, urls)):
-            first = bisect_left(directory, key.encode(), key=lambda r: r.last_key.encode())
-            for near in takewhile(lambda r: r.first_key.encode() <= key.encode(), islice(directory, first, None)):
+            pages = [r.page for r in _reaching(root, key)]
+            rows = sorted((r for page in pages for r in directory.where(F.col("page") == page).collect()), key=lambda r: r.block)
+            for near in _reaching(rows, key):
                 body = self.spark.read.schema(BLOCK).parquet(f"{self.path}/blocks/{near.file}").where(F.col("block") == near.block).first().body
                 lines = zlib.decompress(body).decode().split("\n")
                 at = bisect_left(lines, f"{key} ")

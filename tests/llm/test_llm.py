@@ -456,6 +456,17 @@ def test_warc_names_keys_and_sizes(spark):
     assert max(sizes) < warc.FILE_BYTES + (1 << 16) and sum(sizes) < 42 << 20 and archive.entries().count() == 40
 
 
+def test_warc_root_parts_the_directory(spark, monkeypatch):
+    monkeypatch.setattr(warc, "LINES_PER_BLOCK", 20)
+    monkeypatch.setattr(warc, "PAGE_BITS", 2)
+    rows = [(i, f"http://b/{i // 3:05}", f"page {i}") for i in range(1200)] + [(5000 + i, "http://b/00100", "again") for i in range(150)]
+    archive = warc.Archive.write(spark.createDataFrame(rows, "page_id long, url string, html string"), Scratch(spark, "t").path)
+    assert archive.spark.read.parquet(f"{archive.path}/root").count() > 4
+    for i in (0, 199, 399):
+        assert sorted(r["page_id"] for r in archive.lookup([f"http://b/{i:05}"])) == [3 * i, 3 * i + 1, 3 * i + 2]
+    assert len(archive.lookup(["http://b/00100"])) == 153 and archive.lookup(["http://b/00400", "http://a/", "http://zz/"]) == []
+
+
 def test_warc_tells_damage_from_the_payload(spark):
     big = "<p>" + "x" * 1200
     rows = [(1, "http://a/1", big), (9, "http://a/9", big), (3, "http://a/3", "small"), *((100 + i, f"http://b/{i:05}", f"page {i}") for i in range(2500))]
