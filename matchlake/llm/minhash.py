@@ -1,8 +1,9 @@
 """Near-duplicate groups by MinHash.
 
-Every document's set of word shingles gets ``6 * bands`` minima of multiply-shift universal hashes. Equal sets are
-collapsed to one node first, so exact copies never meet each other. Nodes that agree on all six minima of a band
-share a bucket; six keep sets that are half alike mostly apart. Within a bucket every node is a candidate of one hub, the node that shares most buckets with
+Every document's set of word shingles gets about HASHES minima of multiply-shift universal hashes, in bands of as many
+as leave the chance to miss a pair as small as stated. Equal sets are collapsed to one node first, so exact copies
+never meet each other. Nodes that agree on all minima of a band share a bucket; long bands keep sets that are half
+alike mostly apart. Within a bucket every node is a candidate of one hub, the node that shares most buckets with
 others. Candidates whose signatures agree often enough are confirmed by the exact intersection of full shingle
 sets, and confirmed links become components. Pairs that a hub did not bring together are found in blocks: nodes of
 a bucket that lie outside its largest component are compared, by signature, with the bucket's nodes of other
@@ -22,18 +23,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchlake.llm.components import connected_components
-from matchlake.llm.scratch import Scratch, sized
+from matchlake.llm.scratch import Scratch, arrow_rows, sized
 from matchlake.llm.shingles import mix, shingles_of, words_of
 
-ROWS = 6
-#: Rows of each side that are compared at once.
-BLOCK = 256
+#: Minima of a document at most, over all bands.
+HASHES = 200
+#: Rows of each side that are compared at once, and rows of texts or sets that Python is given at once.
+BLOCK, BATCH = 256, 512
 #: Chance, for one pair exactly at the threshold, of sharing no bucket or of being refused by its signature.
 MISS_BANDS, MISS_SIGNATURE = 1e-6, 1e-6
 
 
-def bands_for(threshold: float) -> int:
-    return math.ceil(math.log(MISS_BANDS) / math.log(1 - threshold**ROWS))
+def shape_for(threshold: float) -> tuple[int, int]:
+    """Rows a band and bands: the most rows whose bands, MISS_BANDS being kept, have HASHES minima or fewer."""
+    bands = lambda rows: math.ceil(math.log(MISS_BANDS) / math.log(1 - threshold**rows)) if threshold < 1 else 1
+    rows = max((r for r in range(1, 17) if r * bands(r) <= HASHES), default=1)
+    return rows, bands(rows)
 
 
 def least_agreeing(hashes: int, threshold: float) -> int:
@@ -70,11 +75,11 @@ def _digest(shingles: np.ndarray) -> bytes:
         return b"".join(mix(shingles + np.uint64(k)).sum(dtype=np.uint64).tobytes() for k in (0x51ED270B, 0xA5A5F00D))
 
 
-def _signer(width: int, hashes: int) -> Callable:
+def _signer(width: int, rows: int, hashes: int) -> Callable:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _family(hashes)
-        salt = np.arange(hashes // ROWS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        keys = mix(np.arange(1, ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+        salt = np.arange(hashes // rows, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        keys = mix(np.arange(1, rows + 1, dtype=np.uint64)) | np.uint64(1)
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
@@ -88,7 +93,7 @@ def _signer(width: int, hashes: int) -> Callable:
                     m = minima(s, a, b)
                     digest.append(_digest(s))
                     sig.append(m.astype(np.uint8).tobytes())
-                    bands.append(mix((m.reshape(-1, ROWS) * keys).sum(axis=1, dtype=np.uint64) + salt).view(np.int64))
+                    bands.append(mix((m.reshape(-1, rows) * keys).sum(axis=1, dtype=np.uint64) + salt).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
                     names=["doc_id", "n_shingles", "digest", "sig", "bands"],
@@ -251,12 +256,13 @@ class _Job:
         self.scratch = Scratch(docs.sparkSession, "minhash")
         self.docs, self.width, self.num, self.den = docs, width, num, den
         threshold = num / den
-        self.hashes = ROWS * bands_for(threshold)
+        self.rows_a_band, bands = shape_for(threshold)
+        self.hashes = self.rows_a_band * bands
         self.least = least_agreeing(self.hashes, threshold)
 
     def sign(self) -> None:
         save = self.scratch.save
-        signed = save(self.docs.mapInArrow(_signer(self.width, self.hashes), "doc_id long, n_shingles long, digest binary, sig binary, bands array<long>"), "signed")
+        signed = save(self.docs.mapInArrow(_signer(self.width, self.rows_a_band, self.hashes), "doc_id long, n_shingles long, digest binary, sig binary, bands array<long>"), "signed")
         some = signed.where("doc_id is not null and digest is not null")
         first = some.groupBy("digest").agg(F.min(F.struct("doc_id", "sig", "bands")).alias("r"))
         nodes = save(first.select("digest", F.col("r.doc_id").alias("node"), "r.sig", "r.bands"), "nodes")
@@ -360,4 +366,5 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     equal sets the smallest doc_id stands for all. An empty table gives no rows.
     """
     pick = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return _Job(pick, width, num, den).run()
+    with arrow_rows(docs.sparkSession, BATCH):
+        return _Job(pick, width, num, den).run()
