@@ -19,6 +19,17 @@ from matchlake.llm.queries import VOCABULARY
 from matchlake.llm.scratch import Scratch, free, placed, sized
 
 
+#: Documents that a Python step is given at once; thousands of long texts in one batch would be held on both sides.
+BATCH = 512
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches, for the plans that run after a stage has returned."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH:
+        spark.conf.set(name, str(BATCH))
+
+
 def _without(docs: DataFrame, row: str, gone: DataFrame) -> DataFrame:
     """``docs`` without the rows numbered in ``gone (row)``; few numbers are broadcast, many shuffled."""
     (own,) = free(docs, "gone")
@@ -33,6 +44,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common with any learnt language than noise has. Very long texts are read whole. Repeated rows are judged alike,
     ids play no part, an empty table stays empty, and columns may have any names beside those of ``documents``.
     """
+    _small_batches(spark)
     found, score, evidence = free(docs, "found", "score", "evidence")
     model = LanguageModel.fit(docs.where(~held_out(docs.doc_id)))
     judged = model.annotate(docs, lang_as=found, score_as=score, evidence_as=evidence)
@@ -92,6 +104,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     wrote its rows. Null and empty texts have no ids; repeated rows get a row each; a very long text is one row; an
     empty table gives no rows; other columns are left out, whatever their names.
     """
+    _small_batches(spark)
     (place,) = free(docs, "place")
     return tokens(placed(docs, place), VOCABULARY, carry={"place": place})
 
