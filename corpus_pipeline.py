@@ -16,19 +16,7 @@ from matchlake.llm.language import UNKNOWN, LanguageModel, chance, held_out
 from matchlake.llm.minhash import near_duplicates
 from matchlake.llm.mixing import mix, training_order
 from matchlake.llm.queries import VOCABULARY
-from matchlake.llm.scratch import Scratch, free, placed, sized
-
-
-#: Documents that a Python step is given at once; thousands of long texts in one batch would be held on both sides.
-BATCH = 512
-
-
-def _small_batches(spark: SparkSession) -> None:
-    """Bound the session's Arrow batches, for the plans that run after a stage has returned."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH:
-        spark.conf.set(name, str(BATCH))
-
+from matchlake.llm.scratch import Scratch, free, placed, sized, small_batches
 
 def _without(docs: DataFrame, row: str, gone: DataFrame) -> DataFrame:
     """``docs`` without the rows numbered in ``gone (row)``; few numbers are broadcast, many shuffled."""
@@ -38,20 +26,19 @@ def _without(docs: DataFrame, row: str, gone: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of no language go; the others keep their label, and those without one get the language found.
+    """Documents without any letter are rejected; the others keep their label, and those without one get the language found.
 
-    Of no language are null and empty texts, texts without a letter, and texts of many trigrams that have no more in
-    common with any learnt language than noise has. Very long texts are read whole. Repeated rows are judged alike,
-    ids play no part, an empty table stays empty, and columns may have any names beside those of ``documents``.
+    No document goes for its score: one that has no more in common with any learnt language than noise has, as texts
+    of several or of unlearnt languages may, stays, with ``und`` where it has no label. Null and empty texts have no
+    letter; very long texts are read whole. Repeated rows are judged alike, ids play no part, an empty table stays
+    empty, and columns may have any names beside those of ``documents``.
     """
-    _small_batches(spark)
     found, score, evidence = free(docs, "found", "score", "evidence")
-    model = LanguageModel.fit(docs.where(~held_out(docs.doc_id)))
-    judged = model.annotate(docs, lang_as=found, score_as=score, evidence_as=evidence)
-    learnt = F.lit(bool(model.languages))
-    refused = (F.col(evidence) == 0) | (learnt & ((F.col(found) == UNKNOWN) | chance(F.col(score), F.col(evidence))))
-    label = F.when(F.col(found) != UNKNOWN, F.col(found))
-    return judged.where(~refused).withColumn("lang", F.coalesce("lang", label)).select(*docs.columns)
+    with small_batches(spark):
+        model = LanguageModel.fit(docs.where(~held_out(docs.doc_id)))
+        judged = model.annotate(docs, lang_as=found, score_as=score, evidence_as=evidence).where(F.col(evidence) > 0)
+        label = F.when(~chance(F.col(score), F.col(evidence)), F.col(found)).otherwise(UNKNOWN)
+        return Scratch(spark, "pipeline-language").save(judged.withColumn("lang", F.coalesce("lang", label)).select(*docs.columns), "labelled")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -104,9 +91,10 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     wrote its rows. Null and empty texts have no ids; repeated rows get a row each; a very long text is one row; an
     empty table gives no rows; other columns are left out, whatever their names.
     """
-    _small_batches(spark)
     (place,) = free(docs, "place")
-    return tokens(placed(docs, place), VOCABULARY, carry={"place": place})
+    numbered = placed(docs, place)
+    with small_batches(spark):
+        return Scratch(spark, "pipeline-encode").save(tokens(numbered, VOCABULARY, carry={"place": place}), "tokens")
 
 
 STAGES = [

@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchlake.llm.components import connected_components
-from matchlake.llm.scratch import Scratch, arrow_rows, sized
+from matchlake.llm.scratch import Scratch, sized, small_batches
 from matchlake.llm.shingles import mix, shingles_of, words_of
 
 #: Minima of a document at most, over all bands.
 HASHES = 200
-#: Rows of each side that are compared at once, and rows of texts or sets that Python is given at once.
-BLOCK, BATCH = 256, 512
+#: Rows of each side that are compared at once.
+BLOCK = 256
 #: Chance, for one pair exactly at the threshold, of sharing no bucket or of being refused by its signature.
 MISS_BANDS, MISS_SIGNATURE = 1e-6, 1e-6
 
@@ -366,5 +366,5 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     equal sets the smallest doc_id stands for all. An empty table gives no rows.
     """
     pick = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    with arrow_rows(docs.sparkSession, BATCH):
+    with small_batches(docs.sparkSession):
         return _Job(pick, width, num, den).run()

@@ -73,16 +73,28 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: What Spark and a Python worker pass each other at once inside :func:`small_batches`.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 512
+
+
 @contextmanager
-def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Batches of ``rows`` rows for the Python steps that run inside, so that neither side holds thousands of large cells at once."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of few bytes for the Python steps that are planned and run inside, whatever the length of their cells.
+
+    The session's own settings hold again afterwards, so a table made inside must be written there.
+    """
+    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+    before = {name: spark.conf.get(name, None) for name in names}
     try:
+        for name, value in names.items():
+            spark.conf.set(name, value)
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def free(table: DataFrame, *names: str) -> list[str]:

@@ -702,18 +702,28 @@ def test_pipeline_labels_documents_without_a_language(spark, sf):
     assert np.mean([got[i] == want[i] for i in want if i % 5 == 0]) > 0.9
 
 
-def test_pipeline_refuses_noise_and_keeps_short_texts(spark, sf):
+def test_pipeline_rejects_only_texts_without_letters(spark, sf):
+    """Noise, texts of several languages and of one never learnt all stay, labelled or not, and the session is as before."""
     import corpus_pipeline as p
 
-    rng = random.Random(6)
-    noise = [(-1 - i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(n)), "en", "s", n) for i, n in enumerate((300, 900, 5000))]
-    short = [(-10, "Yes.", None, "s", 4), (-11, "qx zv", "en", "s", 5)]
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
-    got = {r.doc_id for r in p.language_id(spark, docs.union(spark.createDataFrame(noise + short, docs.schema)), sf).collect()}
-    want = {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
-    assert got == want | {-10, -11}
-    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
-    assert {r.doc_id for r in p.language_id(spark, unlabelled, sf).collect()} == want
+    rng, by_lang = random.Random(6), defaultdict(list)
+    for r in docs.where("length(text) > 200").collect():
+        by_lang[r.lang].append(r.text)
+    noise = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(n)) for n in (300, 900, 5000)]
+    mixed = [" ".join(rng.choice(texts) for texts in by_lang.values()) for _ in range(20)]
+    other = "Habari za asubuhi watu wote wa kijiji hiki kizuri kilichopo karibu na mto mkubwa unaopita katikati ya nchi yetu " * 3
+    texts = [*noise, *mixed, other, "Yes.", "qx zv"]
+    added = [(-1 - 2 * i - k, t, lang, "s", len(t)) for i, t in enumerate(texts) for k, lang in enumerate(("en", None))]
+    gone = [(-1000, None, "en", "s", 0), (-1001, "", None, "s", 0), (-1002, "12 34 !! " * 50, "en", "s", 0)]
+    settings = lambda: {r.key: r.value for r in spark.sql("set").collect()}
+    p.language_id(spark, docs.limit(5), sf)
+    before = settings()
+    got = {r.doc_id: r.lang for r in p.language_id(spark, docs.union(spark.createDataFrame(added + gone, docs.schema)), sf).collect()}
+    assert settings() == before
+    assert set(got) == {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")} | {r[0] for r in added}
+    assert all(got[r[0]] == "en" for r in added if r[2]) and all(got[r[0]] in {*by_lang, "und"} for r in added)
+    assert all(got[r[0]] == "und" for r in added[1:6:2])
 
 
 ODD = "doc_id long, text string, lang string, source string, n_chars int, found string, score double, evidence long, row long, gone long, place long, mix_id long, mix_at double, file string, at long, base long, path string, rows long, component_id long"
