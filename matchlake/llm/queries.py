@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlake.llm import ann, bpe, chat, dac, exact, language, mixing, quality, warc
+from matchlake.llm import ann, bpe, chat, dac, exact, language, lexical, merkle, mixing, quality, secrets, warc
 from matchlake.llm.minhash import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,18 @@ def op10_neighbouring_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.preference_pairs(turns, chat.neighbouring_pairs(turns))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(_table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mix_sources": op2_mix_sources,
@@ -89,6 +101,9 @@ QUERIES: dict[str, Query] = {
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_preference_chat": op10_preference_chat,
     "op10_neighbouring_chats": op10_neighbouring_chats,
+    "op11_secrets": op11_secrets,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -97,4 +112,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_warc": warc.ORACLE,
     "op10_preference_chat": chat.ANSWER_ORACLE,
     "op10_neighbouring_chats": chat.ORACLE,
+    "op11_secrets": secrets.ORACLE,
+    "op12_merkle_manifest": merkle.ORACLE,
+    "op13_lexical_search": lexical.ORACLE,
 }

@@ -73,28 +73,32 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@contextmanager
+def held(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of the session that holds for what is planned and run inside; its own holds again afterwards."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 #: What Spark and a Python worker pass each other at once inside :func:`small_batches`.
 BATCH_BYTES, BATCH_ROWS = 4 << 20, 512
 
 
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Arrow batches of few bytes for the Python steps that are planned and run inside, whatever the length of their cells.
+    """Arrow batches of few bytes for the Python steps that run inside, whatever the length of their cells.
 
-    The session's own settings hold again afterwards, so a table made inside must be written there.
+    A table made inside must be written there.
     """
-    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
-    before = {name: spark.conf.get(name, None) for name in names}
-    try:
-        for name, value in names.items():
-            spark.conf.set(name, value)
+    with held(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS)), held(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES)):
         yield
-    finally:
-        for name, value in before.items():
-            if value is None:
-                spark.conf.unset(name)
-            else:
-                spark.conf.set(name, value)
 
 
 def free(table: DataFrame, *names: str) -> list[str]:

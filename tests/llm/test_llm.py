@@ -52,7 +52,7 @@ def awkward(spark):
 
 
 def test_registered_queries_have_the_contract(spark, sf):
-    assert {int(k[2:].split("_")[0]) for k in QUERIES} == set(range(1, 11))
+    assert {int(k[2:].split("_")[0]) for k in QUERIES} == set(range(1, 14))
     assert set(ORACLE_SQL) <= set(QUERIES)
 
 
