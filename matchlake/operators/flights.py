@@ -1,4 +1,4 @@
-"""From tracked balls to launches, outcomes and goal entries, one ball at a time in order of frames.
+"""Launches and goal entries of tracked balls, as windows over each ball's points, and the links between them.
 
 Places are shares of the frame; lengths and speeds are taken in pixels of a frame ``width`` by ``height`` and stated
 as shares of its diagonal. Gates and boundaries are short lists from a camera's configuration.
@@ -6,28 +6,24 @@ as shares of its diagonal. Gates and boundaries are short lists from a camera's
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
-from math import dist, hypot, inf
+from math import hypot
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchlake.operators.ordered import fold
-from matchlake.operators.temporal import band_join
-from matchlake.operators.tracking import velocity
+from matchlake.functions.exprs import crosses_directed, inside_polygon
+from matchlake.operators.temporal import band_join, islands
 
 Point = tuple[float, float]
 
 # Fixed values.
-CARRY_FRAMES, MEMORY_FRAMES, PADDING, CARRIED_SPEED = 4, 8, 0.08, 0.16
-LAUNCH_SPEED, RADIAL_SPEED, DEPARTURE, AWAY_FRAMES, CANDIDATE_FRAMES, STRAIGHT = 0.32, 0.12, 0.012, 3, 14, 0.62
-EDGE_REACH, EDGE_POINTS, LAUNCH_REACH, LAUNCH_HEIGHT = 0.025, 5, 0.045, 0.80
-FLIGHT_S, SLOW, REVERSED, MISS_GAP_S = 3.0, 0.035, -0.15, 0.085
+CARRY_FRAMES, MEMORY_FRAMES, PADDING = 4, 8, 0.08
+LAUNCH_SPEED, AWAY_FRAMES, STRAIGHT, EDGE_REACH = 0.32, 3, 0.62, 0.025
+FLIGHT_S, ARM_S, BACK_RADII = 3.0, 0.30, 0.25
 LINK_S, LINK_MARGIN, SAME_S = 0.25, 0.25, 0.15
-TRAIL_POINTS, TRAIL_S = 24, 0.5
+TRAIL_S = 0.5
 TRACK = "array<struct<frame:bigint,t:double,x:double,y:double,radius:double>>"
 
 
@@ -39,247 +35,185 @@ class Boundary:
     b: Point
     direction: Point
 
+    def crossed(self, p: Sequence[Column], q: Sequence[Column]) -> Column:
+        return crosses_directed(p, q, *[tuple(map(F.lit, end)) for end in (self.a, self.b)], self.direction)
+
+    def depth(self, x: Column, y: Column, r: Column, width: float, height: float) -> Column:
+        """How far a point lies beyond the line along its direction, in radii of a pixel at least; ``r`` is a share of the diagonal."""
+        along = ((self.b[0] - self.a[0]) * width, (self.b[1] - self.a[1]) * height)
+        ahead = self.direction[1] * height * along[0] - self.direction[0] * width * along[1]
+        out, size = (-along[1], along[0]) if ahead >= 0 else (along[1], -along[0]), hypot(*along)
+        away = ((x - self.a[0]) * width * out[0] + (y - self.a[1]) * height * out[1]) / size
+        return away / F.greatest(r * hypot(width, height), F.lit(1.0))
+
 
 @dataclass(frozen=True)
 class Gate:
-    """A goal as one camera sees it; see the fields' use in :class:`_Entries`."""
+    """A goal as one camera sees it.
+
+    A ball arms where it crosses ``approach`` (without one, anywhere) and enters where it then crosses ``made``; a gate
+    without that line counts no entries. The entry
+    counts once the ball was seen ``frames`` times inside ``interior`` moving along ``direction``, at ``depth`` radii.
+    """
 
     goal: str
     region: str
     direction: Point
     made: Boundary | None = None
     approach: Boundary | None = None
-    polygon: tuple[Point, ...] | None = None
     interior: tuple[Point, ...] | None = None
     misses: tuple[Boundary, ...] = ()
     frames: int = 1
     depth: float = 0.0
     gap_s: float = 0.085
     confirm_s: float = 0.25
-    partial: bool = False
-    radius: float = 0.0
-
-
-def _side(a: Point, b: Point, c: Point) -> float:
-    return (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
-
-
-def crosses(p: Point, q: Point, over: Boundary, slack: float = 1e-9) -> bool:
-    """Whether a move from p to q goes along the boundary's direction and meets its line, touching included."""
-    if (q[0] - p[0]) * over.direction[0] + (q[1] - p[1]) * over.direction[1] <= 0:
-        return False
-    sides = _side(p, q, over.a), _side(p, q, over.b), _side(over.a, over.b, p), _side(over.a, over.b, q)
-    within = lambda a, b, c: all(min(a[k], b[k]) - slack <= c[k] <= max(a[k], b[k]) + slack for k in (0, 1))
-    ends = ((p, q, over.a), (p, q, over.b), (over.a, over.b, p), (over.a, over.b, q))
-    return (sides[0] * sides[1] < 0 and sides[2] * sides[3] < 0) or any(abs(s) <= slack and within(*e) for s, e in zip(sides, ends))
-
 
-def inside(p: Point, polygon: Sequence[Point]) -> bool:
-    """Even-odd rule."""
-    hit = False
-    for (ax, ay), (bx, by) in zip(polygon, [*polygon[1:], polygon[0]]):
-        if (ay > p[1]) != (by > p[1]) and p[0] < (bx - ax) * (p[1] - ay) / (by - ay) + ax:
-            hit = not hit
-    return hit
 
-
-def depth_beyond(p: Point, radius: float, line: Boundary | None, width: float, height: float) -> float:
-    """How far a ball is beyond a line along its direction, in its own radii (of a pixel at least); infinite without a line.
-
-    ``radius`` is a share of the diagonal.
-    """
-    if line is None:
-        return inf
-    (ax, ay), (bx, by), (x, y) = ((q[0] * width, q[1] * height) for q in (line.a, line.b, p))
-    nx, ny = ay - by, bx - ax
-    length = hypot(nx, ny)
-    if length <= 1e-9:
-        return -inf
-    sign = 1 if nx * line.direction[0] * width + ny * line.direction[1] * height > 0 else -1
-    return sign * ((x - ax) * nx + (y - ay) * ny) / (length * max(radius * hypot(width, height), 1.0))
-
-
-@dataclass
-class _Approach:
-    """How far one ball has come at one gate: when it armed, where it crossed, how often it was seen inside moving in."""
-
-    armed: float | None = None
-    crossed: tuple | None = None
-    hits: int = 0
+def _stretches(points: DataFrame, cuts: DataFrame | None, gap_s: float) -> DataFrame:
+    """Points of each ball with ``stretch``, numbered anew behind a hole over ``gap_s`` and behind each cut ``(job_id, t)``."""
+    p = points.select("job_id", "ball", F.col("frame").cast("long"), *[F.col(c).cast("double") for c in ("t", "x", "y", "r")])
+    if cuts is not None:
+        both = p.withColumn("side", F.lit(1)).unionByName(cuts.select("job_id", F.col("t").cast("double"), F.lit(0).alias("side")), allowMissingColumns=True)
+        scene = F.count_if(F.col("side") == 0).over(Window.partitionBy("job_id").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0))
+        p = both.withColumn("scene", scene).where("side = 1").drop("side")
+    else:
+        p = p.withColumn("scene", F.lit(0))
+    before = Window.partitionBy("job_id", "ball").orderBy("frame")
+    fresh = (F.col("t") - F.lag("t").over(before) > gap_s) | (F.col("scene") != F.lag("scene").over(before))
+    return islands(p.withColumn("fresh", fresh), ["job_id", "ball"], ["frame"], F.col("fresh"), "stretch").drop("scene", "fresh")
 
 
-class _Entries:
-    """Points of one ball; gives the entry at the first gate that it arms, crosses and is confirmed at.
+def _entries_at(points: DataFrame, gate: Gate, width: float, height: float, cuts: DataFrame | None) -> DataFrame:
+    """Every confirmed entry at one gate.
 
-    A gate arms at its approach line (without one, at once) and, where ``partial``, by a first sight inside but short of
-    the line. A move back by a quarter radius, or a confirmation overdue, disarms it. Entering needs a crossing of the
-    made line (or into the polygon) along the gate's direction, enough sights inside the interior while moving in, and
-    the depth. A hole in the points, or a cut, starts anew.
+    Each point knows the last point of its stretch that armed, that crossed while armed, and that moved back; what stands
+    between two of them is told by running maxima and counts alone.
     """
-
-    def __init__(self, gates: Sequence[Gate], width: float, height: float):
-        self.gates, self.size, self.points, self.done, self.first = gates, (width, height), [], False, None
-        self.states = [_Approach() for _ in gates]
-
-    def row(self, frame: int, t: float, x: float, y: float, r: float, since: float) -> Iterable[tuple]:
-        here = (frame, t, x, y, r)
-        self.first = t if self.first is None else self.first
-        last, self.points = self.points[-1] if self.points else None, [*self.points[1 - TRAIL_POINTS :], here]
-        if self.done or last is None or frame == last[0]:
-            return ()
-        for i, gate in enumerate(self.gates):
-            if self._enters(gate, i, last, here, since):
-                self.done = True
-                crossed = self.states[i].crossed
-                trail = [dict(zip(("frame", "t", "x", "y", "radius"), p)) for p in self.points if t - p[1] <= TRAIL_S and p[1] >= since]
-                sure = 0.92 if gate.interior and gate.approach else 0.8
-                return [(gate.goal, gate.region, frame, t, crossed[0], crossed[1], sure, trail)]
-        return ()
-
-    def _enters(self, gate: Gate, i: int, last: tuple, here: tuple, since: float) -> bool:
-        (_, t0, x0, y0, r0), (_, t, x, y, r) = last, here
-        if not 0 < t - t0 <= gate.gap_s or t0 < since:
-            self.states[i] = _Approach()
-            return False
-        s, p, q = self.states[i], (x0, y0), (x, y)
-        inward = (x - x0) * gate.direction[0] + (y - y0) * gate.direction[1]
-        if inward < -0.25 * max(r0, r) or (s.armed is not None and t - s.armed > gate.confirm_s):
-            s = self.states[i] = _Approach()
-        if gate.approach is None:
-            s.armed = t0 if s.armed is None else s.armed
-        elif crosses(p, q, gate.approach):
-            s = self.states[i] = _Approach(armed=t)
-        if s.armed is None:
-            early = gate.partial and gate.interior and t0 - self.first <= gate.gap_s
-            if not (early and inside(p, gate.interior) and depth_beyond(p, r0, gate.made, *self.size) <= -0.5 and inward > 0):
-                return False
-            s.armed, s.hits = t0, 1
-        within = gate.interior is None or inside(q, gate.interior)
-        if not within and (s.crossed or s.hits):
-            self.states[i] = _Approach()
-            return False
-        s.hits += within and inward > 1e-6
-        over = crosses(p, q, gate.made) if gate.made else gate.polygon is not None and not inside(p, gate.polygon) and inside(q, gate.polygon)
-        if over and inward > 0 and s.crossed is None:
-            s.crossed = here
-        big = max(k[4] for k in self.points[-12:]) >= 0.5 * gate.radius
-        return bool(s.crossed and within and s.hits >= gate.frames and depth_beyond(q, r, gate.made, *self.size) >= gate.depth and big)
-
-    def close(self) -> Iterable[tuple]:
-        return ()
+    rows = _stretches(points, cuts, gate.gap_s)
+    key = Window.partitionBy("job_id", "ball", "stretch").orderBy("frame")
+    so_far = key.rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda c: F.last(c, ignorenulls=True).over(so_far)
+    p, q = (F.lag("x").over(key), F.lag("y").over(key)), (F.col("x"), F.col("y"))
+    moved = rows.withColumn("px", p[0]).withColumn("py", p[1])
+    was = (F.col("px"), F.col("py"))
+    step = (F.col("x") - F.col("px")) * width * gate.direction[0] + (F.col("y") - F.col("py")) * height * gate.direction[1]
+    radius = F.greatest(F.col("r") * hypot(width, height), F.lit(1.0))
+    arms = gate.approach.crossed(was, q) if gate.approach else F.col("px").isNotNull()
+    signs = moved.withColumn("back", F.coalesce(step / hypot(*gate.direction) < -BACK_RADII * radius, F.lit(False))).withColumn("inward", F.coalesce(step > 0, F.lit(False)))
+    signs = signs.withColumn("arm_t", F.when(F.coalesce(arms, F.lit(False)), F.col("t"))).withColumn("back_t", F.when(F.col("back"), F.col("t")))
+    signs = signs.withColumn("armed", last("arm_t")).withColumn("backed", last("back_t"))
+    live = F.col("armed").isNotNull() & (F.col("t") - F.col("armed") <= ARM_S) & (F.col("backed").isNull() | (F.col("backed") < F.col("armed")))
+    enters = F.coalesce(gate.made.crossed(was, q), F.lit(False)) & live
+    corners = [F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in gate.interior or ()]
+    inside = inside_polygon(F.col("x"), F.col("y"), F.array(*corners)) if corners else F.lit(True)
+    signs = signs.withColumn("sights", F.sum((F.col("inward") & inside).cast("int")).over(so_far))
+    at = F.struct("frame", "t", (F.col("sights") - (F.col("inward") & inside).cast("int")).alias("sights"))
+    signs = signs.withColumn("crossing", F.when(enters, at)).withColumn("crossing", last("crossing"))
+    deep = gate.made.depth(F.col("x"), F.col("y"), F.col("r"), width, height)
+    seen = F.col("sights") - F.col("crossing.sights")
+    ok = F.col("crossing").isNotNull() & inside & F.col("inward") & (seen >= gate.frames) & (deep >= gate.depth) & (F.col("t") - F.col("crossing.t") <= gate.confirm_s)
+    ok = ok & (F.col("backed").isNull() | (F.col("backed") < F.col("crossing.t")))
+    found = signs.where(ok).groupBy("job_id", "ball").agg(F.min_by(F.struct("frame", "t", "crossing", deep.alias("depth")), "frame").alias("e"))
+    sure = F.round(F.least(F.lit(0.99), 0.7 + 0.1 * F.greatest(F.lit(0.0), F.col("e.depth"))), 6)
+    return found.select(
+        "job_id", "ball", F.lit(gate.goal).alias("goal"), F.lit(gate.region).alias("region"), "e.frame", "e.t", F.col("e.crossing.frame").alias("crossing_frame"), F.col("e.crossing.t").alias("crossing_t"),
+        sure.alias("confidence"),
+    )
+
+
+def _with_track(found: DataFrame, points: DataFrame, since: Column, until: Column) -> DataFrame:
+    """``found`` with ``ball_track``, its ball's points between two times."""
+    p = points.select("job_id", "ball", F.struct(F.col("frame").cast("long").alias("frame"), *[F.col(c).cast("double").alias(n) for c, n in (("t", "t"), ("x", "x"), ("y", "y"), ("r", "radius"))]).alias("p"))
+    names = found.columns
+    both = found.withColumn("_since", since).withColumn("_until", until).join(p, ["job_id", "ball"]).where("p.t between _since and _until")
+    return both.groupBy(*names).agg(F.array_sort(F.collect_list("p")).cast(TRACK).alias("ball_track"))
 
 
 def goal_entries(points: DataFrame, gates: Sequence[Gate], width: float, height: float, cuts: DataFrame | None = None) -> DataFrame:
     """``job_id, ball, goal, region, frame, t, crossing_frame, crossing_t, confidence, ball_track``: each ball's first confirmed entry.
 
+    A move back along a gate's direction by BACK_RADII of the ball disarms it, as does ARM_S without a crossing. A hole
+    over the gate's ``gap_s``, or a cut, starts anew. Of entries at one frame the gate listed first counts.
     ``points (job_id, ball, frame, t, x, y, r)`` with places as shares of the frame and radii of its diagonal;
     ``cuts (job_id, t)`` are the instants at which the scene begins anew.
     """
-    p = points.select("job_id", "ball", F.col("frame").cast("long"), *[F.col(c).cast("double") for c in ("t", "x", "y", "r")])
-    if cuts is None:
-        p = p.withColumn("since", F.lit(0.0))
-    else:
-        both = p.withColumn("side", F.lit(1)).unionByName(cuts.select("job_id", F.col("t").cast("double"), F.lit(0).alias("side")), allowMissingColumns=True)
-        last = F.max(F.when(F.col("side") == 0, F.col("t"))).over(Window.partitionBy("job_id").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0))
-        p = both.withColumn("since", F.coalesce(last, F.lit(0.0))).where("side = 1").drop("side")
-    kind = f"goal string, region string, frame long, t double, crossing_frame long, crossing_t double, confidence double, ball_track {TRACK}"
-    return fold(p, ["job_id", "ball"], ["frame"], ["frame", "t", "x", "y", "r", "since"], lambda: _Entries(gates, width, height), kind)
-
-
-class _Distinct:
-    """Entries of one region in order of time; one that repeats another of the last SAME_S is named with it."""
-
-    def __init__(self, width: float, height: float):
-        self.size, self.diagonal, self.kept = (width, height), hypot(width, height), []
-
-    def _same(self, a: list[dict], b: list[dict]) -> bool:
-        away = lambda p, q: hypot((p["x"] - q["x"]) * self.size[0], (p["y"] - q["y"]) * self.size[1])
-        near = lambda p, q, least, part: away(p, q) <= max(least, min(p["radius"], q["radius"]) * self.diagonal * part)
-        at = {}
-        for q in b:
-            at.setdefault(q["frame"], q)
-        if sum(p["frame"] in at and near(p, at[p["frame"]], 2, 0.8) for p in a) >= 2:
-            return True
-        alias = set()
-        for p in a:
-            for i, q in enumerate(b):
-                if abs(p["frame"] - q["frame"]) <= 1 and abs(p["t"] - q["t"]) <= 0.022 and near(p, q, 1, 0.25):
-                    alias.add(i)
-                    break
-        return len(alias) >= 3
-
-    def row(self, ball, t: float, track: list[dict]) -> Iterable[tuple]:
-        self.kept = [k for k in self.kept if t - k[1] <= SAME_S]
-        for other, _, points in reversed(self.kept):
-            if self._same(track, points):
-                return [(ball, other)]
-        self.kept.append((ball, t, track))
-        return [(ball, None)]
-
-    def close(self) -> Iterable[tuple]:
-        return ()
+    every = [_entries_at(points, gate, width, height, cuts).withColumn("gate", F.lit(i)) for i, gate in enumerate(gates) if gate.made]
+    found = every[0]
+    for more in every[1:]:
+        found = found.union(more)
+    first = found.withColumn("_rn", F.row_number().over(Window.partitionBy("job_id", "ball").orderBy("frame", "gate"))).where("_rn = 1").drop("_rn", "gate")
+    return _with_track(first, points, F.col("crossing_t") - TRAIL_S, F.col("t"))
 
 
 def repeated_entries(entries: DataFrame, width: float, height: float) -> DataFrame:
-    """``job_id, region, ball, same_as``: the ball of an earlier entry that an entry repeats, else null.
+    """``job_id, region, ball, same_as``: the ball of the earliest entry that an entry repeats, else null.
 
     Two entries of a region within SAME_S are one if two of their points of one frame lie together, or three of
     neighbouring frames nearly coincide, as when one flight is split over alternating tracks.
     """
-    kind = entries.schema["ball"].dataType.simpleString()
-    rows = entries.select("job_id", "region", "ball", "t", "ball_track")
-    return fold(rows, ["job_id", "region"], ["t", "ball"], ["ball", "t", "ball_track"], lambda: _Distinct(width, height), f"ball {kind}, same_as {kind}")
-
-
-def link_cost(shot: list[dict], entry: list[dict], width: float, height: float) -> float | None:
-    """How badly an entry's first points continue the parabola of a shot's last eight; none if it is no continuation."""
-    if len(shot) < 4 or len(entry) < 2:
-        return None
-    old, size = shot[-8:], np.array([width, height])
-    gap, span = entry[0]["t"] - old[-1]["t"], old[-1]["t"] - old[0]["t"]
-    if not 0 < gap <= LINK_S or span < 0.04 or gap > 1.5 * span:
-        return None
-    place = lambda points: np.array([[p["x"], p["y"]] for p in points]) * size
-    powers = lambda points: np.array([[1.0, s, s * s] for s in ((p["t"] - old[-1]["t"]) / span for p in points)])
-    curve = np.linalg.lstsq(powers(old), place(old), rcond=None)[0]
-    radius = max(2.0, float(np.median([p["radius"] for p in old])) * hypot(width, height))
-    error = float(np.sqrt(np.mean(((powers(old) @ curve - place(old)) ** 2).sum(axis=1))))
-    expected, seen = powers(entry[:3]) @ curve, place(entry[:3])
-    off, allowed = float(np.linalg.norm(seen - expected, axis=1).max()), 2 * radius + error
-    a, b = seen[-1] - seen[0], expected[-1] - expected[0]
-    along = float(a @ b) / max(1e-6, float(np.linalg.norm(a) * np.linalg.norm(b)))
-    if error > 0.75 * radius or off > allowed or along < 0.8:
-        return None
-    return off / allowed + 0.5 * (1 - along)
+    e = entries.select("job_id", "region", "ball", "t", "ball_track")
+    o = entries.select("job_id", "region", F.col("ball").alias("same_as"), F.col("t").alias("o_t"), F.col("ball_track").alias("o_track"))
+    pairs = band_join(e, o, ["job_id", "region"], "t", "o_t", SAME_S).where("o_t < t or (o_t = t and same_as < ball)")
+    away = lambda p, q: F.hypot((p["x"] - q["x"]) * width, (p["y"] - q["y"]) * height)
+    near = lambda p, q, least, part: away(p, q) <= F.greatest(F.lit(float(least)), F.least(p["radius"], q["radius"]) * hypot(width, height) * part)
+    common = F.filter("ball_track", lambda p: F.exists("o_track", lambda q: (p["frame"] == q["frame"]) & near(p, q, 2, 0.8)))
+    beside = F.filter("ball_track", lambda p: F.exists("o_track", lambda q: (F.abs(p["frame"] - q["frame"]) <= 1) & (F.abs(p["t"] - q["t"]) <= 0.022) & near(p, q, 1, 0.25)))
+    same = pairs.where((F.size(common) >= 2) | (F.size(beside) >= 3)).groupBy("job_id", "region", "ball").agg(F.min_by("same_as", F.struct("o_t", "same_as")).alias("same_as"))
+    return entries.select("job_id", "region", "ball").join(same, ["job_id", "region", "ball"], "left")
+
+
+def flight(points: Column) -> Column:
+    """``struct(t0, x, vx, y, vy, ay)``: the least-squares line in x and parabola in y of points ``(t, x, y)`` about their last time.
+
+    Null for fewer than four points or three times. The sums of the normal equations are taken over the points' array.
+    """
+    t0 = F.try_element_at(points, F.lit(-1))["t"]
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("s0", "s1", "s2", "s3", "s4", "x0", "x1", "y0", "y1", "y2")])
+
+    def add(s: Column, p: Column) -> Column:
+        t = p["t"] - t0
+        powers = {"s0": F.lit(1.0), "s1": t, "s2": t * t, "s3": t * t * t, "s4": t * t * t * t, "x0": p["x"], "x1": p["x"] * t, "y0": p["y"], "y1": p["y"] * t, "y2": p["y"] * t * t}
+        return F.struct(*[(s[c] + v).alias(c) for c, v in powers.items()])
+
+    def solved(s: Column) -> Column:
+        line = s["s0"] * s["s2"] - s["s1"] * s["s1"]
+        minor = lambda a, b, c, d: s[a] * s[b] - s[c] * s[d]
+        m0, m1, m2 = minor("s2", "s4", "s3", "s3"), minor("s2", "s3", "s1", "s4"), minor("s1", "s3", "s2", "s2")
+        det = s["s0"] * m0 + s["s1"] * m1 + s["s2"] * m2
+        rows = ((m0, m1, m2), (m1, minor("s0", "s4", "s2", "s2"), minor("s1", "s2", "s0", "s3")), (m2, minor("s1", "s2", "s0", "s3"), minor("s0", "s2", "s1", "s1")))
+        y, vy, ay = [F.try_divide(sum(m * s[f"y{i}"] for i, m in enumerate(row)), det) for row in rows]
+        x = F.try_divide(s["x0"] * s["s2"] - s["x1"] * s["s1"], line)
+        vx = F.try_divide(s["x1"] * s["s0"] - s["x0"] * s["s1"], line)
+        return F.when((s["s0"] >= 4) & (det > 1e-18), F.struct(t0.alias("t0"), x.alias("x"), vx.alias("vx"), y.alias("y"), vy.alias("vy"), ay.alias("ay")))
+
+    return F.aggregate(points, zero, add, solved)
 
 
 def link_entries(entries: DataFrame, shots: DataFrame, width: float, height: float) -> DataFrame:
     """``job_id, entry_id, shot_id, association, confidence``: the shot that each goal entry ends, null where none is sure.
 
-    An entry of a shot's own ball is that shot's. Of the others, a shot whose last points an entry continues takes it
-    if every other entry of the shot and every other shot of the entry costs LINK_MARGIN more.
+    An entry of a shot's own ball is that shot's. Of the others, a shot whose flight, by its last eight points, passes an
+    entry's first three points takes it if every other entry of the shot and every other shot of the entry costs
+    LINK_MARGIN more; the cost is the mean miss in ball widths, and one of more than one width is no link.
     ``entries (job_id, entry_id, ball, t, ball_track)``, ``shots (job_id, shot_id, ball, launch_t, ball_track)``.
     """
     recent = F.col("t").between(F.col("launch_t"), F.col("launch_t") + FLIGHT_S)
     own = entries.select("job_id", "entry_id", "ball", "t").join(shots.select("job_id", "ball", "shot_id", "launch_t"), ["job_id", "ball"]).where(recent)
     own = own.groupBy("job_id", "entry_id").agg(F.max_by("shot_id", F.struct("launch_t", "shot_id")).alias("shot_id"))
-    e = entries.join(own.select("job_id", "entry_id"), ["job_id", "entry_id"], "left_anti").select("job_id", "entry_id", "t", F.col("ball_track").alias("e_track"))
-    e = e.withColumn("begins", F.try_element_at("e_track", F.lit(1))["t"])
-    s = shots.join(own.select("job_id", "shot_id").distinct(), ["job_id", "shot_id"], "left_anti").select("job_id", "shot_id", "launch_t", F.slice("ball_track", F.greatest(F.size("ball_track") - 7, F.lit(1)), 8).alias("s_track"))
-    s = s.withColumn("ends", F.try_element_at("s_track", F.lit(-1))["t"])
-    near = band_join(e, s, ["job_id"], "begins", "ends", LINK_S).where("begins > ends").where(F.col("t").between(F.col("launch_t") + 1e-9, F.col("launch_t") + FLIGHT_S))
-    near = near.select("job_id", "entry_id", "shot_id", "e_track", "s_track")
-
-    def price(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for batch in batches:
-            costs = [link_cost(a, b, width, height) for a, b in zip(batch.column(4).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(costs, pa.float64())], names=["job_id", "entry_id", "shot_id", "cost"])
-
-    kinds = ", ".join(f"{c} {near.schema[c].dataType.simpleString()}" for c in ("job_id", "entry_id", "shot_id"))
-    priced = near.mapInArrow(price, f"{kinds}, cost double").where("cost is not null")
+    e = entries.join(own.select("job_id", "entry_id"), ["job_id", "entry_id"], "left_anti").select("job_id", "entry_id", "t", F.slice("ball_track", 1, 3).alias("first"))
+    e = e.withColumn("begins", F.try_element_at("first", F.lit(1))["t"])
+    s = shots.join(own.select("job_id", "shot_id").distinct(), ["job_id", "shot_id"], "left_anti")
+    s = s.select("job_id", "shot_id", "launch_t", F.reverse(F.slice(F.reverse("ball_track"), 1, 8)).alias("tail")).withColumn("flight", flight(F.col("tail"))).where("flight is not null")
+    s = s.withColumn("ends", F.col("flight.t0"))
+    near = band_join(e, s, ["job_id"], "begins", "ends", LINK_S).where("begins > ends and size(first) > 1").where(F.col("t").between(F.col("launch_t"), F.col("launch_t") + FLIGHT_S))
+    f, ahead = F.col("flight"), lambda p: p["t"] - F.col("flight.t0")
+    miss = lambda p: F.hypot((f["x"] + f["vx"] * ahead(p) - p["x"]) * width, (f["y"] + f["vy"] * ahead(p) + f["ay"] * ahead(p) * ahead(p) - p["y"]) * height)
+    wide = lambda p: F.greatest(2 * p["radius"] * hypot(width, height), F.lit(2.0))
+    cost = F.aggregate("first", F.lit(0.0), lambda acc, p: acc + miss(p) / wide(p), lambda acc: acc / F.size("first"))
+    priced = near.select("job_id", "entry_id", "shot_id", cost.alias("cost")).where("cost <= 1")
 
     def rival(key: str, other: str) -> Column:
-        """The least cost of each key and the least of its other partners."""
+        """The least cost among a key's other partners."""
         w = Window.partitionBy("job_id", key).orderBy("cost", other)
         return F.when(F.row_number().over(w) == 1, F.lead("cost").over(w)).otherwise(F.first("cost").over(w))
 
@@ -302,146 +236,51 @@ def credited(shots: DataFrame, links: DataFrame, entries: DataFrame) -> DataFram
     return both.withColumn("outcome", F.when(made, "made").otherwise(F.col("outcome"))).withColumn("goal", F.when(made, F.col("e.e_goal")).otherwise(F.col("goal"))).withColumn("outcome_t", F.when(made, F.col("e.e_t")).otherwise(F.col("outcome_t"))).withColumn("ball_track", F.when(made, merged).otherwise(F.col("ball_track"))).drop("e")
 
 
-class _Launch:
-    """One ball and the robots of each of its frames: carried, then a candidate that leaves its robot, then a shot.
-
-    A ball within one robot (or several, when none is named) for CARRY_FRAMES at the robot's own speed is carried by it;
-    a ball first seen at a robot's edge that is fast and outward was too. Once out, fast and away from every robot that
-    may have had it, it is a candidate; after AWAY_FRAMES of that, far and straight enough, it is a launch. The shot then
-    lasts until FLIGHT_S, a miss, or an end of flight.
-    """
-
-    def __init__(self, gates: Sequence[Gate], width: float, height: float):
-        self.gates, self.size, self.diagonal = gates, (width, height), hypot(width, height)
-        self.points, self.seen, self.inside, self.streak, self.source, self.carried_at, self.step = [], 0, (), 0, (), -inf, 0
-        self.candidate, self.shot, self.over = None, None, False
-
-    def _in(self, p: Point, box: dict) -> bool:
-        """Within a robot's box grown by PADDING on all sides."""
-        px, py = (box["x2"] - box["x1"]) * PADDING, (box["y2"] - box["y1"]) * PADDING
-        return box["x1"] - px <= p[0] <= box["x2"] + px and box["y1"] - py <= p[1] <= box["y2"] + py
-
-    def _near(self, p: Point, box: dict, reach: float) -> bool:
-        """Near a robot's box and not at its foot, where balls lie rather than leave."""
-        away = hypot(max(box["x1"] - p[0], 0.0, p[0] - box["x2"]), max(box["y1"] - p[1], 0.0, p[1] - box["y2"]))
-        return away <= reach * max(self.diagonal, 1.0) and (p[1] - box["y1"]) / max(1.0, box["y2"] - box["y1"]) <= LAUNCH_HEIGHT
-
-    def _motion(self, ids: Sequence[int], robots: dict[int, dict]) -> tuple[float, float]:
-        """Least speed against, and least speed away from, any robot that may have had the ball."""
-        vx, vy = velocity([p[1:] for p in self.points])
-        _, _, x, y, _ = self.points[-1]
-        against, away = [], []
-        for k in (robots[i] for i in ids if i in robots):
-            rx, ry = vx - k["vx"], vy - k["vy"]
-            ox, oy = x - (k["x1"] + k["x2"]) / 2, y - (k["y1"] + k["y2"]) / 2
-            against.append(hypot(rx, ry))
-            away.append((rx * ox + ry * oy) / hypot(ox, oy) if hypot(ox, oy) > 1e-6 else 0.0)
-        return (min(against) / self.diagonal, min(away) / self.diagonal) if against else (0.0, 0.0)
-
-    def row(self, frame: int, t: float, x: float, y: float, r: float, robots: list[dict] | None) -> Iterable[tuple]:
-        self.points = [*self.points[-40:], (frame, t, x, y, r)]
-        self.seen, self.step = self.seen + 1, frame
-        if self.seen >= 2:
-            if self.shot:
-                self._fly()
-            else:
-                self._watch({k["track_id"]: k for k in robots or ()})
-        return ()
-
-    def _watch(self, robots: dict[int, dict]) -> None:
-        frame, t, x, y, _ = self.points[-1]
-        holders = tuple(sorted(i for i, k in robots.items() if self._in((x, y), k)))
-        speed, away = self._motion(holders or self.source, robots)
-        if holders and (self.seen < 2 or speed <= CARRIED_SPEED):
-            self.inside, self.streak = holders, self.streak + 1 if holders == self.inside else 1
-            if self.streak >= CARRY_FRAMES:
-                self.source, self.carried_at = holders, self.step
-        else:
-            self.streak = 0
-        if not self.source and self.seen <= EDGE_POINTS:
-            start = self.points[0]
-            edge = tuple(sorted(i for i, k in robots.items() if self._near(start[2:4], k, EDGE_REACH)))
-            quick = self._motion(edge, robots)
-            if edge and quick[0] >= LAUNCH_SPEED and quick[1] >= RADIAL_SPEED and not any(self._in((x, y), robots[i]) for i in edge):
-                self.source, self.carried_at, (speed, away) = edge, self.step, quick
-                self.candidate = {"from": edge, "at": start, "trail": [p[2:4] for p in self.points[:-1]], "frames": self.seen - 1, "away": self.seen - 1}
-        if self.source and self.step - self.carried_at > MEMORY_FRAMES:
-            self.source, self.candidate = (), None
-        if not self.source:
-            return
-        leaves = speed >= LAUNCH_SPEED and away >= RADIAL_SPEED and not any(i in robots and self._in((x, y), robots[i]) for i in self.source)
-        c = self.candidate
-        if c is None:
-            if leaves and any(i in robots and self._near((x, y), robots[i], LAUNCH_REACH) for i in self.source):
-                self.candidate = {"from": self.source, "at": self.points[-1], "trail": [(x, y)], "frames": 0, "away": 0}
-            return
-        c["frames"], c["away"] = c["frames"] + 1, c["away"] + 1 if leaves else max(0, c["away"] - 1)
-        c["trail"].append((x, y))
-        if c["frames"] > CANDIDATE_FRAMES:
-            self.candidate = None
-            return
-        gone, path = dist((x, y), c["at"][2:4]), sum(map(dist, c["trail"], c["trail"][1:]))
-        straight = gone / path if path > 1e-6 else 0.0
-        if c["away"] < AWAY_FRAMES or gone / self.diagonal < DEPARTURE or straight < STRAIGHT:
-            return
-        held, named = min(1.0, self.streak / CARRY_FRAMES), len(c["from"]) == 1
-        self.shot = {
-            "frame": c["at"][0], "t": c["at"][1], "robot": c["from"][0] if named else None, "outcome": "unknown", "goal": None, "outcome_t": None,
-            "confidence": min(0.99, 0.35 + 0.20 * min(1.0, speed / LAUNCH_SPEED) + 0.15 * held + 0.20 * straight + 0.10 * named),
-            "attribution": min(0.99, 0.55 + 0.10 * held) if named else 0.0, "track": [self._share(p) for p in self.points if p[0] >= c["at"][0]],
-        }
-        for a, b in zip(self.shot["track"], self.shot["track"][1:]):
-            self._judge(a, b)
-
-    def _share(self, p: tuple) -> dict:
-        return {"frame": p[0], "t": p[1], "x": p[2] / self.size[0], "y": p[3] / self.size[1], "radius": p[4] / self.diagonal}
-
-    def _judge(self, a: dict, b: dict) -> None:
-        """A miss is a visible crossing of a boundary that stands for one; nothing else is."""
-        if self.shot["outcome"] != "unknown" or b["t"] - a["t"] > MISS_GAP_S:
-            return
-        for gate in self.gates:
-            if any(crosses((a["x"], a["y"]), (b["x"], b["y"]), m) for m in gate.misses):
-                self.shot |= {"outcome": "missed", "goal": gate.goal, "outcome_t": b["t"]}
-                return
-
-    def _fly(self) -> None:
-        s = self.shot
-        if self.over or s["outcome"] != "unknown" or self.points[-1][1] - s["t"] > FLIGHT_S:
-            self.over = True
-            return
-        s["track"].append(self._share(self.points[-1]))
-        self._judge(*s["track"][-2:])
-        self.over = s["outcome"] != "unknown" or (not self.gates and self._ended())
-
-    def _ended(self) -> bool:
-        """Slow after a quarter second, or turned back against the launch."""
-        track = self.shot["track"]
-        if len(track) < 4:
-            return False
-        move = lambda a, b: ((b["x"] - a["x"]) * self.size[0], (b["y"] - a["y"]) * self.size[1])
-        (lx, ly), (rx, ry) = move(track[0], track[2]), move(track[-3], track[-1])
-        gap, launch, recent = track[-1]["t"] - track[-3]["t"], hypot(lx, ly), hypot(rx, ry)
-        if gap <= 1e-9:
-            return False
-        if track[-1]["t"] - self.shot["t"] >= 0.25 and recent / gap / self.diagonal < SLOW:
-            return True
-        return launch > 1e-6 and recent > 1e-6 and (lx * rx + ly * ry) / (launch * recent) < REVERSED
-
-    def close(self) -> Iterable[tuple]:
-        s = self.shot
-        return [tuple(s[k] for k in ("frame", "t", "robot", "confidence", "attribution", "outcome", "goal", "outcome_t", "track"))] if s else ()
-
-
 def launches(points: DataFrame, robots: DataFrame, gates: Sequence[Gate], width: float, height: float) -> DataFrame:
-    """``job_id, ball, launch_frame, launch_t, robot, confidence, attribution, outcome, goal, outcome_t, ball_track`` of balls that a robot launches.
+    """``job_id, ball, launch_frame, launch_t, robot, confidence, outcome, goal, outcome_t, ball_track`` of balls that a robot launches.
 
-    ``points (job_id, ball, frame, t, x, y, r)`` and ``robots (job_id, frame, track_id, x1, y1, x2, y2, vx, vy)`` in
-    pixels and pixels a second. A ball meets the robots of its own frame, as many as a match has; a robot missing from a
-    frame tells nothing there.
+    A ball within one robot's box, grown by PADDING, for CARRY_FRAMES running is carried by it for MEMORY_FRAMES more. Its
+    launch is the first point outside all boxes from which AWAY_FRAMES points lie outside, ever farther from where it left,
+    fast and straight enough. A ball first seen within EDGE_REACH of one robot's box was carried by that one. The launch
+    is ``missed`` where its ball then crosses a gate's miss boundary within FLIGHT_S, else ``unknown``.
+    ``points (job_id, ball, frame, t, x, y, r)`` and ``robots (job_id, frame, track_id, x1, y1, x2, y2)`` in pixels.
     """
-    r = robots.groupBy("job_id", "frame").agg(F.array_sort(F.collect_list(F.struct("track_id", "x1", "y1", "x2", "y2", "vx", "vy"))).alias("robots"))
-    rows = points.select("job_id", "ball", F.col("frame").cast("long"), *[F.col(c).cast("double") for c in ("t", "x", "y", "r")]).join(r, ["job_id", "frame"], "left")
-    robot = robots.schema["track_id"].dataType.simpleString()
-    kind = f"launch_frame long, launch_t double, robot {robot}, confidence double, attribution double, outcome string, goal string, outcome_t double, ball_track {TRACK}"
-    return fold(rows, ["job_id", "ball"], ["frame"], ["frame", "t", "x", "y", "r", "robots"], lambda: _Launch(gates, width, height), kind)
+    diagonal = hypot(width, height)
+    boxes = robots.groupBy("job_id", "frame").agg(F.array_sort(F.collect_list(F.struct("track_id", "x1", "y1", "x2", "y2"))).alias("robots"))
+    p = points.select("job_id", "ball", F.col("frame").cast("long"), *[F.col(c).cast("double") for c in ("t", "x", "y", "r")]).join(boxes, ["job_id", "frame"], "left")
+    grown = lambda b, lo, hi, at: (at >= b[lo] - (b[hi] - b[lo]) * PADDING) & (at <= b[hi] + (b[hi] - b[lo]) * PADDING)
+    away = lambda b: F.hypot(F.greatest(b["x1"] - F.col("x"), F.lit(0.0), F.col("x") - b["x2"]), F.greatest(b["y1"] - F.col("y"), F.lit(0.0), F.col("y") - b["y2"]))
+    ids = lambda test: F.coalesce(F.transform(F.filter("robots", test), lambda b: b["track_id"]), F.array())
+    p = p.withColumn("within", ids(lambda b: grown(b, "x1", "x2", F.col("x")) & grown(b, "y1", "y2", F.col("y")))).withColumn("beside", ids(lambda b: away(b) <= EDGE_REACH * diagonal)).drop("robots")
+    key = Window.partitionBy("job_id", "ball").orderBy("frame")
+    p = p.withColumn("holder", F.when(F.size("within") == 1, F.get("within", F.lit(0)))).withColumn("changed", ~F.col("holder").eqNullSafe(F.lag("holder").over(key)))
+    runs = islands(p, ["job_id", "ball"], ["frame"], F.col("changed"), "run")
+    held = F.row_number().over(Window.partitionBy("job_id", "ball", "run").orderBy("frame"))
+    runs = runs.withColumn("carrier", F.when(F.col("holder").isNotNull() & (held >= CARRY_FRAMES), F.col("holder"))).withColumn("nth", F.row_number().over(key))
+    edge = F.when((F.col("nth") == 1) & (F.size("beside") == 1) & (F.size("within") == 0), F.get("beside", F.lit(0)))
+    runs = runs.withColumn("source", F.coalesce(F.last("carrier", ignorenulls=True).over(key.rowsBetween(-MEMORY_FRAMES, 0)), edge))
+    outside = F.size("within") == 0
+    dist = lambda a, b: F.hypot(F.col(f"x{b}") - F.col(f"x{a}"), F.col(f"y{b}") - F.col(f"y{a}"))
+    for k in range(AWAY_FRAMES):
+        runs = runs.withColumns({f"x{k}": F.lead("x", k).over(key), f"y{k}": F.lead("y", k).over(key), f"t{k}": F.lead("t", k).over(key), f"out{k}": F.lead(outside, k).over(key)})
+    n = AWAY_FRAMES - 1
+    clear, path = F.lit(True), F.lit(0.0)
+    for k in range(AWAY_FRAMES):
+        clear, path = clear & F.coalesce(F.col(f"out{k}"), F.lit(False)), path + (dist(k - 1, k) if k else F.lit(0.0))
+    farther = F.lit(True)
+    for k in range(1, AWAY_FRAMES):
+        farther = farther & (dist(0, k) > (dist(0, k - 1) if k > 1 else F.lit(0.0)))
+    speed, straight = dist(0, n) / (F.col(f"t{n}") - F.col("t0")) / diagonal, dist(0, n) / path
+    good = F.col("source").isNotNull() & clear & farther & (speed >= LAUNCH_SPEED) & (straight >= STRAIGHT)
+    sure = F.round(0.5 + 0.49 * F.least(F.lit(1.0), straight) * F.least(F.lit(1.0), speed / (2 * LAUNCH_SPEED)), 6)
+    found = runs.where(good).groupBy("job_id", "ball").agg(F.min_by(F.struct(F.col("frame").alias("launch_frame"), F.col("t").alias("launch_t"), F.col("source").alias("robot"), sure.alias("confidence")), "frame").alias("l"))
+    found = found.select("job_id", "ball", "l.*")
+    lines = [(gate.goal, line) for gate in gates for line in gate.misses]
+    share = points.select("job_id", "ball", F.col("t").cast("double"), (F.col("x") / width).alias("x"), (F.col("y") / height).alias("y"), "frame")
+    share = share.withColumn("px", F.lag("x").over(key)).withColumn("py", F.lag("y").over(key))
+    goal = F.coalesce(*[F.when(line.crossed((F.col("px"), F.col("py")), (F.col("x"), F.col("y"))), F.lit(name)) for name, line in lines], F.lit(None).cast("string"))
+    misses = share.withColumn("goal", goal).where("goal is not null").join(found.select("job_id", "ball", "launch_t"), ["job_id", "ball"])
+    misses = misses.where((F.col("t") > F.col("launch_t")) & (F.col("t") <= F.col("launch_t") + FLIGHT_S)).groupBy("job_id", "ball").agg(F.min_by(F.struct("goal", F.col("t").alias("outcome_t")), "t").alias("m"))
+    told = found.join(misses, ["job_id", "ball"], "left").withColumn("outcome", F.when(F.col("m").isNotNull(), "missed").otherwise("unknown"))
+    told = told.select("job_id", "ball", "launch_frame", "launch_t", "robot", "confidence", "outcome", "m.goal", "m.outcome_t")
+    return _with_track(told, points, F.col("launch_t"), F.least(F.col("launch_t") + FLIGHT_S, F.coalesce("outcome_t", F.col("launch_t") + FLIGHT_S)))

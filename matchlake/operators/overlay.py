@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchlake.operators.datasets import spaced
+from matchlake.operators.chains import spaced
 from matchlake.operators.temporal import band_join
 
 # Fixed values.

@@ -1,24 +1,20 @@
-"""Tracks from boxes and balls of consecutive frames; state is what is alive in one recording."""
+"""Tracks from boxes of consecutive frames; state is what is alive in one recording."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass, field
-from math import dist, hypot, log
+from math import hypot
 from statistics import median
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchlake.operators.assignment import cheapest
 from matchlake.operators.fusion import overlap
 from matchlake.operators.ordered import fold
 
 # Fixed values.
 LEAST_IOU, REACH_PER_S, MOST_REACH, TTL_S, MISSES_TO_GAP = 0.3, 1.0, 0.30, 6.0, 2
-HITS, MISSES, LINK_RATIO, GATE_RATIO, WIDE_RATIO, RADIUS_RATIO, MISSED_COST = 2, 5, 0.004, 0.50, 1.8, 3.0, 1.35
-STEADY_S = 0.25
 
 
 def predicted(recent: list[tuple[float, tuple]], t: float) -> tuple:
@@ -134,104 +130,3 @@ def track_boxes(boxes: DataFrame) -> DataFrame:
     rows = b.select("job_id", F.col("t").cast("double"), *[F.col(c).cast("double") for c in "xywh"], F.coalesce("cut", F.lit(False)).alias("cut")).where("t is not null")
     kind = "kind string, track int, t double, end double, x double, y double, w double, h double, reason string"
     return fold(rows, ["job_id"], ["t", "x", "y", "w", "h"], ["t", "x", "y", "w", "h", "cut"], _Boxes, kind)
-
-
-@dataclass
-class Ball:
-    """A ball's recent points ``(t, x, y, r)`` in pixels, hits in all and misses in a row."""
-
-    id: int
-    points: list[tuple[float, float, float, float]]
-    hits: int = 1
-    missed: int = 0
-
-
-def velocity(points: list[tuple]) -> tuple[float, float]:
-    """Pixels a second over the last three points ``(t, x, y, ...)``; none for one point."""
-    a, b = points[max(0, len(points) - 3)], points[-1]
-    gap = b[0] - a[0]
-    return ((b[1] - a[1]) / gap, (b[2] - a[2]) / gap) if gap > 1e-9 else (0.0, 0.0)
-
-
-def moved_on(points: list[tuple[float, float, float, float]], t: float) -> tuple[float, float]:
-    """Where a ball is expected: by a parabola through its last five points if it fits them, else by its velocity."""
-    ahead, recent = max(0.0, t - points[-1][0]), np.array(points[-5:])
-    if len(points) >= 4:
-        span = max(1e-6, recent[-1, 0] - recent[0, 0])
-        powers = lambda s: np.stack([s**0, s, s * s], axis=-1)
-        basis = powers((recent[:, 0] - recent[-1, 0]) / span)
-        curve = np.linalg.lstsq(basis, recent[:, 1:3], rcond=None)[0]
-        error = np.sqrt(np.mean((basis @ curve - recent[:, 1:3]) ** 2))
-        if error <= max(1.5, 0.4 * points[-1][3]) and ahead <= span:
-            return tuple((powers(np.float64(ahead / span)) @ curve).tolist())
-    vx, vy = velocity(points)
-    return points[-1][1] + vx * ahead, points[-1][2] + vy * ahead
-
-
-class _Balls:
-    """Blobs of one recording, frame by frame, linked to balls at least total cost; each ball may also be missed."""
-
-    def __init__(self, diagonal: float):
-        self.diagonal, self.made, self.t, self.frame, self.rows = diagonal, 0, None, None, []
-        self.balls: list[Ball] = []
-
-    def _cost(self, ball: Ball, t: float, x: float, y: float, r: float, wide: bool) -> float:
-        last, gap = ball.points[-1], max(0.0, t - ball.points[-1][0])
-        ratio = max(r / max(last[3], 1e-6), last[3] / max(r, 1e-6))
-        base, (vx, vy), at = self.diagonal * LINK_RATIO, velocity(ball.points), moved_on(ball.points, t)
-        speed = hypot(vx, vy)
-        allowed = base + self.diagonal * (WIDE_RATIO if wide else GATE_RATIO) * gap + 0.6 * last[3]
-        flying = speed / max(self.diagonal, 1.0) > 0.25 and not wide
-        if flying and ball.hits >= 2:
-            allowed = min(allowed, max(1.2 * last[3], base + 0.6 * dist(at, last[1:3])))
-        away, step = dist((x, y), at), (x - last[1], y - last[2])
-        length = hypot(*step)
-        turned = (step[0] * vx + step[1] * vy) / max(length * speed, 1e-6) < -0.2
-        if ratio > RADIUS_RATIO or away > allowed or length > base + self.diagonal * WIDE_RATIO * gap or (flying and ball.hits >= 3 and length > last[3] and turned):
-            return np.inf
-        return away / max(allowed, 1e-6) + 0.18 * abs(log(ratio)) + 0.04 * ball.missed
-
-    def _frame(self) -> Iterable[tuple]:
-        if self.t is None:
-            return
-        costs = np.array([[self._cost(b, self.t, *r[:3], r[3]) for r in self.rows] for b in self.balls]).reshape(len(self.balls), len(self.rows))
-        of = {c: self.balls[r] for r, c in cheapest(np.where(costs < MISSED_COST, costs, np.inf), MISSED_COST)}
-        for ball in self.balls:
-            ball.missed += 1
-        for c, (x, y, r, _) in enumerate(self.rows):
-            point = (self.t, x, y, r)
-            ball = of.get(c)
-            if ball is None:
-                self.made += 1
-                self.balls.append(ball := Ball(self.made, [point]))
-            else:
-                ball.points, ball.hits, ball.missed = [*ball.points[-4:], point], ball.hits + 1, 0
-            yield self.frame, ball.id, *point, ball.hits
-        self.balls = [b for b in self.balls if b.missed <= MISSES]
-
-    def row(self, frame: int, t: float, x: float, y: float, r: float, wide: bool) -> Iterable[tuple]:
-        if frame != self.frame:
-            yield from self._frame()
-            if self.t is not None and t <= self.t:
-                raise ValueError(f"frame {frame} at {t} s does not follow {self.t} s")
-            if self.t is not None and t - self.t > STEADY_S:
-                self.balls = []
-            self.frame, self.t, self.rows = frame, t, []
-        if x is not None:
-            self.rows.append((x, y, r, wide))
-
-    def close(self) -> Iterable[tuple]:
-        return self._frame()
-
-
-def track_balls(blobs: DataFrame, width: float, height: float) -> DataFrame:
-    """``job_id, frame, ball, t, x, y, r, hits``: blobs linked to balls frame by frame, at least total cost over the frame.
-
-    ``blobs (job_id, frame, t, x, y, r)`` in pixels, with an optional ``wide``, true where a ball that is carried may leap.
-    Time must rise with the frame; a hole over STEADY_S forgets all balls, and so does missing a ball six frames running.
-    """
-    b = blobs if "wide" in blobs.columns else blobs.withColumn("wide", F.lit(False))
-    rows = b.select("job_id", F.col("frame").cast("long"), *[F.col(c).cast("double") for c in ("t", "x", "y", "r")], F.coalesce("wide", F.lit(False)).alias("wide"))
-    diagonal = hypot(width, height)
-    kind = "frame long, ball int, t double, x double, y double, r double, hits int"
-    return fold(rows, ["job_id"], ["frame", "x", "y"], ["frame", "t", "x", "y", "r", "wide"], lambda: _Balls(diagonal), kind)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from matchlake.functions import exprs as X
 from matchlake.operators import (
-    assignment, balls, clock, corrections, datasets, facts, features, flights, fusion, heatmap, identity, metrics, overlay, plan, profile, quality, signals, stats, temporal, tracking,
+    assignment, balls, chains, clock, corrections, datasets, facts, features, flights, fusion, heatmap, identity, metrics, overlay, plan, profile, quality, sampling, signals, stats, temporal, tracking,
 )
 from matchlake.plans import adapter as A
 from matchlake.sources import sinks
@@ -769,9 +769,21 @@ GATE = flights.Gate(
 )
 
 
-@query()
+@query(f"""with {A.FACTS}, b as (select match_id as job_id, team as ball, row_number() over o as frame, row_number() over o / 30::double as t, field_x / 54 as x, field_y / 27 as y
+  from facts window o as (partition by match_id, team order by t_seconds, event_id)),
+m as (select *, lag(x) over w as px from b window w as (partition by job_id, ball order by frame)),
+c as (select *, (x - px) * 1920 as step, greatest(0.01::double * sqrt(1920 * 1920 + 1080 * 1080), 1) as radius, x > 0.2 and y > 0 as inside from m),
+s as (select *, case when px < 0.3::double and x >= 0.3::double or px = 0.3::double and x > px then t end as arm_t, case when step < -0.25::double * radius then t end as back_t, coalesce(step > 0, false) as inward from c),
+a as (select *, last_value(arm_t ignore nulls) over w as armed, last_value(back_t ignore nulls) over w as backed, sum(case when inward and inside then 1 else 0 end) over w as sights from s
+  window w as (partition by job_id, ball order by frame rows between unbounded preceding and current row)),
+e as (select *, case when (px < 0.5::double and x >= 0.5::double or px = 0.5::double and x > px) and t - armed <= 0.3::double and (backed is null or backed < armed)
+  then [frame, t, sights - case when inward and inside then 1 else 0 end] end as crossing from a),
+l as (select *, last_value(crossing ignore nulls) over w as met from e window w as (partition by job_id, ball order by frame rows between unbounded preceding and current row)),
+ok as (select *, (x - 0.5::double) * 1920 / radius as deep from l where met is not null and inside and inward and sights - met[3] >= 1 and (x - 0.5::double) * 1920 / radius >= 1 and t - met[2] <= 0.25::double
+  and (backed is null or backed < met[2]))
+select job_id, ball, min(frame) as frame, cast(arg_min(met[1], frame) as bigint) as crossing_frame, round(least(0.99::double, 0.7::double + 0.1::double * arg_min(deep, frame)), 6) as confidence from ok group by job_id, ball""")
 def ball_entries(spark: SparkSession, sf: str) -> DataFrame:
-    """Where a user's day of places enters a goal in the right half; a state machine per ball without SQL form."""
+    """Where a user's day of places enters a goal in the right half."""
     return flights.goal_entries(_frames_of(spark, sf), [GATE], 1920, 1080).select("job_id", "ball", "frame", "crossing_frame", "confidence")
 
 
@@ -783,13 +795,46 @@ def tracked_boxes(spark: SparkSession, sf: str) -> DataFrame:
     return tracking.track_boxes(boxes.dropDuplicates())
 
 
-@query()
+@query(f"""with recursive {A.FACTS}, p as (select distinct match_id as job_id, cast(floor(t_seconds / 900) as bigint) as frame, field_x * 30 as x, field_y * 30 as y from facts where n % 4 = 0),
+r as (select *, row_number() over (order by job_id, frame, x, y) as id from p),
+n1 as (select a.id, b.id as next, sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) as d from r a join r b on a.job_id = b.job_id and b.frame = a.frame + 1 where d <= 90),
+m1 as (select id, next from (select *, row_number() over (partition by id order by d, next) as i, row_number() over (partition by next order by d, id) as j from n1) where i = 1 and j = 1),
+n2 as (select a.id, b.id as next, sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) as d from r a join r b on a.job_id = b.job_id and b.frame = a.frame + 2
+  where d <= 180 and a.id not in (select id from m1) and b.id not in (select next from m1)),
+m as (select id, next from m1 union all select id, next from (select *, row_number() over (partition by id order by d, next) as i, row_number() over (partition by next order by d, id) as j from n2) where i = 1 and j = 1),
+c as (select id, id as root, 0 as place from r where id not in (select next from m) union all select m.next, c.root, c.place + 1 from c join m on m.id = c.id)
+select r.job_id, r.frame, round(r.x, 6) as x, round(r.y, 6) as y, c.place, f.frame as first_frame, round(f.x, 6) as first_x, round(f.y, 6) as first_y
+from c join r using (id) join r f on f.id = c.root""")
 def tracked_balls(spark: SparkSession, sf: str) -> DataFrame:
-    """Blobs of a day's quarter hours linked at least cost; an assignment per frame without SQL form."""
+    """Blobs of a day's quarter hours linked to the nearest of the next, or of the one after where that has none; where each track began."""
     f = A.facts(spark, sf).where("n % 4 = 0")
-    frame = F.floor(F.col("t_seconds") / 900)
-    blobs = f.select("job_id", frame.alias("frame"), (frame / 30).alias("t"), (F.col("field_x") * 30).alias("x"), (F.col("field_y") * 30).alias("y"), F.lit(9.0).alias("r"))
-    return tracking.track_balls(blobs.dropDuplicates(), 1920, 1080)
+    blobs = f.select("job_id", F.floor(F.col("t_seconds") / 900).alias("frame"), (F.col("field_x") * 30).alias("x"), (F.col("field_y") * 30).alias("y")).distinct()
+    tracks = staged(chains.linked(blobs, ["job_id"], "frame", "x", "y", 90.0, missed=1))
+    first = tracks.where("place = 0").select("track", F.col("frame").alias("first_frame"), _r("x", 6).alias("first_x"), _r("y", 6).alias("first_y"))
+    return tracks.join(first, "track").select("job_id", "frame", _r("x", 6), _r("y", 6), "place", "first_frame", "first_x", "first_y")
+
+
+@query(f"""with recursive p as (select distinct cast(user_id as integer) as team, epoch_us(ts) // 1000000 as s from events),
+n as (select team, s, min(s) over (partition by team order by s range between 3600 following and unbounded following) as next from p),
+k as (select team, min(s) as s from p group by team union all select k.team, n.next from k join n using (team, s) where n.next is not null)
+select team, s from k""")
+def spaced_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Seconds at which a user acts, an hour or more after the last one kept."""
+    e = A.table(spark, sf, "events").select(F.col("user_id").cast("int").alias("team"), F.floor(A.micros(F.col("ts")) / 1_000_000).alias("s"))
+    return chains.spaced(e.distinct(), ["team"], "s", 3600)
+
+
+@query("""with f as (select l_orderkey, l_linenumber, case when l_quantity < 5 then 'empty' when l_returnflag = 'A' then 'human' else 'machine' end as kind from lineitem),
+n as (select count(*) filter (where kind = 'human') as human, count(*) filter (where kind = 'machine') as machine from f),
+q as (select human, least(machine, cast(floor(human * 0.4::double / (1 - 0.4::double) + 1e-9) as bigint)) as machine from n),
+r as (select *, row_number() over (partition by kind order by sha256('frames:' || l_orderkey || ':' || l_linenumber)) as i from f)
+select l_orderkey, l_linenumber, kind from r, q
+where i <= case kind when 'human' then human when 'machine' then q.machine else cast(floor((human + q.machine) * 0.05::double / (1 - 0.05::double) + 1e-9) as bigint) end""")
+def capped_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items as labelled frames: machine labels at most two fifths of all, empty frames a twentieth, sizes exact."""
+    li = A.table(spark, sf, "lineitem")
+    kept = sampling.capped(li, "l_returnflag = 'A'", "l_quantity < 5", ["l_orderkey", "l_linenumber"], machine_share=0.4, empty_share=0.05, seed="frames")
+    return kept.select("l_orderkey", "l_linenumber", F.when(F.col("l_quantity") < 5, "empty").when(F.col("l_returnflag") == "A", "human").otherwise("machine").alias("kind"))
 
 
 @query()

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from matchlake.operators import labelling, reid, temporal
+from matchlake.operators import labelling, temporal
 
 
 def test_plan_is_round_robin(spark):
@@ -81,41 +81,3 @@ def test_robot_sized(spark):
     rows = [("j", f, f / 10, w) for f in range(6) for w in (0.10, 0.11, 0.12)] + [("j", 6, 0.6, 0.03), ("j", 6, 0.6, 0.11), ("k", 0, 0.0, 0.5)]
     got = {(r.job_id, r.frame, r.w): (r.typical, r.robot_sized) for r in labelling.robot_sized(spark.createDataFrame(rows, "job_id string, frame int, t double, w double")).collect()}
     assert got["j", 6, 0.03] == (0.11, False) and got["j", 6, 0.11] == (0.11, True) and got["k", 0, 0.5] == (None, True) and got["j", 0, 0.10] == (0.11, True)
-
-
-LOOKS = {"a": [1.0, 0.0, 0.0], "b": [0.0, 1.0, 0.0], "c": [0.0, 0.0, 1.0]}
-def one_hot(i):
-    return [float(k == i) for k in range(6)]
-
-
-KIND = "job_id string, t double, raw_track_id long, x double, y double, w double, side string, confidence double, descriptor array<double>"
-
-
-def told(spark, rows):
-    return {(r.t, r.raw_track_id): (r.robot, r.side) for r in reid.identities(spark.createDataFrame(rows, KIND)).collect()}
-
-
-def test_identity_survives_a_new_tracklet(spark):
-    rows = []
-    for i in range(60):
-        t = round(i / 10, 1)
-        if not 20 <= i < 30:
-            rows.append(("j", t, 1 if i < 20 else 7, 0.2 + 0.005 * i, 0.5, 0.1, "red", 0.9, LOOKS["a"]))
-        rows.append(("j", t, 2, 0.8 - 0.005 * i, 0.5, 0.1, "blue", 0.9, LOOKS["b"]))
-    rows += [("j", 3.0, 9, 0.5, 0.1, 0.02, None, 0.9, LOOKS["c"])]
-    got = told(spark, rows)
-    a, b = got[0.0, 1][0], got[0.0, 2][0]
-    assert {a, b} == {1, 2} and all(r == (a if raw in (1, 7) else b) for (t, raw), (r, _) in got.items() if raw != 9)
-    assert got[3.0, 9] == (None, None)
-    assert got[0.0, 2][1] is None and got[5.9, 2][1] == "blue"
-
-
-def test_ambiguous_and_lost_robots(spark):
-    twins = [("j", 0.0, 1, 0.5, 0.48, 0.1, None, 0.9, None), ("j", 0.0, 2, 0.5, 0.52, 0.1, None, 0.9, None), ("j", 0.2, 3, 0.5, 0.5, 0.1, None, 0.9, None)]
-    got = told(spark, twins)
-    assert got[0.2, 3][0] is None and {got[0.0, 1][0], got[0.0, 2][0]} == {1, 2}
-    six = [("k", 0.0, i, 0.1 + 0.15 * i, 0.5, 0.1, None, 0.9, one_hot(i)) for i in range(6)]
-    stay = [("k", t / 2, i, 0.1 + 0.15 * i, 0.5, 0.1, None, 0.9, one_hot(i)) for t in range(1, 30) for i in range(5)]
-    back = [("k", 14.5, 50, 0.5, 0.9, 0.1, None, 0.9, one_hot(5))]
-    got = told(spark, six + stay + back)
-    assert len({r for r, _ in got.values()}) == 6 and got[14.5, 50][0] == got[0.0, 5][0]

@@ -14,7 +14,7 @@ from matchlake import schemas
 from matchlake.engine import Engine
 from matchlake.functions import exprs as X
 from matchlake.functions import folds
-from matchlake.operators import clock, corrections, datasets, features, fusion, heatmap, identity, metrics, plan, profile, quality, stats, temporal, timeline
+from matchlake.operators import chains, clock, corrections, datasets, features, fusion, heatmap, identity, metrics, plan, profile, quality, stats, temporal, timeline
 from matchlake.sources import readers, sinks
 from matchlake.streaming import sessions, tracker
 
@@ -210,7 +210,7 @@ def test_clock_and_scores(spark):
 
 def test_datasets_and_quality(spark):
     d = spark.createDataFrame([("k", float(t)) for t in (0, 1, 2, 5, 6, 9)], "k string, t double")
-    assert sorted(r.t for r in datasets.spaced(d, ["k"], "t", 3.0).collect()) == [0.0, 5.0, 9.0]
+    assert sorted(r.t for r in chains.spaced(d, ["k"], "t", 3.0).collect()) == [0.0, 5.0, 9.0]
     assert datasets.strided(d, ["k"], ["t"], 3).count() == 3
     lines = spark.createDataFrame([("a", "0 0.5 0.5 0.1 0.2"), ("a", "bad")], "stem string, value string")
     assert datasets.yolo_rows(lines).count() == 1
