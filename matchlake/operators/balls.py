@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchlake.functions.exprs import inside_polygon
 from matchlake.operators.ordered import fold
 from matchlake.operators.temporal import band_join
 from matchlake.sources.work import staged
 
-MATCH_S, LINK_S, LINK_MARGIN, OWNER_REACH = 0.075, 0.25, 0.25, 140.0
+MATCH_S, LINK_S, LINK_MARGIN, OWNER_REACH, VANISH_S = 0.075, 0.25, 0.25, 140.0, 0.4
 
 
 def mutual_best(pairs: DataFrame, a: str, b: str, cost: str) -> DataFrame:
@@ -146,6 +149,22 @@ def owners(balls: DataFrame, robots: DataFrame, reach: float = OWNER_REACH) -> D
     return balls.join(best, ["job_id", "frame", "ball_id"], "left")
 
 
+def vanished(sightings: DataFrame, polygon: Sequence[tuple[float, float]], after: float = VANISH_S) -> DataFrame:
+    """``job_id, track_id, t, owner``: last sights, inside a polygon, of tracks that are then not seen for more than ``after``.
+
+    A track that comes back later than that is a track anew. One that is alive when its job's last row comes has not
+    vanished. ``sightings (job_id, track_id, t, x, y, owner)``; rows without a time or place are left out.
+    """
+    s = sightings.where("t is not null and x is not null and y is not null")
+    corners = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in polygon])
+    order = Window.partitionBy("job_id", "track_id").orderBy("t", "x", "y")
+    ends = s.groupBy("job_id").agg(F.max("t").alias("stop"))
+    last = s.withColumn("next", F.lead("t").over(order)).join(ends, "job_id")
+    micros = lambda c: F.round(c * 1_000_000).cast("long")
+    gone = last.where(micros(F.coalesce("next", "stop")) - micros(F.col("t")) > round(after * 1_000_000)).where(inside_polygon(F.col("x"), F.col("y"), corners))
+    return gone.select("job_id", "track_id", "t", "owner")
+
+
 def validity(frames: DataFrame, patience: float = 3.0) -> DataFrame:
     """``start, end`` during which a camera is not to be trusted: more than ``patience`` after its last verified frame; open ends are null.
 

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchlake.functions.exprs import phase_by_end
 from matchlake.functions.folds import still_spans
 from matchlake.operators.ordered import fold
+from matchlake.operators.temporal import asof_next
 
 # Fixed values.
 ANCHOR_TOLERANCE_S, ANCHOR_LEAST = 1.0, 4
 IMMOBILE_RADIUS, IMMOBILE_S, IMMOBILE_CONFIDENCE = 0.012, 4.0, 0.9
 STILL_WINDOW_S, STILL_HIDE_S, STILL_SHARE = 1.25, 5.0, 0.10
-PULSE_HISTORY, PULSE_LEAST_HISTORY, MAD_SCALE = 45, 8, 1.4826
+PULSE_HISTORY, PULSE_LEAST_HISTORY, MAD_SCALE, PAIR_S = 45, 8, 1.4826, 0.16
 
 
 def within(value: str, width: float, keys: str) -> Column:
@@ -136,3 +139,14 @@ class _Pulse:
 
     def close(self) -> list[tuple]:
         return []
+
+
+def paired_pulses(inner: DataFrame, outer: DataFrame, keys: Sequence[str], within_s: float = PAIR_S) -> DataFrame:
+    """``keys, inner_t, outer_t`` of pulses at an inner and an outer gate that one ball makes: each is the other's nearest.
+
+    An outer pulse follows its inner one by ``within_s`` at most. Both sides are sorted together by key and time bin, so
+    no pairs are formed; of equal times one counts, and rows without a time are left out.
+    """
+    times = lambda d: d.select(*keys, F.col("t").cast("double").alias("t")).where("t is not null").distinct()
+    ahead = asof_next(times(inner).withColumnRenamed("t", "inner_t"), times(outer).withColumnRenamed("t", "outer_t"), keys, "inner_t", "outer_t", within_s)
+    return ahead.groupBy(*keys, "outer_t").agg(F.max("inner_t").alias("inner_t")).select(*keys, "inner_t", "outer_t")

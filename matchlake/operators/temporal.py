@@ -79,6 +79,14 @@ def asof_nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ti
     return near.select(*left.columns, F.when(F.col("_ok"), F.col("_pick.t")).alias("near_t"), *[F.when(F.col("_ok"), F.col(f"_pick.{v}")).alias(f"near_{v}") for v in values])
 
 
+def asof_next(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, tolerance: float) -> DataFrame:
+    """Left rows with ``right_time``, the first right time at or after their own and within ``tolerance``; others are left out."""
+    rights = right.select(*keys, F.col(right_time).alias("_t"), F.struct(F.col(right_time).alias("t")).alias("_v"))
+    seen = _neighbours(left.withColumn("_t", F.col(left_time)), rights, keys, tolerance, "_t", "_v")
+    first = F.when(F.col("_back.t") == F.col("_t"), F.col("_back.t")).otherwise(F.col("_ahead.t"))
+    return seen.withColumn(right_time, first).where(F.col(right_time) - F.col("_t") <= tolerance).select(*left.columns, right_time)
+
+
 def band_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, width: float) -> DataFrame:
     """Pairs of a key whose times differ by ``width`` or less, found by an equi-join on time bins of that width.
 

@@ -851,3 +851,23 @@ def assigned_launches(spark: SparkSession, sf: str) -> DataFrame:
     f = A.facts(spark, sf)
     side = lambda kind: f.where(F.col("event_type") == kind).select("job_id", F.col("team").alias("robot"), F.col("event_id").alias("shot_id"), F.col("t_seconds").alias("t"))
     return balls.assign_shots(side("shot_made"), side("defense_start"), 1800.0)
+
+
+@query(f"""with {A.FACTS}, s as (select *, lead(t_seconds) over (partition by match_id, team order by t_seconds, field_x, field_y) as next, max(t_seconds) over (partition by match_id) as stop from facts)
+select match_id as job_id, team as track_id, round(t_seconds, 6) as t, event_type as owner from s
+where coalesce(next, stop) - t_seconds > 7200 and field_x >= field_y and field_x < 27""")
+def vanished_tracks(spark: SparkSession, sf: str) -> DataFrame:
+    """Users whose day goes on without them for two hours after a place in a triangle of the field."""
+    f = A.facts(spark, sf)
+    s = f.select("job_id", F.col("team").alias("track_id"), F.col("t_seconds").alias("t"), F.col("field_x").alias("x"), F.col("field_y").alias("y"), F.col("event_type").alias("owner"))
+    return balls.vanished(s, [(0.0, 0.0), (27.0, 0.0), (27.0, 27.0)], 7200.0).withColumn("t", F.round("t", 6))
+
+
+@query(f"""with {A.FACTS}, i as (select distinct match_id, team, t_seconds as t from facts where event_type = 'shot_attempt'), o as (select distinct match_id, team, t_seconds as t from facts where event_type = 'defense_start'),
+n as (select i.match_id, i.team, i.t as inner_t, o.t as outer_t from i asof join o on i.match_id = o.match_id and i.team = o.team and i.t <= o.t)
+select match_id as job_id, team, round(max(inner_t), 6) as inner_t, round(outer_t, 6) as outer_t from n where outer_t - inner_t <= 1800 group by match_id, team, outer_t""")
+def paired_pulses(spark: SparkSession, sf: str) -> DataFrame:
+    """Clicks and the views that follow them within half an hour, one to one."""
+    f = A.facts(spark, sf)
+    side = lambda kind: f.where(F.col("event_type") == kind).select("job_id", "team", F.col("t_seconds").alias("t"))
+    return signals.paired_pulses(side("shot_attempt"), side("defense_start"), ["job_id", "team"], 1800.0).select("job_id", "team", _r("inner_t", 6), _r("outer_t", 6))
