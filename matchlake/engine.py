@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from matchlake.functions.exprs import event_key
 from matchlake.operators import clock, corrections, features, heatmap, plan, profile, stats, timeline
+from matchlake.operators.isolate import isolated
 from matchlake.sources import readers
+from matchlake.sources.store import Change, Store
 
 
 class Engine:
@@ -22,8 +24,9 @@ class Engine:
         return cls(spark, readers.load_run_tables(spark, root), season, geometry, work)
 
     def _kept(self, name: str, df: DataFrame) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.work}/{name}")
-        return self.spark.read.parquet(f"{self.work}/{name}")
+        """Publish a table as the next version of the work folder's store; who reads an earlier one keeps it."""
+        store = Store(self.spark, f"{self.work}/tables")
+        return store.read(name, store.retry(lambda base: {name: Change(df, whole=True)}))
 
     def jobs(self, event: str | None = None, complete_only: bool = False) -> DataFrame:
         """Jobs, newest first."""
@@ -71,7 +74,15 @@ class Engine:
         return self._kept("samples", samples), self._kept("launches", launches)
 
     def features(self, samples: DataFrame, launches: DataFrame) -> DataFrame:
-        return self._kept("features", features.match_features(samples, launches, self.season, self.geometry))
+        """Features of every job; those of which a job's rows make the plan fail are in :meth:`failures` instead."""
+        of = lambda rows, jobs: rows.join(jobs, "job_id", "left_semi")
+        made, failed = isolated(samples.select("job_id"), lambda jobs: features.match_features(of(samples, jobs), of(launches, jobs), self.season, self.geometry))
+        self._kept("failures", failed)
+        return self._kept("features", made)
+
+    def failures(self) -> DataFrame:
+        """``job_id, error`` of the jobs that the last :meth:`features` left out."""
+        return Store(self.spark, f"{self.work}/tables").read("failures")
 
     def profiles(self, found: DataFrame) -> DataFrame:
         return self._kept("profiles", profile.build_profiles(found))

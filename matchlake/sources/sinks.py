@@ -1,9 +1,10 @@
-"""Writing results: atomic JSON and CSV, replacement by job, keyed merges, pose logs."""
+"""Writing results: JSON and CSV, replacement by job, keyed merges, pose logs."""
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,13 +17,31 @@ FEET = 0.3048
 RECORD = "<idddf"
 
 
+def _swapped(df: DataFrame, path: str, write: Callable[[DataFrame, str], None]) -> None:
+    """Write beside ``path`` and rename: what is there stays until the new folder is whole, and is missing between two renames only.
+
+    Readers that must never meet that moment read a :class:`matchlake.sources.store.Store`.
+    """
+    new, old = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}", f"{path.rstrip('/')}.old-{uuid.uuid4().hex}"
+    write(df, new)
+    jvm = df.sparkSession.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    before = fs.exists(at) and fs.rename(at, jvm.org.apache.hadoop.fs.Path(old))
+    if not fs.rename(jvm.org.apache.hadoop.fs.Path(new), at):
+        raise OSError(f"{new} could not be renamed to {path}")
+    if before:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(old), True)
+
+
 def write_json(df: DataFrame, path: str) -> None:
-    """JSON lines; the committer makes the folder appear whole or not at all."""
-    df.write.mode("overwrite").json(path)
+    """JSON lines in a folder that takes the place of an earlier one once it is whole."""
+    _swapped(df, path, lambda d, p: d.write.json(p))
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
-    df.select(*columns).write.mode("overwrite").option("header", True).csv(path)
+    """CSV with a header, as :func:`write_json`."""
+    _swapped(df.select(*columns), path, lambda d, p: d.write.option("header", True).csv(p))
 
 
 def replace_jobs(df: DataFrame, path: str) -> None:
