@@ -142,7 +142,11 @@ class LanguageModel:
 
     @classmethod
     def fit(cls, docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = TRAIN_PER_LANGUAGE, id_col: str = "doc_id") -> LanguageModel:
-        """Learn from :meth:`training_rows`; without any, every text is of unknown language."""
+        """Learn from :meth:`training_rows`; without any, every text is of unknown language.
+
+        Sums of vectors meet per language, as many as it has training rows at most; the driver takes one row a language,
+        which is 64 MB for MOST_LANGUAGES.
+        """
         sample = cls.training_rows(docs, text_col, lang_col, per_language, id_col)
 
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,13 +158,16 @@ class LanguageModel:
             if total:
                 yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array(list(total.values()), pa.list_(pa.int64()))], names=["lang", "v"])
 
-        parts = sample.mapInArrow(sums, "lang string, v array<bigint>").select("lang", F.posexplode("v"))
-        found: dict[str, np.ndarray] = {}
-        for lang, i, v in parts.groupBy("lang", "pos").agg(F.sum("col")).collect():
-            found.setdefault(lang, np.zeros(DIMENSIONS))[i] = v
-        languages = sorted(found)
-        raw = np.array([found[k] / np.linalg.norm(found[k]) for k in languages]) if found else np.zeros((0, DIMENSIONS))
-        return cls(languages, raw)
+        def added(lang: tuple[pa.Scalar], parts: pa.Table) -> pa.Table:
+            vectors = parts.column("v").combine_chunks().flatten().to_numpy().reshape(len(parts), -1)
+            return pa.table([pa.array([lang[0].as_py()]), pa.array([vectors.sum(axis=0)], pa.list_(pa.int64()))], names=["lang", "v"])
+
+        kind = "lang string, v array<bigint>"
+        found = sample.mapInArrow(sums, kind).groupBy("lang").applyInArrow(added, kind).orderBy("lang").toArrow()
+        if not len(found):
+            return cls([], np.zeros((0, DIMENSIONS)))
+        raw = found.column("v").combine_chunks().flatten().to_numpy().reshape(len(found), -1).astype(np.float64)
+        return cls(found.column("lang").to_pylist(), raw / np.linalg.norm(raw, axis=1, keepdims=True))
 
     def annotate(self, docs: DataFrame, text_col: str = "text", lang_as: str = "lang_pred", score_as: str = "score", evidence_as: str | None = None) -> DataFrame:
         """``docs`` with the language chosen and the cosine that chose it, 0 at least; no row moves to another partition.
@@ -172,9 +179,10 @@ class LanguageModel:
         centred = self.prototypes - mean
         centred = centred / np.maximum(np.linalg.norm(centred, axis=1, keepdims=True), 1e-12)
         at = docs.columns.index(text_col)
+        shared = docs.sparkSession.sparkContext.broadcast((centred, mean))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bundler = Bundler()
+            bundler, (centred, mean) = Bundler(), shared.value
             for batch in batches:
                 langs, scores, seen = [], [], []
                 for text in batch.column(at):
