@@ -6,11 +6,13 @@ refer to it. Pages are written by classes of size, with fewer records in a file
 file but that of a single very long page exceeds FILE_BYTES by more than its headers. Reading parses each archive file
 by the records' own lengths, without copying it.
 
-The index holds one line for each capture: the host in reverse, the path, and where the record lies. Lines are
-range-sorted by that key and packed into compressed blocks; a sparse directory has the first key of each block, and its
-root those of every 1,024 blocks. A search halves the root, the one page of the directory, and the block until it
-meets the key, and reads just the record's range from its archive. The root alone is held by the driver, a row for a
-million captures or so.
+The index holds one line for each capture: the host in reverse, the path, the page, and where the record lies. Lines
+are range-sorted by these and packed into compressed blocks; a sparse directory has the first and last line key of each
+block, and its root those of every 128 blocks. A search halves the root, one page of the directory, and one block until it
+meets the key, and reads just the record's range from its archive. Searches for few URLs do so on the driver; one for a
+table of captures does the same as a plan of three steps, in which each page of the directory meets the keys that the
+root sends to it, and each block is opened once for all keys that its page sends on. The root, a row for 128,000 captures
+or so, is all that is held in one place.
 """
 
 from __future__ import annotations
@@ -19,14 +21,13 @@ import hashlib
 import json
 import re
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
-from itertools import islice, takewhile
 from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchlake.llm.scratch import Scratch, parallelism, sized
@@ -37,8 +38,8 @@ REVISIT_BYTES = 1000
 FILE_BYTES = 32 << 20
 CLASS_BYTES = (8 << 10, 128 << 10, 2 << 20)
 LINES_PER_BLOCK = 1000
-#: A page of the directory is of 2 ** PAGE_BITS blocks.
-PAGE_BITS = 10
+#: A page of the directory is of 2 ** PAGE_BITS blocks, and the keys sent to it are dealt to PAGE_SALTS groups.
+PAGE_BITS, PAGE_SALTS = 7, 32
 END = "\r\n\r\n"
 _BLANK_LINE = re.compile(b"\r\n\r\n")
 #: Extension fields: the page of a record, and the page whose response a revisit refers to.
@@ -106,10 +107,34 @@ def _page(value: str | None) -> int | None:
     return None if value is None else int(value)
 
 
-def _reaching(rows: list, key: str) -> Iterator:
-    """Of rows in order of ``first_key, last_key``, those whose range holds a key, from the first found by halving."""
-    first = bisect_left(rows, key.encode(), key=lambda r: r.last_key.encode())
-    return takewhile(lambda r: r.first_key.encode() <= key.encode(), islice(rows, first, None))
+def line_key(key: Column, page_id: Column) -> Column:
+    """What lines are sorted by: the URL key, then the page, null first, as digits of one length."""
+    number = (page_id.cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string")
+    return F.concat(key, F.lit(" "), F.coalesce(F.lpad(number, 20, "0"), F.lit("")))
+
+
+def _reaching(firsts: list[bytes], lasts: list[bytes], low: bytes, high: bytes) -> range:
+    """Places of the ranges, in order, that hold any key from ``low`` to ``high``, found by halving."""
+    return range(bisect_left(lasts, low), bisect_right(firsts, high))
+
+
+def _ends(table: pa.Table, order: str) -> tuple[pa.Table, list[bytes], list[bytes]]:
+    table = table.sort_by(order)
+    return table, *([k.encode() for k in table.column(c).to_pylist()] for c in ("first_key", "last_key"))
+
+
+def _found(body: bytes, keys: Iterable[tuple[bytes, bytes]]) -> Iterator[list]:
+    """The entries of a block whose line keys lie within any of ``keys``, each found by halving."""
+    lines = [x.split(b"\t", 1) for x in zlib.decompress(body).split(b"\n")]
+    own = [k for k, _ in lines]
+    for low, high in keys:
+        for i in range(bisect_left(own, low), bisect_right(own, high)):
+            yield json.loads(lines[i][1])
+
+
+def _entries(rows: list[list]) -> pa.RecordBatch:
+    kinds = pa.schema([(c.split()[0], {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}[c.split()[1]]) for c in ENTRY.split(", ")])
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * len(kinds), kinds, strict=True)], schema=kinds)
 
 
 class Archive:
@@ -219,19 +244,20 @@ class Archive:
         """Range-sort the captures by key, pack lines into blocks, and write the directory of first keys."""
         names = [c.split()[0] for c in ENTRY.split(", ")]
         lines = self._compared(Scratch(self.spark, "warc", self.path).save(self.captures(), "lines"))
-        dealt = lines.repartitionByRange(parallelism(self.spark), "key", "page_id", "offset").sortWithinPartitions("key", "page_id", "offset")
+        lines = lines.withColumn("at", line_key(F.col("key"), F.col("page_id")))
+        dealt = lines.repartitionByRange(parallelism(self.spark), "at", "offset").sortWithinPartitions("at", "offset")
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for lo in range(0, batch.num_rows, LINES_PER_BLOCK):
                     rows = batch.slice(lo, LINES_PER_BLOCK).to_pylist()
-                    body = "\n".join(f"{r['key']} {json.dumps([r[n] for n in names[1:]])}" for r in rows)
+                    body = "\n".join(f"{r['at']}\t{json.dumps([r[n] for n in names])}" for r in rows)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([rows[0]["key"]]), pa.array([rows[-1]["key"]]), pa.array([len(rows)], pa.int64()), pa.array([zlib.compress(body.encode())], pa.binary())],
+                        [pa.array([rows[0]["at"]]), pa.array([rows[-1]["at"]]), pa.array([len(rows)], pa.int64()), pa.array([zlib.compress(body.encode())], pa.binary())],
                         names=["first_key", "last_key", "lines", "body"],
                     )
 
-        blocks = dealt.select(*names).mapInArrow(pack, "first_key string, last_key string, lines long, body binary")
+        blocks = dealt.select("at", *names).mapInArrow(pack, "first_key string, last_key string, lines long, body binary")
         blocks.withColumn("block", F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{self.path}/blocks")
         directory = self.blocks().select(F.shiftright("block", PAGE_BITS).alias("page"), "block", "first_key", "last_key", F.col("_metadata.file_name").alias("file"))
         directory.repartitionByRange(parallelism(self.spark), "block").sortWithinPartitions("block").write.mode("overwrite").parquet(f"{self.path}/directory")
@@ -243,35 +269,71 @@ class Archive:
 
     def entries(self) -> DataFrame:
         """All lines of the index, from its blocks."""
-        names = [c.split()[0] for c in ENTRY.split(", ")]
-        kinds = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}[c.split()[1]]) for n, c in zip(names, ENTRY.split(", "), strict=True)])
 
         def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for body in batch.column(0).to_pylist():
-                    lines = [x.split(" ", 1) for x in zlib.decompress(body).decode().split("\n")]
-                    yield pa.RecordBatch.from_pylist([dict(zip(names, [k, *json.loads(v)], strict=True)) for k, v in lines], schema=kinds)
+                    yield _entries([json.loads(line.split(b"\t", 1)[1]) for line in zlib.decompress(body).split(b"\n")])
 
         return self.blocks().select("body").mapInArrow(unpack, ENTRY)
 
+    def root(self) -> pa.Table:
+        return self.spark.read.schema("page long, first_key string, last_key string").parquet(f"{self.path}/root").toArrow()
+
+    def directory(self) -> DataFrame:
+        return self.spark.read.schema(DIRECTORY).parquet(f"{self.path}/directory")
+
+    def search(self, captures: DataFrame, url_col: str = "url", id_col: str = "page_id") -> DataFrame:
+        """The index's entries of a table of captures ``(url, page_id)``, each URL and page looked up once, by root, directory and block."""
+        root, firsts, lasts = _ends(self.root(), "page")
+        shared = self.spark.sparkContext.broadcast((root.column("page").to_pylist(), firsts, lasts))
+
+        def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys = [url_key(u) for u in batch.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), batch.column(1)], names=["key", "page_id"])
+
+        def to_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pages, first, last = shared.value
+            for batch in batches:
+                sent = [(pages[i], at) for at in batch.column(0).to_pylist() for i in _reaching(first, last, at.encode(), at.encode())]
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in sent], pa.int64()), pa.array([at for _, at in sent], pa.string())], names=["page", "at"])
+
+        def to_blocks(keys: pa.Table, page: pa.Table) -> pa.Table:
+            page, first, last = _ends(page, "block")
+            blocks = page.column("block").to_pylist()
+            sent = [(blocks[i], at) for at in keys.column("at").to_pylist() for i in _reaching(first, last, at.encode(), at.encode())]
+            return pa.table([pa.array([b for b, _ in sent], pa.int64()), pa.array([at for _, at in sent], pa.string())], names=["block", "at"])
+
+        def opened(keys: pa.Table, block: pa.Table) -> pa.Table:
+            wanted = sorted(k.encode() for k in keys.column("at").to_pylist())
+            rows = [row for body in block.column("body").to_pylist() for row in _found(body, zip(wanted, wanted))] if wanted else []
+            return pa.Table.from_batches([_entries(rows)])
+
+        asked = captures.select(F.col(url_col).cast("string"), F.col(id_col).cast("long")).mapInArrow(keyed, "key string, page_id long")
+        asked = asked.select(line_key(F.col("key"), F.col("page_id")).alias("at")).distinct().mapInArrow(to_pages, "page long, at string")
+        salted = asked.withColumn("salt", F.pmod(F.xxhash64("at"), F.lit(PAGE_SALTS)).cast("int"))
+        pages = self.directory().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(PAGE_SALTS - 1))))
+        sent = salted.groupBy("page", "salt").cogroup(pages.groupBy("page", "salt")).applyInArrow(to_blocks, "block long, at string")
+        return sent.groupBy("block").cogroup(self.blocks().select("block", "body").groupBy("block")).applyInArrow(opened, ENTRY)
+
     def lookup(self, urls: Iterable[str]) -> list[dict]:
         """Captures of a few URLs with their payloads (none for revisits), by directory, block and range reads."""
         names, out = [c.split()[0] for c in ENTRY.split(", ")], []
-        root = sorted(self.spark.read.schema("page long, first_key string, last_key string").parquet(f"{self.path}/root").collect(), key=lambda r: r.page)
-        directory = self.spark.read.schema(DIRECTORY).parquet(f"{self.path}/directory")
+        root, firsts, lasts = _ends(self.root(), "page")
+        pages = root.column("page").to_pylist()
         for key in dict.fromkeys(map(url_key, urls)):
-            pages = [r.page for r in _reaching(root, key)]
-            rows = sorted((r for page in pages for r in directory.where(F.col("page") == page).collect()), key=lambda r: r.block)
-            for near in _reaching(rows, key):
-                body = self.spark.read.schema(BLOCK).parquet(f"{self.path}/blocks/{near.file}").where(F.col("block") == near.block).first().body
-                lines = zlib.decompress(body).decode().split("\n")
-                at = bisect_left(lines, f"{key} ")
-                while at < len(lines) and lines[at].split(" ", 1)[0] == key:
-                    entry = dict(zip(names, [key, *json.loads(lines[at].split(" ", 1)[1])], strict=True))
-                    _, block, _ = parse_record(self.read_range(entry["archive"], entry["offset"], entry["length"]))
-                    entry["payload"] = bytes(block[_BLANK_LINE.search(block).end() :]) if entry["record_type"] == "response" else None
-                    out.append(entry)
-                    at += 1
+            low, high = f"{key} ".encode(), f"{key} ~".encode()
+            for i in _reaching(firsts, lasts, low, high):
+                page, first, last = _ends(self.directory().where(F.col("page") == pages[i]).toArrow(), "block")
+                for j in _reaching(first, last, low, high):
+                    file, number = page.column("file")[j].as_py(), page.column("block")[j].as_py()
+                    body = self.spark.read.schema(BLOCK).parquet(f"{self.path}/blocks/{file}").where(F.col("block") == number).first().body
+                    for row in _found(bytes(body), [(low, high)]):
+                        entry = dict(zip(names, row, strict=True))
+                        _, block, _ = parse_record(self.read_range(entry["archive"], entry["offset"], entry["length"]))
+                        entry["payload"] = bytes(block[_BLANK_LINE.search(block).end() :]) if entry["record_type"] == "response" else None
+                        out.append(entry)
         return out
 
     def read_range(self, archive: str, offset: int, length: int) -> bytes:
@@ -286,15 +348,15 @@ class Archive:
             stream.close()
 
 
-def archive_pages(pages: DataFrame) -> DataFrame:
-    """Archive one table and list its records from the index: ``page_id, payload_bytes, payload_digest, record_type, refers_to, url, intact``.
+def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Archive one table and look every page up in the index: ``page_id, payload_bytes, payload_digest, record_type, refers_to, url, intact``.
 
     Null and empty html are payloads of 0 bytes; null URLs have an empty key; a very long page is one record;
-    repeated rows are records of their own; an empty table gives no archive and no rows. Other columns are
-    ignored, whatever their names.
+    repeated rows are records of their own, all found by the one search for their URL and page; an empty table gives no
+    archive and no rows. Other columns are ignored, whatever their names.
     """
-    archive = Archive.write(pages, Scratch(pages.sparkSession, "archive").path)
-    return archive.entries().select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "intact")
+    archive = Archive.write(pages, Scratch(pages.sparkSession, "archive").path, id_col, url_col, html_col)
+    return archive.search(pages, url_col, id_col).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "intact")
 
 
 ORACLE = """
