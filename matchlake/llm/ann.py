@@ -143,21 +143,14 @@ class _Block:
 
 
 class VectorIndex:
-    """Codes of all distinct usable vectors of a table."""
+    """Codes of all distinct vectors of one length."""
 
-    def __init__(self, vectors: DataFrame, copies: int, id_col: str = "vec_id", vector_col: str = "embedding"):
-        """``copies`` of the smallest ids of each distinct vector are kept: one more than a search may return."""
-        self.spark: SparkSession = vectors.sparkSession
+    def __init__(self, rows: DataFrame, copies: int):
+        """``rows (vec_id, v)`` of one length, none unusable; ``copies`` of the smallest ids of each distinct vector are kept: one more than a search may return."""
+        self.spark: SparkSession = rows.sparkSession
         self.scratch = Scratch(self.spark, "ann")
         save = self.scratch.save
-        given = vectors.schema[vector_col].dataType.simpleString()
-        self.kind = given if given in ("array<float>", "array<double>") else "array<double>"
-        v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(self.kind).alias("v"))
-        bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | ~F.exists("v", lambda x: x != 0)
-        usable = v.where("vec_id is not null and v is not null").where(~bad)
-        size = usable.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-        self.dimensions = size.d if size else 0
-        self.rows = save(usable.where(F.size("v") == self.dimensions).dropDuplicates(["vec_id", "v"]), "rows")
+        self.kind, self.rows = rows.schema["v"].dataType.simpleString(), rows
         rank = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
         few = self.rows.withColumn("rank", rank).where(F.col("rank") <= copies)
         classes = few.groupBy("v").agg(F.min("vec_id").alias("rep"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
@@ -215,12 +208,38 @@ class VectorIndex:
         return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """``vec_id, v`` of the distinct rows that can be compared: neither null nor zero, and of finite components alone."""
+    given = vectors.schema[vector_col].dataType.simpleString()
+    kind = given if given in ("array<float>", "array<double>") else "array<double>"
+    v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("v"))
+    bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | ~F.exists("v", lambda x: x != 0)
+    return v.where("vec_id is not null and v is not null").where(~bad).dropDuplicates(["vec_id", "v"])
+
+
 def neighbours(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Index all rows and search the ``k`` nearest others of each row whose id is divisible by ``every``.
 
-    Vectors that are null, zero, of another length than most, or hold a null, NaN or infinite component take no
-    part. Vectors of floats stay so, others are taken as doubles. Repeated rows count once. With fewer candidates than ``k`` all are returned; an empty table gives no
-    rows. Ties in score go to the smaller id. Other columns are ignored, whatever their names.
+    Vectors that are null, zero or hold a null, NaN or infinite component take no part. Only vectors of one length can
+    be compared, so each length has an index and a search of its own; a table should hold few lengths, as it costs one
+    plan each. Vectors of floats stay so, others are taken as doubles. Repeated rows count once; of an id with several
+    vectors of one length the least asks, and an id with several lengths asks in each, the best answers counting. With
+    fewer candidates than ``k`` all are returned; an empty table gives no rows. Ties in score go to the smaller id.
+    Other columns are ignored, whatever their names.
     """
-    index = VectorIndex(vectors, copies=k + 1, id_col=id_col, vector_col=vector_col)
-    return index.search(index.rows.where(F.col("vec_id") % every == 0), k)
+    scratch = Scratch(vectors.sparkSession, "vectors")
+    rows = scratch.save(usable(vectors, id_col, vector_col).withColumn("d", F.size("v")), "rows")
+    found = []
+    for (d,) in rows.select("d").distinct().orderBy("d").collect():
+        own = rows.where(F.col("d") == d).select("vec_id", "v")
+        found.append(VectorIndex(own, copies=k + 1).search(own.where(F.col("vec_id") % every == 0), k))
+    if not found:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    if len(found) == 1:
+        return found[0]
+    every_length = found[0]
+    for more in found[1:]:
+        every_length = every_length.unionByName(more)
+    best = every_length.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -392,6 +392,26 @@ def test_search(spark):
     assert ann.neighbours(few.limit(0)).count() == 0
 
 
+def test_search_of_several_lengths(spark):
+    """Every length is searched within itself, whatever its share; other columns may have any names."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=8 if i % 3 else 5).tolist(), "v", 1, [2], 0.5, 3) for i in range(240)]
+    rows += [(1000, [1.0], "v", 1, [2], 0.5, 3), (1050, [-2.0], "v", 1, [2], 0.5, 3), (1100, [], "v", 1, [2], 0.5, 3), (50, [3.0], "v", 1, [2], 0.5, 3)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, v string, key int, ids array<int>, score double, rank int")
+    got = defaultdict(list)
+    for r in ann.neighbours(frame).collect():
+        got[r.query_id].append((r.rank, r.vec_id, round(r.score, 9)))
+    want = defaultdict(dict)
+    for q, a, *_ in rows:
+        for i, b, *_ in rows:
+            if q % 50 == 0 and i != q and len(a) == len(b) > 0:
+                x, y = np.array(a), np.array(b)
+                want[q][i] = max(round(float(x @ y / np.sqrt((x @ x) * (y @ y))), 9), want[q].get(i, -2))
+    assert set(got) == set(want) and 1000 in want[50]
+    for q, scores in want.items():
+        assert [(v, s) for _, v, s in sorted(got[q])] == [(v, s) for s, v in sorted((-s, v) for v, s in scores.items())[:5] for s in [-s]]
+
+
 def test_search_is_exact_in_a_dense_group(spark):
     """A third of the rows are near copies, closer to each other than the codes can tell; some ids have several vectors."""
     rng = np.random.default_rng(5)
@@ -465,6 +485,18 @@ def test_warc_root_parts_the_directory(spark, monkeypatch):
     for i in (0, 199, 399):
         assert sorted(r["page_id"] for r in archive.lookup([f"http://b/{i:05}"])) == [3 * i, 3 * i + 1, 3 * i + 2]
     assert len(archive.lookup(["http://b/00100"])) == 153 and archive.lookup(["http://b/00400", "http://a/", "http://zz/"]) == []
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert sorted(archive.search(pages).collect()) == sorted(archive.entries().collect())
+    some = spark.createDataFrame([(7, "http://b/00002", "k"), (8, "http://b/00001", "k"), (5003, "http://b/00100", "k"), (None, "http://b/00100", "k"), (9, None, "k")], "page_id long, url string, at string")
+    assert sorted(r.page_id for r in archive.search(some).collect()) == [7, 5003]
+
+
+def test_warc_search_of_odd_captures(spark):
+    """Null and repeated URLs and pages are found as often as they were written, and clashing names do no harm."""
+    rows = [(None, None, "a"), (None, None, "a"), (None, "http://x/", "b"), (-5, "http://x/", "c"), (-5, "http://x/", "c"), (2**62, "http://x/", ""), (0, "", "d"), (3, "x y\tz\n", "e"), (4, "http://é/ü", None)]
+    frame = spark.createDataFrame([(*r, "k", 1, 2, 3) for r in rows], "page_id long, url string, html string, key string, at int, block int, digest int")
+    got = warc.archive_pages(frame).collect()
+    assert sorted((str(r.page_id), r.payload_bytes) for r in got) == sorted((str(i), len(h or "")) for i, _, h in rows) and all(r.intact for r in got)
 
 
 def test_warc_tells_damage_from_the_payload(spark):
