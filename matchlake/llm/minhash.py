@@ -267,14 +267,15 @@ class _Job:
         first = some.groupBy("digest").agg(F.min(F.struct("doc_id", "sig", "bands")).alias("r"))
         nodes = save(first.select("digest", F.col("r.doc_id").alias("node"), "r.sig", "r.bands"), "nodes")
         self.members = signed.select("doc_id", "n_shingles", "digest")
-        at = nodes.select("node", F.explode("bands").alias("bucket"))
-        shared = save(at.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "shared")
-        rows = save(at.join(shared, "bucket"), "rows")
+        at, self.count = nodes.select("node", F.explode("bands").alias("bucket")), nodes.count()
+        most = self.count * (self.hashes // self.rows_a_band)
+        shared = save(at.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "shared", rows=most // 2)
+        rows = save(at.join(shared, "bucket"), "rows", rows=most)
         self.nodes = nodes
-        degree = save(rows.groupBy("node").agg(F.sum("size").alias("degree")), "degree")
+        degree = save(rows.groupBy("node").agg(F.sum("size").alias("degree")), "degree", rows=self.count)
         hubs = rows.join(degree, "node").groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("node")).alias("least"))).alias("h"))
-        hubs = save(hubs.select("bucket", (-F.col("h.least")).alias("hub")), "hubs")
-        self.rows = save(rows.join(hubs, "bucket").where("node <> hub"), "spokes")
+        hubs = save(hubs.select("bucket", (-F.col("h.least")).alias("hub")), "hubs", rows=most // 2)
+        self.rows = save(rows.join(hubs, "bucket").where("node <> hub"), "spokes", rows=most)
         self.scratch.drop("rows")
 
     def agreeing(self, pairs: DataFrame) -> DataFrame:
@@ -308,7 +309,7 @@ class _Job:
         """
         save = self.scratch.save
         placed = self.rows.select("bucket", "node").join(components, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("comp"))
-        placed = save(placed, f"at-{name}")
+        placed = save(placed, f"at-{name}", rows=self.rows.count())
         sizes = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
         buckets = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
         blocks = lambda n: F.ceil(n / BLOCK).cast("int")
@@ -341,11 +342,11 @@ class _Job:
         save, scratch = self.scratch.save, self.scratch
         star = self.rows.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
         links = save(self.confirmed(save(self.agreeing(star), "star"), "star").union(self.same_document()), "known-0")
-        components = save(connected_components(links, scratch), "components-0")
+        components = save(connected_components(links, scratch), "components-0", rows=2 * self.count)
         more = self.remaining(components)
         if not more.isEmpty():
-            components = save(connected_components(links.union(more), scratch), "components-1")
-        placed = save(self.nodes.select("digest", "node").join(components, "node", "left").select("digest", F.coalesce("component", "node").alias("component")), "placed")
+            components = save(connected_components(links.union(more), scratch), "components-1", rows=2 * self.count)
+        placed = save(self.nodes.select("digest", "node").join(components, "node", "left").select("digest", F.coalesce("component", "node").alias("component")), "placed", rows=self.count)
         result = self.members.join(placed, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
         return result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

@@ -26,6 +26,10 @@ def root(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Short rows that one task may as well write: fewer make files that cost more to open than to read.
+ROWS_A_TASK = 100_000
+
+
 class Scratch:
     """A uniquely named folder below :func:`root`; ``save`` writes a table and reads it back.
 
@@ -47,9 +51,13 @@ class Scratch:
     def at(self, name: str) -> str:
         return f"{self.path}/{name}"
 
-    def save(self, df: DataFrame, name: str, small: bool = False) -> DataFrame:
-        """``small`` tables, a few bytes a row and made without a shuffle, are gathered into files of a sensible size."""
+    def save(self, df: DataFrame, name: str, small: bool = False, rows: int | None = None) -> DataFrame:
+        """``small`` tables, a few bytes a row and made without a shuffle, are gathered into files of a sensible size.
+
+        Of a table known to have about ``rows`` short rows at most, no task writes much fewer than ROWS_A_TASK.
+        """
         df = df.hint("rebalance") if small else df
+        df = df if rows is None else df.coalesce(max(1, -(-rows // ROWS_A_TASK)))
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.at(name))
         return self.spark.read.schema(df.schema).parquet(self.at(name))
 
