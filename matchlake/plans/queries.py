@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from matchlake.functions import contracts
 from matchlake.functions import exprs as X
 from matchlake.operators import (
-    assignment, balls, chains, clock, corrections, datasets, facts, features, flights, fusion, heatmap, identity, metrics, overlay, plan, profile, quality, sampling, signals, stats, temporal, tracking,
+    assignment, balls, chains, clock, corrections, datasets, facts, features, flights, fusion, heatmap, identity, metrics, overlay, pages, plan, profile, quality, sampling, signals, stats, temporal, tracking,
 )
 from matchlake.plans import adapter as A
 from matchlake.sources import sinks
@@ -871,3 +872,35 @@ def paired_pulses(spark: SparkSession, sf: str) -> DataFrame:
     f = A.facts(spark, sf)
     side = lambda kind: f.where(F.col("event_type") == kind).select("job_id", "team", F.col("t_seconds").alias("t"))
     return signals.paired_pulses(side("shot_attempt"), side("defense_start"), ["job_id", "team"], 1800.0).select("job_id", "team", _r("inner_t", 6), _r("outer_t", 6))
+
+
+CONTRACT = contracts.Contract({
+    "type": "object", "required": ["event_id", "event_type", "team"],
+    "properties": {
+        "event_id": {"type": "integer", "minimum": 10}, "event_type": {"type": "string", "enum": ["shot_attempt", "shot_made", "reload", "defense_start"]}, "team": {"type": "integer", "exclusiveMinimum": 3},
+        "value": {"type": ["number", "null"], "maximum": 90}, "boxes": {"type": "array", "items": {"type": "object", "properties": {"x": {"type": "number", "maximum": 50}}}},
+    },
+})
+
+
+@query(f"""with {A.FACTS}, v as (select case when n % 17 = 0 then '$.team' when n < 10 then '$.event_id' when event_type = 'defense_end' then '$.event_type' when team <= 3 then '$.team' when value > 90 then '$.value'
+    when field_x > 50 or field_x + 1 > 50 then '$.boxes[].x' end as path,
+  case when n % 17 = 0 then 'required' when n < 10 then 'minimum' when event_type = 'defense_end' then 'enum' when team <= 3 then 'exclusiveMinimum' else 'maximum' end as keyword from facts)
+select path, keyword, count(*) as lines from v where path is not null group by 1, 2""")
+def contract_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as JSON lines, counted by the first thing that breaks their contract."""
+    f = A.facts(spark, sf)
+    box = lambda x: F.struct(x.alias("x"))
+    doc = F.struct(F.col("n").alias("event_id"), "event_type", F.when(F.col("n") % 17 != 0, F.col("team")).alias("team"), "value", F.array(box(F.col("field_x")), box(F.col("field_x") + 1)).alias("boxes"))
+    _, bad = contracts.parsed(f.select(F.to_json(doc).alias("value")), CONTRACT)
+    return bad.select("path", "keyword", "lines")
+
+
+@query("""select o_orderkey, o_orderpriority, round(o_totalprice, 2) as o_totalprice from orders
+where o_orderpriority > '3-MEDIUM' or o_orderpriority = '3-MEDIUM' and (o_totalprice < 100000 or o_totalprice = 100000 and o_orderkey > 500)
+order by o_orderpriority, o_totalprice desc, o_orderkey limit 50""")
+def library_page(spark: SparkSession, sf: str) -> DataFrame:
+    """The fifty orders that follow a given one in a library's order."""
+    o = A.table(spark, sf, "orders")
+    page = pages.page(o, ["o_orderpriority", "-o_totalprice", "o_orderkey"], 50, after={"o_orderpriority": "3-MEDIUM", "o_totalprice": 100000.0, "o_orderkey": 500})
+    return page.select("o_orderkey", "o_orderpriority", _r("o_totalprice", 2))
