@@ -287,13 +287,38 @@ def test_stream_tracker_equals_batch_ids(spark, tmp_path):
     rows = [("j", one(spark, F.timestamp_seconds(F.lit(t0 + i))), 0.1 + 0.02 * i, 0.1, 0.2, 0.2) for i in range(6)]
     rows += [("j", rows[3][1], 0.7, 0.7, 0.1, 0.1)]
     out = drain(tracker.track_boxes(stream(spark, rows, "job_id string, ts timestamp, x double, y double, w double, h double", tmp_path, [[0, 1, 2], [3, 6], [4, 5]])), "tracked")
-    assert sorted(r["count"] for r in out.groupBy("track").count().collect()) == [1, 6]
+    assert sorted(r["count"] for r in out.where("kind = 'box'").groupBy("track").count().collect()) == [1, 6]
+
+
+def test_stream_tracker_gives_gaps_and_never_an_id_twice(spark, tmp_path):
+    """On replay as the batch form, over a pause that times the job out."""
+    from matchlake.operators import tracking
+
+    t0, rows = 1_700_000_000, []
+    for i in range(30):
+        if i not in (5, 6, 7, 8):
+            rows.append(("j", i / 2, 0.1 + 0.01 * i, 0.1, 0.1, 0.1))
+        rows.append(("j", i / 2, 0.7, 0.5, 0.1, 0.1))
+    rows += [("j", 60.0 + i / 2, 0.3, 0.3, 0.1, 0.1) for i in range(4)]
+    kind = "job_id string, t double, x double, y double, w double, h double"
+    timed = [(j, one(spark, F.timestamp_millis(F.lit(int((t0 + t) * 1000)))), *box) for j, t, *box in rows]
+    other = ("k", one(spark, F.timestamp_seconds(F.lit(t0 + 50))), 0.1, 0.1, 0.1, 0.1)
+    first = list(range(len(rows) - 4))
+    batches = [first[:20], first[20:], [len(rows)], [len(rows)], list(range(len(rows) - 4, len(rows)))]
+    out = drain(tracker.track_boxes(stream(spark, [*timed, other], "job_id string, ts timestamp, x double, y double, w double, h double", tmp_path, batches)), "gaps").where("job_id = 'j'").collect()
+    want = tracking.track_boxes(spark.createDataFrame(rows, kind)).collect()
+    at = lambda ts: round(ts.timestamp() - t0, 3)
+    assert sorted((at(r.ts), r.x, r.track) for r in out if r.kind == "box") == sorted((r.t, r.x, r.track) for r in want if r.kind == "box")
+    gaps = sorted((r.track, at(r.since), at(r.ts), r.reason) for r in out if r.kind == "gap")
+    assert gaps == sorted((r.track, r.t, r.end, r.reason) for r in want if r.kind == "gap") and len(gaps) == 1
 
 
 def test_stream_goal_gate(spark, tmp_path):
     t = lambda s: one(spark, F.timestamp_millis(F.lit(int(1_700_000_000_000 + s * 1000))))
-    rows = [("j", 1, "g", t(0), 1.0), ("j", 1, "g", t(0.1), -1.0), ("j", 1, "g", t(0.2), -1.0), ("j", 2, "g", t(0), 1.0), ("j", 2, "g", t(1), -1.0), ("j", 2, "g", t(1.1), -1.0)]
-    out = drain(tracker.count_entries(stream(spark, rows, "job_id string, ball int, region string, ts timestamp, depth double", tmp_path, [[0, 1, 3], [2, 4, 5]])), "gate")
+    rows = [("j", 1, "g", t(0), 1.0), ("j", 1, "g", t(0.1), -1.0), ("j", 1, "g", t(0.2), -1.0), ("j", 2, "g", t(0), 1.0), ("j", 2, "g", t(1), -1.0), ("j", 2, "g", t(1.1), -2.0)]
+    rows[2] = ("j", 1, "g", t(0.2), -2.0)
+    rows += [("j", 3, "g", t(0), 1.0), ("j", 3, "g", t(0.1), -1.0), ("j", 3, "g", t(0.2), -0.5), ("j", 3, "g", t(0.25), -2.0)]
+    out = drain(tracker.count_entries(stream(spark, rows, "job_id string, ball int, region string, ts timestamp, depth double", tmp_path, [[0, 1, 3, 6, 7], [2, 4, 5, 8, 9]])), "gate")
     assert [r.ball for r in out.collect()] == [1]
 
 
