@@ -92,13 +92,16 @@ def _pairwise(members: Column) -> Column:
 
 
 class _Fusion:
-    """Clusters of one frame's boxes, most confident first, and the weighted mean of each."""
+    """Clusters of one frame's boxes, most confident first, and the weighted mean of each.
+
+    ``total`` is the weight of all that looked at the frame; without one, that of the sources with a box.
+    """
 
     def __init__(self, least: float):
-        self.least, self.found, self.total = least, [], 0.0
+        self.least, self.found, self.total, self.seen = least, [], None, {}
 
-    def row(self, source: str, x: float, y: float, w: float, h: float, confidence: float, weight: float, total: float) -> list[tuple]:
-        box, self.total = (x, y, w, h), total
+    def row(self, source: str, x: float, y: float, w: float, h: float, confidence: float, weight: float, total: float | None) -> list[tuple]:
+        box, self.total, self.seen[source] = (x, y, w, h), total, weight
         for members in self.found:
             if all(m[0] != source for m in members) and max(overlap(m[1], box) for m in members) >= self.least:
                 members.append((source, box, confidence, weight))
@@ -107,14 +110,14 @@ class _Fusion:
         return []
 
     def close(self) -> list[tuple]:
-        out = []
+        out, total = [], sum(self.seen.values()) if self.total is None else self.total
         for cluster, members in enumerate(self.found):
             values = [w * max(1e-6, c) for _, _, c, w in members]
             mean = lambda xs: sum(x * v for x, v in zip(xs, values)) / sum(values)  # noqa: B023, E731
             pairs = [overlap(a[1], b[1]) for i, a in enumerate(members) for b in members[i + 1 :]]
             sources = sorted({m[0] for m in members})
             backing = sum(m[3] for m in members)
-            out.append((cluster, *[mean([m[1][k] for m in members]) for k in range(4)], mean([m[2] for m in members]), min(1.0, backing / self.total), sum(pairs) / len(pairs) if pairs else 0.0, sources))
+            out.append((cluster, *[mean([m[1][k] for m in members]) for k in range(4)], mean([m[2] for m in members]), min(1.0, backing / total), sum(pairs) / len(pairs) if pairs else 0.0, sources))
         return out
 
 
@@ -126,9 +129,11 @@ def fuse(proposals: DataFrame, weights: DataFrame | None = None, least: float =
     """
     p = proposals.select("frame_id", "source", "x", "y", "w", "h", "confidence")
     weigh = lambda df: df.withColumn("weight", F.lit(1.0)) if weights is None else df.join(weights.select("source", "weight"), "source", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
-    ran = p.select("frame_id", "source") if frames is None else frames.select("frame_id", "source").union(p.select("frame_id", "source"))
-    total = weigh(ran.distinct()).groupBy("frame_id").agg(F.sum("weight").alias("total"))
-    rows = weigh(p).join(total, "frame_id")
+    if frames is None:
+        rows = weigh(p).withColumn("total", F.lit(None).cast("double"))
+    else:
+        ran = frames.select("frame_id", "source").union(p.select("frame_id", "source"))
+        rows = weigh(p).join(weigh(ran.distinct()).groupBy("frame_id").agg(F.sum("weight").alias("total")), "frame_id")
     kind = "cluster int, x double, y double, w double, h double, strength double, agreement double, tightness double, supporting_sources array<string>"
     g = fold(rows, ["frame_id"], [F.desc("confidence"), "source", "x", "y", "w", "h"], ["source", "x", "y", "w", "h", "confidence", "weight", "total"], lambda: _Fusion(least), kind)
     conf = F.col("strength") * F.pow(F.col("agreement"), AGREEMENT_EXPONENT) * (TIGHTNESS_FLOOR + (1 - TIGHTNESS_FLOOR) * F.col("tightness"))
@@ -198,59 +203,58 @@ def complete_frames(boxes: DataFrame, least: float, doubt: float = 0.25) -> Data
     return boxes.groupBy("frame_id").agg(F.bool_or(uncertain).alias("u")).where("not u").select("frame_id")
 
 
+class _Links:
+    """Tracks of one clip whose rows come frame by frame; of the rows, only those of a frame that may go on are held."""
+
+    def __init__(self, least: float, misses: int):
+        self.least, self.misses, self.active, self.made, self.held = least, misses, [], 0, None
+
+    def _linked(self, rows: pd.DataFrame) -> pd.DataFrame:
+        index, out, claimed = rows.frame_index.iloc[0], [], set()
+        self.active = [t for t in self.active if index - t["seen"] - 1 <= self.misses]
+        for b in rows[["x", "y", "w", "h"]].itertuples(index=False, name=None):
+            fits = [f for f in ((overlap(t["box"], b), t["id"], t) for t in self.active if t["id"] not in claimed) if f[0] >= self.least]
+            if fits:
+                t = max(fits, key=lambda f: f[:2])[2]
+            else:
+                self.made += 1
+                self.active.append(t := {"id": self.made})
+            t["box"], t["seen"] = b, index
+            claimed.add(t["id"])
+            out.append(t["id"])
+        return rows.assign(track=out)
+
+    def push(self, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        rows = rows if self.held is None else pd.concat([self.held, rows])
+        last = rows.frame_index == rows.frame_index.iloc[-1]
+        self.held = rows[last]
+        for _, frame in rows[~last].groupby("frame_index", sort=False):
+            yield self._linked(frame)
+
+    def close(self) -> Iterator[pd.DataFrame]:
+        if self.held is not None:
+            yield self._linked(self.held)
+
+
 def link_frames(boxes: DataFrame, least: float = 0.30, misses: int = 2) -> DataFrame:
     """Adds ``track``: boxes of consecutive frames of one clip linked by best overlap with unclaimed tracks.
 
-    State is the clip's active tracks only; rows stream through in frame order.
+    State is the clip's active tracks and one frame; a clip's rows pass through batch by batch, in frame order.
     """
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        active: list[dict] = []
-        made = 0
-
-        box = lambda b: (b.x, b.y, b.w, b.h)
-
-        def link(rows: pd.DataFrame) -> list[int]:
-            nonlocal active, made
-            index, out, claimed = rows.frame_index.iloc[0], [], set()
-            active = [t for t in active if index - t["seen"] - 1 <= misses]
-            for b in rows.itertuples():
-                fits = [(overlap(t["box"], box(b)), t) for t in active if t["id"] not in claimed]
-                fits = [f for f in fits if f[0] >= least]
-                if fits:
-                    t = max(fits, key=lambda f: (f[0], f[1]["id"]))[1]
-                else:
-                    made += 1
-                    active.append(t := {"id": made})
-                t["box"], t["seen"] = box(b), index
-                claimed.add(t["id"])
-                out.append(t["id"])
-            return out
-
-        held = None
-        for pdf in frames:
-            pdf = pdf if held is None else pd.concat([held, pdf])
-            last = pdf.frame_index.iloc[-1]
-            ready, held = pdf[pdf.frame_index != last], pdf[pdf.frame_index == last]
-            for _, rows in ready.groupby("frame_index", sort=False):
-                yield rows.assign(track=link(rows))
-        if held is not None and len(held):
-            yield held.assign(track=link(held))
-
     ordered = boxes.repartition("clip").sortWithinPartitions("clip", "frame_index", F.desc("confidence"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in boxes.schema) + ", track int"
 
     def clips(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, feed = None, []
+        key, links = None, None
         for pdf in batches:
             for clip, rows in pdf.groupby("clip", sort=False, dropna=False):
-                if key is not None and clip != key:
-                    yield from run((key,), iter(feed))
-                    feed = []
-                key = clip
-                feed.append(rows)
-        if feed:
-            yield from run((key,), iter(feed))
+                if links is None or not (clip == key or (pd.isna(clip) and pd.isna(key))):
+                    if links is not None:
+                        yield from links.close()
+                    key, links = clip, _Links(least, misses)
+                yield from links.push(rows)
+        if links is not None:
+            yield from links.close()
 
     return ordered.mapInPandas(clips, schema)
 
