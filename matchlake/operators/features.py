@@ -9,6 +9,7 @@ from matchlake.functions.aggregates import nearest_rank, rounded_median
 from matchlake.functions.exprs import PHASES, distance, share
 from matchlake.operators.ordered import Leaders, fold
 from matchlake.operators.temporal import islands, sessions
+from matchlake.sources.work import clustered
 
 STATIONARY_FTPS, SPOT_RADIUS_FT, VOLLEY_GAP_S, DEFENSE_RADIUS_FT, START_WINDOW_S, PATH_TOLERANCE_S = 1.0, 4.0, 3.0, 6.0, 1.5, 0.3
 KEYS = ["job_id", "robot_key"]
@@ -169,8 +170,9 @@ def endgame(samples: DataFrame, launches: DataFrame, match_seconds: float, endga
 def match_features(samples: DataFrame, launches: DataFrame, season: dict, geometry: dict, rate: float = 10.0) -> DataFrame:
     """One row per robot and match with all groups as nested columns; groups that need positions are null without them.
 
-    Every group scans its input, so pass written tables, not plans that build them.
+    Both inputs are written once by robot and match, so that the groups and their joins need no shuffle of their own.
     """
+    samples, launches = clustered(samples, KEYS, ["t"]), clustered(launches, KEYS, ["t"])
     step, seconds = 1.0 / rate, float(season["auto_seconds"] + season["teleop_seconds"])
     hub = geometry["hub_x"], geometry["hub_y"]
     groups = {
