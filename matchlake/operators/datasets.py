@@ -65,6 +65,17 @@ def held_out_report(counts: DataFrame, full: int = 6) -> DataFrame:
     return r.select("segment", "frames", "mean_robots", "blind", "full", F.bround(F.col("full") / F.col("frames"), 4).alias("full_share"), F.bround(F.try_divide("hit", "truths"), 4).alias("ceiling_recall"))
 
 
+def models_with_scores(models: DataFrame, scores: DataFrame) -> DataFrame:
+    """Registry entries, oldest first, each with its held-out score as a struct ``heldout``, null where it has none.
+
+    ``models (id, trained_on, ...)`` and ``scores (id, ...)``; of several scores of a model that with the largest
+    ``measured_on`` counts, where there is such a column.
+    """
+    names = [c for c in scores.columns if c != "id"]
+    latest = F.max_by(F.struct(*names), F.coalesce(F.col("measured_on").cast("string"), F.lit("")) if "measured_on" in names else F.lit(""))
+    return models.join(scores.groupBy("id").agg(latest.alias("heldout")), "id", "left").orderBy(F.asc_nulls_last("trained_on"), "id")
+
+
 def histogram(counts: DataFrame, value: str) -> DataFrame:
     return counts.groupBy(value).agg(F.count("*").alias("n"))
 

@@ -219,12 +219,13 @@ def robot_sized(boxes: DataFrame, share: float = 0.4, recent: int = 300, least:
     """Adds ``typical``, the upper median width of the ``recent`` boxes before, and whether a box is no narrower than ``share`` of it.
 
     ``boxes (job_id, frame, t, w)``; with fewer than ``least`` boxes before, the frame's own count, from three on;
-    where nothing is known every box passes.
+    where nothing is known every box passes. The widths before are gathered once a frame.
     """
-    before = F.collect_list("w").over(Window.partitionBy("job_id").orderBy("t", "frame", "w").rowsBetween(-recent, -1))
-    b = boxes.withColumn("_before", before).withColumn("_first", F.first("_before").over(Window.partitionBy("job_id", "frame").orderBy("t", "w")))
-    own = F.collect_list("w").over(Window.partitionBy("job_id", "frame"))
     upper = lambda a: F.get(F.array_sort(a), F.floor(F.size(a) / 2).cast("int"))
-    typical = F.when(F.size("_first") >= least, upper(F.col("_first"))).when(F.size("_own") >= 3, upper(F.col("_own")))
-    out = b.withColumn("_own", own).withColumn("typical", typical)
-    return out.withColumn("robot_sized", F.coalesce(F.col("w") >= share * F.col("typical"), F.lit(True))).drop("_before", "_first", "_own")
+    frames = boxes.groupBy("job_id", "frame").agg(F.min("t").alias("_t"), F.transform(F.array_sort(F.collect_list(F.struct("t", "w"))), lambda b: b["w"]).alias("_own"))
+    earlier = Window.partitionBy("job_id").orderBy("_t", "frame").rowsBetween(-recent, -1)
+    before = F.reverse(F.slice(F.reverse(F.flatten(F.collect_list("_own").over(earlier))), 1, recent))
+    typical = F.when(F.size("_before") >= least, upper(F.col("_before"))).when(F.size("_own") >= 3, upper(F.col("_own")))
+    known = frames.withColumn("_before", before).select(F.col("job_id").alias("_job"), F.col("frame").alias("_frame"), typical.alias("typical"))
+    out = boxes.join(known, F.col("job_id").eqNullSafe(F.col("_job")) & F.col("frame").eqNullSafe(F.col("_frame"))).drop("_job", "_frame")
+    return out.withColumn("robot_sized", F.coalesce(F.col("w") >= share * F.col("typical"), F.lit(True)))

@@ -83,6 +83,27 @@ def by_phase(events: DataFrame) -> DataFrame:
     return shots.groupBy("team").pivot("phase", ["auto", "teleop", "endgame", "unknown"]).agg(F.count_if(F.expr("event_type = 'shot_attempt'")).alias("attempts"), F.count_if(F.expr("event_type = 'shot_made'")).alias("made"))
 
 
+def cycles(events: DataFrame) -> DataFrame:
+    """``team, match_id, n, t, seconds``: every cycle of a team from reload to reload, numbered from 1 within its match."""
+    w = Window.partitionBy("team", "match_id").orderBy("t", "event_id")
+    reloads = events.where("team is not null and event_type = 'reload'").withColumn("t", F.coalesce("t_seconds", F.lit(0.0)))
+    both = reloads.withColumn("seconds", F.col("t") - F.lag("t").over(w)).withColumn("n", (F.row_number().over(w) - 1).cast("int"))
+    return both.where("seconds is not null").select("team", "match_id", "n", "t", "seconds")
+
+
+def team_cycles(events: DataFrame, jobs: DataFrame, seasons: DataFrame) -> DataFrame:
+    """``team, cycles, best_cycle_seconds, is_best, points``: ``is_best`` marks the teams with the shortest cycle of all that have one.
+
+    ``points`` are those of a team's made shots in matches whose alliances name it, null for none.
+    """
+    own = cycles(events).groupBy("team").agg(F.count("*").alias("cycles"), F.min("seconds").alias("best_cycle_seconds"))
+    scored = scoring(events, jobs, seasons).groupBy("team").agg(F.sum("points").alias("points"))
+    best = own.agg(F.min("best_cycle_seconds").alias("_best"))
+    teams = events.where("team is not null").select("team").distinct().join(own, "team", "left").join(scored, "team", "left")
+    told = teams.join(F.broadcast(best)).withColumn("is_best", F.coalesce(F.col("best_cycle_seconds") == F.col("_best"), F.lit(False)))
+    return told.select("team", F.coalesce("cycles", F.lit(0)).alias("cycles"), "best_cycle_seconds", "is_best", "points")
+
+
 #: Density grids that a task holds.
 GRIDS = 500
 OUTCOMES = ("made", "missed", "unknown")

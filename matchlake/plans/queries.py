@@ -904,3 +904,14 @@ def library_page(spark: SparkSession, sf: str) -> DataFrame:
     o = A.table(spark, sf, "orders")
     page = pages.page(o, ["o_orderpriority", "-o_totalprice", "o_orderkey"], 50, after={"o_orderpriority": "3-MEDIUM", "o_totalprice": 100000.0, "o_orderkey": 500})
     return page.select("o_orderkey", "o_orderpriority", _r("o_totalprice", 2))
+
+
+@query(f"""with {A.FACTS}, c as (select team, t_seconds - lag(t_seconds) over (partition by match_id, team order by t_seconds, event_id) as seconds from facts where event_type = 'reload'),
+b as (select team, count(seconds) as cycles, min(seconds) as best from c group by team),
+p as (select team, sum({_POINTS}) as points from facts where event_type = 'shot_made' group by team)
+select t.team, coalesce(cycles, 0) as cycles, round(best, 6) as best_cycle_seconds, coalesce(best = (select min(best) from b), false) as is_best, cast(points as bigint) as points
+from (select distinct team from facts) t left join b on b.team = t.team left join p on p.team = t.team""")
+def team_cycles(spark: SparkSession, sf: str) -> DataFrame:
+    """Cycles, the best of each team and of all, and points."""
+    f = A.facts(spark, sf)
+    return stats.team_cycles(f, _jobs(f), _seasons(spark)).select("team", "cycles", _r("best_cycle_seconds", 6), "is_best", F.col("points").cast("long").alias("points"))

@@ -81,3 +81,16 @@ def test_robot_sized(spark):
     rows = [("j", f, f / 10, w) for f in range(6) for w in (0.10, 0.11, 0.12)] + [("j", 6, 0.6, 0.03), ("j", 6, 0.6, 0.11), ("k", 0, 0.0, 0.5)]
     got = {(r.job_id, r.frame, r.w): (r.typical, r.robot_sized) for r in labelling.robot_sized(spark.createDataFrame(rows, "job_id string, frame int, t double, w double")).collect()}
     assert got["j", 6, 0.03] == (0.11, False) and got["j", 6, 0.11] == (0.11, True) and got["k", 0, 0.5] == (None, True) and got["j", 0, 0.10] == (0.11, True)
+
+
+def test_robot_sized_like_a_loop(spark):
+    import random
+
+    rng = random.Random(9)
+    rows = [(j, f, f / 10 + b / 1000, round(rng.random(), 3)) for j in "ab" for f in range(25) for b in range(rng.randrange(1, 6))]
+    got = {(r.job_id, r.frame, r.t): (r.typical, r.robot_sized) for r in labelling.robot_sized(spark.createDataFrame(rows, "job_id string, frame int, t double, w double"), recent=20, least=8).collect()}
+    for job, frame, t, w in rows:
+        before, own = [x[3] for x in sorted(r for r in rows if r[0] == job and r[1] < frame)][-20:], [r[3] for r in rows if r[:2] == (job, frame)]
+        known = before if len(before) >= 8 else own if len(own) >= 3 else None
+        typical = sorted(known)[len(known) // 2] if known else None
+        assert got[job, frame, t] == (typical, typical is None or w >= 0.4 * typical)

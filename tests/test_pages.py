@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from matchlake.operators import pages
+from matchlake.operators import datasets, pages, stats
 
 
 def test_pages_follow_each_other(spark):
@@ -39,3 +39,14 @@ def test_one_job_is_read_from_few_files(spark, tmp_path):
     assert sorted(r.id for r in table.get(["j150"]).collect()) == [-1, *range(150, 2000, 200)]
     assert [r.id for r in table.get([None]).collect()] == [-2] and table.get(["zzz"]).count() == 0 and table.get(["zzz"]).columns == ["job_id", "id"]
     assert table.get(["j001", "j150"]).count() == 21
+
+
+def test_models_have_their_scores(spark):
+    models = spark.createDataFrame([("b", "2024-02-01"), ("a", "2024-01-01"), ("c", None)], "id string, trained_on string")
+    scores = spark.createDataFrame([("a", 0.4, "2024-03-01"), ("a", 0.6, "2024-04-01"), ("z", 0.9, None)], "id string, full_share double, measured_on string")
+    assert [(r.id, r.heldout and r.heldout.full_share) for r in datasets.models_with_scores(models, scores).collect()] == [("a", 0.6), ("b", None), ("c", None)]
+
+
+def test_cycles_are_listed(spark):
+    e = spark.createDataFrame([(1, "m", "reload", 5.0, "a"), (1, "m", "reload", 9.0, "b"), (1, "m", "shot_made", 10.0, "c"), (1, "m", "reload", 12.0, "d"), (1, "n", "reload", 1.0, "e"), (2, "m", "reload", 1.0, "f")], "team int, match_id string, event_type string, t_seconds double, event_id string")
+    assert [tuple(r) for r in stats.cycles(e).orderBy("team", "n").collect()] == [(1, "m", 1, 9.0, 4.0), (1, "m", 2, 12.0, 3.0)]
