@@ -65,12 +65,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     (row,) = free(docs, "row")
     numbered, scratch = placed(docs, row), Scratch(spark, "pipeline-near")
     found = scratch.save(near_duplicates(numbered, width=5, num=80, den=100, id_col=row), "found", small=True)
-    copied = sized(scratch.save(found.where("not kept").select("component_id").distinct(), "copied"))
+    few = found.where("not kept").count()
+    copied = sized(scratch.save(found.where("not kept").select("component_id").distinct(), "copied", rows=few))
     members = found.join(copied, "component_id", "left_semi").select(F.col("doc_id").alias("row"), "component_id")
     ids = scratch.save(numbered.select(F.col(row).alias("row"), "doc_id").join(members, "row"), "ids")
     first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
-    first = scratch.save(first.select("component_id", F.col("first.row").alias("stays")), "first")
-    gone = scratch.save(ids.join(first, "component_id").where("row <> stays").select("row"), "gone")
+    first = scratch.save(first.select("component_id", F.col("first.row").alias("stays")), "first", rows=few)
+    gone = scratch.save(ids.join(first, "component_id").where("row <> stays").select("row"), "gone", rows=few)
     return _without(numbered, row, gone).select(*docs.columns)
 
 
@@ -94,7 +95,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     (place,) = free(docs, "place")
     numbered = placed(docs, place)
     with small_batches(spark):
-        return Scratch(spark, "pipeline-encode").save(tokens(numbered, VOCABULARY, carry={"place": place}), "tokens")
+        return Scratch(spark, "pipeline-encode").save(tokens(numbered, VOCABULARY, carry={"place": place}, keep=False), "tokens")
 
 
 STAGES = [

@@ -269,14 +269,14 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", carry: dict[str, str] | None = None, with_ids: bool = True) -> DataFrame:
+def tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", carry: dict[str, str] | None = None, with_ids: bool = True, keep: bool = True) -> DataFrame:
     """Encode every text, decode its ids again, and return ``doc_id, n_tokens, ids_sha256, decoded_sha256, ids``.
 
     The digests are those of the decimal ids joined by one space and of the decoded text in UTF-8. Both are fed
     part by part, so that without ``with_ids`` a very long text never has all its ids in memory. ``carry`` names long
     columns that go along, before the others, by their new names. Null and empty texts have no ids, and both digests
     are those of nothing; repeated rows get a row each; an empty table gives no rows. Other columns are ignored,
-    whatever their names.
+    whatever their names. Without ``keep``, a worker's cache of parts goes with the task that filled it.
     """
     spec, carry = load_spec(docs.sparkSession, vocabulary), carry or {}
     n = len(carry)
@@ -308,6 +308,8 @@ def tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
                         joined += own
                     made.append(pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(joined, dtype=np.int32) if joined else np.zeros(0, np.int32))))
                 yield pa.RecordBatch.from_arrays([*rows.columns[: n + 1], *made], names=names)
+        if not keep:
+            bpe.parts.clear()
 
     rows = docs.select(*[F.col(c).cast("long").alias(name) for name, c in carry.items()], F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kinds = [*["long"] * (n + 2), "string", "string", *["array<int>"] * with_ids]

@@ -265,7 +265,7 @@ class _Job:
         signed = save(self.docs.mapInArrow(_signer(self.width, self.rows_a_band, self.hashes), "doc_id long, n_shingles long, digest binary, sig binary, bands array<long>"), "signed")
         some = signed.where("doc_id is not null and digest is not null")
         first = some.groupBy("digest").agg(F.min(F.struct("doc_id", "sig", "bands")).alias("r"))
-        nodes = save(first.select("digest", F.col("r.doc_id").alias("node"), "r.sig", "r.bands"), "nodes")
+        nodes = save(first.select("digest", F.col("r.doc_id").alias("node"), "r.sig", "r.bands"), "nodes", rows=signed.count())
         self.members = signed.select("doc_id", "n_shingles", "digest")
         at, self.count = nodes.select("node", F.explode("bands").alias("bucket")), nodes.count()
         most = self.count * (self.hashes // self.rows_a_band)
@@ -286,7 +286,7 @@ class _Job:
 
     def sets(self, nodes: DataFrame, name: str) -> DataFrame:
         """``node, shingles`` of some nodes, from their texts."""
-        wanted = self.scratch.save(self.nodes.select("node", "digest").join(nodes, "node", "left_semi"), f"ends-{name}")
+        wanted = self.scratch.save(self.nodes.select("node", "digest").join(nodes, "node", "left_semi"), f"ends-{name}", rows=self.count)
         few = sized(wanted)
         texts = self.docs.join(few, self.docs.doc_id == few.node, "left_semi")
         sets = texts.mapInArrow(_setter(self.width), "node long, digest binary, shingles binary").dropDuplicates(["node", "digest"])
@@ -313,7 +313,7 @@ class _Job:
         sizes = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
         buckets = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
         blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-        buckets = save(buckets.select("bucket", F.col("top.comp").alias("major"), blocks(F.col("n")).alias("tn"), blocks(F.col("n") - F.col("top.n")).alias("qn")), f"open-{name}")
+        buckets = save(buckets.select("bucket", F.col("top.comp").alias("major"), blocks(F.col("n")).alias("tn"), blocks(F.col("n") - F.col("top.n")).alias("qn")), f"open-{name}", rows=self.rows.count())
         rows = placed.join(buckets, "bucket").join(self.nodes.select("node", "sig", "bands"), "node")
         at = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -341,7 +341,8 @@ class _Job:
         self.sign()
         save, scratch = self.scratch.save, self.scratch
         star = self.rows.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
-        links = save(self.confirmed(save(self.agreeing(star), "star"), "star").union(self.same_document()), "known-0")
+        pairs = save(self.agreeing(star), "star", rows=self.rows.count())
+        links = save(self.confirmed(pairs, "star").union(self.same_document()), "known-0", rows=pairs.count() + self.count)
         components = save(connected_components(links, scratch), "components-0", rows=2 * self.count)
         more = self.remaining(components)
         if not more.isEmpty():
