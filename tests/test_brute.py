@@ -287,3 +287,35 @@ def test_tracked_boxes_cover_every_box(spark, sf):
     assert len(boxes) == want
     assert len({(r.job_id, r.t, r.track) for r in boxes}) == len(boxes)
     assert all(r.end > r.t and r.reason == "detection_lost" for r in rows if r.kind == "gap")
+
+
+def test_places_near_are_counted_without_pairs():
+    import numpy as np
+
+    from matchlake.operators.features import _Near
+
+    g = np.random.default_rng(3)
+    for n, m, whole in ((0, 4, False), (1, 1, False), (3000, 1500, True), (3000, 1500, False)):
+        place = lambda k, most: g.integers(0, 2 * most, k) / 2 if whole else g.random(k) * most  # noqa: B023, E731
+        x, y, w, qx, qy = place(n, 54), place(n, 27), g.integers(1, 5, n), place(m, 54), place(m, 27)
+        near = np.sqrt((qx[:, None] - x) ** 2 + (qy[:, None] - y) ** 2) <= 6
+        assert (_Near(x, y, w, 6.0).count(qx, qy) == (near * w).sum(1)).all()
+
+
+def test_defense_of_a_crowded_instant(spark):
+    """Sixty thousand robots at one instant, of whom each meets thousands: more pairs than a join ends with."""
+    from matchlake.operators import features
+
+    n = 60_000
+    rows = spark.range(n).select(
+        F.lit("j").alias("job_id"), F.concat(F.lit("r"), "id").alias("robot_key"), F.col("id").cast("int").alias("team"), F.when(F.col("id") % 2 == 0, "blue").otherwise("red").alias("alliance"),
+        F.lit(0.1).alias("t"), F.lit("teleop").alias("phase"), (F.col("id") * 54 / n).alias("ax"), F.lit(1.0).alias("ay"), (F.col("id") * 54 / n).alias("x"), F.lit(1.0).alias("y"))
+    got = features.defense(rows, 54.0, 1.0).agg(F.max("near_opponent_s").alias("most"), F.count_if(F.expr("near_opponent_s > 0")).alias("some")).first()
+    assert abs(got.most - 2 * 6 / 54 * n / 2) <= 2 and got.some == n // 2 - 1
+
+
+def test_features_that_nobody_asks_for_form_no_pairs(spark, sf):
+    from matchlake.operators import profile
+
+    for df in (QUERIES["match_features"](spark, sf), profile.read_features(queries._features(spark, sf))):
+        assert "o_alliance" not in df._jdf.queryExecution().optimizedPlan().toString()
