@@ -13,7 +13,7 @@ from math import hypot
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchlake.functions.exprs import crosses_directed, inside_polygon
+from matchlake.functions.exprs import crosses_directed, inside_polygon, on_edge
 from matchlake.operators.temporal import band_join, islands
 
 Point = tuple[float, float]
@@ -54,6 +54,7 @@ class Gate:
     A ball arms where it crosses ``approach`` (without one, anywhere) and enters where it then crosses ``made``; a gate
     without that line counts no entries. The entry
     counts once the ball was seen ``frames`` times inside ``interior`` moving along ``direction``, at ``depth`` radii.
+    The even-odd rule counts a place on the interior's edge or not, by the side; with ``open_edge`` none counts.
     """
 
     goal: str
@@ -67,6 +68,7 @@ class Gate:
     depth: float = 0.0
     gap_s: float = 0.085
     confirm_s: float = 0.25
+    open_edge: bool = False
 
 
 def _stretches(points: DataFrame, cuts: DataFrame | None, gap_s: float) -> DataFrame:
@@ -106,6 +108,8 @@ def _entries_at(points: DataFrame, gate: Gate, width: float, height: float, cuts
     enters = F.coalesce(gate.made.crossed(was, q), F.lit(False)) & live
     corners = [F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in gate.interior or ()]
     inside = inside_polygon(F.col("x"), F.col("y"), F.array(*corners)) if corners else F.lit(True)
+    if corners and gate.open_edge:
+        inside = inside & ~on_edge(F.col("x"), F.col("y"), gate.interior)
     signs = signs.withColumn("sights", F.sum((F.col("inward") & inside).cast("int")).over(so_far))
     at = F.struct("frame", "t", (F.col("sights") - (F.col("inward") & inside).cast("int")).alias("sights"))
     signs = signs.withColumn("crossing", F.when(enters, at)).withColumn("crossing", last("crossing"))

@@ -57,6 +57,14 @@ def test_an_entry_is_armed_crossed_and_confirmed(spark):
     assert entered(spark, [], gate) == set()
 
 
+def test_places_on_the_interiors_edge(spark):
+    """By the even-odd rule the lower edge is inside; an open interior has no edge."""
+    gate = Gate("high", "h1", (1.0, 0.0), made=Boundary((0.5, 0.0), (0.5, 1.0), (1.0, 0.0)), interior=((0.2, 0.0), (1.0, 0.0), (1.0, 1.0), (0.2, 1.0)))
+    rows = [("j", ball, i, i / 30, x, y, 0.01) for ball, y in ((1, 0.0), (2, 0.1)) for i, x in enumerate((0.3, 0.45, 0.6))]
+    assert {b for b, _, _ in entered(spark, rows, gate)} == {1, 2}
+    assert {b for b, _, _ in entered(spark, rows, Gate(**{**gate.__dict__, "open_edge": True}))} == {2}
+
+
 def test_repeated_entries(spark):
     track = lambda ys, first, step=1: [(first + step * i, (first + step * i) / 60, 0.5, y, 0.01) for i, y in enumerate(ys)]
     ys = [0.40, 0.41, 0.42, 0.43, 0.44, 0.45]
