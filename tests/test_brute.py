@@ -319,3 +319,21 @@ def test_features_that_nobody_asks_for_form_no_pairs(spark, sf):
 
     for df in (QUERIES["match_features"](spark, sf), profile.read_features(queries._features(spark, sf))):
         assert "o_alliance" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_conflicts_shuffle_no_pairs(spark, sf):
+    """Pairs of teams are summed where they are made: no exchange stands above the join."""
+    from matchlake.operators import plan
+
+    marks = queries._marks(spark, sf)
+    df = plan.conflicts(marks, F.col("team") % 20 == 0)
+    steps = df._jdf.queryExecution().sparkPlan().toString().splitlines()
+    executed = df._jdf.queryExecution().executedPlan().toString().split("HashJoin")[0]
+    assert steps and "Exchange" not in executed
+    want = {tuple(r) for r in df.collect()}
+    old = plan.SLICE
+    try:
+        plan.SLICE = 7
+        assert {tuple(r) for r in plan.conflicts(marks, F.col("team") % 20 == 0).collect()} == want
+    finally:
+        plan.SLICE = old
