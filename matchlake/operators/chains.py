@@ -100,7 +100,7 @@ def linked(points: DataFrame, keys: Sequence[str], frame: str, x: str, y: str, r
 
     Two points are linked where each is the other's nearest within ``reach`` a frame, of those that are still free; the
     next frame first, then points up to ``missed`` frames further. Points meet in cells of the reach, so a frame of any
-    number of points is no single task. Ties go to the smaller ``x``, then ``y``, then row. Points without a place or
+    number of points is no single task, and each cell keeps the nearest only, so pairs are not shuffled. Ties go to the smaller ``x``, then ``y``, then row. Points without a place or
     frame are left out; a key of nulls is a key.
     """
     parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -117,8 +117,10 @@ def linked(points: DataFrame, keys: Sequence[str], frame: str, x: str, y: str, r
         around = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1))
         b = free("next").withColumn("i", around("x")).withColumn("j", around("y")).select(*names, "f", "i", "j", F.col("id").alias("next"), F.col("x").alias("nx"), F.col("y").alias("ny"))
         near = a.join(b, [*names, "f", "i", "j"]).withColumn("d", F.sqrt((F.col("nx") - F.col("x")) * (F.col("nx") - F.col("x")) + (F.col("ny") - F.col("y")) * (F.col("ny") - F.col("y")))).where(F.col("d") <= far)
-        best = near.withColumn("_a", F.min(F.struct("d", "next")).over(Window.partitionBy("id"))).withColumn("_b", F.min(F.struct("d", "id")).over(Window.partitionBy("next")))
-        more = best.where("_a.next = next and _b.id = id").select("id", "next")
+        cells = [*names, "f", "i", "j"]
+        ahead = near.groupBy(*cells, "id").agg(F.min(F.struct("d", "next")).alias("to")).select("id", "to.next")
+        back = near.groupBy(*cells, "next").agg(F.min(F.struct("d", "id")).alias("to")).groupBy("next").agg(F.min("to").alias("to"))
+        more = ahead.join(back.select("next", F.col("to.id").alias("id")), ["id", "next"])
         pairs = staged(more if pairs is None else more.union(pairs))
     chains = roots(rows.select("id").join(pairs, "id", "left"))
     return rows.join(chains, "id").drop("id").withColumnRenamed("root", "track")

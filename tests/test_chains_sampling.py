@@ -114,3 +114,15 @@ def test_capped_frames(spark):
     human, machine, blank = (sum(c) for c in zip(*[(r.human and not r.blank, not r.human and not r.blank, r.blank) for r in got]))
     assert (human, machine, blank) == (100, 150, 62)
     assert sampling.capped(df.where("not human"), "human", "blank", ["id"]).count() == 0
+
+
+def test_pairs_of_points_are_not_shuffled(spark, monkeypatch):
+    """What is written between the rounds is found by cell: at most nine rows a point leave the join of the cells."""
+    from matchlake.operators import chains
+
+    plans, staged = [], chains.staged
+    monkeypatch.setattr(chains, "staged", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or staged(df))
+    rows = [("j", f, float(10 * i), float(f)) for f in range(4) for i in range(20)]
+    got = chains.linked(spark.createDataFrame(rows, "job string, f long, x double, y double"), ["job"], "f", "x", "y", 90.0).collect()
+    assert len(got) == 80 and all(r.place == r.f for r in got) and len({r.track for r in got}) == 20
+    assert not any("Window" in p for p in plans)
