@@ -29,14 +29,15 @@ TRACK = "array<struct<frame:bigint,t:double,x:double,y:double,radius:double>>"
 
 @dataclass(frozen=True)
 class Boundary:
-    """A line and the direction in which crossing it counts."""
+    """A line, the direction in which crossing it counts, and how near it a move touches it."""
 
     a: Point
     b: Point
     direction: Point
+    slack: float = 1e-9
 
     def crossed(self, p: Sequence[Column], q: Sequence[Column]) -> Column:
-        return crosses_directed(p, q, *[tuple(map(F.lit, end)) for end in (self.a, self.b)], self.direction)
+        return crosses_directed(p, q, *[tuple(map(F.lit, end)) for end in (self.a, self.b)], self.direction, self.slack)
 
     def depth(self, x: Column, y: Column, r: Column, width: float, height: float) -> Column:
         """How far a point lies beyond the line along its direction, in radii of a pixel at least; ``r`` is a share of the diagonal."""

@@ -65,6 +65,12 @@ def test_places_on_the_interiors_edge(spark):
     assert {b for b, _, _ in entered(spark, rows, Gate(**{**gate.__dict__, "open_edge": True}))} == {2}
 
 
+def test_a_line_without_slack_is_met_exactly(spark):
+    p, q = (F.lit(0.30000000000000004), F.lit(0.5)), (F.lit(0.6), F.lit(0.5))
+    lines = [Boundary((0.3, 0.0), (0.3, 1.0), (1.0, 0.0), *slack) for slack in ((), (0.0,))]
+    assert tuple(spark.range(1).select(*[line.crossed(p, q) for line in lines]).first()) == (True, False)
+
+
 def test_repeated_entries(spark):
     track = lambda ys, first, step=1: [(first + step * i, (first + step * i) / 60, 0.5, y, 0.01) for i, y in enumerate(ys)]
     ys = [0.40, 0.41, 0.42, 0.43, 0.44, 0.45]
