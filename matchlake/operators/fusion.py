@@ -7,13 +7,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchlake.functions.exprs import centre_distance, iou, is_finite
 from matchlake.functions.folds import suppress
-from matchlake.operators.ordered import fold
+from matchlake.operators.ordered import fold_whole
 from matchlake.sources.work import staged
 
 FUSE_IOU, AGREEMENT_EXPONENT, TIGHTNESS_FLOOR, LEAST_WEIGHT = 0.40, 0.5, 0.7, 0.1
@@ -53,29 +55,49 @@ def clusters(proposals: DataFrame, least: float = FUSE_IOU, best: bool = False)
 
 def source_weights(proposals: DataFrame, least: float = FUSE_IOU) -> DataFrame:
     """``source, weight``: the share of a source's boxes that another source overlaps, at least LEAST_WEIGHT, with mean 1."""
-    rows = proposals.select("frame_id", "source", "x", "y", "w", "h")
-    backed = fold(rows, ["frame_id"], [], ["source", "x", "y", "w", "h"], lambda: _Backing(least), "source string, boxes long, backed long")
+    rows = proposals.select("frame_id", "source", *[F.col(c).cast("double") for c in "xywh"])
+    backed = fold_whole(rows, ["frame_id"], [], ["source", "x", "y", "w", "h"], lambda b, starts: _backing(b, starts, least), "source string, boxes long, backed long")
     rates = backed.groupBy("source").agg(F.greatest(F.lit(LEAST_WEIGHT), F.sum("backed") / F.sum("boxes")).alias("rate"))
     return rates.select("source", (F.col("rate") / F.avg("rate").over(Window.partitionBy())).alias("weight"))
 
 
-class _Backing:
-    """Of one frame, the boxes of each source and those of them that another source overlaps."""
+def _numbers(batch: pa.RecordBatch, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+    """Of each row its frame, its place there and its source's number in order of names; and the names."""
+    sizes = np.diff(np.append(starts, batch.num_rows))
+    of = np.repeat(np.arange(len(starts)), sizes)
+    sources = batch["source"].dictionary_encode(null_encoding="encode")
+    names = sources.dictionary.to_pylist()
+    order = sorted(range(len(names)), key=lambda i: (names[i] is not None, names[i]))
+    rank = np.empty(len(names), np.int64)
+    rank[order] = np.arange(len(names))
+    return of, np.arange(batch.num_rows) - starts[of], rank[sources.indices.to_numpy(zero_copy_only=False)], [names[i] for i in order]
 
-    def __init__(self, least: float):
-        self.least, self.boxes = least, []
 
-    def row(self, *box) -> list[tuple]:
-        self.boxes.append(box)
-        return []
+def _overlaps(boxes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """:func:`overlap` of the boxes at ``a`` and at ``b``, of columns ``x, y, w, h``."""
+    (ax, ay, aw, ah), (bx, by, bw, bh) = (c[a] for c in boxes), (c[b] for c in boxes)
+    w = np.maximum(0.0, np.minimum(ax + aw, bx + bw) - np.maximum(ax, bx))
+    h = np.maximum(0.0, np.minimum(ay + ah, by + bh) - np.maximum(ay, by))
+    union = aw * ah + bw * bh - w * h
+    return np.divide(w * h, union, out=np.zeros(union.shape), where=union > 0)
 
-    def close(self) -> list[tuple]:
-        counts: dict[str, list[int]] = {}
-        for s, *a in self.boxes:
-            n = counts.setdefault(s, [0, 0])
-            n[0] += 1
-            n[1] += any(o != s and overlap(a, b) >= self.least for o, *b in self.boxes)
-        return [(s, n, k) for s, (n, k) in counts.items()]
+
+def _boxes(batch: pa.RecordBatch) -> np.ndarray:
+    return np.stack([batch[c].to_numpy(zero_copy_only=False) for c in "xywh"])
+
+
+def _backing(batch: pa.RecordBatch, starts: np.ndarray, least: float) -> tuple[np.ndarray, list]:
+    """Of many frames, the boxes of each source and those of them that another source overlaps."""
+    of, place, source, names = _numbers(batch, starts)
+    boxes, left = _boxes(batch), np.diff(np.append(starts, batch.num_rows))[of] - place
+    backed, a, step = np.zeros(len(of), bool), np.arange(len(of)), 1
+    while len(a := a[left[a] > step]):
+        b = a + step
+        met = (source[a] != source[b]) & (_overlaps(boxes, a, b) >= least)
+        backed[a[met]] = backed[b[met]] = True
+        step += 1
+    found, at = np.unique(of * len(names) + source, return_inverse=True)
+    return found // len(names), [pa.array(names, pa.string()).take(pa.array(found % len(names))), np.bincount(at), np.bincount(at, backed).astype(np.int64)]
 
 
 def overlap(a: Sequence[float], b: Sequence[float]) -> float:
@@ -91,34 +113,59 @@ def _pairwise(members: Column) -> Column:
     return F.flatten(F.transform(members, lambda a, i: F.transform(F.slice(members, i + 2, n), lambda b: iou(a, b))))
 
 
-class _Fusion:
-    """Clusters of one frame's boxes, most confident first, and the weighted mean of each.
+def _joined(boxes: np.ndarray, of: np.ndarray, place: np.ndarray, source: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each box its cluster, and the sum and number of its overlaps with the members before it.
 
-    ``total`` is the weight of all that looked at the frame; without one, that of the sources with a box.
+    Boxes of one place in all frames are taken together: each joins the first cluster that lacks its source and of which
+    it overlaps a member enough, else begins one.
     """
+    n = len(of)
+    cluster, overlaps, pairs = np.zeros(n, np.int64), np.zeros(n), np.zeros(n, np.int64)
+    made = np.zeros(int(of[-1]) + 1 if n else 0, np.int64)
+    order = np.argsort(place, kind="stable")
+    ends = np.searchsorted(place[order], np.arange(int(place.max()) + 2 if n else 1))
+    for p, (lo, hi) in enumerate(zip(ends, ends[1:])):
+        rows = order[lo:hi]
+        before = rows[:, None] - np.arange(p, 0, -1)
+        over = _overlaps(boxes, np.broadcast_to(rows[:, None], before.shape), before)
+        at, line = cluster[before], np.broadcast_to(np.arange(len(rows))[:, None], before.shape)
+        fits, taken = np.zeros((len(rows), p + 1), bool), np.zeros((len(rows), p + 1), bool)
+        fits[line[over >= least], at[over >= least]] = True
+        same = source[before] == source[rows, None]
+        taken[line[same], at[same]] = True
+        fits &= ~taken & (np.arange(p + 1) < made[of[rows], None])
+        joins = fits.any(1)
+        cluster[rows] = np.where(joins, fits.argmax(1), made[of[rows]])
+        made[of[rows]] += ~joins
+        mates = joins[:, None] & (at == cluster[rows, None])
+        overlaps[rows], pairs[rows] = np.where(mates, over, 0.0).sum(1), mates.sum(1)
+    return cluster, overlaps, pairs
+
+
+def _fused(batch: pa.RecordBatch, starts: np.ndarray, least: float) -> tuple[np.ndarray, list]:
+    """Clusters of many frames' boxes, most confident first, and the weighted mean of each.
 
-    def __init__(self, least: float):
-        self.least, self.found, self.total, self.seen = least, [], None, {}
-
-    def row(self, source: str, x: float, y: float, w: float, h: float, confidence: float, weight: float, total: float | None) -> list[tuple]:
-        box, self.total, self.seen[source] = (x, y, w, h), total, weight
-        for members in self.found:
-            if all(m[0] != source for m in members) and max(overlap(m[1], box) for m in members) >= self.least:
-                members.append((source, box, confidence, weight))
-                return []
-        self.found.append([(source, box, confidence, weight)])
-        return []
-
-    def close(self) -> list[tuple]:
-        out, total = [], sum(self.seen.values()) if self.total is None else self.total
-        for cluster, members in enumerate(self.found):
-            values = [w * max(1e-6, c) for _, _, c, w in members]
-            mean = lambda xs: sum(x * v for x, v in zip(xs, values)) / sum(values)  # noqa: B023, E731
-            pairs = [overlap(a[1], b[1]) for i, a in enumerate(members) for b in members[i + 1 :]]
-            sources = sorted({m[0] for m in members})
-            backing = sum(m[3] for m in members)
-            out.append((cluster, *[mean([m[1][k] for m in members]) for k in range(4)], mean([m[2] for m in members]), min(1.0, backing / total), sum(pairs) / len(pairs) if pairs else 0.0, sources))
-        return out
+    ``total`` is the weight of all that looked at the frame; without one, that of the sources with a box.
+    """
+    of, place, source, names = _numbers(batch, starts)
+    boxes = _boxes(batch)
+    confidence, weight, total = (batch[c].to_numpy(zero_copy_only=False).astype(float) for c in ("confidence", "weight", "total"))
+    cluster, overlaps, pairs = _joined(boxes, of, place, source, least)
+    first = np.sort(np.unique(of * len(names) + source, return_index=True)[1])
+    seen = np.bincount(of[first], weight[first], len(starts))
+    looked = np.where(np.isnan(total[starts]), seen, total[starts])
+    width = int(place.max()) + 1
+    key, at = np.unique(of * width + cluster, return_inverse=True)
+    frame, value = key // width, weight * np.maximum(1e-6, confidence)
+    whole = np.bincount(at, value)
+    mean = lambda x: np.bincount(at, x * value) / whole
+    n = np.bincount(at, pairs)
+    tight = np.divide(np.bincount(at, overlaps), n, out=np.zeros(len(key)), where=n > 0)
+    agreement = np.minimum(1.0, np.bincount(at, weight) / looked[frame])
+    members = np.lexsort((source, at))
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(at))])
+    sources = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(names, pa.string()).take(pa.array(source[members])))
+    return frame, [key % width, *[mean(c) for c in boxes], mean(confidence), agreement, tight, sources]
 
 
 def fuse(proposals: DataFrame, weights: DataFrame | None = None, least: float = FUSE_IOU, frames: DataFrame | None = None) -> DataFrame:
@@ -135,7 +182,9 @@ def fuse(proposals: DataFrame, weights: DataFrame | None = None, least: float =
         ran = frames.select("frame_id", "source").union(p.select("frame_id", "source"))
         rows = weigh(p).join(weigh(ran.distinct()).groupBy("frame_id").agg(F.sum("weight").alias("total")), "frame_id")
     kind = "cluster int, x double, y double, w double, h double, strength double, agreement double, tightness double, supporting_sources array<string>"
-    g = fold(rows, ["frame_id"], [F.desc("confidence"), "source", "x", "y", "w", "h"], ["source", "x", "y", "w", "h", "confidence", "weight", "total"], lambda: _Fusion(least), kind)
+    rows = rows.select("frame_id", "source", *[F.col(c).cast("double") for c in ("x", "y", "w", "h", "confidence", "weight", "total")])
+    values = ["source", "x", "y", "w", "h", "confidence", "weight", "total"]
+    g = fold_whole(rows, ["frame_id"], [F.desc("confidence"), "source", "x", "y", "w", "h"], values, lambda b, starts: _fused(b, starts, least), kind)
     conf = F.col("strength") * F.pow(F.col("agreement"), AGREEMENT_EXPONENT) * (TIGHTNESS_FLOOR + (1 - TIGHTNESS_FLOOR) * F.col("tightness"))
     return g.select(
         "frame_id", "cluster", *[F.bround(c, 6).alias(c) for c in "xywh"], F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), conf)), 6).alias("confidence"), "supporting_sources",
