@@ -337,3 +337,17 @@ def test_conflicts_shuffle_no_pairs(spark, sf):
         assert {tuple(r) for r in plan.conflicts(marks, F.col("team") % 20 == 0).collect()} == want
     finally:
         plan.SLICE = old
+
+
+def test_conflict_overlap_asks_about_every_team(spark, sf, facts):
+    from collections import Counter
+
+    marks = Counter((r.team, r.event_type) for r in facts)
+    teams, kinds = {t for t, _ in marks}, {k for _, k in marks}
+    want = {}
+    for a in teams:
+        for b in teams - {a}:
+            both = [min(marks[a, k], marks[b, k]) for k in kinds if (a, k) in marks and (b, k) in marks]
+            if both:
+                want[a, b] = pytest.approx(sum(both) / 100)
+    assert {(r.a_team, r.b_team): r.total for r in QUERIES["conflict_overlap"](spark, sf).collect()} == want
