@@ -351,3 +351,22 @@ def test_conflict_overlap_asks_about_every_team(spark, sf, facts):
             if both:
                 want[a, b] = pytest.approx(sum(both) / 100)
     assert {(r.a_team, r.b_team): r.total for r in QUERIES["conflict_overlap"](spark, sf).collect()} == want
+
+
+def test_conflicts_of_few_keys_equal_those_of_many(spark):
+    """One row of weights a team gives what meeting key by key gives; so do marks that such a row cannot hold."""
+    from matchlake.operators import plan
+
+    rows = [(t, kind, f"k{k}", ((t * 7 + k * 3) % 11) / 2000 + (1e9 if t == 5 else 0)) for t in range(12) for kind in ("auto", "zones") for k in range(4) if (t + k) % 3 or kind == "auto" and t % 5 == 2]
+    rows += [(None, "auto", "k1", 1.0), (1, "auto", None, 1.0), (99, "zones", "alone", 1.0), (98, "other", "k1", 1.0), (97, "other", "k1", 2.0)]
+    marks = lambda more=(): spark.createDataFrame([*rows, *more], "team int, kind string, key string, weight double")
+    old, found = (plan.DENSE, plan.SLICE, plan.BLOCK), []
+    try:
+        for few, slice_, block in ((32, 400_000, 1000), (32, 9, 2), (0, 400_000, 1000)):
+            plan.DENSE, plan.SLICE, plan.BLOCK = few, slice_, block
+            found.append([sorted(map(tuple, plan.conflicts(marks(more), a, b).collect())) for a, b in ((None, None), (F.col("team") % 4 == 0, None), (None, [1, 2, 3])) for more in ((), [(3, "auto", "k1", 0.5)], [(3, "auto", "k9", None)])])
+    finally:
+        plan.DENSE, plan.SLICE, plan.BLOCK = old
+    assert found[0] == found[1] == found[2] and len(found[0][0]) > 100
+    x = spark.createDataFrame([(v,) for k in range(-4100, 4100) for v in (k / 2000, k / 1000 + 0.0005, k / 7, 1e9 + k / 2000, 1e15 + k)] + [(None,), (float("inf"),)], "x double")
+    assert x.where(~plan._thousandths(F.col("x")).eqNullSafe(F.bround("x", 3))).isEmpty()
