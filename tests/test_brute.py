@@ -370,3 +370,9 @@ def test_conflicts_of_few_keys_equal_those_of_many(spark):
     assert found[0] == found[1] == found[2] and len(found[0][0]) > 100
     x = spark.createDataFrame([(v,) for k in range(-4100, 4100) for v in (k / 2000, k / 1000 + 0.0005, k / 7, 1e9 + k / 2000, 1e15 + k)] + [(None,), (float("inf"),)], "x double")
     assert x.where(~plan._thousandths(F.col("x")).eqNullSafe(F.bround("x", 3))).isEmpty()
+
+
+def test_tracked_balls_hold_every_blob(spark, sf, facts):
+    want = {(r.job_id, int(r.t_seconds // 900), round(r.field_x * 30, 6), round(r.field_y * 30, 6)) for r in facts}
+    got = [(r.job_id, r.frame, r.x, r.y) for r in QUERIES["tracked_balls"](spark, sf).collect()]
+    assert len(got) == len(set(got)) == len(want) and set(got) == want
