@@ -126,3 +126,39 @@ def test_pairs_of_points_are_not_shuffled(spark, monkeypatch):
     got = chains.linked(spark.createDataFrame(rows, "job string, f long, x double, y double"), ["job"], "f", "x", "y", 90.0).collect()
     assert len(got) == 80 and all(r.place == r.f for r in got) and len({r.track for r in got}) == 20
     assert not any("Window" in p for p in plans)
+
+
+@pytest.mark.parametrize("around, pairs", [(48, 1_000_000), (2, 7)])
+def test_links_of_crowded_frames_equal_all_pairs(spark, monkeypatch, around, pairs):
+    """Many points within a reach, on tile edges, in one place and far away are linked as if all of them met."""
+    import math
+    import random
+
+    monkeypatch.setattr(chains, "AROUND", around)
+    monkeypatch.setattr(chains, "PAIRS", pairs)
+    monkeypatch.setattr(chains, "GROUP", 500)
+    draw = random.Random(7)
+    grid = [(k, f, 4.0 * draw.randrange(-30, 30), 4.0 * draw.randrange(-9, 9)) for k in ("a", None) for f in range(4) for _ in range(60)]
+    crowd = [("a", f, draw.gauss(80, 3), draw.gauss(-80, 3)) for f in range(4) for _ in range(120)]
+    rows = sorted(set(grid + crowd + [("b", f, 1e7 + 10.0 * i, -1e7) for f in range(3) for i in range(20)]), key=lambda r: (r[0] or "", *r[1:]))
+
+    def pairs_of(step, a, b):
+        near = [(math.sqrt((q[2] - p[2]) * (q[2] - p[2]) + (q[3] - p[3]) * (q[3] - p[3])), p, q) for p in a for q in b if p[0] == q[0] and q[1] == p[1] + step]
+        near, there, back = [n for n in near if n[0] <= 10.0 * step], {}, {}
+        for d, p, q in near:
+            there[p], back[q] = min(there.get(p, (d, q)), (d, q)), min(back.get(q, (d, p)), (d, p))
+        return {p: q for p, (_, q) in there.items() if back[q][1] == p}
+
+    rows = [(k or "", *r) for k, *r in rows]
+    links = pairs_of(1, rows, rows)
+    links |= pairs_of(2, [r for r in rows if r not in links], [r for r in rows if r not in set(links.values())])
+    want, ends = {}, set(links.values())
+    for r in rows:
+        if r not in ends:
+            n, at = 0, r
+            while at is not None:
+                want[at], at, n = (r, n), links.get(at), n + 1
+    df = spark.createDataFrame([(k or None, *r) for k, *r in rows], "job string, f long, x double, y double").repartition(5)
+    found = chains.linked(df, ["job"], "f", "x", "y", 10.0, missed=1).collect()
+    first = {r.track: (r.job or "", r.f, r.x, r.y) for r in found if r.place == 0}
+    assert {(r.job or "", r.f, r.x, r.y): (first[r.track], r.place) for r in found} == want and len(links) > 300
