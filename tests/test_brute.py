@@ -376,3 +376,63 @@ def test_tracked_balls_hold_every_blob(spark, sf, facts):
     want = {(r.job_id, int(r.t_seconds // 900), round(r.field_x * 30, 6), round(r.field_y * 30, 6)) for r in facts}
     got = [(r.job_id, r.frame, r.x, r.y) for r in QUERIES["tracked_balls"](spark, sf).collect()]
     assert len(got) == len(set(got)) == len(want) and set(got) == want
+
+
+def test_match_features_hold_every_group(spark, sf, facts):
+    """All groups come back; places in auto, the path's length and the opponent most often near as in plain Python."""
+    by_robot, at = defaultdict(list), defaultdict(list)
+    for r in facts:
+        by_robot[r.job_id, f"team:{r.team}"].append(r)
+    for (job, key), rows in by_robot.items():
+        for n, r in enumerate(rows, 1):
+            at[job, n].append(r)
+    found = {(r.job_id, r.robot_key): r for r in QUERIES["match_features"](spark, sf).collect()}
+    assert set(found) == set(by_robot) and any(r.defense.marked for r in found.values())
+    for k, rows in by_robot.items():
+        got, near = found[k], {}
+        for n, r in enumerate(rows, 1):
+            second = round(n / 10)
+            if second <= 15 and abs(n / 10 - second) <= 0.3:
+                near.setdefault(second, []).append((abs(n / 10 - second), n / 10, r.field_x, r.field_y))
+        path = [min(near[s])[2:] if s in near else None for s in range(16)]
+        assert [p and (p.x, p.y) for p in got.auto_path.points] == path
+        assert got.auto_path.observed_share == pytest.approx(len(near) / 16, abs=6e-4)
+        assert got.auto_path.distance_ft == pytest.approx(sum(math.dist(a, b) for a, b in zip(path, path[1:]) if a and b), abs=0.051)
+        close = defaultdict(list)
+        for n, r in enumerate(rows, 1):
+            if r.phase in ("teleop", "endgame") and r.field_x > A.LENGTH / 2:
+                for o in at[k[0], n]:
+                    if o.team % 2 != r.team % 2 and math.dist((r.field_x, r.field_y), (o.field_x, o.field_y)) <= 6.0:
+                        close[str(o.team)].append(n)
+        want = min(close, key=lambda o: (-len(close[o]), close[o][0], o)) if close else None
+        assert (got.defense.marked, got.defense.marked_s) == (want, pytest.approx(len(close[want]) / 10) if want else None)
+        assert got.launches.total == got.shooting.launches == len(got.points) == sum(s.launches for s in got.spots) == len(rows)
+        assert got.zones is None or got.movement.longest_stop_s is not None and got.endgame.final_position is not None
+
+
+@pytest.mark.parametrize("blocks", [(100_000, 400_000, 1_000_000), (7, 5, 3)])
+def test_marked_opponents_equal_all_pairs(spark, monkeypatch, blocks):
+    """Robots of many samples, several samples of one label at an instant, ties and the circle's edge."""
+    import random
+
+    from matchlake.operators import features
+
+    for name, v in zip(("ASKED", "MET", "PAIRS"), blocks):
+        monkeypatch.setattr(features, name, v)
+    draw = random.Random(3)
+    rows = [(j, f"r{i % 9}", draw.randrange(6) / 2, draw.choice(["red", "blue", "green"]), draw.randrange(0, 40) * 0.5, draw.randrange(0, 10) * 1.0) for j in ("a", "b") for i in range(130)]
+    other = [(j, k, s, x, y, draw.choice(["ä", "p", "q", r])) for j, r, k, s, x, y in rows] + [("c", 1.0, "red", 1.0, 1.0, "p"), ("a", 0.5, "red", float("nan"), 1.0, "p")]
+    want = {}
+    for job, robot in {(r[0], r[1]) for r in rows}:
+        n = defaultdict(list)
+        for j, r, k, s, x, y in rows:
+            for oj, ok, os, ox, oy, label in other:
+                if (j, r) == (job, robot) and oj == j and ok == k and os != s and math.sqrt((x - ox) ** 2 + (y - oy) ** 2) <= 3.0:
+                    n[label].append(k + 0.01)
+        if n:
+            best = min(n, key=lambda v: (-len(n[v]), min(n[v]), v))
+            want[job, robot] = (best, len(n[best]))
+    deep = spark.createDataFrame([(*r, r[2] + 0.01) for r in rows], "job_id string, robot_key string, k double, alliance string, x double, y double, t double")
+    met = spark.createDataFrame(other, "job_id string, k double, alliance string, x double, y double, label string")
+    got = features.opponents_marked(deep, met, 3.0).collect()
+    assert {(r.job_id, r.robot_key): (r.label, r.n) for r in got} == want and len(got) == len(want) > 10
